@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cobordia.llm import mixing
+from cobordia.llm import mixing, packing
 
-MODULES = (mixing,)
+MODULES = (mixing, packing)
 
 
 def queries() -> dict:
