@@ -12,8 +12,8 @@ separately; very long texts give full windows; an empty table gives an empty res
 
 from __future__ import annotations
 
+import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,47 +35,112 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
-    """Token ids (little-endian unsigned 32-bit bytes) of white-space separated pieces of text, remembered up to ``most``.
+class WordIds:
+    """Token ids of many documents at once, by a table of the units that were met.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its pieces. Pieces are
-    looked up with A-Z in lower case, which its normalizer does anyway.
+    The tokenizer drops white space and never merges across it, so a text's ids are those of its words, looked up with
+    A-Z in lower case (its normalizer does that anyway). Letters before punctuation are a token group of their own:
+    "word", "word," and "word." share a unit. Runs of letters are encoded by the thousand in one call and cut at the
+    tokens that end a word. The table knows units by a 64-bit hash and starts afresh beyond ``most``.
     """
 
     MARKS = b".,;:!?%&$*#"
 
     def __init__(self, path: str, most: int = 600_000) -> None:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: set[bytes]) -> None:
-        new = pieces.difference(self)
-        if not new:
-            return
-        if len(self) + 2 * len(new) > self.most:
-            self.clear()
-            new = pieces
-        # letters before punctuation are a token group of their own: "word", "word," and "word." share one encoding
-        split, rest = [], []
-        for w in new:
-            core = w.rstrip(self.MARKS)
-            (split if len(core) < len(w) and (core.isalpha() or core.decode().isalpha()) else rest).append((w, core))
-        need = list({core for _, core in split}.union((w[len(core) :] for w, core in split), (w for w, _ in rest)).difference(self))
-        self.update(zip(need, self.encode([w.decode() for w in need]), strict=True))
-        self.update({w: self[core] + self[w[len(core) :]] for w, core in split})
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text; one that spells a special token is encoded as it is."""
-        split = [None if b"<|" in t else t.lower().split() for t in texts]
-        self.learn(set().union(*filter(None, split)))
-        return [self.encode([t.decode()])[0] if words is None else b"".join(map(self.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.mark = np.isin(np.arange(256), np.frombuffer(self.MARKS, np.uint8))
+        self.letter = np.isin(np.arange(256), np.frombuffer(bytes(range(65, 91)) + bytes(range(97, 123)), np.uint8))
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[int, int] = {}
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def letters(self, runs: list[str]) -> list[np.ndarray]:
+        """Ids of runs of letters, each one token group."""
+        if not runs:
+            return []
+        ids = np.concatenate(self.encode([" ".join(runs[i : i + 1000]) for i in range(0, len(runs), 1000)]))
+        at = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+        if len(at) != len(runs) + 1:
+            return self.encode(runs)
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def learn(self, new: list[int], units: list[bytes]) -> None:
+        """Enter the units under their hashes."""
+        ids: list[np.ndarray | None] = [None] * len(units)
+        whole, parts, rest = [], [], []
+        for i, unit in enumerate(units):
+            text = unit.decode()
+            if text.isalpha():
+                whole.append((i, text))
+                continue
+            core = unit.rstrip(self.MARKS).decode()
+            (parts.append((i, core, text[len(core) :])) if core and core.isalpha() else rest.append((i, text)))
+        for (i, _), x in zip(whole, self.letters([t for _, t in whole]), strict=True):
+            ids[i] = x
+        tails = sorted({t for _, _, t in parts})
+        tails = dict(zip(tails, self.encode(tails), strict=True))
+        for (i, _, tail), x in zip(parts, self.letters([c for _, c, _ in parts]), strict=True):
+            ids[i] = np.concatenate((x, tails[tail]))
+        for (i, _), x in zip(rest, self.encode([t for _, t in rest]), strict=True):
+            ids[i] = x
+        at = len(self.index)
+        self.index.update(zip(new, range(at, at + len(new)), strict=True))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        while len(self.start) < at + len(ids):
+            self.start, self.size = np.concatenate((self.start, self.start)), np.concatenate((self.size, self.size))
+        end = self.used + int(size.sum())
+        while len(self.pool) < end:
+            self.pool = np.concatenate((self.pool, self.pool))
+        self.pool[self.used : end] = np.concatenate(ids) if ids else []
+        self.start[at : at + len(ids)] = self.used + np.cumsum(size) - size
+        self.size[at : at + len(ids)] = size
+        self.used = end
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All documents' ids, one after another, and each document's first one (one more entry than documents)."""
+        start, end, hashed, first = K.words(data, offsets)
+        total = K.prefixes(data, lower=True)
+        core = end.copy()
+        open_ = np.arange(len(core))
+        while len(open_ := open_[(core[open_] > start[open_]) & self.mark[data[core[open_] - 1]]]):
+            core[open_] -= 1
+        plain = np.concatenate(([0], np.cumsum(self.letter[data])))
+        cut = (core < end) & (core > start) & (plain[core] - plain[start] == core - start)
+        # a word that is cut is two units: its letters and its marks
+        place = np.arange(len(start)) + np.cumsum(cut) - cut
+        units = np.empty(len(start) + int(cut.sum()), np.uint64)
+        units[place] = np.where(cut, K.span_hashes(total, start, np.where(cut, core, end)), hashed) if len(start) else []
+        units[place[cut] + 1] = K.span_hashes(total, core[cut], end[cut])
+        begin, stop = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        begin[place], stop[place] = start, np.where(cut, core, end)
+        begin[place[cut] + 1], stop[place[cut] + 1] = core[cut], end[cut]
+        uniq, at, back = np.unique(units, return_index=True, return_inverse=True)
+        keys = uniq.tolist()
+        new = [i for i, k in enumerate(keys) if k not in self.index]
+        if new:
+            if len(self.index) + len(new) > self.most:
+                self.clear()
+                new = list(range(len(keys)))
+            raw = data.tobytes().lower()
+            self.learn([keys[i] for i in new], [raw[a:b] for a, b in zip(begin[at[new]].tolist(), stop[at[new]].tolist(), strict=True)])
+        where = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))[back]
+        size = self.size[where]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        ids = self.pool[np.repeat(self.start[where] - upto[:-1], size) + np.arange(upto[-1])]
+        of_word = np.concatenate((place, [len(units)]))
+        return ids, upto[of_word[first]]
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -83,18 +148,22 @@ _word_ids: dict[str, WordIds] = {}
 
 def piece_rows(path: str, window: int, end_id: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _word_ids.setdefault(path, None) or _word_ids.update({path: WordIds(path)}) or _word_ids[path]
-        last = np.asarray([end_id], "<u4").tobytes()
+        if path not in _word_ids:
+            _word_ids[path] = WordIds(path)
+        known, last = _word_ids[path], np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             key, text = batch.column(0), batch.column(1)
-            for first, end, data, offsets in K.blocks(text, 1 << 20):
-                raw = data.tobytes()
-                ids = ids_of.of([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+            for begin, _, data, offsets in K.blocks(text):
+                ids, first = known.of(data, offsets)
+                raw, special = ids.astype("<u4").tobytes(), b"<|" in data.tobytes()
                 out: list[tuple[int, int, int, int, int]] = []
-                for row, x in zip(range(first, end), ids, strict=True):
+                for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                    x = raw[4 * a : 4 * b]
+                    if special and b"<|" in (whole := data[offsets[d] : offsets[d + 1]].tobytes()):
+                        x = known.encode([whole.decode()])[0].astype("<u4").tobytes()  # special tokens, in their case only
                     x += last
                     n = len(x) // 4
-                    out += [(row, at, min(window, n - at), zlib.crc32(x[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
+                    out += [(begin + d, at, min(window, n - at), zlib.crc32(x[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
                 row, *rest = np.asarray(out, np.int64).T
                 yield pa.RecordBatch.from_arrays([key.take(pa.array(row)).cast(pa.int64()), *map(pa.array, rest)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
@@ -198,7 +267,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
     full = totals.pop(window, 0)
     runs = [(window, 0, full, -full, 0)] * bool(full) + plan(totals, window)
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1
-    numbered = salted.withColumn("within", within).join(F.broadcast(counts.select("length", "salt", "before")), ["length", "salt"])
+    numbered = salted.withColumn("within", within).join(counts.select("length", "salt", "before"), ["length", "salt"])
     numbered = numbered.withColumn("number", (F.col("before") + F.col("within")).cast("long")).drop("before", "within", "salt")
     return numbered.mapInArrow(place_rows(runs, full), PLACED)
 

@@ -56,6 +56,18 @@ def blocks(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np
         first = end
 
 
+def prefixes(data: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Polynomial sums of all prefixes of ``data``, for ``span_hashes``; with ``lower``, A-Z counts as a-z."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_LOWER if lower else _CODE)[data] * _power(len(data) + 1)[0][: len(data)], out=total[1:])
+    return total
+
+
+def span_hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from ``start`` to ``end``: equal bytes have equal hashes, wherever they stand."""
+    return mix((total[end] - total[start]) * _power(len(total))[1][start] + (end - start).astype(np.uint64) * _Q)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all documents' words: start byte, end byte, hash (A-Z as a-z if ``lower``), and each document's first
     word (one more entry than documents)."""
@@ -73,11 +85,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     after[ends[ends > 0] - 1] = False
     start = np.flatnonzero(solid & ~before)
     end = np.flatnonzero(solid & ~after) + 1
-    up, down = _power(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _CODE)[data] * up[:n], out=total[1:])
-    hashed = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _Q)
-    return start, end, hashed, np.searchsorted(start, offsets)
+    return start, end, span_hashes(prefixes(data, lower), start, end), np.searchsorted(start, offsets)
 
 
 def grams(hashed: np.ndarray, first: np.ndarray, n: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
