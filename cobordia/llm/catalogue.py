@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cobordia.llm import mixing, packing
+from cobordia.llm import mixing, packing, quality, toxicity
 
-MODULES = (mixing, packing)
+MODULES = (mixing, packing, quality, toxicity)
 
 
 def queries() -> dict:
