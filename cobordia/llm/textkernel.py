@@ -108,15 +108,15 @@ def grams(hashed: np.ndarray, first: np.ndarray, n: int, short: bool = True) ->
     full = count >= n
     if full.any():
         word = np.arange(total)
-        ok = np.zeros(total, bool)
         room = np.repeat(first[1:], count) - word  # words from here to the document's end
         ok = room >= n
         where = np.repeat(at[:-1] - first[:-1], count)[ok] + word[ok]
         out[where] = s[word[ok]]
     if short:
-        for d in np.flatnonzero((count > 0) & (count < n)):
-            x = _U(0)
-            for w in hashed[first[d] : first[d + 1]]:
-                x = x * _Q + w
-            out[at[d]] = mix(np.asarray([x + _U(count[d])]))[0]
+        few = np.flatnonzero((count > 0) & (count < n))
+        x = np.zeros(len(few), np.uint64)
+        for k in range(n - 1):
+            more = count[few] > k
+            x[more] = x[more] * _Q + hashed[first[few[more]] + k]
+        out[at[few]] = mix(x + count[few].astype(np.uint64))
     return out, at
