@@ -46,7 +46,7 @@ class WordIds:
 
     MARKS = b".,;:!?%&$*#"
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -153,7 +153,7 @@ def piece_rows(path: str, window: int, end_id: int):
         known, last = _word_ids[path], np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             key, text = batch.column(0), batch.column(1)
-            for begin, _, data, offsets in K.blocks(text):
+            for begin, _, data, offsets in K.blocks(text, 1 << 19):
                 ids, first = known.of(data, offsets)
                 raw, special = ids.astype("<u4").tobytes(), b"<|" in data.tobytes()
                 out: list[tuple[int, int, int, int, int]] = []

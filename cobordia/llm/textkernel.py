@@ -38,7 +38,7 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def blocks(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of documents of about ``most`` bytes (a longer document is a run of its
     own): first row, end row, the bytes, and the documents' offsets in them."""
     if isinstance(column, pa.ChunkedArray):
