@@ -26,11 +26,20 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _by_keys(df: DataFrame, keys: DataFrame, column: str, kind: str, at_most: int) -> DataFrame:
+    small = keys.limit(at_most + 1).count() <= at_most
+    return df.join(F.broadcast(keys) if small else keys.hint("merge"), column, kind)
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, column: str, at_most: int = 1 << 20) -> DataFrame:
     """Rows of ``df`` whose ``column`` is in ``keys`` (distinct, settled).
 
     The key side is broadcast only after its rows were counted and found to be at most ``at_most``
     (8 bytes each); beyond it both sides are shuffled.
     """
-    small = keys.limit(at_most + 1).count() <= at_most
-    return df.join(F.broadcast(keys) if small else keys.hint("merge"), column, "left_semi")
+    return _by_keys(df, keys, column, "left_semi", at_most)
+
+
+def drop_keys(df: DataFrame, keys: DataFrame, column: str, at_most: int = 1 << 20) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is not in ``keys``, or null; otherwise as ``keep_keys``."""
+    return _by_keys(df, keys, column, "left_anti", at_most)
