@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cobordia.llm import jaccard, mixing, packing, quality, toxicity
+from cobordia.llm import jaccard, mixing, packing, passages, quality, toxicity
 
-MODULES = (mixing, jaccard, packing, quality, toxicity)
+MODULES = (passages, mixing, jaccard, packing, quality, toxicity)
 
 
 def queries() -> dict:
