@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cobordia.llm import jaccard, mixing, packing, passages, quality, toxicity
+from cobordia.llm import chat, jaccard, licenses, mixing, neighbours, packing, passages, quality, tokencount, toxicity
 
-MODULES = (passages, mixing, jaccard, packing, quality, toxicity)
+MODULES = (passages, mixing, licenses, tokencount, chat, toxicity, packing, jaccard, neighbours, quality)
 
 
 def queries() -> dict:

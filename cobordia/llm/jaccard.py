@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from cobordia.llm import textkernel as K
 from cobordia.llm.graph import components
-from cobordia.session import settle, table
+from cobordia.session import drop_keys, settle, table
 
 WORDS, PERCENT = 5, 80
 TOKENS_A_BLOCK, SHARED, PARTS = 1 << 21, 4, 8
@@ -262,6 +262,12 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return own.unionByName(marks.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def keep_first_of_groups(docs: DataFrame) -> DataFrame:
+    """``docs`` without those that are not the smallest doc_id of their group; rows without a doc_id stay."""
+    others = jaccard_groups(docs).filter("component_id <> doc_id").select("doc_id").distinct()
+    return drop_keys(docs, settle(others), "doc_id").select(docs.columns)
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 

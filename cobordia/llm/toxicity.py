@@ -16,6 +16,7 @@ score alike; an empty table gives an empty result; other columns are ignored, wh
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,11 +169,30 @@ def scores(odds: np.ndarray | None, bias: float, stamp: str, most: int = 1_000_0
     return rows
 
 
+def _scorer(model: Model | None):
+    """Without a model, every score is 0.1."""
+    if model is None:
+        return scores(None, float(np.log(0.1 / 0.9)), "none")
+    odds = model.odds().astype(np.float32).astype(np.float64)
+    return scores(odds, model.bias, hashlib.blake2b(odds.tobytes(), digest_size=8).hexdigest())
+
+
 def score_documents(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` as id, and score (0 to 1)."""
-    odds, bias = (model.odds().astype(np.float32).astype(np.float64), model.bias) if model else (None, float(np.log(0.1 / 0.9)))
-    stamp = str(hash(odds.tobytes())) if model else "none"
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(scores(odds, bias, stamp), "id long, score double")
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_scorer(model), "id long, score double")
+
+
+def drop_toxic(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text scores below ``threshold``; nothing is shuffled."""
+    scored, at = _scorer(model), docs.columns.index(text)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            only = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], names=["id", "text"])
+            score = np.concatenate([b.column(1).to_numpy() for b in scored(iter([only]))])
+            yield batch.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
