@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from cobordia.plans import signals, topology
+
+MODULES = (topology, signals)
 
 
 def queries() -> dict:

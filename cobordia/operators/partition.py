@@ -96,18 +96,21 @@ def greedy_modularity(graph: DataFrame, best_n: int = 1, resolution: float = 1.0
         ranked = sorted(member.values(), key=lambda m: (-len(m), min(m)))
         return pd.DataFrame([(k, v) for k, m in enumerate(ranked) for v in sorted(m)], columns=["cluster_id", "cell_id"])
 
-    return graph.select("i", "j").groupBy(F.lit(0)).applyInPandas(lambda pdf: merge(pdf), "cluster_id long, cell_id long")
+    return graph.select(F.lit(0).alias("all"), "i", "j").groupBy("all").applyInPandas(lambda pdf: merge(pdf), "cluster_id long, cell_id long")
 
 
 def partition(boundaries: N.Boundaries, community: DataFrame, dim: int = 1, q: int = 1, zero_diagonal: bool = False, near: DataFrame | None = None) -> Partition:
     """Ownership, interfaces and imports of the communities (cluster_id, cell_id) of ``dim``-cells."""
     check_dim(boundaries, dim)
-    trees = N.adjacency(boundaries)
+    boundaries = {k: settle(b) for k, b in boundaries.items()}
+    trees = settle(N.adjacency(boundaries))
     near = near if near is not None else N.self_adjacency(A.hodge(boundaries, dim), q, zero_diagonal)
     mine = community.select("cluster_id", F.lit(dim).cast("long").alias("dim"), "cell_id")
     other = trees.filter((F.col("dim_from") == dim) & (F.col("dim_to") != dim)).select(F.col("cell_from").alias("of"), F.col("dim_to").alias("dim"), F.col("cell_to").alias("cell_id"))
     owned0 = mine.unionByName(community.select("cluster_id", F.col("cell_id").alias("of")).join(other, "of").select("cluster_id", *CELL).distinct())
-    interface = shared(owned0.filter(F.col("dim") != dim))
+    # every table below is used several times over; settled, none is computed twice
+    owned0 = settle(owned0)
+    interface = settle(shared(owned0.filter(F.col("dim") != dim)))
     owned = without_interface(owned0, interface, dim)
     graph = agent_graph(interface)
     asked = mine.select(F.col("cluster_id").alias("src"), F.col("cell_id").alias("i")).join(near, "i")
@@ -116,6 +119,7 @@ def partition(boundaries: N.Boundaries, community: DataFrame, dim: int = 1, q: i
     beyond = asked.withColumnRenamed("cell_id", "of").join(other, "of").select("src", "dst", *CELL).distinct()
     beyond = beyond.join(owned.select(F.col("cluster_id").alias("dst"), *CELL), ["dst", *CELL], "left_semi").select("src", "dst", *CELL)
     needs = asked.select("src", "dst", F.lit(dim).cast("long").alias("dim"), "cell_id").unionByName(beyond)
+    needs = settle(needs)
     return Partition(dim, trees, owned0, interface, owned, graph, needs, local_index(owned, interface, needs))
 
 
