@@ -94,7 +94,7 @@ def propagate_labels(local: DataFrame, laplacian: DataFrame, stale: DataFrame, s
     """
     inside = local.select("cluster_id", "dim", "cell_id").distinct()
     entries = inside.withColumnRenamed("cell_id", "i").join(laplacian, "i").join(inside.withColumnRenamed("cell_id", "j"), ["cluster_id", "dim", "j"])
-    entries = entries.select("cluster_id", "dim", "i", "j", "val")
+    entries = entries.select(F.col("cluster_id").alias("of_cluster"), F.col("dim").alias("of_dim"), "i", "j", "val")
     marked = local.join(stale.withColumn("stale", F.lit(True)), ["cluster_id", *CELL], "left").na.fill({"stale": False})
 
     def smooth(values: pd.DataFrame, matrix: pd.DataFrame) -> pd.DataFrame:
@@ -114,5 +114,5 @@ def propagate_labels(local: DataFrame, laplacian: DataFrame, stale: DataFrame, s
         out["x"] = np.where(out.stale, out.smooth, out.x.astype(float))
         return out[["cluster_id", "dim", "cell_id", "t", "x"]]
 
-    groups = marked.groupBy("cluster_id", "dim").cogroup(entries.groupBy("cluster_id", "dim"))
+    groups = marked.groupBy("cluster_id", "dim").cogroup(entries.groupBy("of_cluster", "of_dim"))
     return groups.applyInPandas(lambda a, b: smooth(a, b), "cluster_id long, dim long, cell_id long, t long, x double")

@@ -42,7 +42,7 @@ def lags(signal: DataFrame, most: int, least: int = 1, by: tuple[str, ...] = ("c
     """(by, t, lag, x): the values ``least``..``most`` steps before each step; before the first one, 0."""
     w = Window.partitionBy(*by).orderBy("t")
     each = F.array(*[F.struct(F.lit(p).cast("long").alias("lag"), (F.coalesce(F.lag("x", p).over(w), F.lit(0)) if p else F.col("x")).alias("x")) for p in range(least, most + 1)])
-    return signal.select(*by, "t", F.explode(each).alias("l")).select(*by, "t", "l.lag", "l.x")
+    return signal.select(*by, "t", each.alias("ls")).select(*by, "t", F.explode("ls").alias("l")).select(*by, "t", "l.lag", "l.x")
 
 
 def _applied(stack: DataFrame, lagged: DataFrame, at: Column | None = None) -> DataFrame:
@@ -137,4 +137,4 @@ def ewma(series: DataFrame, keys: list[str], gamma: float, start: int = 0) -> Da
 
 def soft_threshold(x: Column, by: Column | float) -> Column:
     by = by if isinstance(by, Column) else F.lit(by)
-    return F.signum(x) * F.greatest(F.abs(x) - by, F.lit(0.0))
+    return F.signum(x) * F.greatest(F.abs(x) - by, F.lit(0.0)) + F.lit(0.0)  # no negative zero
