@@ -110,36 +110,34 @@ class WordIds:
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All documents' ids, one after another, and each document's first one (one more entry than documents)."""
-        start, end, hashed, first = K.words(data, offsets)
-        total = K.prefixes(data, lower=True)
+        start, end, first = K.word_spans(data, offsets)
         core = end.copy()
         open_ = np.arange(len(core))
         while len(open_ := open_[(core[open_] > start[open_]) & self.mark[data[core[open_] - 1]]]):
             core[open_] -= 1
-        plain = np.concatenate(([0], np.cumsum(self.letter[data])))
+        plain = np.concatenate(([0], np.cumsum(self.letter[data], dtype=np.int32)))
         cut = (core < end) & (core > start) & (plain[core] - plain[start] == core - start)
         # a word that is cut is two units: its letters and its marks
         place = np.arange(len(start)) + np.cumsum(cut) - cut
-        units = np.empty(len(start) + int(cut.sum()), np.uint64)
-        units[place] = np.where(cut, K.span_hashes(total, start, np.where(cut, core, end)), hashed) if len(start) else []
-        units[place[cut] + 1] = K.span_hashes(total, core[cut], end[cut])
-        begin, stop = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        begin, stop = np.empty(len(start) + int(cut.sum()), np.int64), np.empty(len(start) + int(cut.sum()), np.int64)
         begin[place], stop[place] = start, np.where(cut, core, end)
         begin[place[cut] + 1], stop[place[cut] + 1] = core[cut], end[cut]
-        uniq, at, back = np.unique(units, return_index=True, return_inverse=True)
-        keys = uniq.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.index]
-        if new:
+        uniq, at, back = np.unique(K.span_hashes(K.prefixes(data, lower=True), begin, stop), return_index=True, return_inverse=True)
+        keys, known = uniq.tolist(), self.index.get
+        found = np.asarray([known(k, -1) for k in keys], np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
             if len(self.index) + len(new) > self.most:
                 self.clear()
-                new = list(range(len(keys)))
-            raw = data.tobytes().lower()
-            self.learn([keys[i] for i in new], [raw[a:b] for a, b in zip(begin[at[new]].tolist(), stop[at[new]].tolist(), strict=True)])
-        where = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))[back]
+                new = np.arange(len(keys))
+            raw, held = data.tobytes().lower(), len(self.index)
+            self.learn(uniq[new].tolist(), [raw[a:b] for a, b in zip(begin[at[new]].tolist(), stop[at[new]].tolist(), strict=True)])
+            found[new] = held + np.arange(len(new))
+        where = found[back]
         size = self.size[where]
         upto = np.concatenate(([0], np.cumsum(size)))
         ids = self.pool[np.repeat(self.start[where] - upto[:-1], size) + np.arange(upto[-1])]
-        of_word = np.concatenate((place, [len(units)]))
+        of_word = np.concatenate((place, [len(begin)]))
         return ids, upto[of_word[first]]
 
 

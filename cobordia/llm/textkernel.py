@@ -68,13 +68,12 @@ def span_hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((total[end] - total[start]) * _power(len(total))[1][start] + (end - start).astype(np.uint64) * _Q)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all documents' words: start byte, end byte, hash (A-Z as a-z if ``lower``), and each document's first
-    word (one more entry than documents)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all documents' words: start byte, end byte, and each document's first word (one more entry than documents)."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return none, none, np.zeros(len(offsets), np.int64)
     solid = ~_SPACE[data]
     before = np.empty(n, bool)
     before[0], before[1:] = False, solid[:-1]
@@ -84,8 +83,13 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     ends = offsets[1:]
     after[ends[ends > 0] - 1] = False
     start = np.flatnonzero(solid & ~before)
-    end = np.flatnonzero(solid & ~after) + 1
-    return start, end, span_hashes(prefixes(data, lower), start, end), np.searchsorted(start, offsets)
+    return start, np.flatnonzero(solid & ~after) + 1, np.searchsorted(start, offsets)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``word_spans`` with the words' hashes (A-Z as a-z if ``lower``) before the last."""
+    start, end, first = word_spans(data, offsets)
+    return start, end, span_hashes(prefixes(data, lower), start, end), first
 
 
 def grams(hashed: np.ndarray, first: np.ndarray, n: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
