@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cobordia.plans import signals, topology
+from cobordia.plans import runs, signals, streams, topology
 
-MODULES = (topology, signals)
+MODULES = (topology, signals, runs, streams)
 
 
 def queries() -> dict:
