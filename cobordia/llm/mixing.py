@@ -101,11 +101,10 @@ def mix_sources(
 def mixed(docs: DataFrame, at_most: int = 1 << 20) -> DataFrame:
     """``docs`` with every row as often as the mix takes it; rows without a doc_id are in no mix."""
     plan = settle(mix_sources(docs).filter("key is not null").groupBy("key").agg(F.max("repeats").alias("repeats")).filter("repeats > 0"))
-    plan = plan.withColumnRenamed("key", "mix_key").withColumnRenamed("repeats", "mix_repeats")
     # 16 bytes a row: broadcast only where there are few enough, joined by a shuffle otherwise
     plan = F.broadcast(plan) if plan.limit(at_most + 1).count() <= at_most else plan.hint("merge")
-    x = docs.join(plan, F.col("doc_id") == F.col("mix_key"))
-    return x.withColumn("mix_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_repeats")))).select(docs.columns)
+    x = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key")).join(plan, "key")
+    return x.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,14 +141,9 @@ class WordIds:
         return ids, upto[of_word[first]]
 
 
-_word_ids: dict[str, WordIds] = {}
-
-
 def piece_rows(path: str, window: int, end_id: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _word_ids:
-            _word_ids[path] = WordIds(path)
-        known, last = _word_ids[path], np.asarray([end_id], "<u4").tobytes()
+        known, last = K.held(f"packing {path}", lambda: WordIds(path)), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             key, text = batch.column(0), batch.column(1)
             for begin, _, data, offsets in K.blocks(text, 1 << 19):

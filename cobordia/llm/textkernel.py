@@ -6,6 +6,9 @@ UTF-8 bytes gives the words of ``[^\\x20\\x09-\\x0D]+`` exactly. Null texts coun
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +25,22 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+_held: dict[str, object] = {}
+
+
+def held(owner: str, make):
+    """What ``make`` builds, kept between a worker's tasks. Workers serve one operator after another, so only the last
+    owner's tables are kept, and what others held is given back to the system."""
+    if owner not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # elsewhere than with glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _held[owner] = make()
+    return _held[owner]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -48,7 +48,7 @@ def unigrams(path: str) -> dict[str, float]:
 class Counter:
     """Token counts of pre-tokens; remembers up to ``most`` of them."""
 
-    def __init__(self, scores: dict[str, float], most: int = 500_000) -> None:
+    def __init__(self, scores: dict[str, float], most: int = 300_000) -> None:
         self.scores, self.most = scores, most
         self.longest = max(map(len, scores), default=1)
         # pieces by last character: most ends of a word end no long piece
@@ -94,14 +94,9 @@ class Counter:
         self.counts.update(zip((w for _, w in text), self.walk([t for t, _ in text]), strict=True))
 
 
-_counters: dict[str, Counter] = {}
-
-
 def _count_rows(path: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters[path] = Counter(unigrams(path))
-        counter = _counters[path]
+        counter = K.held(f"tokens {path}", lambda: Counter(unigrams(path)))
         for batch in batches:
             n_words, n_tokens = [], []
             for _, _, data, offsets in K.blocks(batch.column(1)):

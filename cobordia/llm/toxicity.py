@@ -17,7 +17,7 @@ score alike; an empty table gives an empty result; other columns are ignored, wh
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +48,21 @@ def bag(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndar
         ok = np.flatnonzero(room >= n)
         found.append(K.mix((total[ok + n] - total[ok]) * down[ok] + _U(n)) & _U(buckets - 1))
         of.append(word[ok])
-    found, of = np.concatenate(found).astype(np.int64), np.concatenate(of)
+    found, of = np.concatenate(found).astype(np.int32), np.concatenate(of)
     order = np.argsort(of, kind="stable")
     return found[order], np.searchsorted(of[order], np.arange(len(words) + 1))
 
 
+def bags(words: list[bytes], most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """``bag``, a part of the words at a time."""
+    found, at = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for k in range(0, len(words), most):
+        grams, first = bag(words[k : k + most])
+        found.append(grams)
+        at.append(first[1:] + at[-1][-1])
+    return np.concatenate(found), np.concatenate(at)
+
+
 def words_of(text: bytes) -> set[bytes]:
     """Distinct words in lower case, without the marks around them."""
     return {w.strip(MARKS) for w in set(text.decode().lower().encode().split())} - {b""}
@@ -71,15 +81,15 @@ class Model:
         """What each n-gram adds to the log-odds, before averaging."""
         return self.vectors @ (self.softmax[1] - self.softmax[0])
 
-    def fit(self, docs: list[set[bytes]], toxic: np.ndarray, heats: tuple[float, ...] = HEATS, rate: float = 0.2, batch: int = 64) -> Model:
+    def fit(self, docs: Iterable[Collection[bytes]], toxic: np.ndarray, heats: tuple[float, ...] = HEATS, rate: float = 0.2, batch: int = 64) -> Model:
         """Stochastic gradient (Adagrad) on the cross-entropy of each document's pooled words, once for each of
         ``heats``: the pool is an average of word log-odds weighted by their softmax at that heat. At first it is
         the plain average, in which only words that tell the classes apart keep growing; then it narrows to the
         strongest word, which is how documents are scored."""
-        vocabulary = sorted(set().union(*docs))
-        place = {w: i for i, w in enumerate(vocabulary)}
-        grams, at = bag(vocabulary)
-        each = [np.fromiter((place[w] for w in sorted(d)), np.int64, len(d)) for d in docs]
+        place: dict[bytes, int] = {}
+        each = [np.fromiter((place.setdefault(w, len(place)) for w in sorted(d)), np.int64, len(d)) for d in docs]
+        grams, at = bags(list(place))
+        place.clear()
         some = np.flatnonzero([len(x) > 0 for x in each])
         seen, seen_soft = np.full(BUCKETS, 1e-6), 1e-3
         draw = np.random.RandomState(5)
@@ -131,21 +141,16 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     y = np.asarray([r["y"] for r in rows])
     if not (y == 1).any() or not (y == 0).any():
         return None
-    return Model().fit([set(bytes(r["words"]).split()) for r in rows], y)
+    return Model().fit((r["words"].split() for r in rows), y)
 
 
 def held_out(key):
     return F.crc32(key.cast("string").cast("binary")) % 4 == 2
 
 
-_known: dict[str, dict[bytes, float]] = {}
-
-
-def scores(odds: np.ndarray | None, bias: float, stamp: str, most: int = 1_000_000):
+def scores(odds: np.ndarray | None, bias: float, stamp: str, most: int = 300_000):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if stamp not in _known:
-            _known.clear()
-        known = _known.setdefault(stamp, {})
+        known: dict[bytes, float] = K.held(f"toxicity {stamp}", dict)
         for batch in batches:
             out = []
             for _, _, data, offsets in K.blocks(batch.column(1), 1 << 20):
