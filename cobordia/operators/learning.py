@@ -8,12 +8,15 @@ where agents exchange parameters; it holds a few F x F matrices per agent and no
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cobordia.session import settle
+
 THETA = "case_id long, agent long, t long, idx long, value double"
 
 
@@ -35,6 +38,8 @@ class Rule:
     def __post_init__(self) -> None:
         if self.mixing not in ("none", "atc", "kgt"):
             raise ValueError(f"no mixing {self.mixing}")
+        if self.consensus not in ("always", "gated", "never"):
+            raise ValueError(f"no consensus {self.consensus}")
         if self.clock < 1:
             raise ValueError("a clock ticks every step or less often")
 
@@ -51,6 +56,8 @@ def run_fold(grams: np.ndarray, rhs: np.ndarray, weights: np.ndarray, rule: Rule
     theta, phi, r = np.zeros((agents, width)), np.zeros((agents, width, width)), np.zeros((agents, width))
     history, correction = np.zeros((agents, width)), np.zeros((agents, width))
     own = np.diag(weights)[:, None]
+    # gated: only agents that hear from a neighbour mix
+    hears = ((weights - np.diag(np.diag(weights))) != 0).any(axis=1)[:, None] | (rule.consensus == "always")
     out = np.empty((steps, agents, width))
     for t in range(steps):
         phi = rule.gamma * phi + (1 - rule.gamma) * grams[t]
@@ -61,15 +68,15 @@ def run_fold(grams: np.ndarray, rhs: np.ndarray, weights: np.ndarray, rule: Rule
         theta = theta - rule.eta * step_size(phi)[:, None] * gradient
         if rule.threshold:
             theta = np.sign(theta) * np.maximum(np.abs(theta) - rule.threshold, 0)
-        if t % rule.clock == 0 and rule.mixing != "none" and agents > 1:
+        if t % rule.clock == 0 and rule.mixing != "none" and rule.consensus != "never" and agents > 1:
             if rule.mixing == "atc":
-                theta = weights @ theta
+                theta = np.where(hears, weights @ theta, theta)
             else:
                 z = (history - theta) / (rule.k * rule.c)
                 correction = correction - z + weights @ z
                 kcs = rule.k * rule.c * rule.s
                 moved = theta - kcs * z
-                theta = own * (history - kcs * z) + (weights @ moved - own * moved)
+                theta = np.where(hears, own * (history - kcs * z) + (weights @ moved - own * moved), theta)
                 history = theta
         out[t] = theta
     return out
@@ -114,6 +121,35 @@ def predict(features: DataFrame, theta: DataFrame) -> DataFrame:
     return features.join(x, ["case_id", "agent", "t", "f"]).groupBy("case_id", "agent", "cell_id", "t").agg(F.sum(F.col("s") * F.col("value")).alias("yhat"))
 
 
+def rollout(stacks: dict[str, DataFrame], buffer: DataFrame, theta: DataFrame, lag: int, horizon: int, bias: bool = True) -> DataFrame:
+    """CC-VAR forecasts (t_made, horizon, cell_id, yhat) of one dimension, from all steps at once.
+
+    ``stacks``: block -> (k, i, j, val), in feature order; ``buffer``: (cell_id, t, lag, x) with lag 1 the value at t;
+    ``theta``: (t, f, value) after step t. Each round turns the buffers into features, predicts every cell with the
+    parameters of step t, and shifts the predictions in; a round is a few joins whatever the number of steps.
+    """
+    if horizon < 1:
+        raise ValueError("the horizon must be 1 or more")
+    out, start = [], 0
+    numbered = []
+    for stack in stacks.values():
+        most = stack.agg(F.max("k")).first()[0] or 0
+        numbered.append(stack.select("i", "j", "val", ((F.col("k") - 1) * lag + start).alias("base")))
+        start += most * lag
+    operator = settle(reduce(DataFrame.unionByName, numbered))
+    constant = theta.filter(F.col("f") == start).select("t", F.col("value").alias("b"))
+    for h in range(1, horizon + 1):
+        x = operator.join(buffer.select(F.col("cell_id").alias("j"), "t", "lag", "x"), "j").select("i", "t", (F.col("base") + F.col("lag") - 1).alias("f"), (F.col("val") * F.col("x")).alias("s"))
+        y = x.join(theta, ["t", "f"]).groupBy("i", "t").agg(F.sum(F.col("s") * F.col("value")).alias("y"))
+        cells = buffer.select(F.col("cell_id").alias("i"), "t").distinct()
+        y = cells.join(y, ["i", "t"], "left").join(constant, "t", "left")
+        y = settle(y.select(F.col("i").alias("cell_id"), "t", (F.coalesce("y", F.lit(0.0)) + (F.coalesce("b", F.lit(0.0)) if bias else F.lit(0.0))).alias("x")))
+        out.append(y.select(F.col("t").alias("t_made"), F.lit(h).cast("long").alias("horizon"), "cell_id", F.col("x").alias("yhat")))
+        older = buffer.filter(F.col("lag") < lag).select("cell_id", "t", (F.col("lag") + 1).alias("lag"), "x")
+        buffer = settle(older.unionByName(y.select("cell_id", "t", F.lit(1).cast("long").alias("lag"), "x")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def topolms_forecast(x: np.ndarray, h: np.ndarray, lower: np.ndarray, upper: np.ndarray, m: int, steps: int) -> np.ndarray:
     """Topo-LMS forecast ``steps`` ahead: its own predictions are rolled into the regressors, the last one returned."""
     if steps < 1:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cobordia.operators import features as X
 from cobordia.operators import partition as P
-from cobordia.session import table
+from cobordia.session import settle, table
 
 REACH = 3
 
@@ -22,18 +22,30 @@ class Fixture:
     """Lazy tables of one scale directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._made = spark, sf_dir, {}
+
+    def _once(self, name: str, make) -> DataFrame:
+        """Small tables that most queries use several times are settled when first asked for."""
+        if name not in self._made:
+            self._made[name] = settle(make())
+        return self._made[name]
 
     def nodes(self) -> DataFrame:
         n = table(self.spark, self.dir, "nation")
         return n.select(F.col("n_nationkey").cast("long").alias("node_id"), F.col("n_regionkey").cast("long").alias("region_id"))
 
     def edges(self) -> DataFrame:
+        return self._once("edges", self._edges)
+
+    def _edges(self) -> DataFrame:
         u = self.nodes().select(F.col("node_id").alias("u"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(REACH).cast("long"))).alias("d"))
         pairs = u.select("u", (F.col("u") + F.col("d")).alias("v")).join(self.nodes().select(F.col("node_id").alias("v")), "v", "left_semi")
         return pairs.select((F.row_number().over(Window.orderBy("u", "v")) - 1).cast("long").alias("edge_id"), "u", "v")
 
     def faces(self) -> DataFrame:
+        return self._once("faces", self._faces)
+
+    def _faces(self) -> DataFrame:
         e = self.edges()
         ab, bc, ac = (e.select(F.col("edge_id").alias(n), F.col("u").alias(a), F.col("v").alias(b)) for n, a, b in (("ab", "a", "b"), ("bc", "b", "c"), ("ac", "a", "c")))
         x = ab.join(bc, "b").join(ac, ["a", "c"])
@@ -57,7 +69,10 @@ class Fixture:
         return out[0].unionByName(out[1]).unionByName(out[2])
 
     def shipments(self) -> DataFrame:
-        """(s, c, t, q): quantity from supplier to customer nation by month; summed before anything else is joined."""
+        """(s, c, t, q): quantity from supplier to customer nation by month: nations squared times months, at most."""
+        return self._once("shipments", self._shipments)
+
+    def _shipments(self) -> DataFrame:
         li = table(self.spark, self.dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("t"))
         cust = table(self.spark, self.dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("c"))
         orders = table(self.spark, self.dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(cust, "o_custkey")
@@ -72,6 +87,9 @@ class Fixture:
 
     def months(self) -> DataFrame:
         """Months t with their numbers from 0."""
+        return self._once("months", self._months)
+
+    def _months(self) -> DataFrame:
         span = table(self.spark, self.dir, "lineitem").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
         first, last = F.year("a") * 12 + F.month("a"), F.year("b") * 12 + F.month("b")
         x = span.select(first.cast("long").alias("first"), F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("month"))

@@ -103,10 +103,11 @@ def _alone(view: DataFrame) -> DataFrame:
 class Setting:
     """What the cases share, settled once."""
 
-    def __init__(self, f: Fixture) -> None:
-        self.f, self.signal, p = f, scaled(f), f.partition()
+    def __init__(self, f: Fixture, community: DataFrame | None = None) -> None:
+        community = community if community is not None else f.community()
+        self.f, self.signal, p = f, scaled(f), P.partition(f.boundaries(), community)
         self.owned, self.index, self.interface = settle(p.owned), settle(p.local_index), p.interface
-        self.weights = settle(G.metropolis_weights(p.agent_graph, f.community()))
+        self.weights = settle(G.metropolis_weights(p.agent_graph, community))
         self.everything = settle(G.global_agent(f.cells()))
         self.targets = self.owned.filter("dim = 1").select(F.col("cluster_id").alias("agent"), "cell_id")
 
@@ -114,6 +115,12 @@ class Setting:
         x = self.signal.select((F.lit(0).cast("long") * BLOCK + F.col("cell_id")).alias("cell_id"), "t", "x")
         return agent_features(self.f, self.everything, x), _alone(self.everything), rule or L.Rule()
 
+    def topolms(self, view: DataFrame, clock: int, m: int = 2) -> DataFrame:
+        """Topo-LMS features of every agent on its own view."""
+        b = agent_boundaries(self.f, view)
+        x = X.topolms(A.lower_laplacian(b[1]), A.upper_laplacian(b[2]), held(self.signal, view, self.owned, clock), m)
+        return settle(x.select(F.floor(F.col("i") / BLOCK).alias("agent"), (F.col("i") % BLOCK).alias("cell_id"), (F.col("t") + 1).alias("t"), "f", F.col("s").cast("double").alias("s")))
+
     def local(self):
         return agent_features(self.f, self.owned, held(self.signal, self.owned, self.owned, 1)), _alone(self.owned), L.Rule()
 
@@ -215,6 +222,33 @@ def comparative(f: Fixture) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+@query("six_cases")
+def six_cases(f: Fixture) -> DataFrame:
+    """Modularity clusters: global, ATC and K-GT, each with CC-VAR (cases 0, 1, 2) and Topo-LMS (3, 4, 5)."""
+    s = Setting(f, settle(P.greedy_modularity(settle(A.off_diagonal(A.lower_laplacian(f.boundary_1())).select("i", "j")), 7, 1.5)))
+    lms = s.topolms(s.index, 1)
+    kgt = L.Rule(mixing="kgt", clock=1, c=5e-6)
+    wide = s.distributed(1)[0]
+    plan = [
+        (0, s.whole(), None, WIDTH), (1, (wide, s.weights, L.Rule(mixing="atc", clock=1)), s.targets, WIDTH), (2, (wide, s.weights, kgt), s.targets, WIDTH),
+        (3, (topolms(f, s.signal), _alone(s.everything), L.Rule(gamma=0.0)), None, 5), (4, (lms, s.weights, L.Rule(gamma=0.0, mixing="atc", clock=1)), s.targets, 5),
+        (5, (lms, s.weights, L.Rule(gamma=0.0, mixing="kgt", clock=1, c=5e-6)), s.targets, 5),
+    ]
+    out = [_scored(s, {c: made}, learn({c: made}, s.signal, targets, width), targets) for c, made, targets, width in plan]
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("ccvar_forecast_h3")
+def ccvar_forecast(f: Fixture, horizon: int = 3) -> DataFrame:
+    """Forecasts one to three steps ahead from every step: predictions are fed back into the lag buffer."""
+    s = Setting(f)
+    made = s.whole()
+    theta = learn({0: made}, s.signal, None).select("t", F.col("idx").alias("f"), "value")
+    lower, upper = A.lower_laplacian(f.boundary_1()), A.upper_laplacian(f.boundary_2())
+    stacks = {"sl": A.powers(lower, POWERS[0]), "su": A.powers(upper, POWERS[1])}
+    return L.rollout(stacks, X.lags(s.signal, LAGS - 1, 0).withColumn("lag", F.col("lag") + 1), theta, LAGS, horizon)
+
+
 @query("sweep")
 def sweep(f: Fixture) -> DataFrame:
     """Data and parameter clocks 1, 2, 5 and 10 on the distributed case: last-tenth NMSE, one column per data clock."""

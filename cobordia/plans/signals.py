@@ -208,8 +208,8 @@ for _name in ("mae", "mape"):
     query(f"rolling_{_name}", _FC + f" SELECT case_id, dim, i, round(CASE WHEN count(tv_{_name}) OVER w = count(*) OVER w THEN avg(tv_{_name}) OVER w END, 6) AS rolling_{_name} FROM tv WINDOW w AS (PARTITION BY case_id, dim ORDER BY i)")(
         lambda f, n=_name: _round(M.rolling(M.tv_metrics(_joined(f)), f"tv_{n}", f"rolling_{n}"), f"rolling_{n}")
     )
-query("interface_nmse", _FC + ", ic AS (SELECT DISTINCT dim, cell_id FROM iface), ie AS (SELECT t.case_id, t.dim, t.i, sum((coalesce(yhat, 0) - y) * (coalesce(yhat, 0) - y)) AS e, sum(y * y) AS g FROM truth t JOIN ic USING (dim, cell_id) LEFT JOIN ag ON ag.case_id = t.case_id AND ag.dim = t.dim AND ag.cell_id = t.cell_id AND ag.i = t.i GROUP BY 1, 2, 3 HAVING sum(y * y) > 0) SELECT case_id, dim, i, round(e / g, 6) AS interface_nmse FROM ie UNION ALL SELECT case_id, NULL, i, round(sum(e) / sum(g), 6) FROM ie GROUP BY 1, 3")(
-    lambda f: (lambda x: _round(M.interface_nmse(M.aggregate(x[1]).filter("case_id = 1"), x[2].filter("case_id = 1").drop("case_id"), x[0].interface).unionByName(M.interface_nmse(M.aggregate(x[1]).filter("case_id = 3"), x[2].filter("case_id = 3").drop("case_id"), x[0].interface)), "interface_nmse"))(_forecasts(f))
+query("interface_nmse", _FC + ", ic AS (SELECT DISTINCT dim, cell_id FROM iface), ie AS (SELECT t.case_id, t.dim, t.i, sum((coalesce(yhat, 0) - y) * (coalesce(yhat, 0) - y)) AS e, sum(y * y) AS g FROM truth t JOIN ic USING (dim, cell_id) LEFT JOIN ag ON ag.case_id = t.case_id AND ag.dim = t.dim AND ag.cell_id = t.cell_id AND ag.i = t.i GROUP BY 1, 2, 3 HAVING sum(y * y) > 0) SELECT case_id, dim, i, round(e / g, 6) AS interface_nmse FROM ie UNION ALL SELECT case_id, -1, i, round(sum(e) / sum(g), 6) FROM ie GROUP BY 1, 3")(
+    lambda f: (lambda x: _round(M.interface_nmse(M.aggregate(x[1]).filter("case_id = 1"), x[2].filter("case_id = 1").drop("case_id"), x[0].interface).unionByName(M.interface_nmse(M.aggregate(x[1]).filter("case_id = 3"), x[2].filter("case_id = 3").drop("case_id"), x[0].interface)), "interface_nmse").na.fill({"dim": -1}))(_forecasts(f))
 )
 query("interface_cells", "SELECT DISTINCT dim, cell_id FROM iface")(lambda f: M.interface_cells(f.partition().interface))
 _TAIL = " SELECT case_id, dim, round(avg(v), 6) AS tail_mean FROM (SELECT case_id, dim, v, row_number() OVER (PARTITION BY case_id, dim ORDER BY i DESC) AS r, count(*) OVER (PARTITION BY case_id, dim) AS n FROM {x}) WHERE r <= ceil(n * 0.1) GROUP BY 1, 2"

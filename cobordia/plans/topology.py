@@ -128,6 +128,6 @@ query("clusterheads_d2", _rounds(2) + " SELECT node FROM heads")(lambda x: _head
 _BFS = ", g0 AS (SELECT node, node AS head, NULL::BIGINT AS parent, 0::BIGINT AS depth FROM heads)" + "".join(
     f", o{k} AS (SELECT j AS node, min([head, i]) AS b FROM h1z JOIN g{k - 1} ON node = i AND depth = {k - 1} WHERE j NOT IN (SELECT node FROM g{k - 1}) GROUP BY j), g{k} AS (SELECT * FROM g{k - 1} UNION ALL SELECT node, b[1], b[2], {k} FROM o{k})" for k in (1, 2)
 )
-query("bfs_clusters_d2", _rounds(2) + _BFS + " SELECT * FROM g2")(lambda x: P.bfs_clusters(N.edge_adjacency(x.boundaries()), _heads(x, 2), 2))
+query("bfs_clusters_d2", _rounds(2) + _BFS + " SELECT node, head, coalesce(parent, -1) AS parent, depth FROM g2")(lambda x: P.bfs_clusters(N.edge_adjacency(x.boundaries()), _heads(x, 2), 2).na.fill({"parent": -1}))
 query("hop_partition_owned")(lambda x: P.hop_partition(x.boundaries(), 2).owned)
 query("hop_partition_needs")(lambda x: P.hop_partition(x.boundaries(), 2, q=2).needs)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +46,33 @@ def keep_keys(df: DataFrame, keys: DataFrame, column: str, at_most: int = 1 << 2
 def drop_keys(df: DataFrame, keys: DataFrame, column: str, at_most: int = 1 << 20) -> DataFrame:
     """Rows of ``df`` whose ``column`` is not in ``keys``, or null; otherwise as ``keep_keys``."""
     return _by_keys(df, keys, column, "left_anti", at_most)
+
+
+#: Arrow batches between the JVM and Python: rows and bytes at most. Larger settings of the session are lowered.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and idle memory counts."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # elsewhere than with glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_batches(df: DataFrame, rows: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """``mapInArrow`` with batches of bounded size, which ends each task by releasing memory."""
+    conf = df.sparkSession.conf
+    for key, most in BATCHES.items():
+        held = int("".join(filter(str.isdigit, conf.get(key, str(most)))) or most)
+        if held > most or held == 0:
+            conf.set(key, str(most))
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from rows(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)

@@ -99,10 +99,36 @@ def test_fold_against_a_loop():
         if t % 2 == 0:
             theta = np.stack([sum(w[a, c] * theta[c] for c in range(3)) for a in range(3)])
         assert np.allclose(got[t], theta)
+    assert np.allclose(L.run_fold(grams, rhs, w, L.Rule(gamma=0.9, mixing="atc", consensus="never")), L.run_fold(grams, rhs, w, L.Rule(gamma=0.9)))
     alone = L.run_fold(grams, rhs, np.eye(3), L.Rule(gamma=0.9, mixing="atc", clock=1))
     assert np.allclose(alone, L.run_fold(grams, rhs, np.eye(3), L.Rule(gamma=0.9)))
 
 
+def test_rollout_feeds_predictions_back(b, spark, edge_signal):
+    lower, upper = A.lower_laplacian(b[1]), A.upper_laplacian(b[2])
+    draw = np.random.default_rng(1)
+    weights = draw.normal(size=9)
+    theta = spark.createDataFrame([(t, f, float(weights[f])) for t in range(4) for f in range(9)], "t long, f long, value double")
+    got = {(r["t_made"], r["horizon"], r["cell_id"]): r["yhat"] for r in L.rollout({"sl": A.powers(lower, 2), "su": A.powers(upper, 2)}, X.lags(edge_signal, 1, 0).selectExpr("cell_id", "t", "lag + 1 as lag", "x"), theta, 2, 3).collect()}
+    ll, lu = B1.T @ B1, B2 @ B2.T
+    for t in range(4):
+        now, before = SIGNAL[:, t].astype(float), SIGNAL[:, t - 1].astype(float) if t else np.zeros(5)
+        for h in (1, 2, 3):
+            columns = [m @ v for m in (ll, ll @ ll, lu, lu @ lu) for v in (now, before)]
+            y = np.column_stack(columns) @ weights[:8] + weights[8]
+            assert np.allclose([got[t, h, c] for c in range(5)], y)
+            now, before = y, now
+
+
+def test_presets_merge():
+    from cobordia.plans import presets
+
+    p = presets.merged(presets.PRESETS["default"], rule={"clock": 3}, data_clock=2)
+    assert (p.rule.clock, p.rule.mixing, p.data_clock) == (3, "atc", 2) and p.model.self_powers() == (2, 2)
+    with pytest.raises(ValueError):
+        presets.merged(p, data_clock=0)
+
+
 def test_ewma_closed_form(spark):
     x = spark.createDataFrame([(0, t, float(t * t)) for t in range(8)], "f long, t long, val double")
     got = {r["t"]: r["val"] for r in X.ewma(x, ["f"], 0.7).collect()}
