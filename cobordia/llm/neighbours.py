@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cobordia.session import settle, table
+from cobordia.session import map_batches, settle, table
 
 EVERY, NEAREST, SHARD, LEAF, FACTOR = 20, 20, 8192, 128, 0.6
 FOUND = "query_id long, vec_id long, score double"
@@ -133,7 +133,7 @@ def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: st
     asked = x.filter("asks").select("id", "v", "size", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
     asked = asked.select((F.col("size") * F.lit(1 << 32) + F.col("s")).cast("long").alias("shard"), F.lit(1).alias("kind"), "id", "v")
     laid = index.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
-    found = laid.mapInArrow(_search_rows(most or 0.0, k, factor), FOUND)
+    found = map_batches(laid, _search_rows(most or 0.0, k, factor), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cobordia.llm import textkernel as K
-from cobordia.session import settle, table
+from cobordia.session import map_batches, settle, table
 
 WINDOW, END_ID, SALTS = 4096, 2, 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -46,7 +46,7 @@ class WordIds:
 
     MARKS = b".,;:!?%&$*#"
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -146,7 +146,7 @@ def piece_rows(path: str, window: int, end_id: int):
         known, last = K.held(f"packing {path}", lambda: WordIds(path)), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             key, text = batch.column(0), batch.column(1)
-            for begin, _, data, offsets in K.blocks(text, 1 << 19):
+            for begin, _, data, offsets in K.blocks(text):
                 ids, first = known.of(data, offsets)
                 raw, special = ids.astype("<u4").tobytes(), b"<|" in data.tobytes()
                 out: list[tuple[int, int, int, int, int]] = []
@@ -250,7 +250,7 @@ def place_rows(runs: list[tuple[int, int, int, int, int]], full_before: int):
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or tokenizer_path()
-    pieces = settle(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(piece_rows(path, window, end_id), PIECES))
+    pieces = settle(map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), piece_rows(path, window, end_id), PIECES))
     # number the pieces of each length: counts of (length, salt) are bounded, so no length is sorted by one task
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
@@ -262,7 +262,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1
     numbered = salted.withColumn("within", within).join(counts.select("length", "salt", "before"), ["length", "salt"])
     numbered = numbered.withColumn("number", (F.col("before") + F.col("within")).cast("long")).drop("before", "within", "salt")
-    return numbered.mapInArrow(place_rows(runs, full), PLACED)
+    return map_batches(numbered, place_rows(runs, full), PLACED)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

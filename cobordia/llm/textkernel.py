@@ -6,8 +6,6 @@ UTF-8 bytes gives the words of ``[^\\x20\\x09-\\x0D]+`` exactly. Null texts coun
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -30,13 +28,11 @@ _held: dict[str, object] = {}
 
 def held(owner: str, make):
     """What ``make`` builds, kept between a worker's tasks. Workers serve one operator after another, so only the last
-    owner's tables are kept, and what others held is given back to the system."""
+    owner's tables are kept."""
     if owner not in _held:
         if _held:
             _held.clear()
             gc.collect()
-            with contextlib.suppress(OSError, AttributeError):  # elsewhere than with glibc
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
         _held[owner] = make()
     return _held[owner]
 
@@ -57,7 +53,7 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of documents of about ``most`` bytes (a longer document is a run of its
     own): first row, end row, the bytes, and the documents' offsets in them."""
     if isinstance(column, pa.ChunkedArray):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cobordia.llm import textkernel as K
-from cobordia.session import table
+from cobordia.session import map_batches, table
 
 MARK, BYTE_COST = "▁", 12.0
 SCHEMA = "doc_id long, n_words long, n_tokens long"
@@ -111,7 +111,7 @@ def _count_rows(path: str):
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_count_rows(path or model_path()), SCHEMA)
+    return map_batches(docs.select(F.col(key).cast("long"), F.col(text)), _count_rows(path or model_path()), SCHEMA)
 
 
 def op4_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cobordia.llm import textkernel as K
-from cobordia.session import table
+from cobordia.session import map_batches, table
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 18, 8, 3, 6
 TOXIC, CLEAN, THRESHOLD = 1500, 3000, 0.3
@@ -137,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.binary())], names=["id", "y", "words"])
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
-    rows = sorted(rows.mapInArrow(distinct, "id long, y int, words binary").dropDuplicates(["id"]).toArrow().to_pylist(), key=lambda r: r["id"])
+    rows = sorted(map_batches(rows, distinct, "id long, y int, words binary").dropDuplicates(["id"]).toArrow().to_pylist(), key=lambda r: r["id"])
     y = np.asarray([r["y"] for r in rows])
     if not (y == 1).any() or not (y == 0).any():
         return None
@@ -184,7 +184,7 @@ def _scorer(model: Model | None):
 
 def score_documents(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` as id, and score (0 to 1)."""
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_scorer(model), "id long, score double")
+    return map_batches(docs.select(F.col(key).cast("long"), F.col(text)), _scorer(model), "id long, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -197,7 +197,7 @@ def drop_toxic(docs: DataFrame, model: Model | None, text: str = "text", thresho
             score = np.concatenate([b.column(1).to_numpy() for b in scored(iter([only]))])
             yield batch.filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return map_batches(docs, rows, docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
