@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 
 from cobordia.llm import textkernel as K
 from cobordia.llm.graph import components
-from cobordia.session import drop_keys, settle, table
+from cobordia.session import drop_keys, map_batches, settle, table
 
 WORDS, PERCENT = 5, 80
-TOKENS_A_BLOCK, SHARED, PARTS = 1 << 21, 4, 8
+TOKENS_A_BLOCK, SHARED, PARTS = 1 << 20, 4, 8
 _U = np.uint64
 SETS = "doc_id long, n_shingles long, mark binary"
 TASKED = "bucket long, task long, tok binary, ord binary, hot binary, hot_n binary, head binary"
@@ -78,13 +78,23 @@ def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return (tokens >> _U(16)) * _U(buckets) >> _U(32)
 
 
-def _six(tokens: np.ndarray) -> bytes:
-    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _pack(tokens: np.ndarray) -> bytes:
+    """Ascending tokens in few bytes: the first one and 32-bit gaps, or six bytes each where a gap is larger."""
+    if not len(tokens):
+        return b""
+    gaps = np.diff(tokens)
+    if len(gaps) and gaps.max() >> _U(32):
+        return b"\x00" + tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return b"\x01" + tokens[:1].astype("<u8").tobytes() + gaps.astype("<u4").tobytes()
 
 
-def _eight(packed: bytes) -> np.ndarray:
+def _unpack(packed: bytes) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, np.uint64)
+    if packed[0] == 1:
+        return np.cumsum(np.concatenate((np.frombuffer(packed[1:9], "<u8"), np.frombuffer(packed[9:], "<u4"))), dtype=np.uint64)
     wide = np.zeros((len(packed) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    wide[:, :6] = np.frombuffer(packed[1:], np.uint8).reshape(-1, 6)
     return wide.view("<u8").ravel()
 
 
@@ -116,7 +126,7 @@ def _blocks_of_tokens(buckets: int):
                 a, b, c, d = cold_at[k], cold_at[k + 1], hot_at[k], hot_at[k + 1]
                 mine = head if k == (task * 0x9E3779B1 >> 7) % buckets else b""
                 if b > a or d > c or mine:
-                    out.append((k, task, _six(tokens[a:b]), place[a:b].tobytes(), hot[c:d].tobytes(), hot_n[c:d].tobytes(), mine))
+                    out.append((k, task, _pack(tokens[a:b]), place[a:b].tobytes(), hot[c:d].tobytes(), hot_n[c:d].tobytes(), mine))
             task += 1
             ids, sizes, owns, seen, total = [], [], [], {}, 0
             return _rows(TASKED, out)
@@ -146,7 +156,7 @@ def _blocks_of_tokens(buckets: int):
 def _count(group: pa.Table) -> pa.Table:
     """One bucket of tokens: for each task, its tokens of frequency two or more with their frequencies."""
     rows = group.to_pylist()
-    cold = [_eight(r["tok"]) for r in rows]
+    cold = [_unpack(r["tok"]) for r in rows]
     hot = [np.frombuffer(r["hot"], np.uint64) for r in rows]
     tokens = np.concatenate(cold + hot)
     weight = np.concatenate([np.ones(len(x), np.int64) for x in cold] + [np.frombuffer(r["hot_n"], np.uint32).astype(np.int64) for r in rows])
@@ -158,7 +168,7 @@ def _count(group: pa.Table) -> pa.Table:
         own, shared = df[at[k] : at[k + 1]], df[at[len(rows) + k] : at[len(rows) + k + 1]]
         keep = own >= 2
         if keep.any() or len(shared) or r["head"]:
-            out.append((r["task"], cold[k][keep].tobytes(), np.frombuffer(r["ord"], np.uint16)[keep].tobytes(), own[keep].tobytes(), r["hot"], shared.tobytes(), r["head"]))
+            out.append((r["task"], _pack(cold[k][keep]), np.frombuffer(r["ord"], np.uint16)[keep].tobytes(), own[keep].tobytes(), r["hot"], shared.tobytes(), r["head"]))
     return pa.Table.from_batches([_rows(COUNTED, out)])
 
 
@@ -168,7 +178,7 @@ def _prefix(group: pa.Table) -> pa.Table:
     head = next(r["head"] for r in rows if r["head"])
     sizes = np.frombuffer(head[:48], np.int64)
     ids, n, n_tokens, hot_n, hot, hot_place = np.split(np.frombuffer(head[48:], np.int64), np.cumsum(sizes)[:-1])
-    token = np.concatenate([np.frombuffer(r["tok"], np.uint64) for r in rows])
+    token = np.concatenate([_unpack(r["tok"]) for r in rows])
     place = np.concatenate([np.frombuffer(r["ord"], np.uint16) for r in rows]).astype(np.int64)
     df = np.concatenate([np.frombuffer(r["df"], np.uint32) for r in rows])
     if len(hot):
@@ -222,16 +232,16 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) that link, by their whole sets."""
     x = sets.select(F.col("doc").alias("a"), "n", F.col("toks").alias("p"))
     y = sets.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("toks").alias("q"))
-    return settle(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "p", "q").mapInArrow(_verified, "a long, b long"))
+    return settle(map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "p", "q"), _verified, "a long, b long"))
 
 
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marks = settle(docs.mapInArrow(_marks, SETS))
+    marks = settle(map_batches(docs, _marks, SETS))
     firsts = settle(marks.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("first")))
     buckets = max(1, -(-(marks.agg(F.sum("n_shingles")).first()[0] or 0) // TOKENS_A_BLOCK))
-    blocks = docs.mapInArrow(_blocks_of_tokens(buckets), TASKED)
+    blocks = map_batches(docs, _blocks_of_tokens(buckets), TASKED)
     sets = blocks.groupBy("bucket").applyInArrow(_count, COUNTED).groupBy("task").applyInArrow(_prefix, PREFIXED)
     sets = settle(sets.join(firsts.select(F.col("first").alias("doc")).filter("doc is not null").distinct(), "doc", "left_semi").dropDuplicates(["doc"]))
     parts = [f"c{k}" for k in range(PARTS)]
