@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -19,7 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def use_checkpoints(spark: SparkSession) -> None:
     """Make ``checkpoint()`` usable: the cluster's shared folder, or one of our own where none is named."""
     if spark.sparkContext.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="cobordia-checkpoint-")
+        at = spark.conf.get("spark.checkpoint.dir", "")
+        if not at:
+            at = tempfile.mkdtemp(prefix="cobordia-checkpoint-")
+            atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
 
 
