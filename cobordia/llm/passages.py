@@ -10,17 +10,19 @@ whose set of 5-word shingles has a Jaccard similarity of 0.8 or more with it.
 2. Signatures. Windows that share a hash function, a min-hash shingle and its surroundings (``AROUND`` shingles on both
    sides, which splits the groups of stock phrases) are joined with the group's first document, by one aggregation and
    one join back: a passage in m documents gives m - 1 pairs, not m squared.
-3. Interval join. Windows of one pair, shifted on each other, leave intervals of the later document. Where intervals of
-   at least ``ENOUGH`` hash functions overlap, there is a candidate.
+3. Interval join. Windows of one pair, shifted on each other, leave intervals of the later document. Where at least
+   ``ENOUGH`` hash functions leave intervals as long as the shortest passage, there is a candidate pair.
 4. Verification. The whole texts of candidate pairs are compared: runs of shared shingles are merged over small edits
    as long as the similarity holds, extended as far as they go, and kept if they are long and similar enough.
-
-Pairs are formed with a group's first document only. A passage is missed if the first documents of all its groups share
-only surroundings of its min-hash shingles, and no passage, with it; and it ends where the first document's does.
-
-Defined cases: null, empty and short texts have no passage; repeats within one document are left alone; ties go to the
-smaller doc_id; rows that share a doc_id are one document and rows without one are ignored; an empty table gives an
-empty result; other columns are ignored, whatever their names.
+5. Rest. A group's first document may have only a part of what the later ones share, or a more edited version, and hide
+   them from each other. So min-hash shingles of later documents that no verified span has, and the first shingles
+   beyond each span, are grouped again, with their groups' other members: by the ``SIDES`` shingles on either side
+   and by half the shortest passage, each open one paired with the first document and with the first that was no
+   head before; and where half the shortest passage is shared, by each whole shortest passage around them, whose
+   first document has all of it. These pairs are verified as before, whatever the number of hash functions.
+
+So earlier documents hide no shared passage of ``LEAST_WORDS`` unchanged words, and m copies cost m - 1 pairs. A passage
+that is only near is missed if all documents it is paired with fail: no pairs of all members are formed.
 """
 
 from __future__ import annotations
@@ -37,7 +39,9 @@ from cobordia.session import drop_keys, keep_keys, map_batches, settle, table
 
 WORDS, LEAST_WORDS, SIMILAR = 5, 50, 0.8
 HASHES, AROUND, ENOUGH = 4, 2, 2
+SIDES = (6, 12)
 WINDOWS = "sign long, hash int, doc long, a int, p int, c int"
+SIDED, EXACT = "sign long, n int, doc long, p int, y long, open boolean", "sign long, doc long, open boolean"
 SPANS = "doc_id long, start long, n_words long, ref_doc_id long, ref_start long, jaccard double"
 _U = np.uint64
 
@@ -115,24 +119,6 @@ def _window_rows(hashes: int, around: int, width: int):
     return rows
 
 
-def _covered(spans: list[tuple[int, int, int]], enough: int) -> list[tuple[int, int]]:
-    """Stretches that intervals (hash, lo, hi) of at least ``enough`` hash functions cover."""
-    events = sorted([(lo, 0, h) for h, lo, hi in spans] + [(hi + 1, -1, h) for h, lo, hi in spans])
-    held: dict[int, int] = {}
-    out, open_ = [], None
-    for at, kind, h in events:
-        held[h] = held.get(h, 0) + (1 if kind == 0 else -1)
-        if not held[h]:
-            del held[h]
-        if len(held) >= enough and open_ is None:
-            open_ = at
-        elif len(held) < enough and open_ is not None:
-            if at > open_:
-                out.append((open_, at - 1))
-            open_ = None
-    return out
-
-
 def _overlap(passage: set[int], y: np.ndarray, lo: int, n: int) -> tuple[float, int]:
     lo = min(max(lo, 0), len(y))
     q = set(y[lo : lo + n].tolist())
@@ -177,23 +163,14 @@ def similar_passages(x: np.ndarray, y: np.ndarray, width: int, similar: float) -
     return out
 
 
-def _verified(width: int, enough: int, similar: float):
+def _verified(width: int, similar: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, spans = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            x, y = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
             for k in range(len(x)):
-                found = _covered([(s["hash"], s["lo"], s["hi"]) for s in spans[k]], enough)
-                if not found:
-                    continue
-                g = []
-                for column in (3, 4):
-                    _, _, data, offsets = next(K.blocks(batch.column(column).slice(k, 1)))
-                    _, _, hashed, first = K.words(data, offsets)
-                    g.append(K.grams(hashed, first, WORDS, short=False)[0])
-                for a, b, at, score in similar_passages(g[0], g[1], width, similar):
-                    if any(lo <= b and hi >= a for lo, hi in found):
-                        out.append((x[k], a, b - a + WORDS, y[k], at, score))
+                g = [_shingles(batch.column(column), k) for column in (2, 3)]
+                out += [(x[k], a, b - a + WORDS, y[k], at, score) for a, b, at, score in similar_passages(g[0], g[1], width, similar)]
             columns = list(zip(*out, strict=True)) or [[] for _ in range(6)]
             kinds = [pa.int64()] * 5 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in SPANS.split(", ")])
@@ -201,6 +178,108 @@ def _verified(width: int, enough: int, similar: float):
     return rows
 
 
+def _shingles(texts: pa.Array, k: int) -> np.ndarray:
+    _, _, data, offsets = next(K.blocks(texts.slice(k, 1)))
+    _, _, hashed, first = K.words(data, offsets)
+    return K.grams(hashed, first, WORDS, short=False)[0]
+
+
+def _sums(g: np.ndarray) -> np.ndarray:
+    """Polynomial sums of all first shingles, for ``K.span_hashes``."""
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(g * K._power(len(g) + 1)[0][: len(g)], dtype=np.uint64)))
+
+
+def _batch(parts: list[list[np.ndarray]], schema: str) -> Iterator[pa.RecordBatch]:
+    if parts:
+        columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")])
+
+
+def _open(spans: list[dict], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which of the stretches lo..hi lie in no span."""
+    out = np.ones(len(lo), bool)
+    for s in spans or []:
+        out &= (lo < s["lo"]) | (hi > s["hi"])
+    return out
+
+
+def _side_rows(width: int):
+    """For each place of a document, and for the first shingles beyond its spans: hashes of what stands on either side."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, places, spans = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            out = []
+            for k, doc in enumerate(docs):
+                g = _shingles(batch.column(1), k)
+                beyond = [q for s in spans[k] or [] for q in (s["lo"] - 1, s["hi"] + 1) if 0 <= q < len(g)]
+                p = np.asarray([m["p"] for m in places[k] or []] + beyond, np.int64)
+                first = np.asarray([m["y"] for m in places[k] or []] + [doc] * len(beyond), np.int64)
+                open_, total = _open(spans[k], p, p), _sums(g)
+                for n in sorted({min(n, width // 2) for n in SIDES} | {width // 2}):
+                    for side in range(2):
+                        at = p - n * side
+                        ok = (at >= 0) & (at + n < len(g))
+                        sign = K.mix(K.span_hashes(total, at[ok], at[ok] + n + 1) ^ _U(2 * n + side)).astype(np.int64)
+                        out.append([sign, np.full(len(sign), n, np.int32), np.full(len(sign), doc, np.int64), p[ok].astype(np.int32), first[ok], open_[ok]])
+            yield from _batch(out, SIDED)
+
+    return rows
+
+
+def _exact_rows(width: int):
+    """The shortest passages around each place, as one hash each."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, places, spans = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            out = []
+            for k, doc in enumerate(docs):
+                g = _shingles(batch.column(1), k)
+                p = np.asarray([m["p"] for m in places[k]], np.int64)
+                at = np.unique((p[:, None] - np.arange(width)[None, :]).ravel())
+                at = at[(at >= 0) & (at + width <= len(g))]
+                sign = K.span_hashes(_sums(g), at, at + width).astype(np.int64)
+                out.append([sign, np.full(len(at), doc, np.int64), _open(spans[k], at, at + width - 1)])
+            yield from _batch(out, EXACT)
+
+    return rows
+
+
+def _compared(docs: DataFrame, pairs: DataFrame, width: int, similar: float) -> DataFrame:
+    """(SPANS) of the distinct, settled pairs (x, y), by their whole texts."""
+    named = pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
+    texts = keep_keys(docs, settle(named), "doc")
+    x, y = texts.select(F.col("doc").alias("x"), F.col("text").alias("x_text")), texts.select(F.col("doc").alias("y"), F.col("text").alias("y_text"))
+    both = pairs.join(x.hint("merge"), "x").join(y.hint("merge"), "y").select("x", "y", "x_text", "y_text")
+    return settle(map_batches(both, _verified(width, similar), SPANS).dropDuplicates())
+
+
+def _with_places(docs: DataFrame, places: DataFrame, covered: DataFrame, rows, schema: str) -> DataFrame:
+    """``rows`` over (doc, text, its places, its spans), documents that have places or spans."""
+    own = settle(places.groupBy("doc").agg(F.collect_set(F.struct("p", "y")).alias("places")).join(covered, "doc", "full"))
+    texts = keep_keys(docs, own.select("doc"), "doc")
+    return settle(map_batches(texts.join(own.hint("merge"), "doc").select("doc", "text", "places", "spans"), rows, schema).dropDuplicates())
+
+
+def _rest(docs: DataFrame, shared: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """Pairs (x, y) that the windows' first documents hide: see Rest, above."""
+    covered = spans.select(F.col("doc_id").alias("doc"), F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("n_words") - WORDS).alias("hi")).alias("s"))
+    covered = settle(covered.groupBy("doc").agg(F.collect_set("s").alias("spans")))
+    inside = F.exists("spans", lambda s: (s["lo"] <= F.col("p")) & (F.col("p") <= s["hi"]))
+    left = shared.filter("doc <> y").join(covered, "doc", "left").filter(~F.coalesce(inside, F.lit(False))).select("sign").distinct()
+    places = shared.join(settle(left), "sign").select("doc", "p", "y")
+    sided = _with_places(docs, places, covered, _side_rows(width), SIDED)
+    firsts = sided.groupBy("sign").agg(F.min("doc").alias("y1"), F.max("doc").alias("last"), F.min(F.when(F.col("doc") != F.col("y"), F.col("doc"))).alias("y2"), F.max("open").alias("some"))
+    sided = settle(sided.join(settle(firsts.filter("y1 <> last and some").drop("last", "some")), "sign"))
+    near = sided.filter("open").select(F.col("doc").alias("x"), F.explode(F.array("y1", "y2")).alias("y")).filter("x > y")
+    places = sided.filter(F.col("n") == width // 2).select("doc", "p", "y")
+    exact = _with_places(docs, places, covered.join(places.select("doc").distinct(), "doc"), _exact_rows(width), EXACT)
+    firsts = exact.groupBy("sign").agg(F.min("doc").alias("y"), F.max("doc").alias("last"), F.max("open").alias("some")).filter("y <> last and some")
+    exact = exact.filter("open").join(settle(firsts.select("sign", "y")), "sign").select(F.col("doc").alias("x"), "y").filter("x > y")
+    return near.unionByName(exact).distinct()
+
+
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, similar: float = SIMILAR, hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
     """(SPANS): for each later document, its passages (first word, words) that an earlier one has, and where."""
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).filter("doc is not null")
@@ -210,18 +289,16 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     heads = settle(windows.groupBy("sign").agg(F.min("doc").alias("y"), F.max("doc").alias("last")).filter("y <> last").drop("last"))
     # few windows share a signature; those that do are settled, the head's own among them
     shared = settle(windows.join(heads, "sign"))
-    own = shared.filter("doc = y").groupBy("sign").agg(F.min(F.struct("p", "a", "c")).alias("h")).select("sign", F.col("h.a").alias("ya"), F.col("h.p").alias("yp"), F.col("h.c").alias("yc"))
-    own = settle(own)
+    own = settle(shared.filter("doc = y").groupBy("sign").agg(F.max(F.expr("p - a")).alias("before"), F.max(F.expr("c - p")).alias("after")))
     pairs = shared.filter("doc <> y").join(own, "sign")
-    lo, hi = F.greatest("a", F.expr("p - (yp - ya)")), F.least("c", F.expr("p + (yc - yp)"))
-    pairs = pairs.select(F.col("doc").alias("x"), "y", "hash", lo.alias("lo"), hi.alias("hi")).filter(F.col("hi") - F.col("lo") + 1 >= width)
-    pairs = pairs.groupBy("x", "y").agg(F.collect_set(F.struct("hash", "lo", "hi")).alias("spans"))
-    pairs = settle(pairs.filter(F.size(F.array_distinct(F.col("spans.hash"))) >= enough))
-    named = pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
-    texts = keep_keys(docs, settle(named), "doc")
-    x, y = texts.select(F.col("doc").alias("x"), F.col("text").alias("x_text")), texts.select(F.col("doc").alias("y"), F.col("text").alias("y_text"))
-    both = pairs.join(x.hint("merge"), "x").join(y.hint("merge"), "y").select("x", "y", "spans", "x_text", "y_text")
-    return map_batches(both, _verified(width, enough, similar), SPANS).dropDuplicates()
+    lo, hi = F.greatest("a", F.expr("p - before")), F.least("c", F.expr("p + after"))
+    pairs = pairs.filter(hi - lo + 1 >= width).groupBy(F.col("doc").alias("x"), "y").agg(F.bit_or(F.expr("shiftleft(1L, hash)")).alias("found"))
+    pairs = settle(pairs.filter(F.bit_count("found") >= enough).select("x", "y"))
+    spans = _compared(docs, pairs, width, similar)
+    rest = settle(_rest(docs, shared, spans, width).join(pairs, ["x", "y"], "left_anti"))
+    if not rest.limit(1).count():
+        return spans
+    return spans.unionByName(_compared(docs, rest, width, similar))
 
 
 def cut_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -122,6 +122,23 @@ def test_passages_cover_shared_windows(docs):
     assert not any(found.get(i) for i in shared_by_none)
 
 
+def test_passages_behind_earlier_parts(spark):
+    """Later documents share a whole passage, of which earlier ones have halves, an edited version or the beginning."""
+    draw, rows = np.random.default_rng(5), []
+    text = lambda n: [f"w{x}" for x in draw.integers(0, 10**9, n)]
+    for k in range(16):
+        halves, edited, begun = text(90), text(80), text(110)
+        other = [w if n % 14 else "changed" for n, w in enumerate(edited)]
+        for i, passage in enumerate((halves[:45], halves[45:], halves, halves, other, edited, edited, begun[:60], begun, begun)):
+            rows.append((100 * k + i, " ".join(text(60) + passage + text(60))))
+    found = defaultdict(set)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r["doc_id"]].update(range(r["start"], r["start"] + r["n_words"]))
+    for k in range(16):
+        for i, n in ((3, 90), (6, 80), (9, 110)):
+            assert found[100 * k + i] >= set(range(60, 60 + n)), (k, i)
+
+
 def test_cutting_leaves_clean_documents_alone(docs):
     spans = passages.repeated_passages(docs)
     cut = {r["doc_id"]: r for r in passages.cut_passages(docs, spans).collect()}
