@@ -125,6 +125,39 @@ def _overlap(passage: set[int], y: np.ndarray, lo: int, n: int) -> tuple[float,
     return len(passage & q) / len(passage | q), lo
 
 
+def _merged(runs: list[tuple[int, int]], least: float) -> Iterator[list[tuple[int, int]]]:
+    """Runs of shared shingles, joined over what lies between them while at least ``least`` of all is shared."""
+    held: list[tuple[int, int]] = []
+    shared = 0
+    for a, b in runs:
+        if held and shared + b - a < least * (b - held[0][0]):
+            yield held
+            held, shared = [], 0
+        held, shared = [*held, (a, b)], shared + b - a
+    if held:
+        yield held
+
+
+def _parts(runs: list[tuple[int, int]], shift: np.ndarray, least: float) -> list[list[tuple[int, int]]]:
+    """What to try of a stretch that is not similar as a whole: both sides of where its shift in y changes most, or of
+    its widest gap where that stays the same. A run by itself is split wherever its shift changes."""
+    if len(runs) == 1:
+        a, b = runs[0]
+        at = [a, *(a + 1 + np.flatnonzero(np.diff(shift[a:b]))).tolist(), b]
+        runs = list(zip(at[:-1], at[1:], strict=True))
+    if len(runs) == 1:
+        return []
+
+    def strays(part: list[tuple[int, int]]) -> float:
+        x = np.concatenate([shift[a:b] for a, b in part])
+        return float(np.abs(x - np.median(x)).sum())
+
+    cuts = range(1, len(runs))
+    costs, gaps = [strays(runs[:k]) + strays(runs[k:]) for k in cuts], [runs[k - 1][1] - runs[k][0] for k in cuts]
+    k = min(cuts, key=lambda k: (costs[k - 1], gaps[k - 1]))
+    return [part for half in (runs[:k], runs[k:]) for part in _merged(half, least)]
+
+
 def similar_passages(x: np.ndarray, y: np.ndarray, width: int, similar: float) -> list[tuple[int, int, int, float]]:
     """Passages of ``x`` (shingles in order) that ``y`` has: first and last shingle, first one in ``y``, Jaccard."""
     order = np.argsort(y, kind="stable")
@@ -134,23 +167,19 @@ def similar_passages(x: np.ndarray, y: np.ndarray, width: int, similar: float) -
     where = order[at]  # the first place in y
     edges = np.flatnonzero(np.diff(np.concatenate(([0], shared.astype(np.int8), [0]))))
     least = 2 * similar / (1 + similar)  # shared shingles of two passages of equal length
-    merged: list[tuple[int, int, int, list[tuple[int, int]]]] = []
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        if merged and merged[-1][2] + b - a >= least * (b - merged[-1][0]):
-            merged[-1] = (merged[-1][0], b, merged[-1][2] + b - a, [*merged[-1][3], (a, b)])
-        else:
-            merged.append((a, b, b - a, [(a, b)]))
+    whole = list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
     out = []
-    todo = [(a, b, runs) for a, b, _, runs in reversed(merged)]
+    todo = list(_merged(whole, least))[::-1]
     while todo:
-        a, b, runs = todo.pop()
+        runs = todo.pop()
+        a, b = runs[0][0], runs[-1][1]
         if b - a < width:
             continue
         own = np.arange(a, b)[shared[a:b]]
         p = set(x[a:b].tolist())
         # where in y: the usual shift, or for shingles that y has several times the first run of them
         values, counts = np.unique(own - where[own], return_counts=True)
-        places = {(a - shift, b - a) for shift in (int(np.median(own - where[own])), int(values[counts.argmax()]))}
+        places = {(a - shift, b - a) for shift in (int(np.median(own - where[own])), int(values[counts.argmax()]), int(own[0] - where[own[0]]), int(own[-1] - where[own[-1]]))}
         run = int(where[own].min())
         outside = np.flatnonzero(~np.isin(y[run:], x[a:b]))
         stop = int(outside[0]) if len(outside) else len(y) - run
@@ -158,8 +187,8 @@ def similar_passages(x: np.ndarray, y: np.ndarray, width: int, similar: float) -
         score, lo = max(_overlap(p, y, lo, n) for lo, n in places)
         if score >= similar:
             out.append((a, b - 1, lo, score))
-        elif len(runs) > 1:  # too many edits in all: its runs may do by themselves
-            todo += [(c, d, []) for c, d in runs]
+        else:
+            todo += _parts(runs, np.arange(len(x)) - where, least)[::-1]
     return out
 
 

@@ -139,6 +139,27 @@ def test_passages_behind_earlier_parts(spark):
             assert found[100 * k + i] >= set(range(60, 60 + n)), (k, i)
 
 
+def test_passages_around_what_was_cut_out():
+    draw = np.random.default_rng(6)
+
+    def shingles(w):
+        return np.asarray([hash(tuple(w[k : k + 5])) & (1 << 62) - 1 for k in range(len(w) - 4)], np.uint64)
+
+    for stray in range(2):
+        before, cut, after = (draw.integers(0, 10**9, n).tolist() for n in (90, 200, 90))
+        near, near_after = before.copy(), after.copy()
+        near[45] = near_after[45] = -1
+        tail = draw.integers(0, 10**9, 900).tolist()
+        ref = (before[50:60] if stray else []) + tail + before + cut + after
+        for x, want in ((near + after, [(0, 86), (90, 176)]), (near + near_after, [(0, 86), (90, 176)]), (after + near, [(0, 86), (90, 176)])):
+            got = passages.similar_passages(shingles(x), shingles(ref), 46, 0.8)
+            for lo, hi in want:
+                assert any(a <= lo and hi <= b + 1 and s >= 0.8 for a, b, _, s in got), (x, got)
+    # what stands earlier in part: the whole is found all the same
+    whole = draw.integers(0, 10**9, 100).tolist()
+    assert passages.similar_passages(shingles(whole), shingles(whole[:60] + [-1] + whole), 46, 0.8)[0][:2] == (0, 95)
+
+
 def test_cutting_leaves_clean_documents_alone(docs):
     spans = passages.repeated_passages(docs)
     cut = {r["doc_id"]: r for r in passages.cut_passages(docs, spans).collect()}
