@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cobordia.session import settle, table
+from cobordia.session import keep_keys, settle, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED, BUCKETS, LARGE = 1.5, 2, "mix-1", 4096, 64
@@ -99,11 +99,23 @@ def mix_sources(
 
 
 def mixed(docs: DataFrame, at_most: int = 1 << 20) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it; rows without a doc_id are in no mix."""
-    plan = settle(mix_sources(docs).filter("key is not null").groupBy("key").agg(F.max("repeats").alias("repeats")).filter("repeats > 0"))
+    """``docs`` with every row as often as the mix takes it, rows without a doc_id or with one of several rows too."""
+    plan = settle(mix_sources(docs).select("key", "source", "size", "repeats"))
+    keys = plan.groupBy("key").agg(F.count("*").alias("n"), F.max("repeats").alias("repeats"))
+    single = settle(keys.filter("key is not null and n = 1 and repeats > 0").select("key", "repeats"))
     # 16 bytes a row: broadcast only where there are few enough, joined by a shuffle otherwise
-    plan = F.broadcast(plan) if plan.limit(at_most + 1).count() <= at_most else plan.hint("merge")
-    x = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key")).join(plan, "key")
+    single = F.broadcast(single) if single.limit(at_most + 1).count() <= at_most else single.hint("merge")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"))
+    x = rows.join(single, "key").select("row", "repeats")
+    several = settle(keys.filter("key is null or n > 1").select("key"))
+    if several.limit(1).count():  # rows of one key, source and size are alike to the mix: the nth of them takes the nth's repeats
+        nth = lambda *order: F.row_number().over(Window.partitionBy("key", "source", "size").orderBy(*order))
+        known = rows.filter("key is null").unionByName(keep_keys(rows, several.filter("key is not null"), "key"))
+        known = known.withColumn("source", F.col("row.source")).withColumn("size", word_count(F.col("row.text"))).withColumn("nth", nth(F.xxhash64("row.text")))
+        taken = plan.join(several, plan["key"].eqNullSafe(several["key"])).select(plan["key"], "source", "size", "repeats").withColumn("nth", nth("repeats"))
+        taken = taken.filter("repeats > 0").select(F.col("key").alias("k"), F.col("source").alias("s"), F.col("size").alias("z"), F.col("nth").alias("i"), "repeats")
+        same = F.col("key").eqNullSafe(F.col("k")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("nth") == F.col("i"))
+        x = x.unionByName(known.join(taken, same).select("row", "repeats"))
     return x.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select("row.*")
 
 

@@ -207,6 +207,17 @@ def test_mixing_meets_targets(docs):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_sources(docs.repartition(5)).collect()))
 
 
+def test_mixed_rows_without_a_key_of_their_own(spark):
+    rows = [(None if n % 3 == 0 else n // 4, " ".join(f"w{n}_{k}" for k in range(5 + n % 7)), "abc"[n % 3 and 1 + n % 2]) for n in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = Counter(), Counter()
+    for r in mixing.mix_sources(d).collect():
+        want[r["key"], r["source"], r["size"]] += r["repeats"]
+    for r in mixing.mixed(d).collect():
+        got[r["doc_id"], r["source"], len(r["text"].split())] += 1
+    assert got == +want and any(k[0] is None for k in got)
+
+
 def test_mixed_rows(docs):
     plan = {r["key"]: r["repeats"] for r in mixing.mix_sources(docs.dropDuplicates(["doc_id"])).collect()}
     got = Counter(r["doc_id"] for r in mixing.mixed(docs.dropDuplicates(["doc_id"])).collect())
