@@ -4,24 +4,27 @@ Documents are sets of distinct 5-word shingles; two link when 100 * |x & y| >= 8
 node from the start. Shingles are ordered by the number of documents that have them, rarest first, so that a pair over
 the threshold shares one within the first n - ceil(0.8 n) + 1 of each. The steps:
 
-1. Sets, their sizes and a 128-bit fingerprint of each set; equal fingerprints are copies of the smallest doc_id.
+1. Sets, their sizes and a 64-bit fingerprint of each set, which is the set's node: rows of equal sets are one node.
 2. Frequencies. Every task packs its documents' shingles by ranges of the hash space into binary blocks. A shingle that
    several documents of a task share is counted there and sent once, so even one that a third of all documents have is
-   a few bytes a task. Ranges and tasks are bounded groups; their number grows with the corpus. Counts return to the
-   task's documents, and each document leaves with its shingles of frequency two or more (others cannot match) and its
-   prefix.
-3. Stars: each prefix shingle proposes links to the smallest document that has it, up to three of them are verified for
-   each document, and connected components are taken. This alone connects most of a group of near copies, however
+   a few bytes a task. Ranges and tasks are bounded groups; their number grows with the corpus, and a task writes a row
+   for a range only where it has shingles, so rows never outnumber shingles. Counts return to the task's documents, and
+   each document leaves with its shingles of frequency two or more (others cannot match) and its prefix.
+3. Stars: each prefix shingle proposes links to the smallest node that has it, up to three of them are verified for
+   each node, and connected components are taken. This alone connects most of a group of near copies, however
    large, with a number of pairs in proportion to the group.
-4. The rest, exactly: for each prefix shingle, pairs of documents that are in different components still. Those that
-   pass the length, positional and suffix filters are verified once each. Pairs within one component can change nothing.
+4. The rest: for each prefix shingle, pairs of nodes that are in different components still and were not compared
+   before. Those that pass the length, positional and suffix filters are verified once each, by their whole sets. Pairs
+   within one component can change nothing.
 
 Component ids are those of all links. Shingles are compared by 48 bits of their hash, in sets that agree on far more; a
-chance agreement that could change a pair's verdict has odds of about one in 10^9 for documents of 500 words.
+chance agreement that could change a pair's verdict has odds of about one in 10^9 for documents of 500 words. Two
+different sets share a fingerprint with odds of one in 10^19 a pair.
 
 Defined cases: null and empty texts have no shingle and are components of their own; fewer than five words are one
-shingle; ties go to the smaller doc_id; rows that share a doc_id are one node; a null doc_id gets its copies' component
-or null; an empty table gives an empty result; other columns are ignored, whatever their names.
+shingle; ties go to the smaller doc_id; rows that share a doc_id are one document, which is linked with all that any of
+its texts is linked with; a row without a doc_id takes part by its text and gets its group's smallest doc_id, null where
+no row of the group has one; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,15 +37,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cobordia.llm import textkernel as K
 from cobordia.llm.graph import components
-from cobordia.session import drop_keys, map_batches, settle, table
+from cobordia.session import drop_keys, keep_keys, map_batches, settle, table
 
 WORDS, PERCENT = 5, 80
 TOKENS_A_BLOCK, SHARED, PARTS = 1 << 20, 4, 8
 _U = np.uint64
-SETS = "doc_id long, n_shingles long, mark binary"
+SETS = "doc_id long, n_shingles long, node long"
 TASKED = "bucket long, task long, tok binary, ord binary, hot binary, hot_n binary, head binary"
 COUNTED = "task long, tok binary, ord binary, df binary, hot binary, hot_df binary, head binary"
 PREFIXED = "doc long, n long, skip long, prefix array<long>, toks binary, " + ", ".join(f"c{k} int" for k in range(PARTS))
@@ -57,13 +61,18 @@ def shingle_sets(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
             yield begin + d, np.unique(grams[at[d] : at[d + 1]])
 
 
+def _node(own: np.ndarray) -> int | None:
+    """The node of a set: its fingerprint, none for an empty one."""
+    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) if len(own) else None
+
+
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, mark = [], []
+        n, node = [], []
         for _, own in shingle_sets(batch.column(1)):
             n.append(len(own))
-            mark.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(mark, pa.binary())], names=["doc_id", "n_shingles", "mark"])
+            node.append(_node(own))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n_shingles", "node"])
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -104,7 +113,7 @@ def _blocks_of_tokens(buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         task = (context.partitionId() if context else 0) << 24
-        ids, sizes, owns, seen, total = [], [], [], {}, 0
+        ids, sizes, owns, seen, total = [], [], [], set(), 0
 
         def flush() -> pa.RecordBatch:
             nonlocal ids, sizes, owns, seen, total, task
@@ -119,29 +128,23 @@ def _blocks_of_tokens(buckets: int):
             heads = [np.asarray(ids, np.int64), np.asarray(sizes, np.int64), np.asarray([len(x) for x in owns], np.int64), hot_n.astype(np.int64), hot.astype(np.int64), place[shared].astype(np.int64)]
             head = np.asarray([len(h) for h in heads], np.int64).tobytes() + b"".join(h.tobytes() for h in heads)
             tokens, place = tokens[~shared], place[~shared]
-            edges = np.arange(buckets + 1)
-            cold_at, hot_at = np.searchsorted(_bucket(tokens, buckets), edges), np.searchsorted(_bucket(hot, buckets), edges)
+            of_cold, of_hot, heads_to = _bucket(tokens, buckets), _bucket(hot, buckets), (task * 0x9E3779B1 >> 7) % buckets
+            some = np.unique(np.concatenate((of_cold, of_hot, np.asarray([heads_to], np.uint64))))  # no row for a range without shingles
+            at = [np.searchsorted(x, some, side).tolist() for x in (of_cold, of_hot) for side in ("left", "right")]
             out = []
-            for k in range(buckets):
-                a, b, c, d = cold_at[k], cold_at[k + 1], hot_at[k], hot_at[k + 1]
-                mine = head if k == (task * 0x9E3779B1 >> 7) % buckets else b""
-                if b > a or d > c or mine:
-                    out.append((k, task, _pack(tokens[a:b]), place[a:b].tobytes(), hot[c:d].tobytes(), hot_n[c:d].tobytes(), mine))
+            for k, a, b, c, d in zip(some.tolist(), *at, strict=True):
+                out.append((k, task, _pack(tokens[a:b]), place[a:b].tobytes(), hot[c:d].tobytes(), hot_n[c:d].tobytes(), head if k == heads_to else b""))
             task += 1
-            ids, sizes, owns, seen, total = [], [], [], {}, 0
+            ids, sizes, owns, seen, total = [], [], [], set(), 0
             return _rows(TASKED, out)
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for row, own in shingle_sets(batch.column(1)):
-                if not len(own) or keys[row] is None:
+            for _, own in shingle_sets(batch.column(0)):
+                node = _node(own)
+                if node is None or node in seen:  # nothing, or a copy within the task
                     continue
-                mark = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                if mark in seen:  # a copy within the task: the smaller id stands for both
-                    ids[seen[mark]] = min(ids[seen[mark]], keys[row])
-                    continue
-                seen[mark] = len(ids)
-                ids.append(keys[row])
+                seen.add(node)
+                ids.append(node)
                 sizes.append(len(own))
                 owns.append(np.unique(own & _U((1 << 48) - 1)))
                 total += len(own)
@@ -235,23 +238,24 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return settle(map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "p", "q"), _verified, "a long, b long"))
 
 
-def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Of docs (doc_id, text): rows (SETS), settled, verified links (a, b) of nodes that leave nothing unconnected, and
+    their components where these are known already."""
     marks = settle(map_batches(docs, _marks, SETS))
-    firsts = settle(marks.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("first")))
     buckets = max(1, -(-(marks.agg(F.sum("n_shingles")).first()[0] or 0) // TOKENS_A_BLOCK))
-    blocks = map_batches(docs, _blocks_of_tokens(buckets), TASKED)
+    blocks = map_batches(docs.select("text"), _blocks_of_tokens(buckets), TASKED)
     sets = blocks.groupBy("bucket").applyInArrow(_count, COUNTED).groupBy("task").applyInArrow(_prefix, PREFIXED)
-    sets = settle(sets.join(firsts.select(F.col("first").alias("doc")).filter("doc is not null").distinct(), "doc", "left_semi").dropDuplicates(["doc"]))
+    sets = settle(sets.dropDuplicates(["doc"]))  # copies in several tasks have equal rows
     parts = [f"c{k}" for k in range(PARTS)]
     posts = sets.select("doc", "n", *parts, "skip", F.posexplode("prefix").alias("i", "tok")).withColumn("pos", F.col("skip") + F.col("i")).drop("skip", "i")
 
     heads = posts.groupBy("tok").agg(F.min(F.struct("doc", "n", "pos")).alias("head"), F.count("*").alias("docs")).filter("docs > 1")
     heads = heads.select("tok", F.col("head.doc").alias("hdoc"), F.col("head.n").alias("hn"), F.col("head.pos").alias("hpos"))
     near = posts.join(heads, "tok").filter((F.col("doc") != F.col("hdoc")) & _may_link("", "h"))
-    stars = near.groupBy(F.col("doc").alias("a")).agg(F.array_distinct(F.array(F.min("hdoc"), F.max("hdoc"), F.min_by("hdoc", F.struct("pos", "hdoc")))).alias("b"))
-    links = verify(stars.select("a", F.explode("b").alias("b")), sets)
+    stars = near.groupBy(F.col("doc").alias("x")).agg(F.array_distinct(F.array(F.min("hdoc"), F.max("hdoc"), F.min_by("hdoc", F.struct("pos", "hdoc")))).alias("y"))
+    stars = stars.select("x", F.explode("y").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    compared = settle(stars.distinct())
+    links = verify(compared, sets)
     roots = components(links)
 
     held = posts.join(roots, posts["doc"] == roots["node"], "left").withColumn("part", F.coalesce("root", "doc")).drop("node", "root")
@@ -263,19 +267,57 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     once = (F.col("y_part") == F.col("largest")) | (F.col("x_doc") < F.col("y_doc"))
     rest = x.join(y, (x["tok"] == y["tok"]) & (F.col("x_part") != F.col("y_part")) & once & _may_link("x_", "y_") & _suffixes_may_link("x_", "y_"))
     rest = rest.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
-    more = verify(rest, sets)
-    if more.limit(1).count():
-        roots = components(links.unionByName(more))
+    more = verify(rest.join(compared, ["a", "b"], "left_anti"), sets)
+    return (marks, links.unionByName(more), None) if more.limit(1).count() else (marks, links, roots)
+
+
+def _rooted(marks: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, first, root, least): each node with its smallest doc_id, its component, and the component's node of the
+    smallest doc_id (those without one last)."""
+    nodes = marks.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
+    nodes = settle(nodes.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+    return nodes.join(nodes.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("least")), "root")
 
-    own = marks.filter("n_shingles > 0").join(firsts, "mark")
-    own = own.join(roots, own["first"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "first").alias("component_id"))
-    return own.unionByName(marks.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    marks, links, roots = _linked(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    shared = marks.filter("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    shared = settle(shared.filter("a <> b").select("doc_id", "a"))
+    if shared.limit(1).count():
+        links, roots = links.unionByName(marks.join(shared, "doc_id").filter("node <> a").select("a", F.col("node").alias("b")).distinct()), None
+    rooted = _rooted(marks, roots or components(links)).select("node", F.col("least.first").alias("component_id"))
+    own = marks.filter("node is not null").join(rooted, "node").select("doc_id", "n_shingles", "component_id")
+    return own.unionByName(marks.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def _with_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        node = [_node(own) for _, own in shingle_sets(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64())], names=["row", "key", "node"])
 
 
 def keep_first_of_groups(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that are not the smallest doc_id of their group; rows without a doc_id stay."""
-    others = jaccard_groups(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return drop_keys(docs, settle(others), "doc_id").select(docs.columns)
+    """``docs`` with one row of each group: the smallest doc_id's (rows without one come last); rows without words stay.
+
+    Rows that share a doc_id are judged one by one here, so two texts under one id are no copies of each other.
+    """
+    marks, links, roots = _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    best = _rooted(marks, roots or components(links)).filter(F.col("node") == F.col("least.node")).select(F.col("node").alias("kept_node"), F.col("least.first").alias("kept_id"))
+    judged = marks.join(best, F.col("node") == F.col("kept_node"), "left")
+    stays = F.col("node").isNull() | (F.col("kept_node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    ids = settle(judged.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(stays).alias("stays")))
+    gone = settle(ids.filter("doc_id is not null and not stays").select(F.col("doc_id").alias("key")))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"), "text")
+    several = settle(ids.filter("doc_id is null or (rows > 1 and stays)").select(F.col("doc_id").alias("key")))
+    if not several.limit(1).count():
+        return drop_keys(rows, gone, "key").select("row.*")
+    shared = several.filter("key is not null")
+    single = drop_keys(drop_keys(rows, gone, "key"), shared, "key").filter("key is not null").select("row.*")
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("key", T.LongType()), T.StructField("node", T.LongType())])
+    own = map_batches(rows.filter("key is null").unionByName(keep_keys(rows, shared, "key")), _with_nodes, schema)
+    kept = own.join(best, (F.col("node") == F.col("kept_node")) & F.col("key").eqNullSafe(F.col("kept_id"))).select("row", "key", "node").dropDuplicates(["key", "node"])
+    return single.unionByName(own.filter("node is null").select("row.*")).unionByName(kept.select("row.*"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -380,6 +380,7 @@ def test_jaccard_components(docs):
         assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]))
     kept = {r["doc_id"] for r in jaccard.keep_first_of_groups(docs).collect()}
     assert kept == {i for i in sets if find(i) == i}
+    assert jaccard.keep_first_of_groups(docs).count() == len(kept)
 
 
 def test_jaccard_chains_and_hot_tokens(spark):
@@ -399,6 +400,23 @@ def test_jaccard_chains_and_hot_tokens(spark):
     assert got == root and len(set(root.values())) < len(rows)
 
 
+def test_jaccard_shared_and_missing_ids(spark):
+    """Two texts under one id, rows without an id and repeated rows, in any order."""
+    draw = random.Random(12)
+    a, b, c, d = (prose(draw, 150).split() for _ in range(4))
+    edit = lambda w: " ".join([*w[:70], "changed", *w[71:]])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, edit(a)), (7, edit(b)), (None, " ".join(c)), (None, edit(c)), (8, edit(c)), (None, " ".join(d)), (None, " ".join(d)), (9, ""), (9, ""), (None, None), (4, " ".join(d[:3])), (4, " ".join(d[:3]))]
+    for order in range(3):
+        docs = spark.createDataFrame(draw.sample(rows, len(rows)), "doc_id long, text string").repartition(1 + order)
+        got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"] > 0, r["component_id"]) for r in jaccard.jaccard_groups(docs).collect()), key=str)
+        want = [(False, 5, True, 5)] * 2 + [(False, 6, True, 5), (False, 7, True, 5), (False, 8, True, 8)] + [(True, 0, True, 8)] * 2 + [(True, 0, True, None)] * 2
+        want += [(False, 9, False, 9)] * 2 + [(True, 0, False, None)] + [(False, 4, True, 4)] * 2
+        assert got == sorted(want, key=str)
+        kept = jaccard.keep_first_of_groups(docs).collect()
+        assert Counter(r["doc_id"] for r in kept) == {5: 2, 8: 1, None: 2, 9: 2, 4: 1}
+        assert Counter(r["text"] for r in kept if r["doc_id"] is None) == {" ".join(d): 1, None: 1}
+
+
 # ---- 9: neighbours
 
 
@@ -486,4 +504,4 @@ def test_null_ids(spark):
     assert mixing.mix_sources(d).count() == quality.quality_rules(d).count() == tokencount.token_counts(d).count() == 3
     assert packing.pack(d).count() == 3 and jaccard.jaccard_groups(d).count() == 3
     assert passages.repeated_passages(d).count() == 0 and passages.cut_passages(d, passages.repeated_passages(d)).count() == 3
-    assert jaccard.keep_first_of_groups(d).count() == 3
+    assert sorted(str(r["doc_id"]) for r in jaccard.keep_first_of_groups(d).collect()) == ["1", "None"]
