@@ -23,6 +23,12 @@ whose set of 5-word shingles has a Jaccard similarity of 0.8 or more with it.
 
 So earlier documents hide no shared passage of ``LEAST_WORDS`` unchanged words, and m copies cost m - 1 pairs. A passage
 that is only near is missed if all documents it is paired with fail: no pairs of all members are formed.
+
+Defined cases: null and short texts have no passage; the texts of rows that share a doc_id, and those of rows without
+one, are documents of their own and later than all others, in order of their fingerprints; their spans have the
+fingerprint in ``text_hash`` (null in all others), and only the text that has it is cut; repeated rows are one document,
+and cut alike; ties go to the first place; an empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cobordia.llm import textkernel as K
@@ -43,6 +49,8 @@ SIDES = (6, 12)
 WINDOWS = "sign long, hash int, doc long, a int, p int, c int"
 SIDED, EXACT = "sign long, n int, doc long, p int, y long, open boolean", "sign long, doc long, open boolean"
 SPANS = "doc_id long, start long, n_words long, ref_doc_id long, ref_start long, jaccard double"
+#: Rows without a doc_id of their own are later than all others: bit 62, and the rest of their text's fingerprint.
+OWN_BIT = 1 << 62
 _U = np.uint64
 
 
@@ -309,9 +317,40 @@ def _rest(docs: DataFrame, shared: DataFrame, spans: DataFrame, width: int) -> D
     return near.unionByName(exact).distinct()
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.lit("passage-1"), F.coalesce(text, F.lit("")))
+
+
+def _documents(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (id, text) -> documents (doc, text) with a ``doc`` of their own each, and for those that had no id, or one
+    of several rows, (doc, id, text_hash)."""
+    several = settle(docs.groupBy("id").agg(F.count("*").alias("n")).filter("id is null or n > 1").select("id"))
+    if not several.limit(1).count():
+        return docs.select(F.col("id").alias("doc"), "text"), None
+    own = keep_keys(docs, several.filter("id is not null"), "id").unionByName(docs.filter("id is null"))
+    own = own.withColumn("text_hash", _text_hash(F.col("text")))
+    place = F.xxhash64("id", "text_hash").bitwiseAND(F.lit(OWN_BIT - 1)).bitwiseOR(F.lit(OWN_BIT))
+    own = own.select(place.alias("doc"), "id", "text_hash", "text").dropDuplicates(["doc"])
+    own = settle(own)
+    single = drop_keys(docs, several.filter("id is not null"), "id").filter("id is not null")
+    return single.select(F.col("id").alias("doc"), "text").unionByName(own.select("doc", "text")), own.drop("text")
+
+
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, similar: float = SIMILAR, hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
-    """(SPANS): for each later document, its passages (first word, words) that an earlier one has, and where."""
-    docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).filter("doc is not null")
+    """(SPANS, text_hash long): for each later document, its passages (first word, words) that an earlier one has, and
+    where."""
+    docs, own = _documents(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")))
+    spans = _spans(docs, least_words, similar, hashes, enough)
+    if own is None:
+        return spans.withColumn("text_hash", F.lit(None).cast("long"))
+    for side in ("doc_id", "ref_doc_id"):
+        names = own.select(F.col("doc").alias(side), F.col("id").alias("its"), *([F.col("text_hash")] if side == "doc_id" else []))
+        spans = spans.join(names.withColumn("renamed", F.lit(True)), side, "left").withColumn(side, F.when(F.col("renamed"), F.col("its")).otherwise(F.col(side))).drop("its", "renamed")
+    return spans.select(*(f.split()[0] for f in SPANS.split(", ")), "text_hash")
+
+
+def _spans(docs: DataFrame, least_words: int, similar: float, hashes: int, enough: int) -> DataFrame:
+    """(SPANS) of documents (doc, text)."""
     width = least_words - WORDS + 1
     windows = map_batches(docs, _window_rows(hashes, AROUND, width), WINDOWS)
     # settled, so that each join below has plain exchanges on both sides, whose hot signatures can be split
@@ -331,10 +370,22 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def cut_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` without the words of ``spans``, columns as they were; documents of which no word is left are dropped."""
-    spans = settle(spans.groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_set(F.struct("start", "n_words")).alias("cut_spans")))
+    """``docs`` without the words of ``spans``, columns as they were; documents of which no word is left are dropped.
+
+    Spans with a ``text_hash`` are cut from that text only, whatever else its doc_id has.
+    """
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("cut_id"))
-    touched = keep_keys(rows, spans.select("cut_id"), "cut_id").join(spans, "cut_id").select("row", "cut_spans")
+    spans = spans.select(F.col("doc_id").alias("cut_id"), "text_hash", "start", "n_words")
+    spans = settle(spans.groupBy("cut_id", "text_hash").agg(F.collect_set(F.struct("start", "n_words")).alias("cut_spans")))
+    by_id, by_text = spans.filter("text_hash is null").drop("text_hash"), spans.filter("text_hash is not null")
+    rest = drop_keys(rows, by_id.select("cut_id"), "cut_id")
+    touched = keep_keys(rows, by_id.select("cut_id"), "cut_id").join(by_id, "cut_id").select("row", "cut_spans")
+    if by_text.limit(1).count():
+        rest = rest.withColumn("cut_text", _text_hash(F.col("row.text")))
+        own = by_text.select(F.col("cut_id").alias("own_id"), F.col("text_hash").alias("own_text"), F.col("cut_spans"))
+        rest = rest.join(own.hint("merge"), F.col("cut_id").eqNullSafe(F.col("own_id")) & (F.col("cut_text") == F.col("own_text")), "left")
+        touched = touched.unionByName(rest.filter("cut_spans is not null").select("row", "cut_spans"))
+        rest = rest.filter("cut_spans is null")
     schema, names = docs.schema, docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,12 +406,11 @@ def cut_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
             kept = pa.RecordBatch.from_arrays(list(columns.values()), names=names)
             yield kept.filter(pa.array([t is not None for t in out], pa.bool_()))
 
-    rest = drop_keys(rows, spans.select("cut_id"), "cut_id").select("row.*")
-    return rest.unionByName(map_batches(touched, cut, schema))
+    return rest.select("row.*").unionByName(map_batches(touched, cut, schema))
 
 
 def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 QUERIES = {"op1_passages": op1_passages}

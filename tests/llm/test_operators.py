@@ -173,6 +173,19 @@ def test_cutting_leaves_clean_documents_alone(docs):
     assert again.count() == len(corpus())
 
 
+def test_passages_of_shared_and_missing_ids(spark):
+    """Several texts under one id, and under none: spans are cut from the text they were found in, in any row order."""
+    draw = random.Random(21)
+    shared, alone = prose(draw, 80), [prose(draw, 90) for _ in range(4)]
+    rows = [(1, f"{alone[0]} {shared}"), (5, f"{shared} {alone[1]}"), (5, alone[2]), (5, "few words"), (None, f"{alone[3]} {shared}"), (None, "none at all"), (None, None), (7, shared), (7, shared), (8, None)]
+    for order in range(3):
+        docs = spark.createDataFrame(draw.sample(rows, len(rows)), "doc_id long, text string").repartition(1 + order)
+        spans = passages.repeated_passages(docs)
+        assert {(r["doc_id"], r["ref_doc_id"]) for r in spans.collect()} >= {(5, 1), (7, 1), (None, 1)}
+        cut = Counter((r["doc_id"], r["text"] and r["text"].strip()) for r in passages.cut_passages(docs, spans).collect())
+        assert cut == Counter([(1, rows[0][1]), (5, alone[1]), (5, alone[2]), (5, "few words"), (None, alone[3]), (None, "none at all"), (None, None), (8, None)])
+
+
 # ---- 2: mixing
 
 
