@@ -1,34 +1,40 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its byte n-grams (3 to 6, with word ends), hashed to ``BUCKETS`` vectors; its embedding is their
-average, and a two-class linear softmax over it gives the word's log-odds. Vectors and softmax are trained together,
-so a misspelling that was never seen shares most n-gram vectors with the words that were. A document scores as its
-strongest word does (averaging a whole text would drown one insult in thousands of words), and in training the
-gradient goes through that word too. Scores read the whole text, and nothing but the text.
+A span's bag holds the byte n-grams (3 to 6, with word ends) of its words, hashed to ``BUCKETS`` vectors; the vectors are
+averaged over the bag and go through a two-class linear softmax. Vectors and softmax are trained together, so a
+misspelling that was never seen shares most n-gram vectors with the words that were.
+
+A short text is one span. A longer one has a span for each ``SPAN`` consecutive words, and scores as its strongest span
+does: one average over thousands of words would drown an insult (figures in the README). In training a document's spans
+are pooled by a softmax that starts as their plain average and narrows to the strongest. Scores read the whole text, and
+nothing but the text.
 
 The classifier is fitted on a bounded sample: at most ``TOXIC`` toxic and ``CLEAN`` other labelled documents, the first
-in a seeded order; executors reduce each to its distinct words. Everything else covers all rows.
+in a seeded order, and of each at most ``SPANS`` spans (of longer ones those with the smallest hashes). The prior is the
+share of toxic documents among all labels to learn from. Everything else covers all rows.
 
-Defined cases: null and empty texts have an empty bag and score as the bias alone; labels that are null or contradict
-each other for one document are not learned from; without labels of both kinds every score is 0.1; repeated rows
-score alike; an empty table gives an empty result; other columns are ignored, whatever their names.
+Defined cases: null and empty texts have an empty bag and score as the prior alone; labels that are null or contradict
+each other for one document are not learned from; of several texts under one id the smallest is learned from, all are
+scored; without labels of both kinds every score is 0.1; repeated rows score alike; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Collection, Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cobordia.llm import textkernel as K
 from cobordia.session import map_batches, table
 
-BUCKETS, DIM, SHORTEST, LONGEST = 1 << 18, 8, 3, 6
-TOXIC, CLEAN, THRESHOLD = 1500, 3000, 0.3
+BUCKETS, DIM, SHORTEST, LONGEST, SPAN = 1 << 18, 8, 3, 6, 6
+TOXIC, CLEAN, SPANS, THRESHOLD = 1500, 3000, 4000, 0.3
 HEATS = (100.0, 30.0, 10.0, 5.0, 2.0, 1.0, 0.5, 0.5, 0.25, 0.25, 0.25, 0.25)
 MARKS = b".,;:!?%&$*#\"'()[]<>-"
 _U = np.uint64
@@ -63,31 +69,41 @@ def bags(words: list[bytes], most: int = 20_000) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(found), np.concatenate(at)
 
 
-def words_of(text: bytes) -> set[bytes]:
-    """Distinct words in lower case, without the marks around them."""
-    return {w.strip(MARKS) for w in set(text.decode().lower().encode().split())} - {b""}
+def lowered(texts: pa.Array) -> pa.Array:
+    return pc.utf8_lower(texts.cast(pa.large_string()))
+
+
+def training_words(text: bytes, span: int = SPAN, most: int = SPANS) -> bytes:
+    """A lower-case text's words without the marks around them, joined by spaces; of more than ``most`` spans those with
+    the smallest hashes."""
+    words = [w.strip(MARKS) for w in text.split()]
+    words = [w for w in words if w]
+    if len(words) > span * most:
+        spans = [b" ".join(words[i : i + span]) for i in range(0, len(words), span)]
+        spans = sorted(spans, key=lambda x: (hashlib.blake2b(x, digest_size=8).digest(), x))[:most]
+        return b" ".join(spans)
+    return b" ".join(words)
 
 
 class Model:
-    """Vectors of n-grams and a linear softmax over their average."""
+    """Vectors of n-grams, and a linear softmax over the average of a span's."""
 
-    def __init__(self, seed: int = 11) -> None:
+    def __init__(self, prior: float = 0.1, span: int = SPAN, seed: int = 11) -> None:
         draw = np.random.RandomState(seed)
+        self.span = span
         self.vectors = draw.normal(0, 0.01, (BUCKETS, DIM))
         self.softmax = draw.normal(0, 0.5, (2, DIM))
-        self.bias = -2.5  # about the share of toxic documents; an empty bag scores so
+        self.bias = float(np.log(prior / (1 - prior)))  # an empty bag scores so
 
     def odds(self) -> np.ndarray:
-        """What each n-gram adds to the log-odds, before averaging."""
+        """What each n-gram adds to a span's log-odds, before averaging."""
         return self.vectors @ (self.softmax[1] - self.softmax[0])
 
-    def fit(self, docs: Iterable[Collection[bytes]], toxic: np.ndarray, heats: tuple[float, ...] = HEATS, rate: float = 0.2, batch: int = 64) -> Model:
-        """Stochastic gradient (Adagrad) on the cross-entropy of each document's pooled words, once for each of
-        ``heats``: the pool is an average of word log-odds weighted by their softmax at that heat. At first it is
-        the plain average, in which only words that tell the classes apart keep growing; then it narrows to the
-        strongest word, which is how documents are scored."""
+    def fit(self, docs: list[list[bytes]], toxic: np.ndarray, heats: tuple[float, ...] = HEATS, rate: float = 0.2, batch: int = 64) -> Model:
+        """Stochastic gradient (Adagrad) on the cross-entropy of each document's pooled spans, once for each of
+        ``heats``: the pool is an average of the spans' log-odds weighted by their softmax at that heat."""
         place: dict[bytes, int] = {}
-        each = [np.fromiter((place.setdefault(w, len(place)) for w in sorted(d)), np.int64, len(d)) for d in docs]
+        each = [np.fromiter((place.setdefault(w, len(place)) for w in d), np.int64, len(d)) for d in docs]
         grams, at = bags(list(place))
         place.clear()
         some = np.flatnonzero([len(x) > 0 for x in each])
@@ -97,20 +113,23 @@ class Model:
             order = draw.permutation(some)
             for start in range(0, len(order), batch):
                 lot = order[start : start + batch]
-                count = np.asarray([len(each[d]) for d in lot])
-                first = np.concatenate(([0], np.cumsum(count)))
+                spans = [np.arange(len(each[d])) // self.span for d in lot]
+                first = np.concatenate(([0], np.cumsum([x[-1] + 1 for x in spans])))
+                of = np.concatenate([x + k for x, k in zip(spans, first[:-1].tolist(), strict=True)])
                 uniq, back = np.unique(np.concatenate([each[d] for d in lot]), return_inverse=True)
                 width = at[uniq + 1] - at[uniq]
                 cut = np.concatenate(([0], np.cumsum(width)))
                 mine = grams[np.arange(cut[-1]) - np.repeat(cut[:-1] - at[uniq], width)]
                 apart = self.softmax[1] - self.softmax[0]
                 sums = np.concatenate(([0.0], np.cumsum((self.vectors @ apart)[mine])))
-                word = ((sums[cut[1:]] - sums[cut[:-1]]) / np.maximum(width, 1))[back]
-                top = np.maximum.reduceat(word, first[:-1])
-                weight = np.exp((word - np.repeat(top, count)) / heat)
+                bagged = np.maximum(np.bincount(of, width[back], first[-1]), 1)
+                span = np.bincount(of, (sums[cut[1:]] - sums[cut[:-1]])[back], first[-1]) / bagged
+                count = np.diff(first)
+                top = np.maximum.reduceat(span, first[:-1])
+                weight = np.exp((span - np.repeat(top, count)) / heat)
                 weight /= np.repeat(np.add.reduceat(weight, first[:-1]), count)
-                error = 1 / (1 + np.exp(-np.add.reduceat(weight * word, first[:-1]) - self.bias)) - toxic[lot]
-                share = np.bincount(back, weight * np.repeat(error, count), len(uniq)) / np.maximum(width, 1)
+                error = 1 / (1 + np.exp(-np.add.reduceat(weight * span, first[:-1]) - self.bias)) - toxic[lot]
+                share = np.bincount(back, (weight * np.repeat(error, count) / bagged)[of], len(uniq))
                 push = np.bincount(mine, np.repeat(share, width), BUCKETS)
                 touched = np.flatnonzero(push)
                 slope = push[touched] @ self.vectors[touched]
@@ -119,7 +138,6 @@ class Model:
                 seen_soft += slope @ slope
                 step = 0.05 * slope / np.sqrt(seen_soft)
                 self.softmax += np.stack([step, -step])
-                self.bias -= 0.002 * error.mean()
         return self
 
 
@@ -127,49 +145,90 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """A model of the bounded training sample (module docstring), or None where a class has no document."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).filter(~held_out(F.col(key)))
     known = known.groupBy(F.col(key).alias("id")).agg(F.min("toxic").alias("y"), F.max("toxic").alias("y1")).filter("y = y1").drop("y1")
+    n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
+    if len(n) < 2:
+        return None
     first = F.xxhash64(F.lit("toxic-1"), "id")
     # the documents of both samples: at most toxic + clean ids, so broadcasting them is bounded by these parameters
     chosen = known.filter("y = 1").orderBy(first, "id").limit(toxic).unionByName(known.filter("y = 0").orderBy(first, "id").limit(clean))
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [b" ".join(sorted(words_of(t or b""))) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            words = [training_words(t or b"") for t in lowered(b.column(2)).cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.binary())], names=["id", "y", "words"])
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
-    rows = sorted(map_batches(rows, distinct, "id long, y int, words binary").dropDuplicates(["id"]).toArrow().to_pylist(), key=lambda r: r["id"])
+    rows = map_batches(rows, reduced, "id long, y int, words binary").groupBy("id", "y").agg(F.min("words").alias("words"))
+    rows = sorted(rows.toArrow().to_pylist(), key=lambda r: r["id"])
     y = np.asarray([r["y"] for r in rows])
     if not (y == 1).any() or not (y == 0).any():
         return None
-    return Model().fit((r["words"].split() for r in rows), y)
+    return Model(n[1] / (n[0] + n[1])).fit([r["words"].split() for r in rows], y)
 
 
-def held_out(key):
+def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 4 == 2
 
 
-def scores(odds: np.ndarray | None, bias: float, stamp: str, most: int = 300_000):
+class Bags:
+    """Sums of log-odds and sizes of words' bags, by the words' hashes; starts afresh beyond ``most`` words."""
+
+    def __init__(self, odds: np.ndarray, most: int = 300_000) -> None:
+        self.odds, self.most = odds, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[int, int] = {}
+        self.total, self.size = np.zeros(0), np.zeros(0, np.int64)
+
+    def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word of ``data``: its bag's sum and size."""
+        uniq, at, back = np.unique(K.span_hashes(K.prefixes(data), start, end), return_index=True, return_inverse=True)
+        keys = uniq.tolist()
+        found = np.asarray([self.index.get(k, -1) for k in keys], np.int64)
+        if (found < 0).any() and len(self.index) + int((found < 0).sum()) > self.most:
+            self.clear()
+            found[:] = -1
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            raw, held = data.tobytes(), len(self.index)
+            words = [raw[a:b].strip(MARKS) for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
+            grams, first = bags(words)
+            sums = np.concatenate(([0.0], np.cumsum(self.odds[grams])))
+            self.total, self.size = np.concatenate((self.total, np.diff(sums[first]))), np.concatenate((self.size, np.diff(first)))
+            self.index.update(zip((keys[k] for k in new.tolist()), range(held, held + len(new)), strict=True))
+            found[new] = held + np.arange(len(new))
+        return self.total[found[back]], self.size[found[back]]
+
+
+def strongest(total: np.ndarray, size: np.ndarray, first: np.ndarray, span: int) -> np.ndarray:
+    """Each document's largest span average, over all runs of ``span`` words (fewer words are one run); 0 without words."""
+    n = np.diff(first)
+    out = np.zeros(len(n))
+    runs = np.where(n > 0, np.maximum(n - span + 1, 1), 0)
+    if not runs.sum():
+        return out
+    begin = np.repeat(first[:-1], runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+    stop = np.minimum(begin + span, np.repeat(first[1:], runs))
+    sums, sizes = np.concatenate(([0.0], np.cumsum(total))), np.concatenate(([0], np.cumsum(size)))
+    mean = (sums[stop] - sums[begin]) / np.maximum(sizes[stop] - sizes[begin], 1)
+    some = runs > 0
+    out[some] = np.maximum.reduceat(mean, (np.cumsum(runs) - runs)[some])
+    return out
+
+
+def scores(odds: np.ndarray | None, bias: float, span: int, stamp: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, float] = K.held(f"toxicity {stamp}", dict)
+        known = K.held(f"toxicity {stamp}", lambda: Bags(odds)) if odds is not None else None
         for batch in batches:
-            out = []
-            for _, _, data, offsets in K.blocks(batch.column(1), 1 << 20):
-                raw = data.tobytes()
-                docs = [set(raw[a:b].decode().lower().encode().split()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                new = set().union(*docs).difference(known) if odds is not None else set()
-                if len(known) + len(new) > most:
-                    known.clear()
-                    new = set().union(*docs)
-                if new:
-                    new = list(new)
-                    grams, at = bag([w.strip(MARKS) for w in new])
-                    sums = np.concatenate(([0.0], np.cumsum(odds[grams])))
-                    width = np.diff(at)
-                    known.update(zip(new, np.where(width > 0, (sums[at[1:]] - sums[at[:-1]]) / np.maximum(width, 1), 0.0).tolist(), strict=True))
-                best = np.asarray([max(map(known.__getitem__, d), default=0.0) if odds is not None else 0.0 for d in docs])
+            out = [np.zeros(0)]
+            for begin, end, data, offsets in K.blocks(lowered(batch.column(1)), 1 << 20):
+                best = np.zeros(end - begin)
+                if known is not None:
+                    start, stop, first = K.word_spans(data, offsets)
+                    best = strongest(*known.of(data, start, stop), first, span)
                 out.append(1 / (1 + np.exp(-np.clip(best + bias, -30, 30))))
-            score = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], names=["id", "score"])
 
     return rows
 
@@ -177,9 +236,9 @@ def scores(odds: np.ndarray | None, bias: float, stamp: str, most: int = 300_000
 def _scorer(model: Model | None):
     """Without a model, every score is 0.1."""
     if model is None:
-        return scores(None, float(np.log(0.1 / 0.9)), "none")
+        return scores(None, float(np.log(0.1 / 0.9)), 1, "none")
     odds = model.odds().astype(np.float32).astype(np.float64)
-    return scores(odds, model.bias, hashlib.blake2b(odds.tobytes(), digest_size=8).hexdigest())
+    return scores(odds, model.bias, model.span, hashlib.blake2b(odds.tobytes(), digest_size=8).hexdigest())
 
 
 def score_documents(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -305,14 +305,56 @@ def test_toxicity_holds_out(spark):
 
 
 def test_toxicity_of_nothing(spark, docs, empty):
-    model = toxicity.Model().fit([{b"idiot", b"hello"}, {b"hello", b"there"}, {b"idiot"}, set()], np.array([1, 0, 1, 0]))
+    texts = [b"idiot hello there", b"hello there friend", b"you idiot", b""]
+    model = toxicity.Model(0.25).fit([t.split() for t in texts], np.array([1, 0, 1, 0]))
     got = {r["id"]: r["score"] for r in toxicity.score_documents(docs, model).collect()}
-    assert all(0 <= s <= 1 for s in got.values()) and len({got[i] for i, t, *_ in corpus() if not words(t)}) == 1
+    assert all(0 <= s <= 1 for s in got.values()) and {round(got[i], 9) for i, t, *_ in corpus() if not words(t)} == {0.25}
     labels = spark.createDataFrame([(1, None), (2, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
-    assert toxicity.learn(docs, labels) is None
+    assert toxicity.learn(docs, labels) is None and toxicity.learn(docs, labels.limit(0)) is None
     assert {r["score"] for r in toxicity.score_documents(docs, None).select(toxicity.F.round("score", 9).alias("score")).collect()} == {0.1}
-    assert toxicity.score_documents(empty, model).count() == 0
+    assert toxicity.score_documents(empty, model).count() == toxicity.drop_toxic(empty, model).count() == 0
     assert toxicity.drop_toxic(docs, None).count() == docs.count()
+    plain, crowded = toxicity.drop_toxic(docs, model), toxicity.drop_toxic(with_clashes(docs), model)
+    assert sorted(map(str, crowded.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_toxicity_scores_by_definition(spark):
+    """Each span's n-grams averaged one by one; the strongest span is the score."""
+    draw, span = random.Random(8), 4
+    model = toxicity.Model(0.3, span).fit([[b"idiot", b"and", b"more"], [b"some", b"plain", b"words"]], np.array([1, 0]))
+    odds = model.odds().astype(np.float32).astype(float)
+
+    def one(text):
+        w = [x.strip(toxicity.MARKS.decode()) for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
+        best = []
+        for k in range(max(1, len(w) - span + 1) if w else 0):
+            found = [odds[toxicity.bag([x.encode()])[0]] for x in w[k : k + span]]
+            found = np.concatenate(found) if found else np.zeros(0)
+            best.append(found.mean() if len(found) else 0.0)
+        return 1 / (1 + np.exp(-(max(best, default=0.0) + model.bias)))
+
+    vocabulary = ["idiot", "Idiot!", "id!ot", "plain", "words", "und", "süß", "...", "more,", "漢字"]
+    texts = [None, "", "...", "idiot", *(" ".join(draw.choice(vocabulary) for _ in range(draw.randrange(1, 40))) for _ in range(60)), "plain words " * 3000 + "idiot " + "words " * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score_documents(rows, model).collect():
+        assert abs(r["score"] - one(texts[r["id"]])) < 1e-6, texts[r["id"]]
+
+
+def test_toxicity_learns_the_same_from_repeated_ids(spark):
+    rows = [(i, f"{'idiot' if i % 2 else 'friend'} number {i}") for i in range(40)] + [(1, "another text"), (2, "a text"), (2, "a text"), (None, "idiot")]
+    labels = spark.createDataFrame([(i, i % 2, "z") for i in range(40)], "doc_id long, toxic int, text string")
+    draw, seen = random.Random(4), []
+    for k in range(3):
+        docs = spark.createDataFrame(draw.sample(rows, len(rows)), "doc_id long, text string").repartition(1 + k)
+        model = toxicity.learn(with_clashes(docs), labels)
+        seen.append((model.odds().tobytes(), model.bias))
+    assert len(set(seen)) == 1 and abs(model.bias) < 1
+
+
+def test_training_words_are_bounded():
+    text = " ".join(f"w{k}" for k in range(10_000)).encode()
+    some = toxicity.training_words(text, 8, 100).split()
+    assert len(some) == 800 and some == toxicity.training_words(text, 8, 100).split() and toxicity.training_words(b"a, (b) ... c", 8, 100) == b"a b c"
 
 
 def test_bags_share_subwords():
