@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from cobordia.llm import textkernel as K
 from cobordia.session import map_batches, settle, table
 
-WINDOW, END_ID, SALTS = 4096, 2, 64
+WINDOW, END_ID, GROUP = 4096, 2, 1 << 18
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -247,16 +247,18 @@ def place_rows(runs: list[tuple[int, int, int, int, int]], full_before: int):
     return rows
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, window: int = WINDOW, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or tokenizer_path()
     pieces = settle(map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), piece_rows(path, window, end_id), PIECES))
-    # number the pieces of each length: counts of (length, salt) are bounded, so no length is sorted by one task
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    totals = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``window`` rows
+    # number the pieces of each length in salted groups of about GROUP, as many as the length needs, so that no task sorts
+    # more than that, however many full windows there are
+    salts = F.broadcast(pieces.sparkSession.createDataFrame([(k, max(16, -(-n // group))) for k, n in totals.items()], "length long, salts long"))
+    salted = pieces.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "salts")).drop("salts")
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
-    counts = settle(counts.withColumn("before", before))
-    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``window`` rows
+    counts = counts.withColumn("before", before)
     full = totals.pop(window, 0)
     runs = [(window, 0, full, -full, 0)] * bool(full) + plan(totals, window)
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1
