@@ -4,10 +4,13 @@ The model gives each piece of a public vocabulary a log-probability by its rank
 characters outside of it cost one token per UTF-8 byte. A pre-token is the word-start mark and a word
 (``[^\\x20\\x09-\\x0D]+``). Its best segmentation has the largest sum of log-probabilities, of equals the fewest tokens.
 
-The forward score of a prefix depends on the prefix alone. So each batch's distinct new pre-tokens go into a trie,
-which is walked depth first (in sorted order): every node's score and count are computed once for all words that share
-the prefix, only the current path is held, and the count at a word's last node is stored. Documents then sum the
-stored counts of their words.
+The forward score of a prefix depends on the prefix alone. So distinct pre-tokens go into a trie, whose nodes store the
+prefix's forward score and token count: a node is computed once for all words that share the prefix, whichever block of
+texts or task of a worker they come from. A word's last node has its terminal count, and documents sum the counts of
+their words. New words of a block are entered in sorted order, so that the path of the word before is reused.
+
+Workers keep the trie between tasks up to ``NODES`` nodes and then start afresh; words of more than ``DEEP`` characters
+are scored along one path that is not kept.
 
 Defined cases: null and empty texts count 0; repeated rows count alike; very long words are one long path; an empty
 table gives an empty result; other columns are ignored, whatever their names.
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from cobordia.llm import textkernel as K
 from cobordia.session import map_batches, table
 
-MARK, BYTE_COST = "▁", 12.0
+MARK, BYTE_COST, NODES, DEEP = "▁", 12.0, 1_000_000, 64
 SCHEMA = "doc_id long, n_words long, n_tokens long"
 
 
@@ -45,40 +48,56 @@ def unigrams(path: str) -> dict[str, float]:
     return {piece: -log(r + 1) - total for r, piece in reversed(list(enumerate(pieces)))}
 
 
-class Counter:
-    """Token counts of pre-tokens; remembers up to ``most`` of them."""
+class Trie:
+    """Forward scores of prefixes and terminal counts of pre-tokens, up to ``most`` nodes."""
 
-    def __init__(self, scores: dict[str, float], most: int = 300_000) -> None:
+    def __init__(self, scores: dict[str, float], most: int = NODES) -> None:
         self.scores, self.most = scores, most
-        self.longest = max(map(len, scores), default=1)
         # pieces by last character: most ends of a word end no long piece
         self.lengths: dict[str, list[int]] = {}
         for piece in scores:
             self.lengths.setdefault(piece[-1], []).append(len(piece))
         self.lengths = {c: sorted(set(n)) for c, n in self.lengths.items()}
+        self.clear()
+
+    def clear(self) -> None:
+        #: (node, character) -> node, as one number; node 0 is the root
+        self.below: dict[int, int] = {}
+        self.best, self.tokens = [0.0], [0]
         self.counts: dict[bytes, int] = {}
 
-    def walk(self, words: list[str]) -> list[int]:
-        """Counts of the sorted ``words`` (with their marks): one visit for each distinct prefix."""
-        best, tokens, path, out = [0.0], [0], "", []
-        scores, lengths = self.scores, self.lengths
+    def enter(self, words: list[str]) -> list[int]:
+        """Terminal counts of the sorted ``words`` (with their marks)."""
+        node, best, tokens, path, out = [0], [0.0], [0], "", []  # of the path's prefixes
+        below, all_best, all_tokens, scores, lengths = self.below, self.best, self.tokens, self.scores, self.lengths
         for word in words:
             shared, most = 0, min(len(path), len(word))
             while shared < most and path[shared] == word[shared]:
                 shared += 1
-            del best[shared + 1 :], tokens[shared + 1 :]
+            del node[shared + 1 :], best[shared + 1 :], tokens[shared + 1 :]
+            at = node[-1]
             for end in range(shared + 1, len(word) + 1):
                 last = word[end - 1]
-                size = len(last.encode())
-                top, fewest = best[end - 1] - BYTE_COST * size, tokens[end - 1] + size
-                for n in lengths.get(last, ()):
-                    if n > end:
-                        break
-                    score = scores.get(word[end - n : end])
-                    if score is not None:
-                        score += best[end - n]
-                        if score > top or (score == top and tokens[end - n] < fewest):
-                            top, fewest = score, tokens[end - n] + 1
+                step = at << 21 | ord(last)
+                at = below.get(step, -1) if at >= 0 else -1
+                if at >= 0:
+                    top, fewest = all_best[at], all_tokens[at]
+                else:
+                    size = 1 if last < "\x80" else len(last.encode())
+                    top, fewest = best[-1] - BYTE_COST * size, tokens[-1] + size
+                    for n in lengths.get(last, ()):
+                        if n > end:
+                            break
+                        score = scores.get(word[end - n : end])
+                        if score is not None:
+                            score += best[end - n]
+                            if score > top or (score == top and tokens[end - n] < fewest):
+                                top, fewest = score, tokens[end - n] + 1
+                    if end <= DEEP and step >= 0:
+                        at = below[step] = len(all_best)
+                        all_best.append(top)
+                        all_tokens.append(fewest)
+                node.append(at)
                 best.append(top)
                 tokens.append(fewest)
             out.append(tokens[-1])
@@ -87,24 +106,24 @@ class Counter:
 
     def learn(self, words: set[bytes]) -> None:
         new = words.difference(self.counts)
-        if len(self.counts) + len(new) > self.most:
-            self.counts.clear()
+        if len(self.best) > self.most:
+            self.clear()
             new = words
         text = sorted((MARK + w.decode(), w) for w in new)
-        self.counts.update(zip((w for _, w in text), self.walk([t for t, _ in text]), strict=True))
+        self.counts.update(zip((w for _, w in text), self.enter([t for t, _ in text]), strict=True))
 
 
 def _count_rows(path: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = K.held(f"tokens {path}", lambda: Counter(unigrams(path)))
+        trie = K.held(f"tokens {path}", lambda: Trie(unigrams(path)))
         for batch in batches:
             n_words, n_tokens = [], []
             for _, _, data, offsets in K.blocks(batch.column(1)):
                 raw = data.tobytes()
                 docs = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                counter.learn(set().union(*docs))
+                trie.learn(set().union(*docs))
                 n_words += map(len, docs)
-                n_tokens += [sum(map(counter.counts.__getitem__, d)) for d in docs]
+                n_tokens += [sum(map(trie.counts.__getitem__, d)) for d in docs]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     return rows
