@@ -97,13 +97,13 @@ def cover(starts: np.ndarray, lengths: np.ndarray | int, total: int) -> np.ndarr
 def suffix_repeats(symbols: np.ndarray) -> np.ndarray:
     """For each suffix, its longest common prefix with any other: the larger neighbouring value in the suffix array."""
     n = len(symbols)
-    ranks = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)]
+    # a block of text is below 2**31 words, so each of the log n levels takes 4 bytes a symbol
+    ranks = [np.unique(symbols, return_inverse=True)[1].astype(np.int32)]
     step = 1
     while ranks[-1].max() < n - 1 and step < n:
-        rank = ranks[-1]
-        later = np.full(n, -1, np.int64)
-        later[: n - step] = rank[step:]
-        ranks.append(np.unique(rank * (n + 1) + later + 1, return_inverse=True)[1].astype(np.int64))
+        both = ranks[-1].astype(np.int64) * (n + 1)
+        both[: n - step] += ranks[-1][step:] + 1
+        ranks.append(np.unique(both, return_inverse=True)[1].astype(np.int32))
         step *= 2
     order = np.argsort(ranks[-1])
     a, b = order[:-1], order[1:]
@@ -177,8 +177,26 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
-
+    return quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+#: A word is in a maximal repeat of 10 words or more if it is in a 10-word window found twice; a repeat is longer than 100
+#: words if a 101-word window is found twice.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT row, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
+p AS (SELECT row, i, CASE WHEN i + 2 <= n THEN md5(array_to_string(w[i:i+2], ' ')) END AS g3, CASE WHEN i + 9 <= n THEN md5(array_to_string(w[i:i+9], ' ')) END AS g10,
+        CASE WHEN i + 100 <= n THEN md5(array_to_string(w[i:i+100], ' ')) END AS g101 FROM (SELECT row, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS i FROM d)),
+r AS (SELECT row, i, g3 IS NOT NULL AND count(*) OVER (PARTITION BY row, g3) > 1 AS r3, g10 IS NOT NULL AND count(*) OVER (PARTITION BY row, g10) > 1 AS r10,
+        g101 IS NOT NULL AND count(*) OVER (PARTITION BY row, g101) > 1 AS r101 FROM p),
+c AS (SELECT row, bool_or(r3) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3, bool_or(r10) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10, r101 FROM r),
+s AS (SELECT row, count(*) FILTER (c3) AS n_repeat_words, count(*) FILTER (c10) AS covered_words, bool_or(r101) AS longer FROM c GROUP BY row),
+x AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(covered_words, 0)::BIGINT AS covered_words, coalesce(longer, false) AS longer
+      FROM d LEFT JOIN l USING (row) LEFT JOIN s USING (row))
+SELECT * EXCLUDE (longer), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered_words <= 0.5 * n_words AND NOT longer AS kept FROM x
+"""
 
 QUERIES = {"op10_quality": op10_quality}
-SQL: dict[str, str] = {}
+SQL = {"op10_quality": OP10_SQL}

@@ -267,12 +267,30 @@ def test_token_counts_by_viterbi(docs):
             best.append(max(found))
         return -best[-1][1]
 
-    small = docs.filter("length(text) < 3000 or text is null")
-    got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in tokencount.token_counts(small).collect()}
-    for i, t, *_ in corpus():
-        if i in got:
-            w = WORDS.findall(t or "")
-            assert got[i] == (len(w), sum(count("▁" + x) for x in w))
+    known = {}
+    long = [(900, "abcdefghij" * 50 + " " + "Ж漢" * 40 + " " + "abcdefghij" * 50 + "x", None, None, 0)]
+    got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in tokencount.token_counts(docs.unionByName(docs.sparkSession.createDataFrame(long, DOCS))).collect()}
+    for i, t, *_ in corpus() + long:
+        w = WORDS.findall(t or "")
+        for x in set(w).difference(known):
+            known[x] = count("▁" + x)
+        assert got[i] == (len(w), sum(map(known.__getitem__, w)))
+
+
+def test_trie_computes_a_prefix_once():
+    trie = tokencount.Trie({"▁a": -1.0, "b": -2.0, "ab": -1.5, "c": -3.0, "▁": -1.0}, 40)
+    trie.learn({b"abc", b"abd", b"a"})
+    nodes = len(trie.best)
+    assert nodes == 6 and trie.counts[b"abc"] == 3
+    trie.learn({b"abcd", b"ab"})  # in another block: one node more, for abcd
+    assert len(trie.best) == nodes + 1 and trie.counts[b"ab"] == 2
+    fresh = tokencount.Trie(trie.scores)
+    words = {"".join(random.Random(k).choices("abcd", k=1 + k % 90)).encode() for k in range(300)}
+    fresh.learn(words)
+    for k in range(0, 300, 7):  # starts afresh again and again
+        some = set(sorted(words)[k : k + 7])
+        trie.learn(some)
+        assert all(trie.counts[w] == fresh.counts[w] for w in some)
 
 
 # ---- 5: chat
@@ -392,6 +410,14 @@ def test_packing_round_trip(docs):
     assert sum(r["length"] for r in rows) > 0.9 * 4096 * (len(sequence) - 1)
 
 
+def test_packing_in_small_groups(spark):
+    """Many full windows, numbered in groups that grow in number with them."""
+    rows = spark.createDataFrame([(1, "word " * 400_000), (None, None), (2, "a few words"), (2, "a few words")], "doc_id long, text string")
+    out = packing.pack(rows, group=8).collect()
+    assert sorted(r["length"] for r in out) == [1, 4, 4, 400_001 % 4096] + [4096] * (400_001 // 4096)
+    assert len({(r["sequence_id"], r["offset"]) for r in out}) == len(out) and {r["sequence_id"] for r in out} == set(range(400_001 // 4096 + 1))
+
+
 def test_plan_is_best_fit_decreasing():
     draw = random.Random(2)
     for window in (16, 100):
@@ -538,6 +564,14 @@ def test_quality_by_definition():
             assert r["base_failed"] == failed and r["kept"] == (not failed and want[5] <= 0.5 * want[0] and want[6] <= 100)
 
 
+def test_quality_of_a_very_long_text(spark):
+    part = prose(random.Random(1), 30_000, 10**6)
+    text = f"{part} {part[: part.index(' ', 60_000)]}"
+    (r,) = quality.quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    again = len(part[: part.index(" ", 60_000)].split())
+    assert (r["n_words"], r["longest_repeat"], r["covered_words"], r["kept"]) == (30_000 + again, again, 2 * again, False)
+
+
 # ---- all
 
 
