@@ -185,15 +185,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 l AS (SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT row, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
-p AS (SELECT row, i, CASE WHEN i + 2 <= n THEN md5(array_to_string(w[i:i+2], ' ')) END AS g3, CASE WHEN i + 9 <= n THEN md5(array_to_string(w[i:i+9], ' ')) END AS g10,
-        CASE WHEN i + 100 <= n THEN md5(array_to_string(w[i:i+100], ' ')) END AS g101 FROM (SELECT row, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS i FROM d)),
-r AS (SELECT row, i, g3 IS NOT NULL AND count(*) OVER (PARTITION BY row, g3) > 1 AS r3, g10 IS NOT NULL AND count(*) OVER (PARTITION BY row, g10) > 1 AS r10,
-        g101 IS NOT NULL AND count(*) OVER (PARTITION BY row, g101) > 1 AS r101 FROM p),
-c AS (SELECT row, bool_or(r3) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3, bool_or(r10) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10, r101 FROM r),
-s AS (SELECT row, count(*) FILTER (c3) AS n_repeat_words, count(*) FILTER (c10) AS covered_words, bool_or(r101) AS longer FROM c GROUP BY row),
+p AS (SELECT row, i, CASE WHEN i + 2 <= n THEN md5(array_to_string(w[i:i+2], ' ')) END AS g3, CASE WHEN i + 9 <= n THEN md5(array_to_string(w[i:i+9], ' ')) END AS g10 FROM (SELECT row, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS i FROM d)),
+r AS (SELECT row, i, g3 IS NOT NULL AND count(*) OVER (PARTITION BY row, g3) > 1 AS r3, g10 IS NOT NULL AND count(*) OVER (PARTITION BY row, g10) > 1 AS r10 FROM p),
+b AS (SELECT row, true AS longer FROM (SELECT row, md5(array_to_string(w[i:i+100], ' ')) AS g FROM r JOIN d USING (row) WHERE r10 AND i + 100 <= len(w)) GROUP BY row HAVING count(*) > count(DISTINCT g)),
+c AS (SELECT row, bool_or(r3) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3, bool_or(r10) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10 FROM r),
+s AS (SELECT row, count(*) FILTER (c3) AS n_repeat_words, count(*) FILTER (c10) AS covered_words FROM c GROUP BY row),
 x AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(covered_words, 0)::BIGINT AS covered_words, coalesce(longer, false) AS longer
-      FROM d LEFT JOIN l USING (row) LEFT JOIN s USING (row))
+      FROM d LEFT JOIN l USING (row) LEFT JOIN s USING (row) LEFT JOIN b USING (row))
 SELECT * EXCLUDE (longer), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered_words <= 0.5 * n_words AND NOT longer AS kept FROM x
 """
