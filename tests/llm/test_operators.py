@@ -523,6 +523,28 @@ def test_neighbours_exact_at_factor_one_and_recall(spark):
     assert neighbours.nearest(df.limit(0), neighbours.F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_uneven_norms(spark):
+    """Norms spread 1:100, a few of them far out: exact at factor 1, recall at the default; groups beyond the largest."""
+    draw = np.random.default_rng(14)
+    x = draw.normal(size=(6000, 24))
+    x *= (10 ** draw.uniform(-1, 1, 6000))[:, None]
+    x[:3] *= np.asarray([[1.0], [50.0], [1000.0]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    even = x[1000:] / np.linalg.norm(x[1000:], axis=1)[:, None]
+    even[0] *= 40  # one outlier among vectors of one norm
+    flat = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(even)], "vec_id long, embedding array<double>")
+    for v, rows, factor, least, groups in ((x, df, 1.0, 1.0, 1024), (x, df, 1.0, 1.0, 4), (x, df, neighbours.FACTOR, 0.9, 1024), (even, flat, neighbours.FACTOR, 0.9, 1024), (even, flat, 1.0, 1.0, 1024)):
+        got = defaultdict(set)
+        for r in neighbours.nearest(rows, neighbours.F.col("vec_id") % 20 == 0, shard=500, factor=factor, most_groups=groups).collect():
+            got[r["query_id"]].add(r["vec_id"])
+        right = 0
+        for q in range(0, len(v), 20):
+            s = v @ v[q]
+            s[q] = -np.inf
+            right += len(got[q] & set(np.lexsort((np.arange(len(v)), -s))[:20].tolist()))
+        assert right / (20 * len(range(0, len(v), 20))) >= least, (factor, groups)
+
+
 # ---- 10: quality
 
 
