@@ -240,6 +240,12 @@ def test_mixed_rows(docs):
 # ---- 3: licences
 
 
+def wrap(text, width, mark=""):
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
 def test_license_inheritance(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "plain words"), (3, "a/b/LICENSE", "nothing of the kind"), (4, "a/c/LICENSE", "Licensed under CC BY-NC 4.0."),
@@ -249,7 +255,74 @@ def test_license_inheritance(spark):
     got = {r["file"]: (r["license"], r["source_dir"]) for r in out.collect()}
     assert out.count() == len(rows)
     assert got == {1: ("MIT", None), 2: ("MIT", "a"), 3: ("MIT", "a"), 4: ("CC-BY-NC-4.0", None), 5: ("CC-BY-NC-4.0", "a/c"), 6: ("Apache-2.0", None), 7: (None, None), 8: ("MIT", None), 9: (None, None)}
-    assert licenses.license_scan(spark.createDataFrame([], "file long, path string, text string")).count() == 0
+    empty = spark.createDataFrame([], "file long, path string, text string")
+    assert licenses.license_scan(empty).count() == 0 and licenses.license_scan(out.select("file", "path", "own").withColumnRenamed("own", "text"), []).filter("license is not null").count() == 0
+
+
+def test_license_texts(spark):
+    """Whole licences, headers in comments, wrapped notices, and prose that only speaks of licences."""
+    draw = random.Random(2)
+    whole, code = licenses.TEXTS, "\n".join(f"x{k} = f({k})" for k in range(60))
+    terms = "\n\n".join(wrap(f"{k}. " + prose(draw, 120), 76) for k in range(12))
+    files = {
+        "mit/LICENSE": ("MIT", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrap(whole["MIT"], 78)),
+        "bsd/COPYING": ("BSD-3-Clause", "Copyright 2019 The Authors. All rights reserved.\n\n" + wrap(whole["BSD-3-Clause"], 70)),
+        "bsd2/LICENSE.txt": ("BSD-2-Clause", wrap(whole["BSD-2-Clause"], 70)),
+        "isc/LICENSE": ("ISC", "ISC License\nCopyright (c) 2001 Someone\n" + wrap(whole["ISC"], 80)),
+        "apache/LICENSE": ("Apache-2.0", "Apache License\nVersion 2.0, January 2004\n" + terms + "\n\nAPPENDIX: How to apply\n\n" + wrap(whole["Apache-2.0"], 74, "   ")),
+        "gpl/COPYING": ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n" + terms + "\n\n" + wrap(whole["GPL-3.0"], 72, "    ") + "\n\n" + terms),
+        "src/a.py": ("Apache-2.0", "#!/usr/bin/env python\n# Copyright 2020 Some Company\n#\n" + wrap(whole["Apache-2.0"], 70, "# ") + "\n\nimport os\n" + code),
+        "src/a.c": ("MPL-2.0", "/* " + wrap(whole["MPL-2.0"], 60, " * ")[3:] + " */\n#include <x.h>\n" + code),
+        "src/b.c": ("MIT", "/*\nCopyright (c) 1999 B\n\n" + wrap(whole["MIT"], 75) + "\n*/\nint main;\n" + code),
+        "src/c.cc": ("BSD-3-Clause", "// Copyright 2014 The Authors.\n// This file sets up the tables of the parser.\n//\n" + wrap("Licensed under the BSD 3-Clause License.", 22, "// ") + "\n" + code),
+        "src/d.html": ("GPL-3.0", "<!-- " + wrap(whole["GPL-3.0"], 66) + " -->\n<p>text</p>"),
+        "src/d.sql": ("LGPL-3.0", wrap(whole["LGPL-3.0"], 80, "-- ") + "\nselect 1"),
+        "src/e.py": ("MIT", '"""\nReleased under the MIT License.\n"""\n' + code),
+        "no/a.py": (None, "# Drives the licence office's printer.\n" + code + "\n# Licensed under the Apache License, Version 2.0.\n"),
+        "no/b.txt": (None, "The committee discussed for hours whether a driving licence should be permitted under the new rules.\nCopyright was not on the agenda, and no warranty was given."),
+        "no/LICENSE": (None, "All software in this folder is secret. Ask before you copy, use or change any of it, in whole or in part, for any purpose."),
+        "no/c.txt": (None, prose(draw, 3000)),
+        "no/d.txt": (None, "the license " * 500),
+    }
+    rows = [(n, path, text) for n, (path, (_, text)) in enumerate(files.items())]
+    got = {r["path"]: (r["own"], r["cosine"]) for r in licenses.license_scan(spark.createDataFrame(rows, "file long, path string, text string").repartition(3)).collect()}
+    assert {p: own for p, (own, _) in got.items()} == {p: own for p, (own, _) in files.items()}
+    assert got["mit/LICENSE"][1] > 0.9 and got["bsd2/LICENSE.txt"][1] == 1.0
+
+
+def test_license_windows_by_brute_force(spark):
+    """No bound loses a window: every one of every text, scored one by one."""
+    draw = random.Random(3)
+    notices = [body for _, body in licenses.TEMPLATES]
+    texts = []
+    for _ in range(60):
+        lines = [prose(draw, draw.randrange(1, 12), 40) for _ in range(draw.randrange(1, 9))]
+        words_ = draw.choice(notices).split()
+        cut = words_[draw.randrange(0, 4) : len(words_) - draw.randrange(0, 4)]
+        each = draw.randrange(2, 14)
+        at = draw.randrange(len(lines) + 1)
+        texts.append("\n".join(lines[:at] + [" ".join(cut[i : i + each]) for i in range(0, len(cut), each)] + lines[at:]))
+    term = re.compile(licenses.WORD)
+    df = Counter(t for x in texts for t in set(term.findall(x.lower())))
+    vocabulary = {t for b in notices for t in term.findall(b.lower())}
+    idf = lambda t: np.log((1 + len(texts)) / (1 + (df[t] if t in vocabulary else 0))) + 1
+    vector = lambda w: {t: n * idf(t) for t, n in Counter(w).items()}
+    size = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    models = [(f"{k} {n}", k, vector(term.findall(b.lower()))) for n, (k, b) in enumerate(licenses.TEMPLATES)]
+    want = {}
+    for n, x in enumerate(texts):
+        lines = [w for w in (term.findall(line.lower()) for line in x.split("\n")) if w]
+        spans = [(0, len(lines))] + [(a, s) for s, step in licenses.SIZES.items() if len(lines) > s for a in range(0, len(lines) - s + 1, step)]
+        best = (0.8, "", None)
+        for a, s in spans:
+            v = vector([t for line in lines[a : a + s] for t in line])
+            for template, own, m in models:
+                c = round(sum(v[t] * m[t] for t in v.keys() & m.keys()) / size(v) / size(m), 6)
+                if c > best[0] or (c == best[0] and (not best[1] or template < best[1])):
+                    best = (c, template, own)
+        want[n] = (best[2], best[0] if best[2] else None)
+    got = {r["file"]: (r["own"], r["cosine"]) for r in licenses.license_scan(spark.createDataFrame([(n, "x", t) for n, t in enumerate(texts)], "file long, path string, text string")).collect()}
+    assert got == want and len({w[0] for w in want.values()}) > 5 and any(w[0] is None for w in want.values())
 
 
 # ---- 4: token counts
