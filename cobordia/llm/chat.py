@@ -1,6 +1,6 @@
 """Preference formatting: pairs of a chosen and a rejected conversation as one prompt and two masked completions.
 
-Native: DataFrame functions only. The longest common prefix of turns (same role and text, nulls equal) is rendered once
+Native: DataFrame functions only. The longest common prefix of turns (same role and text; null and empty are the same) is rendered once
 as the prompt; what follows in either conversation is its completion. A turn is rendered as
 ``<|role|>\\ntext<|end|>\\n``. The mask of a completion lists the stretches to train on, ``first-end`` in characters,
 one for each assistant turn: its text and end mark.

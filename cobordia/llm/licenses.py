@@ -144,8 +144,8 @@ class Model:
         self.foreign = (1 - least * least) / (least * least) / self.unseen**2 * (1 + 1e-9)
 
 
-def _windows(words: Column, model: Model) -> Column:
-    """Texts of the windows of ``words`` (terms of each line) that a template may be close to."""
+def _line_bounds(words: Column, model: Model) -> Column:
+    """Of each line (its terms): foreign words, the most that its known words can weigh, and whether it has a prefix term."""
 
     def count(line: Column, own: list[str]) -> Column:
         return F.size(F.filter(line, lambda t: F.array_contains(F.array(*map(F.lit, own)), t)))
@@ -157,7 +157,13 @@ def _windows(words: Column, model: Model) -> Column:
         has = F.arrays_overlap(line, F.array(*map(F.lit, sorted(model.prefix))))
         return F.struct(foreign.cast("double").alias("foreign"), most.cast("double").alias("most"), has.cast("double").alias("has"))
 
-    lines, n = F.transform(words, of_line), F.size(words)
+    return F.transform(words, of_line)
+
+
+def _windows(words: Column, lines: Column, model: Model) -> Column:
+    """Texts of the windows of ``words`` (terms of each line) that a template may be close to, by ``_line_bounds``. Both
+    are columns of a projection below, so that no window computes them again."""
+    n = F.size(words)
 
     def starts(size: int, step: int) -> Column:
         at = F.when(n > size, F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)), F.lit(step)))
@@ -196,7 +202,7 @@ def license_scan(files: DataFrame, templates: list[tuple[str, str]] | None = Non
     spark, templates = files.sparkSession, TEMPLATES if templates is None else templates
     files = files.select("file", "path", "text")
     vocabulary = sorted({t for _, body in templates for t in re.findall(WORD, body.lower())})
-    seen = files.select(F.explode(F.array_intersect(F.array_distinct(_terms(F.col("text"))), F.array(*map(F.lit, vocabulary)))).alias("term"))
+    seen = files.select(F.explode(F.array_intersect(_terms(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("term"))
     df = {r["term"]: r["df"] for r in seen.groupBy("term").agg(F.count("*").alias("df")).collect()} if vocabulary else {}  # of the templates' terms
     model = Model(templates, df, files.count(), least)
 
@@ -206,7 +212,8 @@ def license_scan(files: DataFrame, templates: list[tuple[str, str]] | None = Non
         wanted = F.arrays_overlap(_terms(F.col("text")), F.array(*map(F.lit, sorted(model.prefix))))
         x = x.withColumn("lines", F.when(wanted, F.when(F.col("is_file"), F.split("text", "\n")).otherwise(header(F.col("text")))))
         x = x.withColumn("words", F.transform(F.filter("lines", lambda line: ~F.lower(line).rlike(RIGHTS)), _terms))
-        x = x.withColumn("words", F.filter("words", lambda line: F.size(line) > 0)).withColumn("windows", _windows(F.col("words"), model))
+        x = x.withColumn("words", F.filter("words", lambda line: F.size(line) > 0)).withColumn("bounds", _line_bounds(F.col("words"), model))
+        x = x.withColumn("windows", _windows(F.col("words"), F.col("bounds"), model))
     else:
         x = x.withColumn("windows", F.lit(None).cast("array<string>"))
     # a row's number is that of the settled row

@@ -3,7 +3,8 @@
 Native: DataFrame functions only. Every source gets ``least(level * weight, cap * size)`` words, where the level
 solves ``sum = share * total``. Sources are clamped at ``cap`` times their size; what they cannot take goes to the
 others in proportion to their weights until nothing is above its cap (solved in closed form over the sources sorted
-by the level at which they are clamped).
+by the level at which they are clamped). That is one task over a row of 40 bytes for each source, so sources may number
+millions (all hosts of a crawl, say), and more than ``MOST_SOURCES`` are refused.
 
 A source with target/size = e takes every document floor(e) times, and a fraction e - floor(e) of its words once
 more. The extra documents are the first in a seeded order, up to that many words: large documents (over 1/64 of
@@ -24,6 +25,7 @@ from cobordia.session import keep_keys, settle, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED, BUCKETS, LARGE = 1.5, 2, "mix-1", 4096, 64
+MOST_SOURCES = 20_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -68,7 +70,9 @@ def mix_sources(
     """One row per document: key, size, source, source_size, target, place (seeded order), repeats, taken."""
     x = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _place(F.col(key), seed).alias("place"))
     x = settle(x)
-    sizes = x.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = settle(x.groupBy("source").agg(F.sum("size").alias("source_size")))
+    if sizes.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
+        raise ValueError(f"there are more than {MOST_SOURCES} sources")
     nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     sizes = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (nth % len(weights) + 1).cast("int")).cast("long"))
     goals = water_fill(sizes, share, cap)
