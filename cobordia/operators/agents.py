@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cobordia.operators.partition import CELL, both_ways
+from cobordia.operators.partition import CELL, both_ways, local_complex
 
 
 def local_signal(signal: DataFrame, index: DataFrame) -> DataFrame:
@@ -69,6 +69,15 @@ def global_agent(cells: DataFrame) -> DataFrame:
 
 
 def overlap_mean(local: DataFrame, cells: DataFrame, value: str = "x") -> DataFrame:
-    """Mean over clusters' copies of each cell; 0 where no cluster has one."""
-    mean = local.groupBy(*CELL).agg(F.avg(value).alias(value))
-    return cells.join(mean, CELL, "left").select(*CELL, F.coalesce(value, F.lit(0.0)).alias(value))
+    """Mean over clusters' copies of each cell; 0 where no cluster has one. If ``cells`` has steps ``t``, of each step."""
+    by = [*CELL, "t"] if "t" in cells.columns else CELL
+    mean = local.groupBy(*by).agg(F.avg(value).alias(value))
+    return cells.join(mean, by, "left").select(*by, F.coalesce(value, F.lit(0.0)).alias(value))
+
+
+def in_equals_out_view(index: DataFrame, owned: DataFrame, boundaries: dict[int, DataFrame], signal: DataFrame, neighbours: DataFrame) -> dict[str, DataFrame]:
+    """The view of agents that see no more than what they predict: ``index`` cut to predicted cells and renumbered, the
+    ``complex`` and ``signal`` of these, and the ``neighbours`` maps (src, dst, dim, cell_id) less all other cells."""
+    own = partial_indices(index, owned).filter("is_out").select("cluster_id", *CELL)
+    cut = in_equals_out(index, own)
+    return {"index": cut, "complex": local_complex(boundaries, cut), "signal": local_signal(signal, cut), "neighbours": only_local(neighbours, cut)}

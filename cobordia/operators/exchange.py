@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cobordia.session import counted
+
 CELL = ["dim", "cell_id"]
 
 
@@ -41,7 +43,7 @@ def fresh(inbox: DataFrame, now: DataFrame, accept_stale: bool = False) -> DataF
     keys = ["src", "dst", "kind", *CELL]
     if not accept_stale:
         return inbox.join(now, "t")
-    seen = inbox.select(*keys).distinct().join(F.broadcast(now))  # a timeline: as many rows as steps
+    seen = inbox.select(*keys).distinct().crossJoin(counted(now))  # a timeline: as many rows as steps
     x = seen.join(inbox, [*keys, "t"], "left")
     w = Window.partitionBy(*keys).orderBy("t")
     return x.withColumn("value", F.last("value", ignorenulls=True).over(w)).filter("value is not null")

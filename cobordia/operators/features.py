@@ -6,22 +6,26 @@ the cell, with a sum grouped by (cell, step, feature).
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cobordia.operators import incidence as A
+from cobordia.session import counted
 
 
 def centre(signal: DataFrame) -> DataFrame:
     """Each dimension less one mean over all its cells and steps. It looks ahead, so it is for batch only."""
-    return signal.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy("dim")))
+    means = signal.groupBy("dim").agg(F.avg("x").alias("mean"))  # a row per dimension
+    return signal.join(F.broadcast(means), "dim").select(*(c for c in signal.columns if c != "x"), (F.col("x") - F.col("mean")).alias("x"))
 
 
 def fill(signal: DataFrame, cells: DataFrame, times: DataFrame, keys: list[str]) -> DataFrame:
-    """Every cell at every step of ``times`` (a timeline, so it is broadcast), 0 where the signal has nothing."""
-    grid = cells.select(*keys).distinct().join(F.broadcast(times.select("t").distinct()))
+    """Every cell at every step of ``times`` (a timeline: counted, then broadcast), 0 where the signal has nothing."""
+    grid = cells.select(*keys).distinct().crossJoin(counted(times.select("t").distinct()))
     return grid.join(signal, [*keys, "t"], "left").na.fill({"x": 0})
 
 
@@ -38,6 +42,12 @@ def snapshot(signal: DataFrame, t: int) -> DataFrame:
     return signal.filter(F.col("t") == t)
 
 
+def append(signal: DataFrame, values: DataFrame) -> DataFrame:
+    """The signal with one more step, of ``values`` (the signal's other columns): the step after the last one."""
+    last = signal.agg(F.max("t")).first()[0]
+    return signal.unionByName(values.withColumn("t", F.lit(0 if last is None else last + 1).cast("long")))
+
+
 def lags(signal: DataFrame, most: int, least: int = 1, by: tuple[str, ...] = ("cell_id",)) -> DataFrame:
     """(by, t, lag, x): the values ``least``..``most`` steps before each step; before the first one, 0."""
     w = Window.partitionBy(*by).orderBy("t")
@@ -93,24 +103,39 @@ def ccvar(
         parts.append(("u", A.each_times(A.powers(upper, k, first), b), x))
     out = [_applied(stack, lags(x, lag)).select("i", "t", F.lit(name).alias("block"), "k", "lag", F.col("s").cast("double").alias("s")) for name, stack, x in parts]
     if bias:
-        times = signal.select("t").distinct()
-        one = cells.select(F.col(cells.columns[0]).alias("i")).join(F.broadcast(times))
+        one = cells.select(F.col(cells.columns[0]).alias("cell_id")).join(signal.select("cell_id", "t"), "cell_id").withColumnRenamed("cell_id", "i")
         zero = F.lit(0).cast("long")
         out.append(one.select("i", "t", F.lit("b").alias("block"), zero.alias("k"), zero.alias("lag"), F.lit(1.0).alias("s")))
     return reduce(DataFrame.unionByName, out)
 
 
-def normalise(features: DataFrame, signal: DataFrame) -> DataFrame:
-    """Each feature column of a step over its norm (√0.001 for an empty one), times the norm of the latest values."""
-    w = Window.partitionBy("t", "block", "k", "lag")
-    square = F.sum(F.col("s") * F.col("s")).over(w)
-    x = lags(signal, 1).groupBy("t").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("scale"))
-    scaled = F.col("s") / F.sqrt(F.when(square == 0, 0.001).otherwise(square))
-    return features.withColumn("s", scaled).join(x, "t").withColumn("s", F.col("s") * F.col("scale")).drop("scale")
+def normalise(features: DataFrame, signal: DataFrame, agent: Callable[[str], Column] | None = None, b: float = 1.0) -> DataFrame:
+    """Each feature column of a step over its norm (√0.001 for an empty one), times a scale: the norm of the latest
+    values, or with ``b`` below 1 their running mean, scale_t = (1 - b) scale_(t-1) + b norm_t from 0.
 
-
-def numbered(features: DataFrame) -> DataFrame:
-    """(i, t, f, s): feature columns numbered by block order, power and lag."""
+    ``agent``: the agent of a cell, from the cell's column, where several agents' columns are told apart.
+    """
+    own = ["agent", "t"]
+    agent = agent or (lambda _: F.lit(0))
+    features = features.withColumn("agent", agent("i"))
+    square = features.groupBy(*own, "block", "k", "lag").agg(F.sum(F.col("s") * F.col("s")).alias("square"))
+    x = lags(signal, 1).withColumn("agent", agent("cell_id")).groupBy(*own).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("val"))
+    x = (x if b == 1 else ewma(x, ["agent"], 1 - b)).withColumnRenamed("val", "scale")
+    scaled = F.col("s") / F.sqrt(F.when(F.col("square") == 0, 0.001).otherwise(F.col("square"))) * F.col("scale")
+    return features.join(square, [*own, "block", "k", "lag"]).join(x, own).select("i", "t", "block", "k", "lag", scaled.alias("s"))
+
+
+def layout(powers: dict[str, int], lag: int, bias: bool = True) -> list[tuple[str, int, int]]:
+    """(block, k, lag) of all feature columns, in order; ``powers``: of the blocks there are."""
+    out = [(block, k, p) for block in ("l", "sl", "su", "u") if block in powers for k in range(1, powers[block] + 1) for p in range(1, lag + 1)]
+    return out + [("b", 0, 0)] * bias
+
+
+def numbered(features: DataFrame, columns: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """(i, t, f, s): feature columns numbered by ``columns``, or those there are by block order, power and lag."""
+    if columns is not None:
+        keys = features.sparkSession.createDataFrame([(*c, n) for n, c in enumerate(columns)], "block string, k long, lag long, f long")
+        return features.join(F.broadcast(keys), ["block", "k", "lag"]).select("i", "t", "f", "s")
     at = F.array_position(F.array(*map(F.lit, ("l", "sl", "su", "u", "b"))), F.col("block"))
     keys = features.select("block", "k", "lag").distinct().withColumn("f", (F.row_number().over(Window.orderBy(at, "k", "lag")) - 1).cast("long"))
     return features.join(F.broadcast(keys), ["block", "k", "lag"]).select("i", "t", "f", "s")  # as many rows as columns
@@ -129,10 +154,18 @@ def right_hand_side(features: DataFrame, signal: DataFrame) -> DataFrame:
 
 def ewma(series: DataFrame, keys: list[str], gamma: float, start: int = 0) -> DataFrame:
     """state_t = γ state_(t-1) + (1-γ) val_t from 0, for every key and step, in closed form: a running sum of
-    val · γ^-t, rescaled. Steps are counted from ``start``; for long timelines use the fold (γ^-t grows)."""
-    w = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    lift = F.pow(F.lit(gamma), start - F.col("t"))
-    return series.withColumn("val", (1 - gamma) * F.sum(F.col("val") * lift).over(w) / lift)
+    val · γ^-t, rescaled. Steps are counted from ``start`` in segments in which γ^-t stays below 1e100; a segment starts
+    from the end of the one before, and what is older weighs less than 1e-100."""
+    if gamma == 0:
+        return series
+    length = max(1, int(100 / -math.log10(gamma))) if gamma < 1 else 1 << 62
+    part = F.floor((F.col("t") - start) / F.lit(length))
+    x = series.withColumn("part", part).withColumn("lift", F.pow(F.lit(gamma), F.col("part") * length + start - F.col("t")))
+    w = Window.partitionBy(*keys, "part").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("val", (1 - gamma) * F.sum(F.col("val") * F.col("lift")).over(w) / F.col("lift"))
+    ends = x.groupBy(*keys, (F.col("part") + 1).alias("part")).agg(F.max_by("val", "t").alias("end"), F.max("t").alias("at"))
+    carried = F.coalesce(F.col("end") * F.pow(F.lit(gamma), F.col("t") - F.col("at")), F.lit(0.0))
+    return x.join(ends, [*keys, "part"], "left").withColumn("val", F.col("val") + carried).select(*series.columns)
 
 
 def soft_threshold(x: Column, by: Column | float) -> Column:

@@ -1,8 +1,13 @@
 """Online learners: what depends on data alone is computed set-wise, and only parameters are folded over time.
 
-A step of any learner here needs, per agent, the F x F matrix SᵀRS and the vector Sᵀy of its features S and targets y.
-Those come from joins and sums over the whole timeline. The fold then runs through the steps of a case in one group,
-where agents exchange parameters; it holds a few F x F matrices per agent and no signal. Cases run in parallel.
+A step of any learner here needs, per agent and dimension, the F x F matrix SᵀRS and the vector Sᵀy of its features S
+and targets y. Those come from joins and sums over the whole timeline. Dimensions have parameters, states and step
+sizes of their own, and mixing is element by element, so each is folded for itself.
+
+Agents that exchange nothing are folded in a group each. Those that do are folded together, all agents of a case and
+dimension in one group, as long as their matrices have at most ``TOGETHER`` numbers; that is counted first. Beyond it
+each stretch between two exchanges is folded in a group per agent, and the exchange is a join on the sparse weights
+(``stepwise``): a settled table for each exchange, and no group that grows with the agents.
 """
 
 from __future__ import annotations
@@ -15,15 +20,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cobordia.operators import consensus as C
 from cobordia.session import settle
 
-THETA = "case_id long, agent long, t long, idx long, value double"
+THETA = "case_id long, dim long, agent long, t long, idx long, value double"
+STATE = "agent long, theta array<double>, phi array<double>, r array<double>, history array<double>, correction array<double>, z array<double>, path array<struct<t:long,theta:array<double>>>"
+TOGETHER = 1 << 25
+Weights = np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 @dataclass(frozen=True)
 class Rule:
     """How a case learns: forgetting ``gamma`` (0: the current step only), ``mixing`` "none", "atc" or "kgt" every
-    ``clock`` steps, K-GT's constants, Lasso threshold and a factor of the step size."""
+    ``clock`` steps, K-GT's constants, Lasso threshold and a factor of the step size.
+
+    ``consensus``: "gated" agents mix when parameters of a neighbour arrived at that step, "always" at every step with
+    what arrived (nothing between two ticks: only their own share is left), "never" not at all.
+    """
 
     gamma: float = 0.98
     mixing: str = "none"
@@ -33,7 +46,7 @@ class Rule:
     s: float = 1.0
     threshold: float = 0.0
     eta: float = 1.0
-    consensus: str = "always"
+    consensus: str = "gated"
 
     def __post_init__(self) -> None:
         if self.mixing not in ("none", "atc", "kgt"):
@@ -49,104 +62,224 @@ def step_size(phi: np.ndarray) -> np.ndarray:
     return 1.0 / (1e-4 + np.linalg.eigvalsh(phi)[..., -1])
 
 
-def run_fold(grams: np.ndarray, rhs: np.ndarray, weights: np.ndarray, rule: Rule) -> np.ndarray:
-    """θ after each step, (T, agents, F), from (T, agents, F, F) and (T, agents, F) and an agents x agents mixing
-    matrix (row: receiver)."""
-    steps, agents, width = rhs.shape
-    theta, phi, r = np.zeros((agents, width)), np.zeros((agents, width, width)), np.zeros((agents, width))
-    history, correction = np.zeros((agents, width)), np.zeros((agents, width))
-    own = np.diag(weights)[:, None]
-    # gated: only agents that hear from a neighbour mix
-    hears = ((weights - np.diag(np.diag(weights))) != 0).any(axis=1)[:, None] | (rule.consensus == "always")
-    out = np.empty((steps, agents, width))
-    for t in range(steps):
-        phi = rule.gamma * phi + (1 - rule.gamma) * grams[t]
-        r = rule.gamma * r + (1 - rule.gamma) * rhs[t]
-        gradient = np.einsum("aij,aj->ai", phi, theta) - r
+class Fold:
+    """Parameters and states of some agents, and their steps; rows are agents."""
+
+    NAMES = ("theta", "phi", "r", "history", "correction", "z")
+
+    def __init__(self, agents: int, width: int, rule: Rule) -> None:
+        self.rule = rule
+        self.theta, self.r, self.history, self.correction, self.z = (np.zeros((agents, width)) for _ in range(5))
+        self.phi = np.zeros((agents, width, width))
+
+    def local(self, gram: np.ndarray, rhs: np.ndarray) -> None:
+        rule = self.rule
+        self.phi = rule.gamma * self.phi + (1 - rule.gamma) * gram
+        self.r = rule.gamma * self.r + (1 - rule.gamma) * rhs
+        gradient = np.einsum("aij,aj->ai", self.phi, self.theta) - self.r
         if rule.mixing == "kgt":
-            gradient = rule.c * (gradient + correction)
-        theta = theta - rule.eta * step_size(phi)[:, None] * gradient
+            gradient = rule.c * (gradient + self.correction)
+        self.theta = self.theta - rule.eta * step_size(self.phi)[:, None] * gradient
         if rule.threshold:
-            theta = np.sign(theta) * np.maximum(np.abs(theta) - rule.threshold, 0)
-        if t % rule.clock == 0 and rule.mixing != "none" and rule.consensus != "never" and agents > 1:
-            if rule.mixing == "atc":
-                theta = np.where(hears, weights @ theta, theta)
-            else:
-                z = (history - theta) / (rule.k * rule.c)
-                correction = correction - z + weights @ z
-                kcs = rule.k * rule.c * rule.s
-                moved = theta - kcs * z
-                theta = np.where(hears, own * (history - kcs * z) + (weights @ moved - own * moved), theta)
-                history = theta
-        out[t] = theta
+            self.theta = np.sign(self.theta) * np.maximum(np.abs(self.theta) - rule.threshold, 0)
+
+    def mix(self, own: np.ndarray, others, who: np.ndarray, sent: bool) -> None:
+        """One consensus of the agents ``who``: ``own`` weights (a column), ``others(x)`` the weighted sum of what came,
+        ``sent``: is it a step at which parameters are sent."""
+        rule = self.rule
+        if rule.mixing == "atc":
+            self.theta = np.where(who, own * self.theta + others(self.theta), self.theta)
+            return
+        kcs = rule.k * rule.c * rule.s
+        if sent:
+            self.z = (self.history - self.theta) / (rule.k * rule.c)
+        theta = own * (self.history - kcs * self.z) + others(self.theta - kcs * self.z)
+        self.correction = np.where(who, self.correction - self.z + own * self.z + others(self.z), self.correction)
+        self.theta = np.where(who, theta, self.theta)
+        self.history = np.where(who, theta, self.history)
+
+
+def _nothing(x: np.ndarray) -> np.ndarray:
+    return np.zeros_like(x)
+
+
+def run_fold(grams: np.ndarray, rhs: np.ndarray, weights: Weights, rule: Rule, times: list[int] | None = None) -> np.ndarray:
+    """θ after each step, (T, agents, F), from (T, agents, F, F) and (T, agents, F) and mixing weights: a matrix (row:
+    receiver), or its entries (receiver, sender, weight). ``times``: the steps' numbers, 0, 1, ... by default."""
+    steps, agents, width = rhs.shape
+    if isinstance(weights, np.ndarray):
+        weights = (*np.nonzero(weights), weights[np.nonzero(weights)])
+    src, dst, w = weights
+    own = np.zeros((agents, 1))
+    own[src[src == dst], 0] = w[src == dst]
+    src, dst, w = src[src != dst], dst[src != dst], w[src != dst]
+    hears, every = np.isin(np.arange(agents), src)[:, None], np.ones((agents, 1), bool)
+
+    def others(x: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(x)
+        np.add.at(out, src, w[:, None] * x[dst])
+        return out
+
+    fold, out = Fold(agents, width, rule), np.empty((steps, agents, width))
+    for n, t in enumerate(times if times is not None else range(steps)):
+        fold.local(grams[n], rhs[n])
+        ticks = t % rule.clock == 0
+        if rule.mixing != "none" and (rule.consensus == "always" or (rule.consensus == "gated" and ticks)):
+            fold.mix(own, others if ticks else _nothing, hears if rule.consensus == "gated" else every, ticks)
+        out[n] = fold.theta
     return out
 
 
-def sequential(grams: DataFrame, rhs: DataFrame, weights: DataFrame, rules: dict[int, Rule], width: int) -> DataFrame:
-    """(THETA) of every case. ``grams``: (case_id, agent, t, f, g, val); ``rhs``: (case_id, agent, t, f, val);
-    ``weights``: (case_id, src, dst, w). Steps are those of ``rhs``; entries without a row are 0."""
-    keys = ["case_id", "agent", "t"]
+def _dense(cells, into: np.ndarray) -> None:
+    if cells is not None:
+        for e in cells:
+            into[e["k"]] = e["v"]
+
+
+def _history(case: int, dim: int, agents: list, times: list, theta: np.ndarray) -> pd.DataFrame:
+    t, n, f = np.indices(theta.shape).reshape(3, -1)
+    return pd.DataFrame({"case_id": case, "dim": dim, "agent": np.asarray(agents)[n], "t": np.asarray(times)[t], "idx": f, "value": theta.ravel()})
+
+
+def sequential(grams: DataFrame, rhs: DataFrame, weights: DataFrame, rules: dict[int, Rule], width: int | dict[int, int], together: int = TOGETHER) -> DataFrame:
+    """(THETA) of every case. ``grams``: (case_id, dim, agent, t, f, g, val); ``rhs``: (case_id, dim, agent, t, f, val);
+    ``weights``: (case_id, src, dst, w). Steps are those of ``rhs``; entries without a row are 0. ``width``: features, of
+    each dimension if they differ."""
+    widths = {d: width for d in range(3)} if isinstance(width, int) else width
+    keys = ["case_id", "dim", "agent", "t"]
+    wide = F.element_at(F.create_map(*(F.lit(int(x)) for kv in widths.items() for x in kv)), F.col("dim").cast("int"))
     # a step's matrix as one row: at most width * width entries
-    a = grams.groupBy(*keys).agg(F.collect_list(F.struct((F.col("f") * width + F.col("g")).cast("int").alias("k"), F.col("val").cast("double").alias("v"))).alias("gram"))
+    a = grams.groupBy(*keys).agg(F.collect_list(F.struct((F.col("f") * wide + F.col("g")).cast("int").alias("k"), F.col("val").cast("double").alias("v"))).alias("gram"))
     b = rhs.groupBy(*keys).agg(F.collect_list(F.struct(F.col("f").cast("int").alias("k"), F.col("val").cast("double").alias("v"))).alias("rhs"))
-    rows = b.join(a, keys, "left")
+    rows = settle(b.join(a, keys, "left"))
+    none = [c for c, r in rules.items() if r.mixing == "none" or r.consensus == "never"]
 
     def fold(steps: pd.DataFrame, mix: pd.DataFrame) -> pd.DataFrame:
         if steps.empty:
             return pd.DataFrame({n.split()[0]: [] for n in THETA.split(", ")})
-        case = int(steps.case_id.iloc[0])
+        case, dim = int(steps.case_id.iloc[0]), int(steps.dim.iloc[0])
+        n = widths[dim]
         agents, times = sorted(steps.agent.unique()), sorted(steps.t.unique())
-        place, when = {a: n for n, a in enumerate(agents)}, {t: n for n, t in enumerate(times)}
-        g, r = np.zeros((len(times), len(agents), width * width)), np.zeros((len(times), len(agents), width))
+        place, when = {a: k for k, a in enumerate(agents)}, {t: k for k, t in enumerate(times)}
+        g, r = np.zeros((len(times), len(agents), n * n)), np.zeros((len(times), len(agents), n))
         for row in steps.itertuples():
             at = when[row.t], place[row.agent]
-            for cells, full in ((row.gram, g), (row.rhs, r)):
-                if cells is not None:
-                    for e in cells:
-                        full[at][e["k"]] = e["v"]
-        w = np.eye(len(agents)) if mix.empty else np.zeros((len(agents), len(agents)))
-        for row in mix.itertuples():
-            if row.src in place and row.dst in place:
-                w[place[row.src], place[row.dst]] = row.w
-        theta = run_fold(g.reshape(len(times), len(agents), width, width), r, w, rules[case])
-        t, n, f = np.indices(theta.shape).reshape(3, -1)
-        return pd.DataFrame({"case_id": case, "agent": np.asarray(agents)[n], "t": np.asarray(times)[t], "idx": f, "value": theta.ravel()})
+            _dense(row.gram, g[at])
+            _dense(row.rhs, r[at])
+        known = [(place[i], place[j], w) for i, j, w in zip(mix.src, mix.dst, mix.w, strict=True) if i in place and j in place]
+        w = tuple(np.asarray(c) for c in zip(*known, strict=True)) if known else np.eye(len(agents))
+        return _history(case, dim, agents, times, run_fold(g.reshape(len(times), len(agents), n, n), r, w, rules[case], times))
+
+    out = []
+    if none:
+        nobody = pd.DataFrame({"src": [], "dst": [], "w": []})
+        alone = rows.filter(F.col("case_id").isin(none)).groupBy("case_id", "dim", "agent")
+        out.append(alone.applyInPandas(lambda steps: fold(steps, nobody), THETA))
+    if len(none) < len(rules):
+        meet = rows.filter(~F.col("case_id").isin(none))
+        sizes = {(r["case_id"], r["dim"]): r["n"] for r in meet.groupBy("case_id", "dim").agg(F.count("*").alias("n")).collect()}  # cases by dimensions
+        large = [k for k, n in sizes.items() if n * widths[k[1]] ** 2 > together]
+        for case, dim in large:
+            own = meet.filter((F.col("case_id") == case) & (F.col("dim") == dim))
+            out.append(stepwise(own, weights.filter(F.col("case_id") == case), rules[case], widths[dim], case, dim))
+        if len(large) < len(sizes):
+            for case, dim in large:
+                meet = meet.filter((F.col("case_id") != case) | (F.col("dim") != dim))
+            dims = rows.sparkSession.createDataFrame([k for k in sorted(sizes) if k not in large], "case_id long, dim long")
+            mixes = weights.join(F.broadcast(dims), "case_id")  # cases by dimensions
+            out.append(meet.groupBy("case_id", "dim").cogroup(mixes.groupBy("case_id", "dim")).applyInPandas(lambda a, b: fold(a, b), THETA))
+    return reduce(DataFrame.unionByName, out) if out else rows.limit(0).selectExpr("case_id", "dim", "agent", "t", "0L as idx", "0D as value")
+
 
-    return rows.groupBy("case_id").cogroup(weights.groupBy("case_id")).applyInPandas(lambda a, b: fold(a, b), THETA)
+def stepwise(rows: DataFrame, weights: DataFrame, rule: Rule, width: int, case: int, dim: int) -> DataFrame:
+    """(THETA) of one case and dimension: a group per agent between two exchanges, and a join on the weights at each."""
+    weights = settle(weights.select("src", "dst", "w"))
+    heard = weights.filter("src <> dst").select(F.col("src").alias("agent")).distinct() if rule.consensus == "gated" else weights.select(F.col("src").alias("agent")).distinct()
+    own = weights.filter("src = dst").select(F.col("src").alias("agent"), F.col("w").alias("own"))
+    rows = settle(rows.select("agent", "t", "rhs", "gram").join(own, "agent", "left"))
+    times = sorted(r["t"] for r in rows.select("t").distinct().collect())  # a timeline
+    shapes = {n: (width, width) if n == "phi" else (width,) for n in Fold.NAMES}
+
+    def stretch(steps: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        fold, path = Fold(1, width, rule), []
+        for name in Fold.NAMES if len(state) else ():
+            setattr(fold, name, np.asarray(state[name].iloc[0]).reshape(1, *shapes[name]))
+        for row in steps.sort_values("t").itertuples():
+            g, r = np.zeros(width * width), np.zeros(width)
+            _dense(row.gram, g)
+            _dense(row.rhs, r)
+            fold.local(g.reshape(1, width, width), r[None])
+            if rule.consensus == "always" and row.t % rule.clock:
+                fold.mix(np.asarray([[0.0 if pd.isna(row.own) else row.own]]), _nothing, np.ones((1, 1), bool), False)
+            path.append({"t": int(row.t), "theta": fold.theta[0].tolist()})
+        agent = steps.agent.iloc[0] if len(steps) else state.agent.iloc[0]
+        return pd.DataFrame([{"agent": agent, **{n: getattr(fold, n).ravel().tolist() for n in Fold.NAMES}, "path": path}])
+
+    def vector(state: DataFrame, name: str) -> DataFrame:
+        return state.select("agent", F.posexplode(name).alias("idx", "value"))
+
+    state = rows.sparkSession.createDataFrame([], STATE)
+    out, first = [], 0
+    for n, t in enumerate(times):
+        if t % rule.clock and n + 1 < len(times):
+            continue
+        lot = rows.filter(F.col("t").between(times[first], t))
+        state = settle(lot.groupBy("agent").cogroup(state.groupBy("agent")).applyInPandas(lambda a, b: stretch(a, b), STATE))
+        moved = state.select("agent", F.explode("path").alias("p")).select("agent", "p.t", F.posexplode("p.theta").alias("idx", "value"))
+        first = n + 1
+        if t % rule.clock:
+            out.append(moved)
+            continue
+        out.append(moved.filter(F.col("t") < t))
+        theta = vector(state, "theta")
+        if rule.mixing == "atc":
+            mixed = {"theta": C.mix_atc(weights, theta)}
+        else:
+            z = settle(C.kgt_aux(theta, vector(state, "history"), rule.k, rule.c))
+            new = C.kgt_mix(weights, theta, vector(state, "history"), z, rule.k, rule.c, rule.s)
+            mixed = {"theta": new, "history": new, "correction": C.kgt_correction(vector(state, "correction"), z, weights)}
+        for name, table in mixed.items():
+            packed = table.join(heard, "agent", "left_semi").groupBy("agent").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("packed"))
+            state = state.join(packed, "agent", "left").withColumn(name, F.coalesce(F.col("packed.value"), F.col(name))).drop("packed")
+        if rule.mixing == "kgt":
+            packed = z.groupBy("agent").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("packed"))
+            state = state.join(packed, "agent", "left").withColumn("z", F.col("packed.value")).drop("packed")
+        state = settle(state.withColumn("path", F.lit(None).cast("array<struct<t:long,theta:array<double>>>")))
+        out.append(state.select("agent", F.lit(t).cast("long").alias("t"), F.posexplode("theta").alias("idx", "value")))
+    x = reduce(DataFrame.unionByName, out)
+    return x.select(F.lit(case).cast("long").alias("case_id"), F.lit(dim).cast("long").alias("dim"), "agent", "t", F.col("idx").cast("long").alias("idx"), "value")
 
 
 def predict(features: DataFrame, theta: DataFrame) -> DataFrame:
-    """One-step forecasts: features (case_id, agent, cell_id, t, f, s) of step t with the parameters of step t - 1."""
-    x = theta.select("case_id", "agent", (F.col("t") + 1).alias("t"), F.col("idx").alias("f"), "value")
-    return features.join(x, ["case_id", "agent", "t", "f"]).groupBy("case_id", "agent", "cell_id", "t").agg(F.sum(F.col("s") * F.col("value")).alias("yhat"))
+    """One-step forecasts: features (case_id, dim, agent, cell_id, t, f, s) of step t with the parameters of step t - 1."""
+    x = theta.select("case_id", "dim", "agent", (F.col("t") + 1).alias("t"), F.col("idx").alias("f"), "value")
+    return features.join(x, ["case_id", "dim", "agent", "t", "f"]).groupBy("case_id", "dim", "agent", "cell_id", "t").agg(F.sum(F.col("s") * F.col("value")).alias("yhat"))
 
 
-def rollout(stacks: dict[str, DataFrame], buffer: DataFrame, theta: DataFrame, lag: int, horizon: int, bias: bool = True) -> DataFrame:
-    """CC-VAR forecasts (t_made, horizon, cell_id, yhat) of one dimension, from all steps at once.
+def rollout(operator: DataFrame, buffer: DataFrame, theta: DataFrame, biases: dict[int, int], lag: int, horizon: int) -> DataFrame:
+    """CC-VAR forecasts (dim, i, t_made, horizon, yhat) of all dimensions, from all steps at once.
 
-    ``stacks``: block -> (k, i, j, val), in feature order; ``buffer``: (cell_id, t, lag, x) with lag 1 the value at t;
-    ``theta``: (t, f, value) after step t. Each round turns the buffers into features, predicts every cell with the
-    parameters of step t, and shifts the predictions in; a round is a few joins whatever the number of steps.
+    ``operator``: (dim, i, of, j, base, val), the entries by which cell j of dimension ``of`` enters the features base,
+    base + 1, ... of cell i, one for each lag; ``buffer``: (dim, i, t, lag, x) with lag 1 the value at t; ``theta``: (dim,
+    i, t, f, value), each cell's parameters after step t; ``biases``: dim -> number of the constant feature. Each round
+    turns the buffers into features, predicts every cell with the parameters of step t, and shifts the predictions in; a
+    round is a few joins whatever the number of steps.
     """
     if horizon < 1:
         raise ValueError("the horizon must be 1 or more")
-    out, start = [], 0
-    numbered = []
-    for stack in stacks.values():
-        most = stack.agg(F.max("k")).first()[0] or 0
-        numbered.append(stack.select("i", "j", "val", ((F.col("k") - 1) * lag + start).alias("base")))
-        start += most * lag
-    operator = settle(reduce(DataFrame.unionByName, numbered))
-    constant = theta.filter(F.col("f") == start).select("t", F.col("value").alias("b"))
+    out, theta, operator = [], settle(theta), settle(operator)
+    at = F.element_at(F.create_map(*(F.lit(int(x)) for kv in biases.items() for x in kv)), F.col("dim").cast("int")) if biases else F.lit(-1)
+    constant = theta.filter(F.col("f") == at).select("dim", "i", "t", F.col("value").alias("b"))
     for h in range(1, horizon + 1):
-        x = operator.join(buffer.select(F.col("cell_id").alias("j"), "t", "lag", "x"), "j").select("i", "t", (F.col("base") + F.col("lag") - 1).alias("f"), (F.col("val") * F.col("x")).alias("s"))
-        y = x.join(theta, ["t", "f"]).groupBy("i", "t").agg(F.sum(F.col("s") * F.col("value")).alias("y"))
-        cells = buffer.select(F.col("cell_id").alias("i"), "t").distinct()
-        y = cells.join(y, ["i", "t"], "left").join(constant, "t", "left")
-        y = settle(y.select(F.col("i").alias("cell_id"), "t", (F.coalesce("y", F.lit(0.0)) + (F.coalesce("b", F.lit(0.0)) if bias else F.lit(0.0))).alias("x")))
-        out.append(y.select(F.col("t").alias("t_made"), F.lit(h).cast("long").alias("horizon"), "cell_id", F.col("x").alias("yhat")))
-        older = buffer.filter(F.col("lag") < lag).select("cell_id", "t", (F.col("lag") + 1).alias("lag"), "x")
-        buffer = settle(older.unionByName(y.select("cell_id", "t", F.lit(1).cast("long").alias("lag"), "x")))
+        held = buffer.select(F.col("dim").alias("of"), F.col("i").alias("j"), "t", "lag", "x")
+        x = operator.join(held, ["of", "j"]).select("dim", "i", "t", (F.col("base") + F.col("lag") - 1).alias("f"), (F.col("val") * F.col("x")).alias("s"))
+        y = x.join(theta, ["dim", "i", "t", "f"]).groupBy("dim", "i", "t").agg(F.sum(F.col("s") * F.col("value")).alias("y"))
+        cells = buffer.filter("lag = 1").select("dim", "i", "t")
+        y = cells.join(y, ["dim", "i", "t"], "left").join(constant, ["dim", "i", "t"], "left")
+        y = settle(y.select("dim", "i", "t", (F.coalesce("y", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))).alias("x")))
+        out.append(y.select("dim", "i", F.col("t").alias("t_made"), F.lit(h).cast("long").alias("horizon"), F.col("x").alias("yhat")))
+        older = buffer.filter(F.col("lag") < lag).select("dim", "i", "t", (F.col("lag") + 1).alias("lag"), "x")
+        buffer = settle(older.unionByName(y.select("dim", "i", "t", F.lit(1).cast("long").alias("lag"), "x")))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -160,3 +293,31 @@ def topolms_forecast(x: np.ndarray, h: np.ndarray, lower: np.ndarray, upper: np.
         up = np.column_stack(((upper @ up)[:, 1:], y))
         down = lower @ np.column_stack((down[:, 1:], y)) if m else down
     return np.concatenate((up, down), axis=1) @ h
+
+
+def topolms_rollout(lower: DataFrame, upper: DataFrame, regressors: DataFrame, theta: DataFrame, m: int, horizon: int) -> DataFrame:
+    """``topolms_forecast`` of one agent as joins, from all steps at once: (i, t_made, horizon, yhat).
+
+    ``regressors``: (i, t, f, s) after step t; ``theta``: (t, f, value). Each round multiplies the upper features by the
+    upper Laplacian and the lower ones, with the prediction, by the lower one.
+    """
+    if horizon < 1:
+        raise ValueError("the horizon must be 1 or more")
+    x, out = settle(regressors.select("i", "t", "f", "s")), []
+    for h in range(1, horizon + 1):
+        y = settle(x.join(theta, ["t", "f"]).groupBy("i", "t").agg(F.sum(F.col("s") * F.col("value")).alias("s")))
+        out.append(y.select("i", F.col("t").alias("t_made"), F.lit(h).cast("long").alias("horizon"), F.col("s").alias("yhat")))
+        if h == horizon:
+            break
+
+        def moved(matrix: DataFrame, rows: DataFrame) -> DataFrame:
+            held = rows.select(F.col("i").alias("j"), "t", "f", "s")
+            return matrix.join(held, "j").groupBy("i", "t", "f").agg(F.sum(F.col("val") * F.col("s")).alias("s"))
+
+        parts = [y.select("i", "t", F.lit(m).cast("long").alias("f"), "s")]
+        if m:
+            shifted = x.filter(F.col("f").between(1, m)).withColumn("f", F.col("f") - 1)
+            newer = x.filter(F.col("f") > m + 1).withColumn("f", F.col("f") - 1).unionByName(y.select("i", "t", F.lit(2 * m).cast("long").alias("f"), "s"))
+            parts += [moved(upper, shifted), moved(lower, newer)]
+        x = settle(reduce(DataFrame.unionByName, parts))
+    return reduce(DataFrame.unionByName, out)

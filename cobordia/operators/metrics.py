@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cobordia.session import counted
+
 STEP = ["case_id", "dim", "i"]
 
 
@@ -40,7 +42,7 @@ def tv_metrics(x: DataFrame) -> DataFrame:
 def rolling_nmse(x: DataFrame, cells: DataFrame, steps: DataFrame) -> DataFrame:
     """Per cell cumulative squared error over cumulative energy, then the mean over cells with energy. A cell without
     a prediction at a step adds nothing there. ``steps``: (case_id, dim, i), as many rows as a timeline."""
-    grid = cells.select("dim", "cell_id").join(F.broadcast(steps), "dim")
+    grid = cells.select("dim", "cell_id").join(counted(steps), "dim")
     e = F.col("yhat") - F.col("y")
     w = Window.partitionBy("case_id", "dim", "cell_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     y = grid.join(x.select(*STEP, "cell_id", (e * e).alias("e"), (F.col("y") * F.col("y")).alias("g")), [*STEP, "cell_id"], "left").na.fill({"e": 0, "g": 0})
@@ -127,8 +129,8 @@ def comparison_table(long: DataFrame, cases: list[str]) -> DataFrame:
 
 def at_horizon(forecasts: DataFrame, h: int) -> DataFrame:
     """Forecasts of the horizon, or of the longest one there is."""
-    most = F.max("horizon").over(Window.partitionBy("case_id"))
-    return forecasts.withColumn("most", most).filter(F.col("horizon") == F.least(F.lit(h), F.col("most"))).drop("most")
+    most = forecasts.groupBy("case_id").agg(F.max("horizon").alias("most"))
+    return forecasts.join(most, "case_id").filter(F.col("horizon") == F.least(F.lit(h), F.col("most"))).drop("most")
 
 
 def persistence(signal: DataFrame, h: int) -> DataFrame:

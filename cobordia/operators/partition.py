@@ -6,6 +6,7 @@ from self-joins on a shared cell, never from a product of clusters.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 from functools import reduce
 
@@ -40,15 +41,22 @@ def check_dim(boundaries: N.Boundaries, dim: int) -> None:
 
 
 def only_edges(boundaries: N.Boundaries) -> dict[str, DataFrame]:
-    """One agent per edge: what each owns, its (empty) interface, and what it needs. ``needs`` has a row for each
-    connected pair and cell of the complex: keep it lazy, and filter it before use."""
+    """One agent per edge: what each owns, its (empty) interface, and what it needs: ``needs`` (src, dst, dim, cells,
+    but) stands for all ``cells`` cells of the dimension, less one's own edge ``but``. ``needed`` lists those of given pairs."""
     if 1 not in boundaries and 2 not in boundaries:
         raise ValueError("an edge partition needs a boundary of dimension 1 or 2")
     edges = N.cells(boundaries).filter("dim = 1")
     owned = edges.select(F.col("cell_id").alias("cluster_id"), "dim", "cell_id")
     graph = N.edge_adjacency(boundaries).select(F.col("i").alias("src"), F.col("j").alias("dst"))
-    others = N.cells(boundaries).join(graph, F.lit(True)).filter("dim <> 1 or cell_id <> src")
-    return {"owned": owned, "interface": owned.limit(0), "agent_graph": graph, "needs": others.select("src", "dst", "dim", "cell_id")}
+    counts = {r["dim"]: r["n"] for r in N.cell_counts(N.cells(boundaries)).collect()}  # a row per dimension
+    each = F.explode(F.array(*(F.struct(F.lit(d).cast("long").alias("dim"), F.lit(n - (d == 1)).cast("long").alias("cells")) for d, n in sorted(counts.items()))))
+    needs = graph.select("src", "dst", each.alias("x")).select("src", "dst", "x.dim", "x.cells", F.when(F.col("x.dim") == 1, F.col("src")).alias("but"))
+    return {"owned": owned, "interface": owned.limit(0), "agent_graph": graph, "needs": needs}
+
+
+def needed(needs: DataFrame, boundaries: N.Boundaries) -> DataFrame:
+    """(src, dst, dim, cell_id) of an edge partition's ``needs``, for the pairs wanted."""
+    return needs.join(N.cells(boundaries), "dim").filter("but is null or but <> cell_id").select("src", "dst", "dim", "cell_id")
 
 
 def modularity_score(graph: DataFrame, community: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -61,13 +69,18 @@ def modularity_score(graph: DataFrame, community: DataFrame, resolution: float =
     return each.crossJoin(F.broadcast(total)).agg(F.sum(part).alias("modularity"))  # a one-row total
 
 
-def greedy_modularity(graph: DataFrame, best_n: int = 1, resolution: float = 1.0) -> DataFrame:
+def greedy_modularity(graph: DataFrame, best_n: int = 1, resolution: float = 1.0, most: int = 20_000_000) -> DataFrame:
     """Communities (cluster_id, cell_id) by greedy merging (Clauset, Newman and Moore) in one task per graph.
 
     The largest gain goes first, of equals the pair with the smallest members. Merging goes on while it gains, and
     beyond that until ``best_n`` communities are left; it stops there even if merging would gain. Communities are
     numbered by size (largest first), then smallest member.
+
+    Every merge depends on the one before, so the graph (links only, no signal) is one task's; more than ``most`` rows of
+    it are refused. Gains wait in a heap; those of the merged pair's neighbours are entered anew, older ones are skipped.
     """
+    if graph.limit(most + 1).count() > most:
+        raise ValueError(f"a graph of more than {most} links is too large for greedy merging; use hop_partition")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = sorted({*pdf.i, *pdf.j})
@@ -78,21 +91,29 @@ def greedy_modularity(graph: DataFrame, best_n: int = 1, resolution: float = 1.0
             degree[i] += 1
             if i != j:
                 links[i][j] = links[i].get(j, 0.0) + 1
-        member = {v: [v] for v in nodes}
-        while len(member) > max(best_n, 1):
-            gains = [(2 * (w / two_m - resolution * degree[a] * degree[b] / two_m**2), -a, -b) for a in links for b, w in links[a].items() if a < b]
-            if not gains:
-                break
-            gain, a, b = max(gains)
-            if gain <= 0 and best_n <= 1:
+        member, age = {v: [v] for v in nodes}, dict.fromkeys(nodes, 0)
+
+        def entry(a: int, b: int) -> tuple:
+            a, b = min(a, b), max(a, b)
+            return -2 * (links[a][b] / two_m - resolution * degree[a] * degree[b] / two_m**2), a, b, age[a], age[b]
+
+        heap = [entry(a, b) for a in links for b in links[a] if a < b]
+        heapq.heapify(heap)
+        while heap and len(member) > max(best_n, 1):
+            loss, a, b, age_a, age_b = heapq.heappop(heap)
+            if a not in member or b not in member or (age[a], age[b]) != (age_a, age_b):
+                continue
+            if loss >= 0 and best_n <= 1:
                 break
-            a, b = -a, -b
             for c, w in links.pop(b).items():
                 del links[c][b]
                 if c != a:
                     links[a][c] = links[c][a] = links[a].get(c, 0.0) + w
             degree[a] += degree.pop(b)
             member[a] += member.pop(b)
+            age[a] += 1
+            for c in links[a]:
+                heapq.heappush(heap, entry(a, c))
         ranked = sorted(member.values(), key=lambda m: (-len(m), min(m)))
         return pd.DataFrame([(k, v) for k, m in enumerate(ranked) for v in sorted(m)], columns=["cluster_id", "cell_id"])
 

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cobordia.operators import features as X
+from cobordia.operators import incidence as A
 from cobordia.operators import partition as P
-from cobordia.session import settle, table
+from cobordia.session import counted, settle, table
 
 REACH = 3
 
@@ -83,7 +84,7 @@ class Fixture:
     def flows(self) -> DataFrame:
         """(edge_id, t, x) before the zero fill."""
         x = self.shipments().filter("s <> c").select(F.least("s", "c").alias("u"), F.greatest("s", "c").alias("v"), "t", F.when(F.col("s") < F.col("c"), F.col("q")).otherwise(-F.col("q")).alias("q"))
-        return x.join(F.broadcast(self.edges()), ["u", "v"]).groupBy("edge_id", "t").agg(F.sum("q").alias("x"))
+        return x.join(self.edges(), ["u", "v"]).groupBy("edge_id", "t").agg(F.sum("q").alias("x"))
 
     def months(self) -> DataFrame:
         """Months t with their numbers from 0."""
@@ -96,7 +97,7 @@ class Fixture:
         return x.select("month", (F.col("month") - F.col("first")).alias("t"))
 
     def _filled(self, x: DataFrame, dim: int, key: str) -> DataFrame:
-        x = x.withColumnRenamed("t", "month").join(F.broadcast(self.months()), "month").select(F.col(key).alias("cell_id"), "t", "x")
+        x = x.withColumnRenamed("t", "month").join(counted(self.months()), "month").select(F.col(key).alias("cell_id"), "t", "x")
         cells = self.cells().filter(F.col("dim") == dim).select("cell_id")
         return X.fill(x, cells, self.months(), ["cell_id"]).select("cell_id", "t", "x")
 
@@ -107,8 +108,6 @@ class Fixture:
         return self._filled(self.shipments().groupBy(F.col("s").alias("node_id"), "t").agg(F.sum("q").alias("x")), 0, "node_id")
 
     def face_signal(self) -> DataFrame:
-        from cobordia.operators import incidence as A
-
         return self._filled_face(A.apply(A.transpose(self.boundary_2()), self.edge_signal()))
 
     def _filled_face(self, x: DataFrame) -> DataFrame:
@@ -117,7 +116,12 @@ class Fixture:
 
     def signal(self) -> DataFrame:
         """(dim, cell_id, t, x) of all three."""
-        parts = [d.select(F.lit(k).cast("long").alias("dim"), "cell_id", "t", "x") for k, d in enumerate((self.node_signal(), self.edge_signal(), self.face_signal()))]
+        return self._once("signal", self._signal)
+
+    def _signal(self) -> DataFrame:
+        edge = settle(self.edge_signal())
+        face = self._filled_face(A.apply(A.transpose(self.boundary_2()), edge))
+        parts = [d.select(F.lit(k).cast("long").alias("dim"), "cell_id", "t", "x") for k, d in enumerate((self.node_signal(), edge, face))]
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
     def community(self) -> DataFrame:
@@ -125,46 +129,48 @@ class Fixture:
         return self.edges().join(region, "u").select("cluster_id", F.col("edge_id").alias("cell_id"))
 
     def partition(self, q: int = 1) -> P.Partition:
-        return P.partition(self.boundaries(), self.community(), 1, q)
+        if f"partition {q}" not in self._made:
+            self._made[f"partition {q}"] = P.partition(self.boundaries(), self.community(), 1, q)
+        return self._made[f"partition {q}"]
 
 
 #: The same tables in DuckDB SQL.
 SQL = """
 WITH nodes AS (SELECT n_nationkey::BIGINT AS node_id, n_regionkey::BIGINT AS region_id FROM nation),
-edges AS (SELECT row_number() OVER (ORDER BY a.node_id, b.node_id) - 1 AS edge_id, a.node_id AS u, b.node_id AS v FROM nodes a JOIN nodes b ON b.node_id - a.node_id BETWEEN 1 AND 3),
+edges AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a.node_id, b.node_id) - 1 AS edge_id, a.node_id AS u, b.node_id AS v FROM nodes a JOIN nodes b ON b.node_id - a.node_id BETWEEN 1 AND 3),
 faces AS (SELECT row_number() OVER (ORDER BY x.u, x.v, y.v) - 1 AS face_id, x.edge_id AS ab, y.edge_id AS bc, z.edge_id AS ac FROM edges x JOIN edges y ON y.u = x.v JOIN edges z ON z.u = x.u AND z.v = y.v),
-b1 AS (SELECT u AS i, edge_id AS j, -1::BIGINT AS val FROM edges UNION ALL SELECT v, edge_id, 1 FROM edges),
-b2 AS (SELECT ab AS i, face_id AS j, 1::BIGINT AS val FROM faces UNION ALL SELECT bc, face_id, 1 FROM faces UNION ALL SELECT ac, face_id, -1 FROM faces),
+b1 AS MATERIALIZED (SELECT u AS i, edge_id AS j, -1::BIGINT AS val FROM edges UNION ALL SELECT v, edge_id, 1 FROM edges),
+b2 AS MATERIALIZED (SELECT ab AS i, face_id AS j, 1::BIGINT AS val FROM faces UNION ALL SELECT bc, face_id, 1 FROM faces UNION ALL SELECT ac, face_id, -1 FROM faces),
 cells AS (SELECT 0::BIGINT AS dim, node_id AS cell_id FROM nodes UNION ALL SELECT 1, edge_id FROM edges UNION ALL SELECT 2, face_id FROM faces),
 l0 AS (SELECT a.i, b.i AS j, sum(a.val * b.val)::BIGINT AS val FROM b1 a JOIN b1 b ON a.j = b.j GROUP BY 1, 2 HAVING sum(a.val * b.val) <> 0),
 l1l AS (SELECT a.j AS i, b.j, sum(a.val * b.val)::BIGINT AS val FROM b1 a JOIN b1 b ON a.i = b.i GROUP BY 1, 2 HAVING sum(a.val * b.val) <> 0),
 l1u AS (SELECT a.i, b.i AS j, sum(a.val * b.val)::BIGINT AS val FROM b2 a JOIN b2 b ON a.j = b.j GROUP BY 1, 2 HAVING sum(a.val * b.val) <> 0),
 l2 AS (SELECT a.j AS i, b.j, sum(a.val * b.val)::BIGINT AS val FROM b2 a JOIN b2 b ON a.i = b.i GROUP BY 1, 2 HAVING sum(a.val * b.val) <> 0),
-h1 AS (SELECT i, j, sum(val)::BIGINT AS val FROM (SELECT * FROM l1l UNION ALL SELECT * FROM l1u) GROUP BY 1, 2 HAVING sum(val) <> 0),
-h1z AS (SELECT * FROM h1 WHERE i <> j),
-ship AS (SELECT s_nationkey::BIGINT AS s, c_nationkey::BIGINT AS c, (year(l_shipdate) * 12 + month(l_shipdate))::BIGINT AS month, sum(l_quantity)::BIGINT AS q
+h1 AS MATERIALIZED (SELECT i, j, sum(val)::BIGINT AS val FROM (SELECT * FROM l1l UNION ALL SELECT * FROM l1u) GROUP BY 1, 2 HAVING sum(val) <> 0),
+h1z AS MATERIALIZED (SELECT * FROM h1 WHERE i <> j),
+ship AS MATERIALIZED (SELECT s_nationkey::BIGINT AS s, c_nationkey::BIGINT AS c, (year(l_shipdate) * 12 + month(l_shipdate))::BIGINT AS month, sum(l_quantity)::BIGINT AS q
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3),
-flows AS (SELECT edge_id, month, sum(CASE WHEN s < c THEN q ELSE -q END)::BIGINT AS x FROM ship JOIN edges ON least(s, c) = u AND greatest(s, c) = v WHERE s <> c GROUP BY 1, 2),
+flows AS MATERIALIZED (SELECT edge_id, month, sum(CASE WHEN s < c THEN q ELSE -q END)::BIGINT AS x FROM ship JOIN edges ON least(s, c) = u AND greatest(s, c) = v WHERE s <> c GROUP BY 1, 2),
 span AS (SELECT min(year(l_shipdate) * 12 + month(l_shipdate))::BIGINT AS a, max(year(l_shipdate) * 12 + month(l_shipdate))::BIGINT AS b FROM lineitem),
 months AS (SELECT unnest(range(a, b + 1)) AS month, unnest(range(0, b - a + 1)) AS t FROM span),
-s1 AS (SELECT e.edge_id AS cell_id, m.t, coalesce(f.x, 0)::BIGINT AS x FROM edges e CROSS JOIN months m LEFT JOIN flows f ON f.edge_id = e.edge_id AND f.month = m.month),
-s0 AS (SELECT n.node_id AS cell_id, m.t, coalesce(f.x, 0)::BIGINT AS x FROM nodes n CROSS JOIN months m LEFT JOIN (SELECT s, month, sum(q) AS x FROM ship GROUP BY 1, 2) f ON f.s = n.node_id AND f.month = m.month),
-s2 AS (SELECT j AS cell_id, t, sum(val * x)::BIGINT AS x FROM b2 JOIN s1 ON s1.cell_id = b2.i GROUP BY 1, 2),
-signal AS (SELECT 0::BIGINT AS dim, * FROM s0 UNION ALL SELECT 1, * FROM s1 UNION ALL SELECT 2, * FROM s2),
+s1 AS MATERIALIZED (SELECT e.edge_id AS cell_id, m.t, coalesce(f.x, 0)::BIGINT AS x FROM edges e CROSS JOIN months m LEFT JOIN flows f ON f.edge_id = e.edge_id AND f.month = m.month),
+s0 AS MATERIALIZED (SELECT n.node_id AS cell_id, m.t, coalesce(f.x, 0)::BIGINT AS x FROM nodes n CROSS JOIN months m LEFT JOIN (SELECT s, month, sum(q) AS x FROM ship GROUP BY 1, 2) f ON f.s = n.node_id AND f.month = m.month),
+s2 AS MATERIALIZED (SELECT j AS cell_id, t, sum(val * x)::BIGINT AS x FROM b2 JOIN s1 ON s1.cell_id = b2.i GROUP BY 1, 2),
+signal AS MATERIALIZED (SELECT 0::BIGINT AS dim, * FROM s0 UNION ALL SELECT 1, * FROM s1 UNION ALL SELECT 2, * FROM s2),
 community AS (SELECT region_id AS cluster_id, edge_id AS cell_id FROM edges JOIN nodes ON node_id = u),
-adj AS (SELECT 1::BIGINT AS dim_from, j AS cell_from, 0::BIGINT AS dim_to, i AS cell_to FROM b1 UNION SELECT 0, i, 1, j FROM b1 UNION SELECT 2, j, 1, i FROM b2 UNION SELECT 1, i, 2, j FROM b2
+adj AS MATERIALIZED (SELECT 1::BIGINT AS dim_from, j AS cell_from, 0::BIGINT AS dim_to, i AS cell_to FROM b1 UNION SELECT 0, i, 1, j FROM b1 UNION SELECT 2, j, 1, i FROM b2 UNION SELECT 1, i, 2, j FROM b2
   UNION SELECT 2, b2.j, 0, b1.i FROM b2 JOIN b1 ON b1.j = b2.i UNION SELECT 0, b1.i, 2, b2.j FROM b2 JOIN b1 ON b1.j = b2.i
   UNION SELECT 0, i, 0, j FROM l0 UNION SELECT 1, i, 1, j FROM h1 UNION SELECT 2, i, 2, j FROM l2),
-owned0 AS (SELECT cluster_id, 1::BIGINT AS dim, cell_id FROM community UNION SELECT cluster_id, dim_to, cell_to FROM community JOIN adj ON dim_from = 1 AND cell_from = cell_id AND dim_to <> 1),
+owned0 AS MATERIALIZED (SELECT cluster_id, 1::BIGINT AS dim, cell_id FROM community UNION SELECT cluster_id, dim_to, cell_to FROM community JOIN adj ON dim_from = 1 AND cell_from = cell_id AND dim_to <> 1),
 iface AS (SELECT a.cluster_id AS c1, b.cluster_id AS c2, a.dim, a.cell_id FROM owned0 a JOIN owned0 b ON a.dim = b.dim AND a.cell_id = b.cell_id AND a.cluster_id < b.cluster_id AND a.dim <> 1),
-owned AS (SELECT * FROM owned0 o WHERE NOT EXISTS (SELECT 1 FROM iface f WHERE f.dim = o.dim AND f.cell_id = o.cell_id)),
-iface2 AS (SELECT c1 AS src, c2 AS dst, dim, cell_id FROM iface UNION ALL SELECT c2, c1, dim, cell_id FROM iface),
+owned AS MATERIALIZED (SELECT * FROM owned0 o WHERE NOT EXISTS (SELECT 1 FROM iface f WHERE f.dim = o.dim AND f.cell_id = o.cell_id)),
+iface2 AS MATERIALIZED (SELECT c1 AS src, c2 AS dst, dim, cell_id FROM iface UNION ALL SELECT c2, c1, dim, cell_id FROM iface),
 agraph AS (SELECT DISTINCT src, dst FROM iface2),
-need1 AS (SELECT DISTINCT a.cluster_id AS src, b.cluster_id AS dst, b.cell_id FROM community a JOIN h1z ON h1z.i = a.cell_id JOIN community b ON b.cell_id = h1z.j JOIN agraph g ON g.src = a.cluster_id AND g.dst = b.cluster_id WHERE a.cluster_id <> b.cluster_id),
+need1 AS MATERIALIZED (SELECT DISTINCT a.cluster_id AS src, b.cluster_id AS dst, b.cell_id FROM community a JOIN h1z ON h1z.i = a.cell_id JOIN community b ON b.cell_id = h1z.j JOIN agraph g ON g.src = a.cluster_id AND g.dst = b.cluster_id WHERE a.cluster_id <> b.cluster_id),
 need2 AS (SELECT DISTINCT src, dst, dim_to AS dim, cell_to AS cell_id FROM need1 JOIN adj ON dim_from = 1 AND cell_from = cell_id AND dim_to <> 1 WHERE (dst, dim_to, cell_to) IN (SELECT (cluster_id, dim, cell_id) FROM owned)),
-needs AS (SELECT src, dst, 1::BIGINT AS dim, cell_id FROM need1 UNION ALL SELECT * FROM need2),
+needs AS MATERIALIZED (SELECT src, dst, 1::BIGINT AS dim, cell_id FROM need1 UNION ALL SELECT * FROM need2),
 seen AS (SELECT * FROM owned UNION SELECT src, dim, cell_id FROM iface2 UNION SELECT src, dim, cell_id FROM needs),
-lidx AS (SELECT cluster_id, dim, row_number() OVER (PARTITION BY cluster_id, dim ORDER BY cell_id) - 1 AS pos, cell_id FROM seen),
+lidx AS MATERIALIZED (SELECT cluster_id, dim, row_number() OVER (PARTITION BY cluster_id, dim ORDER BY cell_id) - 1 AS pos, cell_id FROM seen),
 deg AS (SELECT src, count(*) AS degree FROM agraph GROUP BY src),
 wn AS (SELECT g.src, g.dst, 1.0::DOUBLE / (1 + greatest(a.degree, b.degree)) AS w FROM agraph g JOIN deg a ON a.src = g.src JOIN deg b ON b.src = g.dst),
 mhw AS (SELECT * FROM wn UNION ALL SELECT c.cluster_id, c.cluster_id, 1 - coalesce(sum(w), 0) FROM (SELECT DISTINCT cluster_id FROM community) c LEFT JOIN wn ON wn.src = c.cluster_id GROUP BY 1, 2)

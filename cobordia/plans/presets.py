@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
+from cobordia.operators.features import layout
 from cobordia.operators.learning import Rule
 
 
 @dataclass(frozen=True)
 class Clustering:
-    kind: str = "modularity"
+    """``kind``: "given" communities, "modularity", "hops" (of ``d`` hops), or "edges" (an agent per edge)."""
+
+    kind: str = "given"
     best_n: int = 7
     resolution: float = 1.5
     dim: int = 1
@@ -19,32 +22,63 @@ class Clustering:
 
 @dataclass(frozen=True)
 class Model:
+    """CC-VAR: enabled ``dims``, ``lag`` P, ``powers`` K and smoothing ``mu`` per dimension (a pair: lower and upper),
+    feature normalisation with its running factor ``b``; Topo-LMS: memory ``m``."""
+
     kind: str = "ccvar"
     horizon: int = 1
+    dims: tuple[int, ...] = (0, 1, 2)
     lag: int = 2
     powers: tuple = (2, (2, 2), 2)
-    mu: float = 0.0
+    mu: tuple = (0, (0, 0), 0)
     normalise: bool = False
+    b: float = 1.0
     bias: bool = True
     m: int = 2
 
-    def self_powers(self) -> tuple[int, int]:
-        """Powers of the lower and upper Laplacian; a single number stands for both."""
-        k = self.powers[1]
-        return (k, k) if isinstance(k, int) else tuple(k)
+    def __post_init__(self) -> None:
+        if self.kind not in ("ccvar", "topolms"):
+            raise ValueError(f"no model {self.kind}")
+        if self.horizon < 1 or self.lag < 1:
+            raise ValueError("horizons and lags are 1 or more")
+
+    def pair(self, values: tuple, dim: int) -> tuple:
+        """The lower and the upper value of a dimension; a single number stands for both."""
+        k = values[dim]
+        return tuple(k) if isinstance(k, tuple | list) else (k, k)
+
+    def columns(self, dim: int, below: bool, above: bool) -> list[tuple[str, int, int]]:
+        """Feature columns of a dimension, given whether there is a boundary below and above it."""
+        low, up = self.pair(self.powers, dim)
+        blocks = {"sl": low} if below else {}
+        blocks |= {"su": up} if above else {}
+        blocks |= {"l": low} if below and dim - 1 in self.dims else {}
+        blocks |= {"u": up} if above and dim + 1 in self.dims else {}
+        return layout(blocks, self.lag, self.bias)
 
 
 @dataclass(frozen=True)
 class Plan:
+    """``imputer``: what agents take for others' cells between exchanges: "hold", "zero" or "labels". ``inside``: agents
+    see no more than what they predict."""
+
     clustering: Clustering = field(default_factory=Clustering)
     model: Model = field(default_factory=Model)
     rule: Rule = field(default_factory=lambda: Rule(mixing="atc"))
     data_clock: int = 10
     imputer: str = "hold"
+    inside: bool = False
 
     def __post_init__(self) -> None:
-        if self.data_clock < 1 or self.model.horizon < 1:
-            raise ValueError("clocks and horizons are 1 or more")
+        if self.data_clock < 1:
+            raise ValueError("clocks tick every step or less often")
+        if self.imputer not in ("hold", "zero", "labels"):
+            raise ValueError(f"no imputer {self.imputer}")
+
+    def columns(self) -> dict[str, str]:
+        """Run metadata, flat, as columns for a result: C_data, C_param, K, ... in the order of the plan's parts."""
+        flat = {f"{part}_{k}": v for part in ("clustering", "model", "rule") for k, v in asdict(getattr(self, part)).items()}
+        return {k: str(v) for k, v in (flat | {"data_clock": self.data_clock, "imputer": self.imputer, "inside": self.inside}).items()}
 
 
 def merged(plan, **changes):
@@ -55,8 +89,9 @@ def merged(plan, **changes):
 PRESETS = {
     "default": Plan(),
     "hops": merged(Plan(), clustering={"kind": "hops", "q_hop": 5}),
-    "convergence": Plan(),
+    "modularity": merged(Plan(), clustering={"kind": "modularity"}),
     "communication": merged(Plan(), data_clock=1, rule={"clock": 100}),
-    "comparative": merged(Plan(), data_clock=1, rule={"clock": 1, "consensus": "gated"}, clustering={"kind": "edges"}),
-    "local": merged(Plan(), rule={"mixing": "none"}),
+    "comparative": merged(Plan(), data_clock=1, rule={"clock": 1}, clustering={"kind": "edges"}, model={"dims": (1,)}),
+    "local": merged(Plan(), rule={"mixing": "none"}, data_clock=1, inside=True),
+    "global": merged(Plan(), rule={"mixing": "none"}),
 }

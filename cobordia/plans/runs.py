@@ -1,29 +1,33 @@
 """Experiments: learners on whole, local and distributed agents, and what they are compared by.
 
-All agents of a case are one block-diagonal complex: a cell of cluster c has the id c * 2^32 + cell_id, so one set of
-joins makes the features of every agent. The signal is scaled by its standard deviation. Months run over the whole
-timeline; forecasts are one step ahead.
+Runners read a ``presets.Plan``: clustering, dimensions and powers of the model, smoothing, normalisation, horizon,
+clocks, imputer, mixing. All agents of a case are one block-diagonal complex: a cell of cluster c has the id c * 2^32 +
+cell_id, so one set of joins makes the features of every agent. Each dimension's signal is scaled by its standard
+deviation. Months run over the whole timeline.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cobordia.operators import agents as G
+from cobordia.operators import exchange as E
 from cobordia.operators import features as X
 from cobordia.operators import incidence as A
 from cobordia.operators import learning as L
 from cobordia.operators import metrics as M
 from cobordia.operators import partition as P
+from cobordia.plans import presets
 from cobordia.plans.fixture import Fixture
+from cobordia.plans.presets import PRESETS, Plan, merged
 from cobordia.session import settle
 
 QUERIES, SQL = {}, {}
-BLOCK, LAGS, POWERS = 1 << 32, 2, (2, 2)
-WIDTH = LAGS * sum(POWERS) + 1
+BLOCK = 1 << 32
 
 
 def query(name: str):
@@ -34,228 +38,412 @@ def query(name: str):
     return put
 
 
-def scaled(f: Fixture) -> DataFrame:
-    """Edge signal over its standard deviation."""
-    s = settle(f.edge_signal())
-    return settle(s.join(F.broadcast(s.agg(F.stddev_pop("x").alias("sd")))).select("cell_id", "t", (F.col("x") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).alias("x")))
-
-
 def _block(cluster: str, cell: str):
     return F.col(cluster) * F.lit(BLOCK) + F.col(cell)
 
 
-def agent_boundaries(f: Fixture, view: DataFrame) -> dict[int, DataFrame]:
+def _agent(column: str):
+    return F.floor(F.col(column) / BLOCK)
+
+
+def union(parts) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+@dataclass(frozen=True)
+class Case:
+    """A case ready to learn: block-diagonal boundaries and signal (dim, cell_id, t, x) of its agents, features (dim, i,
+    t, f, s), cells that are predicted (dim, i), mixing weights, and widths of the dimensions."""
+
+    plan: Plan
+    boundaries: dict[int, DataFrame]
+    signal: DataFrame
+    features: DataFrame
+    targets: DataFrame
+    weights: DataFrame
+    widths: dict[int, int]
+
+
+def scaled(f: Fixture) -> DataFrame:
+    """(dim, cell_id, t, x): each dimension over its standard deviation."""
+    s = f.signal()
+    sd = F.broadcast(s.groupBy("dim").agg(F.stddev_pop("x").alias("sd")))  # a row per dimension
+    return settle(s.join(sd, "dim").select("dim", "cell_id", "t", (F.col("x") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).alias("x")))
+
+
+def agent_boundaries(boundaries: dict[int, DataFrame], view: DataFrame) -> dict[int, DataFrame]:
     """The boundaries cut to each cluster's view (cluster_id, dim, cell_id), as one block-diagonal complex."""
-    cut = settle(P.local_complex(f.boundaries(), view))
-    return {k: cut.filter(F.col("dim") == k).select(_block("cluster_id", "i").alias("i"), _block("cluster_id", "j").alias("j"), "val") for k in (1, 2)}
-
-
-def held(signal: DataFrame, view: DataFrame, owned: DataFrame, clock: int) -> DataFrame:
-    """Each cluster's edge signal: its own values at once, others as they were at the last exchange."""
-    own = owned.filter("dim = 1").select("cluster_id", "cell_id", F.lit(True).alias("own"))
-    x = view.filter("dim = 1").select("cluster_id", "cell_id").join(own, ["cluster_id", "cell_id"], "left").join(signal, "cell_id")
-    last = signal.select("cell_id", F.col("t").alias("at"), F.col("x").alias("sent"))
-    x = x.withColumn("at", F.col("t") - F.col("t") % clock).join(last, ["cell_id", "at"])
-    return x.select(_block("cluster_id", "cell_id").alias("cell_id"), "t", F.when(F.col("own"), F.col("x")).otherwise(F.col("sent")).alias("x"))
-
-
-def agent_features(f: Fixture, view: DataFrame, signal: DataFrame) -> DataFrame:
-    """CC-VAR features on every agent's edges: (agent, cell_id, t, f, s)."""
-    b = agent_boundaries(f, view)
-    cells = view.filter("dim = 1").select(_block("cluster_id", "cell_id").alias("i"))
-    x = X.numbered(X.ccvar(cells, signal, A.lower_laplacian(b[1]), A.upper_laplacian(b[2]), POWERS, LAGS))
-    return settle(x.select(F.floor(F.col("i") / BLOCK).alias("agent"), (F.col("i") % BLOCK).alias("cell_id"), "t", "f", "s"))
-
-
-def learn(cases: dict[int, tuple[DataFrame, DataFrame, L.Rule]], signal: DataFrame, targets: DataFrame | None, width: int = WIDTH) -> DataFrame:
-    """θ histories of the cases: (features, weights, rule) each. ``targets``: (agent, cell_id) that agents learn on,
-    all their cells by default."""
-    grams, sides, mixes = [], [], []
-    for case, (features, weights, _) in cases.items():
-        own = features if targets is None else features.join(targets, ["agent", "cell_id"], "left_semi")
-        own = own.select(F.lit(case).cast("long").alias("case_id"), "agent", F.col("cell_id").alias("i"), "t", "f", "s")
-        grams.append(A.gram(own, ["case_id", "agent", "t"]))
-        y = signal.select(F.col("cell_id").alias("i"), "t", F.col("x").alias("y"))
-        sides.append(own.join(y, ["i", "t"]).groupBy("case_id", "agent", "t", "f").agg(F.sum(F.col("s") * F.col("y")).alias("val")))
-        mixes.append(weights.select(F.lit(case).cast("long").alias("case_id"), "src", "dst", "w"))
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
-    return settle(L.sequential(union(grams), union(sides), union(mixes), {c: r for c, (_, _, r) in cases.items()}, width))
-
-
-def forecasts(cases: dict[int, tuple[DataFrame, DataFrame, L.Rule]], theta: DataFrame, targets: DataFrame | None) -> DataFrame:
-    """One-step forecasts as (case_id, cluster_id, dim, cell_id, i, yhat)."""
-    parts = []
-    for case, (features, _, _) in cases.items():
-        own = features if targets is None else features.join(targets, ["agent", "cell_id"], "left_semi")
-        parts.append(L.predict(own.withColumn("case_id", F.lit(case).cast("long")), theta))
-    x = reduce(DataFrame.unionByName, parts)
-    return x.select("case_id", F.col("agent").alias("cluster_id"), F.lit(1).cast("long").alias("dim"), "cell_id", F.col("t").alias("i"), "yhat")
+    cut = settle(P.local_complex(boundaries, view))
+    return {k: cut.filter(F.col("dim") == k).select(_block("cluster_id", "i").alias("i"), _block("cluster_id", "j").alias("j"), "val") for k in boundaries}
+
+
+def held(signal: DataFrame, view: DataFrame, owned: DataFrame, plan: Plan, boundaries: dict[int, DataFrame]) -> DataFrame:
+    """Each cluster's signal (dim, cell_id, t, x) on block ids: its own values at once, others as they arrive and are
+    imputed between two exchanges."""
+    clock = plan.data_clock
+    own = owned.select("cluster_id", "dim", "cell_id", F.lit(True).alias("own"))
+    x = view.select("cluster_id", "dim", "cell_id").join(own, ["cluster_id", "dim", "cell_id"], "left").join(signal, ["dim", "cell_id"])
+    if clock > 1 and plan.imputer == "hold":
+        last = signal.select("dim", "cell_id", F.col("t").alias("at"), F.col("x").alias("sent"))
+        x = x.withColumn("at", F.col("t") - F.col("t") % clock).join(last, ["dim", "cell_id", "at"])
+        x = x.withColumn("x", F.when(F.col("own"), F.col("x")).otherwise(F.col("sent")))
+    elif clock > 1:
+        x = x.withColumn("x", F.when(F.col("own") | (F.col("t") % clock == 0), F.col("x")).otherwise(F.lit(0.0)))
+    if clock > 1 and plan.imputer == "labels":
+        x = settle(x.select("cluster_id", "dim", "cell_id", "t", "x", "own"))
+        stale = x.filter("own is null").select("cluster_id", "dim", "cell_id").distinct()
+        parts = [x.filter(F.col("t") % clock == 0).drop("own")]
+        for dim in plan.model.dims:
+            parts.append(E.propagate_labels(x.filter((F.col("dim") == dim) & (F.col("t") % clock != 0)).drop("own"), A.hodge(boundaries, dim), stale.filter(F.col("dim") == dim)))
+        x = union(parts)
+    return settle(x.select("dim", _block("cluster_id", "cell_id").alias("cell_id"), "t", "x"))
+
+
+def _laplacians(b: dict[int, DataFrame], dim: int) -> tuple[DataFrame | None, DataFrame | None]:
+    lower, upper = A.laplacians(b, dim)
+    return settle(lower) if lower is not None else None, settle(upper) if upper is not None else None
+
+
+def ccvar_features(b: dict[int, DataFrame], signal: DataFrame, model: presets.Model) -> DataFrame:
+    """(dim, i, t, f, s) of all enabled dimensions."""
+    own = {d: signal.filter(F.col("dim") == d).drop("dim") for d in model.dims}
+    out = []
+    for d in model.dims:
+        lower, upper = _laplacians(b, d)
+        low, up = model.pair(model.powers, d)
+        below = (b[d], own[d - 1], low) if d in b and d - 1 in own else None
+        above = (b[d + 1], own[d + 1], up) if d + 1 in b and d + 1 in own else None
+        x = X.ccvar(own[d].select("cell_id").distinct(), own[d], lower, upper, (low, up), model.lag, below, above, model.bias)
+        if model.normalise:
+            x = X.normalise(settle(x), own[d], _agent, model.b)
+        x = X.numbered(x, model.columns(d, d in b, d + 1 in b))
+        out.append(x.select(F.lit(d).cast("long").alias("dim"), "i", "t", "f", "s"))
+    return settle(union(out))
 
 
-def _truth(signal: DataFrame) -> DataFrame:
-    return signal.select(F.lit(1).cast("long").alias("dim"), "cell_id", F.col("t").alias("i"), F.col("x").alias("y"))
+def topolms_features(b: dict[int, DataFrame], signal: DataFrame, m: int) -> DataFrame:
+    """(dim, i, t, f, s) of the edges, before each step: those after the step before."""
+    x = X.topolms(A.lower_laplacian(b[1]), A.upper_laplacian(b[2]), signal.filter("dim = 1").drop("dim"), m)
+    return settle(x.select(F.lit(1).cast("long").alias("dim"), "i", (F.col("t") + 1).alias("t"), "f", F.col("s").cast("double").alias("s")))
 
 
 def _alone(view: DataFrame) -> DataFrame:
     return view.select(F.col("cluster_id").alias("src")).distinct().select("src", F.col("src").alias("dst"), F.lit(1.0).alias("w"))
 
 
-class Setting:
-    """What the cases share, settled once."""
+def _case(plan: Plan, boundaries: dict[int, DataFrame], signal: DataFrame, view: DataFrame, owned: DataFrame, targets: DataFrame, weights: DataFrame) -> Case:
+    b = agent_boundaries(boundaries, view)
+    own, model = held(signal, view, owned, plan, boundaries), plan.model
+    if model.kind == "topolms":
+        features, widths = topolms_features(b, own, model.m), {1: 2 * model.m + 1}
+    else:
+        features, widths = ccvar_features(b, own, model), {d: len(model.columns(d, d in b, d + 1 in b)) for d in model.dims}
+    targets = settle(targets.filter(F.col("dim").isin(list(widths))).select("dim", _block("cluster_id", "cell_id").alias("i")))
+    return Case(plan, b, own, features, targets, weights, widths)
 
-    def __init__(self, f: Fixture, community: DataFrame | None = None) -> None:
-        community = community if community is not None else f.community()
-        self.f, self.signal, p = f, scaled(f), P.partition(f.boundaries(), community)
+
+class Setting:
+    """What cases on one clustering share, settled once."""
+
+    def __init__(self, f: Fixture, clustering: presets.Clustering | None = None) -> None:
+        c = clustering or presets.Clustering()
+        self.f, self.signal, self.boundaries = f, scaled(f), {k: settle(b) for k, b in f.boundaries().items()}
+        if c.kind == "hops":
+            p = P.hop_partition(self.boundaries, c.d, c.dim, c.q_hop)
+        else:
+            community = f.community()
+            if c.kind == "modularity":
+                graph = settle(A.off_diagonal(A.lower_laplacian(self.boundaries[c.dim])).select("i", "j"))
+                community = settle(P.greedy_modularity(graph, c.best_n, c.resolution))
+            p = P.partition(self.boundaries, community, c.dim, c.q_hop) if c.kind != "given" or c.q_hop > 1 else f.partition()
         self.owned, self.index, self.interface = settle(p.owned), settle(p.local_index), p.interface
-        self.weights = settle(G.metropolis_weights(p.agent_graph, community))
+        self.weights = settle(G.metropolis_weights(p.agent_graph, self.owned))
+        self.out = settle(G.partial_indices(self.index, self.owned).filter("is_out").select("cluster_id", "dim", "cell_id"))
         self.everything = settle(G.global_agent(f.cells()))
-        self.targets = self.owned.filter("dim = 1").select(F.col("cluster_id").alias("agent"), "cell_id")
 
-    def whole(self, rule: L.Rule | None = None):
-        x = self.signal.select((F.lit(0).cast("long") * BLOCK + F.col("cell_id")).alias("cell_id"), "t", "x")
-        return agent_features(self.f, self.everything, x), _alone(self.everything), rule or L.Rule()
+    def whole(self, plan: Plan = PRESETS["global"]) -> Case:
+        return _case(plan, self.boundaries, self.signal, self.everything, self.everything, self.everything, _alone(self.everything))
+
+    def agents(self, plan: Plan) -> Case:
+        """The agents of the clustering; ``plan.inside``: each on what it predicts, nothing imported."""
+        view = self.out if plan.inside else self.index
+        mixing = _alone(self.owned) if plan.rule.mixing == "none" else self.weights
+        return _case(plan, self.boundaries, self.signal, view, self.out if plan.inside else self.owned, self.out, mixing)
+
+
+def learn(cases: dict[int, Case], truth: DataFrame) -> DataFrame:
+    """(THETA) histories of the cases, in one go; cases of one number of features per dimension each."""
+    grams, sides, mixes, widths = [], [], [], {}
+    for case, c in cases.items():
+        if any(widths.get(d, w) != w for d, w in c.widths.items()):
+            raise ValueError("cases that are learned together need features of one layout")
+        widths |= c.widths
+        own = c.features.join(c.targets, ["dim", "i"], "left_semi").withColumn("agent", _agent("i")).withColumn("case_id", F.lit(case).cast("long"))
+        keys = ["case_id", "dim", "agent", "t"]
+        plain = [d for d in c.widths if not any(c.plan.model.pair(c.plan.model.mu, d)) or c.plan.model.kind != "ccvar"]
+        if plain:
+            grams.append(A.gram(own.filter(F.col("dim").isin(plain)), keys))
+        for d in set(c.widths) - set(plain):
+            cells = c.targets.filter(F.col("dim") == d).select("i")
+            weight = A.smoothing(cells, *(A.submatrix(m, cells, cells) if m is not None else None for m in A.laplacians(c.boundaries, d)), *map(float, c.plan.model.pair(c.plan.model.mu, d)))
+            grams.append(A.gram(own.filter(F.col("dim") == d), keys, weight=settle(weight)))
+        y = truth.select("dim", F.col("cell_id").alias("cell"), "t", F.col("x").alias("y"))
+        targets = own.withColumn("cell", F.col("i") % BLOCK).join(y, ["dim", "cell", "t"])
+        sides.append(targets.groupBy(*keys, "f").agg(F.sum(F.col("s") * F.col("y")).alias("val")))
+        mixes.append(c.weights.select(F.lit(case).cast("long").alias("case_id"), "src", "dst", "w"))
+    return settle(L.sequential(union(grams), union(sides), union(mixes), {k: c.plan.rule for k, c in cases.items()}, widths))
+
+
+def operator(c: Case) -> tuple[DataFrame, dict[int, int]]:
+    """The entries by which cells enter features (dim, i, of, j, base, val), and the numbers of constant features."""
+    out, biases, model = [], {}, c.plan.model
+    for d in c.widths:
+        columns = model.columns(d, d in c.boundaries, d + 1 in c.boundaries)
+        at = {}
+        for n, (block, k, _) in enumerate(columns):
+            at.setdefault((block, k), n)
+        if model.bias:
+            biases[d] = at["b", 0]
+        lower, upper = _laplacians(c.boundaries, d)
+        low, up = model.pair(model.powers, d)
+        stacks = {"sl": (d, A.powers(lower, low))} if lower is not None else {}
+        stacks |= {"su": (d, A.powers(upper, up))} if upper is not None else {}
+        if ("l", 1) in at:
+            stacks["l"] = (d - 1, A.each_times(stacks["sl"][1], A.transpose(c.boundaries[d])))
+        if ("u", 1) in at:
+            stacks["u"] = (d + 1, A.each_times(stacks["su"][1], c.boundaries[d + 1]))
+        for block, (of, stack) in stacks.items():
+            base = (F.lit(at[block, 1]) + (F.col("k") - 1) * model.lag).cast("long")
+            out.append(stack.select(F.lit(d).cast("long").alias("dim"), "i", F.lit(of).cast("long").alias("of"), "j", base.alias("base"), "val"))
+    return union(out), biases
+
+
+def rolled(c: Case, theta: DataFrame, horizon: int) -> DataFrame:
+    """(dim, i, t_made, horizon, yhat): forecasts up to ``horizon`` steps ahead of every cell that an agent sees, made
+    after each step; predictions are fed back into the lag buffers of all dimensions."""
+    entries, biases = operator(c)
+    buffer = union(X.lags(c.signal.filter(F.col("dim") == d), c.plan.model.lag - 1, 0).select(F.lit(d).cast("long").alias("dim"), F.col("cell_id").alias("i"), "t", (F.col("lag") + 1).alias("lag"), "x") for d in c.widths)
+    cells = c.signal.select("dim", F.col("cell_id").alias("i"), "t").withColumn("agent", _agent("i"))
+    own = cells.join(theta.drop("case_id"), ["dim", "agent", "t"]).select("dim", "i", "t", F.col("idx").alias("f"), "value")
+    return L.rollout(entries, settle(buffer), own, biases, c.plan.model.lag, horizon)
+
+
+def forecasts(cases: dict[int, Case], theta: DataFrame, everything: bool = False) -> DataFrame:
+    """Forecasts at each case's horizon as (case_id, cluster_id, dim, cell_id, i, yhat), i the step that is forecast, of
+    predicted cells or of all that agents see."""
+    parts = []
+    for case, c in cases.items():
+        own, h = theta.filter(F.col("case_id") == case), c.plan.model.horizon
+        if h == 1:
+            x = c.features.withColumn("case_id", F.lit(case).cast("long")).withColumn("agent", _agent("i")).withColumnRenamed("i", "cell_id")
+            x = L.predict(x, own).select("dim", F.col("cell_id").alias("i"), "t", "yhat")
+        else:
+            x = rolled(c, own, h).filter(F.col("horizon") == h).select("dim", "i", (F.col("t_made") + h).alias("t"), "yhat")
+        x = x if everything else x.join(c.targets, ["dim", "i"], "left_semi")
+        parts.append(x.select(F.lit(case).cast("long").alias("case_id"), _agent("i").alias("cluster_id"), "dim", (F.col("i") % BLOCK).alias("cell_id"), F.col("t").alias("i"), "yhat"))
+    return union(parts)
+
+
+def truth(signal: DataFrame) -> DataFrame:
+    return signal.select("dim", "cell_id", F.col("t").alias("i"), F.col("x").alias("y"))
 
-    def topolms(self, view: DataFrame, clock: int, m: int = 2) -> DataFrame:
-        """Topo-LMS features of every agent on its own view."""
-        b = agent_boundaries(self.f, view)
-        x = X.topolms(A.lower_laplacian(b[1]), A.upper_laplacian(b[2]), held(self.signal, view, self.owned, clock), m)
-        return settle(x.select(F.floor(F.col("i") / BLOCK).alias("agent"), (F.col("i") % BLOCK).alias("cell_id"), (F.col("t") + 1).alias("t"), "f", F.col("s").cast("double").alias("s")))
 
-    def local(self):
-        return agent_features(self.f, self.owned, held(self.signal, self.owned, self.owned, 1)), _alone(self.owned), L.Rule()
+def scored(signal: DataFrame, cases: dict[int, Case], theta: DataFrame) -> DataFrame:
+    return M.tv_metrics(M.with_truth(M.aggregate(forecasts(cases, theta)), truth(signal)))
 
-    def distributed(self, data_clock: int = 10, rule: L.Rule | None = None):
-        return agent_features(self.f, self.index, held(self.signal, self.index, self.owned, data_clock)), self.weights, rule or L.Rule(mixing="atc")
 
+def flat(theta: DataFrame, widths: dict[int, int]) -> DataFrame:
+    """Parameters of all dimensions as one vector per agent: (case_id, agent, t, idx, value)."""
+    first, at = {}, 0
+    for d in sorted(widths):
+        first[d], at = at, at + widths[d]
+    start = F.element_at(F.create_map(*(F.lit(x) for kv in first.items() for x in kv)), F.col("dim").cast("int"))
+    return theta.select("case_id", "agent", "t", (F.col("idx") + start).cast("long").alias("idx"), "value")
 
-def _scored(s: Setting, cases, theta: DataFrame, targets: DataFrame | None) -> DataFrame:
-    return M.tv_metrics(M.with_truth(M.aggregate(forecasts(cases, theta, targets)), _truth(s.signal)))
+
+def run(f: Fixture, plan: Plan, setting: Setting | None = None, case: int = 0, whole: bool = False) -> DataFrame:
+    """One case of a plan from clustering to errors, with the plan's parameters as columns."""
+    s = setting or Setting(f, plan.clustering)
+    cases = {case: s.whole(plan) if whole else s.agents(plan)}
+    return scored(s.signal, cases, learn(cases, s.signal)).withColumns({k: F.lit(v) for k, v in plan.columns().items()})
+
+
+PLAN = PRESETS["default"]
 
 
 @query("global_case")
 def global_case(f: Fixture) -> DataFrame:
     s = Setting(f)
     cases = {0: s.whole()}
-    return _scored(s, cases, learn(cases, s.signal, None), None)
+    return scored(s.signal, cases, learn(cases, s.signal))
 
 
 @query("pure_local_case")
 def pure_local_case(f: Fixture) -> DataFrame:
     s = Setting(f)
-    cases = {1: s.local()}
-    return _scored(s, cases, learn(cases, s.signal, s.targets), s.targets)
+    cases = {1: s.agents(PRESETS["local"])}
+    return scored(s.signal, cases, learn(cases, s.signal))
 
 
 @query("distributed_case")
 def distributed_case(f: Fixture) -> DataFrame:
     s = Setting(f)
-    cases = {2: s.distributed()}
-    return _scored(s, cases, learn(cases, s.signal, s.targets), s.targets)
+    cases = {2: s.agents(PLAN)}
+    return scored(s.signal, cases, learn(cases, s.signal))
+
+
+@query("planned_case")
+def planned_case(f: Fixture) -> DataFrame:
+    """Everything that a plan can set away from its default: smoothing, normalisation, zero padding, two steps ahead, K-GT."""
+    plan = merged(PLAN, model={"mu": (0.1, (0.1, 0.2), 0.1), "normalise": True, "horizon": 2, "powers": (1, (2, 1), 1)}, rule={"mixing": "kgt", "clock": 5, "c": 0.5}, imputer="zero", data_clock=3)
+    return run(f, plan)
 
 
 @query("ccvar_train")
 def ccvar_train(f: Fixture) -> DataFrame:
     s = Setting(f)
-    return learn({0: s.whole()}, s.signal, None)
-
-
-def topolms(f: Fixture, signal: DataFrame, m: int = 2, agents: bool = False) -> DataFrame:
-    """Topo-LMS features before each step: those after the step before. One agent, or one per edge."""
-    x = X.topolms(A.lower_laplacian(f.boundary_1()), A.upper_laplacian(f.boundary_2()), signal, m)
-    agent = F.col("i") if agents else F.lit(0).cast("long")
-    return settle(x.select(agent.alias("agent"), F.col("i").alias("cell_id"), (F.col("t") + 1).alias("t"), "f", F.col("s").cast("double").alias("s")))
+    return learn({0: s.whole()}, s.signal)
 
 
 @query("topolms_train")
 def topolms_train(f: Fixture) -> DataFrame:
-    s = scaled(f)
-    return learn({0: (topolms(f, s), _alone(G.global_agent(f.cells())), L.Rule(gamma=0.0))}, s, None, 5)
+    s = Setting(f)
+    return learn({0: s.whole(merged(PRESETS["global"], model={"kind": "topolms"}, rule={"gamma": 0.0}))}, s.signal)
+
+
+def tails(s: Setting, cases: dict[int, Case]) -> DataFrame:
+    """(metric, case_id, value): means over the last tenth, over the dimensions' means."""
+    tv = settle(scored(s.signal, cases, learn(cases, s.signal)))
+    each = [M.tail_mean(tv, m).groupBy("case_id").agg(F.avg("tail_mean").alias("value")).select(F.lit(m).alias("metric"), F.col("case_id").cast("string").alias("case_id"), "value") for m in ("tv_nmse", "tv_mae", "tv_mape")]
+    return union(each)
 
 
 @query("error_comparison")
 def error_comparison(f: Fixture) -> DataFrame:
     """Last-tenth means of the three cases (0 global, 1 local, 2 distributed), as a table of cases by metric."""
     s = Setting(f)
-    parts = []
-    for case, made, targets in ((0, s.whole(), None), (1, s.local(), s.targets), (2, s.distributed(), s.targets)):
-        cases = {case: made}
-        tv = settle(_scored(s, cases, learn(cases, s.signal, targets), targets))
-        for m in ("tv_nmse", "tv_mae", "tv_mape"):
-            parts.append(M.tail_mean(tv, m).select(F.lit(m).alias("metric"), F.col("case_id").cast("string").alias("case_id"), F.col("tail_mean").alias("value")))
-    return M.comparison_table(reduce(DataFrame.unionByName, parts), ["0", "1", "2"])
+    return M.comparison_table(tails(s, {0: s.whole(), 1: s.agents(PRESETS["local"]), 2: s.agents(PLAN)}), ["0", "1", "2"])
 
 
 @query("dynamic_regret")
 def dynamic_regret(f: Fixture) -> DataFrame:
     """Disagreement of the distributed agents, among themselves and with the global parameters of each step."""
     s = Setting(f)
-    reference = learn({0: s.whole()}, s.signal, None).select("t", "idx", F.col("value").alias("ref"))
-    theta = learn({2: s.distributed()}, s.signal, s.targets)
-    x = settle(M.disagreement(theta, reference))
-    return x.join(M.rolling(x, "global_rms", "rolling_global_rms", ("case_id",), "t"), ["case_id", "t"])
+    cases = {0: s.whole(), 2: s.agents(PLAN)}
+    theta = settle(flat(learn(cases, s.signal), cases[0].widths))
+    x = settle(M.disagreement(theta.filter("case_id = 2"), theta.filter("case_id = 0").select("t", "idx", F.col("value").alias("ref"))))
+    names = ("self_disagreement", "self_rms", "global_disagreement", "centroid_to_global", "centroid_to_global_relative", "global_rms", "global_rms_relative")
+    for n in names:
+        x = x.join(M.rolling(x, n, f"rolling_{n}", ("case_id",), "t"), ["case_id", "t"])
+    return x
+
+
+@query("topolms_regret")
+def topolms_regret(f: Fixture) -> DataFrame:
+    """The same for Topo-LMS, whose reference is the history of one learner on the whole complex."""
+    s = Setting(f)
+    plan = merged(PLAN, model={"kind": "topolms"}, rule={"gamma": 0.0, "clock": 1}, data_clock=1)
+    cases = {0: s.whole(merged(plan, rule={"mixing": "none"})), 4: s.agents(plan)}
+    theta = settle(flat(learn(cases, s.signal), cases[0].widths))
+    return M.disagreement(theta.filter("case_id = 4"), theta.filter("case_id = 0").select("t", "idx", F.col("value").alias("ref")))
 
 
 @query("boundary_error")
 def boundary_error(f: Fixture) -> DataFrame:
-    """Pooled error on the edges that clusters import from each other, at four data clocks; every agent predicts all it sees."""
+    """Error on the cells that clusters import from each other, at four data clocks and of the global model (case 0);
+    every agent predicts all it sees."""
     s = Setting(f)
-    cases = {c: s.distributed(c) for c in (1, 10, 100, 300)}
-    made = forecasts(cases, learn(cases, s.signal, s.targets), None)
-    shared = P.shared(s.index.filter("dim = 1").select("cluster_id", "dim", "cell_id"))
-    return M.interface_nmse(M.aggregate(made), _truth(s.signal), shared)
+    cases = {0: s.whole()} | {c: s.agents(merged(PLAN, data_clock=c)) for c in (1, 10, 100, 300)}
+    made = forecasts(cases, learn(cases, s.signal), everything=True)
+    shared = P.shared(s.index.select("cluster_id", "dim", "cell_id"))
+    return M.interface_nmse(M.aggregate(made), truth(s.signal), shared).na.fill({"dim": -1})
 
 
 @query("comparative")
 def comparative(f: Fixture) -> DataFrame:
     """Edge-only agents on one shared snapshot: Topo-LMS with ATC (case 0), CC-VAR with K-GT (case 1)."""
-    s = scaled(f)
-    graph = P.only_edges(f.boundaries())
+    signal = scaled(f).filter("dim = 1")
+    boundaries = {k: settle(b) for k, b in f.boundaries().items()}
+    graph = P.only_edges(boundaries)
     weights = settle(G.metropolis_weights(graph["agent_graph"], graph["owned"]))
-    lower, upper = A.lower_laplacian(f.boundary_1()), A.upper_laplacian(f.boundary_2())
-    wide = X.numbered(X.ccvar(f.edges().select("edge_id"), s, lower, upper, POWERS, LAGS))
-    wide = settle(wide.select(F.col("i").alias("agent"), F.col("i").alias("cell_id"), "t", "f", "s"))
+    plan = PRESETS["comparative"]
+    lms = merged(plan, model={"kind": "topolms"}, rule={"gamma": 0.0})
+    kgt = merged(plan, rule={"mixing": "kgt", "c": 5e-6})
+    own = F.col("i") * F.lit(BLOCK) + F.col("i")
+    targets = settle(graph["owned"].select("dim", F.col("cell_id").alias("i")).withColumn("i", own))
     out = []
-    for case, features, rule, width in ((0, topolms(f, s, agents=True), L.Rule(gamma=0.0, mixing="atc", clock=1), 5), (1, wide, L.Rule(mixing="kgt", clock=1, c=5e-6), WIDTH)):
-        cases = {case: (features, weights, rule)}
-        made = forecasts(cases, learn(cases, s, None, width), None)
-        out.append(M.tv_metrics(M.with_truth(M.aggregate(made), _truth(s))))
-    return out[0].unionByName(out[1])
+    for n, p in enumerate((lms, kgt)):
+        # features on the whole snapshot; each row goes to its edge's agent
+        x = topolms_features(boundaries, signal, p.model.m) if p.model.kind == "topolms" else ccvar_features(boundaries, signal, p.model)
+        widths = {1: 2 * p.model.m + 1} if p.model.kind == "topolms" else {1: len(p.model.columns(1, True, True))}
+        cases = {n: Case(p, boundaries, signal, settle(x.withColumn("i", own)), targets, weights, widths)}
+        out.append(scored(signal, cases, learn(cases, signal)))
+    return union(out)
 
 
 @query("six_cases")
 def six_cases(f: Fixture) -> DataFrame:
-    """Modularity clusters: global, ATC and K-GT, each with CC-VAR (cases 0, 1, 2) and Topo-LMS (3, 4, 5)."""
-    s = Setting(f, settle(P.greedy_modularity(settle(A.off_diagonal(A.lower_laplacian(f.boundary_1())).select("i", "j")), 7, 1.5)))
-    lms = s.topolms(s.index, 1)
-    kgt = L.Rule(mixing="kgt", clock=1, c=5e-6)
-    wide = s.distributed(1)[0]
-    plan = [
-        (0, s.whole(), None, WIDTH), (1, (wide, s.weights, L.Rule(mixing="atc", clock=1)), s.targets, WIDTH), (2, (wide, s.weights, kgt), s.targets, WIDTH),
-        (3, (topolms(f, s.signal), _alone(s.everything), L.Rule(gamma=0.0)), None, 5), (4, (lms, s.weights, L.Rule(gamma=0.0, mixing="atc", clock=1)), s.targets, 5),
-        (5, (lms, s.weights, L.Rule(gamma=0.0, mixing="kgt", clock=1, c=5e-6)), s.targets, 5),
-    ]
-    out = [_scored(s, {c: made}, learn({c: made}, s.signal, targets, width), targets) for c, made, targets, width in plan]
-    return reduce(DataFrame.unionByName, out)
+    """Modularity clusters: global, ATC and K-GT, each with CC-VAR on edges (cases 0, 1, 2) and Topo-LMS (3, 4, 5)."""
+    s = Setting(f, presets.Clustering("modularity"))
+    base = merged(PLAN, data_clock=1, rule={"clock": 1}, model={"dims": (1,)})
+    lms = merged(base, model={"kind": "topolms"}, rule={"gamma": 0.0})
+    none, kgt = {"mixing": "none"}, {"mixing": "kgt", "c": 5e-6}
+    wide, small = ({k: s.whole(merged(p, rule=none)) if not k % 3 else s.agents(merged(p, rule=kgt if k % 3 == 2 else {})) for k in ks} for p, ks in ((base, (0, 1, 2)), (lms, (3, 4, 5))))
+    return union(scored(s.signal, cases, learn(cases, s.signal)) for cases in (wide, small))
 
 
 @query("ccvar_forecast_h3")
 def ccvar_forecast(f: Fixture, horizon: int = 3) -> DataFrame:
-    """Forecasts one to three steps ahead from every step: predictions are fed back into the lag buffer."""
+    """Forecasts one to three steps ahead from every step, in all dimensions: predictions are fed back."""
+    s = Setting(f)
+    case = s.whole()
+    return rolled(case, learn({0: case}, s.signal), horizon).select("dim", (F.col("i") % BLOCK).alias("cell_id"), "t_made", "horizon", "yhat")
+
+
+@query("topolms_forecast_h2")
+def topolms_forecast(f: Fixture) -> DataFrame:
+    """Topo-LMS two steps ahead from every step: its own predictions are rolled into the regressors."""
     s = Setting(f)
-    made = s.whole()
-    theta = learn({0: made}, s.signal, None).select("t", F.col("idx").alias("f"), "value")
-    lower, upper = A.lower_laplacian(f.boundary_1()), A.upper_laplacian(f.boundary_2())
-    stacks = {"sl": A.powers(lower, POWERS[0]), "su": A.powers(upper, POWERS[1])}
-    return L.rollout(stacks, X.lags(s.signal, LAGS - 1, 0).withColumn("lag", F.col("lag") + 1), theta, LAGS, horizon)
+    case = s.whole(merged(PRESETS["global"], model={"kind": "topolms", "m": 1}, rule={"gamma": 0.0}))
+    theta = learn({0: case}, s.signal)
+    lower, upper = settle(A.lower_laplacian(case.boundaries[1])), settle(A.upper_laplacian(case.boundaries[2]))
+    return L.topolms_rollout(lower, upper, case.features.withColumn("t", F.col("t") - 1), theta.select("t", F.col("idx").alias("f"), "value"), 1, 2).withColumn("cell_id", F.col("i") % BLOCK).select("cell_id", "t_made", "horizon", "yhat")
+
+
+CLOCKS = (1, 2, 5, 10)
+
+
+def swept(s: Setting, grid: list[tuple[int, int]]) -> DataFrame:
+    """(data_clock, param_clock, value): last-tenth NMSE of the distributed case, over the dimensions' means."""
+    cases, made = {}, {}
+    for d, p in grid:
+        plan = merged(PLAN, data_clock=d, rule={"clock": p})
+        made[d] = made.get(d) or s.agents(plan)  # features depend on the data clock alone
+        cases[100 * d + p] = Case(plan, *(getattr(made[d], k) for k in ("boundaries", "signal", "features", "targets", "weights", "widths")))
+    x = tails(s, cases).filter("metric = 'tv_nmse'").withColumn("case_id", F.col("case_id").cast("long"))
+    return x.select(F.floor(F.col("case_id") / 100).alias("data_clock"), (F.col("case_id") % 100).alias("param_clock"), "value")
 
 
 @query("sweep")
 def sweep(f: Fixture) -> DataFrame:
-    """Data and parameter clocks 1, 2, 5 and 10 on the distributed case: last-tenth NMSE, one column per data clock."""
-    s, clocks, cases = Setting(f), (1, 2, 5, 10), {}
-    for d in clocks:
-        features, weights, _ = s.distributed(d)
-        cases |= {100 * d + p: (features, weights, L.Rule(mixing="atc", clock=p)) for p in clocks}
-    tv = _scored(s, cases, learn(cases, s.signal, s.targets), s.targets)
-    x = M.tail_mean(tv, "tv_nmse").select(F.floor(F.col("case_id") / 100).alias("data_clock"), (F.col("case_id") % 100).alias("param_clock"), "tail_mean")
-    return x.groupBy("param_clock").pivot("data_clock", list(clocks)).agg(F.first("tail_mean"))
+    """Stage 1: data and parameter clocks 1, 2, 5 and 10 on the distributed case: last-tenth NMSE, a column per data clock."""
+    x = swept(Setting(f), [(d, p) for d in CLOCKS for p in CLOCKS])
+    return x.groupBy("param_clock").pivot("data_clock", list(CLOCKS)).agg(F.first("value"))
+
+
+@query("sweep_hops")
+def sweep_hops(f: Fixture) -> DataFrame:
+    """Stage 2: the best pair of stage 1's corner clocks by the rule (the smallest NMSE, of equals the rarest exchange), at
+    Q = 1 to 4 hops, and how far its agents disagree at the end."""
+    first = swept(Setting(f), [(d, p) for d in (1, 10) for p in (1, 10)])
+    best = first.orderBy(F.round("value", 9), F.col("data_clock").desc(), F.col("param_clock").desc()).first()
+    plan = merged(PLAN, data_clock=int(best["data_clock"]), rule={"clock": int(best["param_clock"])})
+    out = []
+    for q in (1, 2, 3, 4):
+        s = Setting(f, presets.Clustering(q_hop=q))
+        cases = {q: s.agents(plan)}
+        theta = learn(cases, s.signal)
+        tv = M.tail_mean(settle(scored(s.signal, cases, theta)), "tv_nmse").agg(F.avg("tail_mean").alias("tv_nmse"))
+        apart = M.tail_mean(settle(M.disagreement(flat(theta, cases[q].widths))), "self_disagreement", ("case_id",), "t").agg(F.avg("tail_mean").alias("self_disagreement"))
+        out.append(tv.crossJoin(apart).select(F.lit(q).cast("long").alias("q_hop"), F.lit(plan.data_clock).cast("long").alias("data_clock"), F.lit(plan.rule.clock).cast("long").alias("param_clock"), "tv_nmse", "self_disagreement"))
+    return union(out)

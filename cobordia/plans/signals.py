@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +15,10 @@ from cobordia.operators import incidence as A
 from cobordia.operators import metrics as M
 from cobordia.plans.fixture import SQL as BASE
 from cobordia.plans.fixture import Fixture
+from cobordia.session import counted, settle
 
 QUERIES, SQL = {}, {}
-GAMMA, STEPS = 0.5, 24
+GAMMA = 0.5
 
 
 def query(name: str, sql: str | None = None):
@@ -40,7 +43,7 @@ query("centered_signal", "SELECT dim, cell_id, t, round(x - avg(x) OVER (PARTITI
 query("zero_signal", "SELECT dim, cell_id, t, 0.0::DOUBLE AS x FROM cells, (SELECT unnest(range(0, 12)) AS t)")(lambda f: X.zero_signal(f.cells(), 12))
 query("signal_steps", "SELECT min(t) + 1 AS steps FROM (SELECT dim, max(t) AS t FROM signal GROUP BY dim)")(lambda f: X.steps(f.signal()))
 query("snapshot", "SELECT * FROM signal WHERE t = 5")(lambda f: X.snapshot(f.signal(), 5))
-query("appended_signal", "SELECT * FROM signal WHERE t < 3 UNION ALL SELECT * FROM signal WHERE t = 3")(lambda f: f.signal().filter("t < 3").unionByName(X.snapshot(f.signal(), 3)))
+query("appended_signal", "SELECT * FROM signal UNION ALL SELECT dim, cell_id, (SELECT max(t) FROM signal) + 1 AS t, x FROM signal WHERE t = 3")(lambda f: X.append(f.signal(), X.snapshot(f.signal(), 3).drop("t")))
 query("partial_snapshot", "SELECT cluster_id, l.dim, l.cell_id, s.t, s.x FROM lidx l JOIN signal s USING (dim, cell_id) WHERE s.t = 7")(lambda f: G.local_signal(X.snapshot(f.signal(), 7), f.partition().local_index))
 query("lag_buffer", "SELECT cell_id, t, lag, coalesce(lag(x, lag::INT) OVER (PARTITION BY cell_id, lag ORDER BY t), 0)::BIGINT AS x FROM s1, (VALUES (1::BIGINT), (2), (3)) v(lag)")(lambda f: X.lags(f.edge_signal(), 3))
 
@@ -66,13 +69,13 @@ _EDGE = (
     + "".join(f", g{k} AS (SELECT cell_id, t, lag, coalesce(lag(x, lag::INT) OVER (PARTITION BY cell_id, lag ORDER BY t), 0)::BIGINT AS x FROM s{k}, (VALUES (1::BIGINT), (2)) v(lag))" for k in (0, 1, 2))
     + """, lb AS (SELECT k, lp.i, b1.i AS j, sum(lp.val * b1.val)::BIGINT AS val FROM lp JOIN b1 ON b1.j = lp.j GROUP BY 1, 2, 3),
 ub AS (SELECT k, up.i, b2.j, sum(up.val * b2.val)::BIGINT AS val FROM up JOIN b2 ON b2.i = up.j GROUP BY 1, 2, 3 HAVING sum(up.val * b2.val) <> 0),
-feat AS (SELECT i, t, 'l' AS block, k, lag, sum(val * x)::DOUBLE AS s FROM (SELECT * FROM lb WHERE val <> 0) JOIN g0 ON cell_id = j GROUP BY ALL
+feat AS MATERIALIZED (SELECT i, t, 'l' AS block, k, lag, sum(val * x)::DOUBLE AS s FROM (SELECT * FROM lb WHERE val <> 0) JOIN g0 ON cell_id = j GROUP BY ALL
 UNION ALL SELECT i, t, 'sl', k, lag, sum(val * x)::DOUBLE FROM (SELECT * FROM lp WHERE val <> 0) JOIN g1 ON cell_id = j GROUP BY ALL
 UNION ALL SELECT i, t, 'su', k, lag, sum(val * x)::DOUBLE FROM (SELECT * FROM up WHERE val <> 0) JOIN g1 ON cell_id = j GROUP BY ALL
 UNION ALL SELECT i, t, 'u', k, lag, sum(val * x)::DOUBLE FROM ub JOIN g2 ON cell_id = j GROUP BY ALL
 UNION ALL SELECT edge_id, t, 'b', 0, 0, 1.0 FROM edges, months),
 cols AS (SELECT block, k, lag, row_number() OVER (ORDER BY list_position(['l', 'sl', 'su', 'u', 'b'], block), k, lag) - 1 AS f FROM (SELECT DISTINCT block, k, lag FROM feat)),
-nf AS (SELECT i, t, f, s FROM feat JOIN cols USING (block, k, lag))"""
+nf AS MATERIALIZED (SELECT i, t, f, s FROM feat JOIN cols USING (block, k, lag))"""
 )
 query("ccvar_features_edge", _EDGE + " SELECT * FROM feat")(_edge_features)
 query(
@@ -85,30 +88,29 @@ query(
     _EDGE + ", sc AS (SELECT t, sqrt(sum(x * x)) AS scale FROM g1 WHERE lag = 1 GROUP BY t) SELECT i, t, block, k, lag, round(s / sqrt(CASE WHEN q = 0 THEN 0.001 ELSE q END) * scale, 6) AS s FROM (SELECT *, sum(s * s) OVER (PARTITION BY t, block, k, lag) AS q FROM feat) JOIN sc USING (t)",
 )(lambda f: _round(X.normalise(_edge_features(f), f.edge_signal()), "s"))
 _GRAM = ", gm AS (SELECT a.t, a.f, b.f AS g, sum(a.s * b.s) AS val FROM nf a JOIN nf b USING (i, t) GROUP BY 1, 2, 3)"
-query("gram_rhs", _EDGE + _GRAM + " SELECT t, f, g, val FROM gm WHERE t < 24 UNION ALL SELECT t, f, -1, sum(s * x)::DOUBLE FROM nf JOIN s1 USING (t) WHERE s1.cell_id = nf.i AND t < 24 GROUP BY 1, 2")(
-    lambda f: (lambda n: X.gram(n).select("t", "f", "g", "val").unionByName(X.right_hand_side(n, f.edge_signal()).select("t", "f", F.lit(-1).cast("long").alias("g"), "val")))(X.numbered(_edge_features(f)).filter(F.col("t") < STEPS))
+query("gram_rhs", _EDGE + _GRAM + " SELECT t, f, g, val FROM gm UNION ALL SELECT t, f, -1, sum(s * x)::DOUBLE FROM nf JOIN s1 USING (t) WHERE s1.cell_id = nf.i GROUP BY 1, 2")(
+    lambda f: (lambda n: X.gram(n).select("t", "f", "g", "val").unionByName(X.right_hand_side(n, f.edge_signal()).select("t", "f", F.lit(-1).cast("long").alias("g"), "val")))(settle(X.numbered(_edge_features(f))))
 )
 query(
     "smoothed_gram",
-    _EDGE + ", r AS (SELECT i, j, sum(val) AS val FROM (SELECT edge_id AS i, edge_id AS j, 1.0::DOUBLE AS val FROM edges UNION ALL SELECT i, j, val * 0.5::DOUBLE FROM l1l) GROUP BY 1, 2) SELECT a.t, a.f, b.f AS g, sum(a.s * r.val * b.s) AS val FROM nf a JOIN r ON r.i = a.i JOIN nf b ON b.i = r.j AND b.t = a.t WHERE a.t < 6 GROUP BY 1, 2, 3",
-)(lambda f: X.gram(X.numbered(_edge_features(f)).filter("t < 6"), A.smoothing(f.edges().select("edge_id"), A.lower_laplacian(f.boundary_1()), None, 0.5, 0.0)))
+    _EDGE + ", r AS (SELECT i, j, sum(val) AS val FROM (SELECT edge_id AS i, edge_id AS j, 1.0::DOUBLE AS val FROM edges UNION ALL SELECT i, j, val * 0.5::DOUBLE FROM l1l) GROUP BY 1, 2) SELECT a.t, a.f, b.f AS g, sum(a.s * r.val * b.s) AS val FROM nf a JOIN r ON r.i = a.i JOIN nf b ON b.i = r.j AND b.t = a.t GROUP BY 1, 2, 3",
+)(lambda f: X.gram(settle(X.numbered(_edge_features(f))), A.smoothing(f.edges().select("edge_id"), A.lower_laplacian(f.boundary_1()), None, 0.5, 0.0)))
 query(
     "ewma_state",
-    _EDGE + _GRAM + ", gg AS (SELECT * FROM gm WHERE t < 24) SELECT a.t, a.f, a.g, round(0.5 * sum(b.val * power(0.5, a.t - b.t)), 4) AS val FROM gg a JOIN gg b ON b.f = a.f AND b.g = a.g AND b.t <= a.t GROUP BY 1, 2, 3",
-)(lambda f: X.ewma(X.gram(X.numbered(_edge_features(f)).filter(F.col("t") < STEPS)), ["f", "g"], GAMMA).withColumn("val", F.round("val", 4)))
+    _EDGE + _GRAM + " SELECT a.t, a.f, a.g, round(0.5 * sum(b.val * power(0.5, a.t - b.t)), 4) AS val FROM gm a JOIN gm b ON b.f = a.f AND b.g = a.g AND b.t <= a.t GROUP BY 1, 2, 3",
+)(lambda f: X.ewma(X.gram(settle(X.numbered(_edge_features(f)))), ["f", "g"], GAMMA).withColumn("val", F.round("val", 4)))
 query("soft_threshold", "SELECT cell_id, t, (sign(x) * greatest(abs(x) - 10.0, 0.0))::DOUBLE AS x FROM s1")(lambda f: f.edge_signal().select("cell_id", "t", X.soft_threshold(F.col("x").cast("double"), 10.0).alias("x")))
 
-# ---- exchange: six first months, C_data = 2 unless said
-_MSG = """, sg AS (SELECT * FROM signal WHERE t < 6), msg AS (SELECT t, src, dst, kind, dim, cell_id, x AS value FROM (
+# ---- exchange: the whole timeline, C_data = 2 unless said
+_MSG = """, sg AS (SELECT * FROM signal), msg AS MATERIALIZED (SELECT t, src, dst, kind, dim, cell_id, x AS value FROM (
   SELECT dst AS src, src AS dst, 'owned' AS kind, dim, cell_id FROM needs UNION ALL SELECT src, dst, 'interface', dim, cell_id FROM iface2) JOIN sg USING (dim, cell_id) WHERE t % 2 = 0),
-want AS (SELECT src, dst, dim, cell_id, t FROM needs, (SELECT unnest(range(0, 6)) AS t))"""
+want AS (SELECT src, dst, dim, cell_id, t FROM needs, (SELECT t FROM months))"""
 
 
 def _exchange(f: Fixture):
-    p, s = f.partition(), f.signal().filter("t < 6")
+    p, s = f.partition(), f.signal()
     both = G.neighbour_interface(p.interface)
-    times = f.spark.range(6).withColumnRenamed("id", "t")
-    wanted = p.needs.join(F.broadcast(times))
+    wanted = p.needs.crossJoin(counted(f.months().select("t")))
     return p, s, both, E.messages(p.needs, both, s, 2), wanted
 
 
@@ -117,9 +119,9 @@ query("kstep_params", "SELECT t FROM months WHERE t % 3 = 0")(lambda f: E.gate(f
 query("kstep_rule", "SELECT t FROM months WHERE t % 4 = 1 OR t = 6")(lambda f: E.gate(f.months().select("t"), 10, (F.col("t") % 4 == 1) | (F.col("t") == 6)))
 query("export_messages", _MSG + " SELECT * FROM msg")(lambda f: _exchange(f)[3])
 query("outbox_latest", _MSG + " SELECT src, dst, kind, dim, cell_id, arg_max(value, t) AS value, max(t) AS t FROM msg GROUP BY 1, 2, 3, 4, 5")(lambda f: E.latest(_exchange(f)[3], ["src", "dst", "kind", "dim", "cell_id"], "value"))
-query("inbox_fresh", _MSG + " SELECT m.* FROM msg m WHERE t IN (2, 3)")(lambda f: E.fresh(_exchange(f)[3], f.spark.range(2, 4).withColumnRenamed("id", "t")).select("t", "src", "dst", "kind", "dim", "cell_id", "value"))
-query("inbox_stale", _MSG + " SELECT n.t, src, dst, kind, dim, cell_id, arg_max(value, m.t) AS value FROM (SELECT unnest(range(0, 6)) AS t) n JOIN msg m ON m.t <= n.t GROUP BY 1, 2, 3, 4, 5, 6")(
-    lambda f: E.fresh(_exchange(f)[3], f.spark.range(6).withColumnRenamed("id", "t"), accept_stale=True).select("t", "src", "dst", "kind", "dim", "cell_id", "value")
+query("inbox_fresh", _MSG + " SELECT m.* FROM msg m WHERE t % 3 <> 1")(lambda f: E.fresh(_exchange(f)[3], f.months().filter("t % 3 <> 1").select("t")).select("t", "src", "dst", "kind", "dim", "cell_id", "value"))
+query("inbox_stale", _MSG + " SELECT n.t, src, dst, kind, dim, cell_id, arg_max(value, m.t) AS value FROM (SELECT t FROM months) n JOIN msg m ON m.t <= n.t GROUP BY 1, 2, 3, 4, 5, 6")(
+    lambda f: E.fresh(_exchange(f)[3], f.months().select("t"), accept_stale=True).select("t", "src", "dst", "kind", "dim", "cell_id", "value")
 )
 query("impute_zero", _MSG + " SELECT w.*, coalesce(value, 0)::BIGINT AS value FROM want w LEFT JOIN (SELECT * FROM msg WHERE kind = 'owned') m ON m.src = w.dst AND m.dst = w.src AND m.dim = w.dim AND m.cell_id = w.cell_id AND m.t = w.t")(
     lambda f: (lambda x: E.impute_zero(x[4], x[3].filter("kind = 'owned'")).select("src", "dst", "dim", "cell_id", "t", "value"))(_exchange(f))
@@ -149,14 +151,14 @@ query("label_propagation")(
     lambda f: (lambda x: E.propagate_labels(G.local_signal(x[1], x[0].local_index).filter("dim = 1"), A.hodge(f.boundaries(), 1), x[0].needs.filter("dim = 1").select(F.col("src").alias("cluster_id"), "dim", "cell_id").distinct()))(_exchange(f))
 )
 
-# ---- mixing: parameters derived from the signal, one vector of five per cluster
-_PAR = ", par AS (SELECT cluster_id AS agent, t AS idx, (sum(x) % 101)::DOUBLE AS value FROM community JOIN s1 USING (cell_id) WHERE t < 5 GROUP BY 1, 2), old AS (SELECT cluster_id AS agent, t - 5 AS idx, (sum(x) % 101)::DOUBLE AS value FROM community JOIN s1 USING (cell_id) WHERE t BETWEEN 5 AND 9 GROUP BY 1, 2), z AS (SELECT agent, idx, old.value - par.value AS value FROM par JOIN old USING (agent, idx))"
+# ---- mixing: parameters derived from the signal, a vector per cluster: even months now, odd months before (one shorter)
+_PAR = ", par AS (SELECT cluster_id AS agent, t // 2 AS idx, (sum(x) % 101)::DOUBLE AS value FROM community JOIN s1 USING (cell_id) WHERE t % 2 = 0 GROUP BY 1, 2), od AS (SELECT cluster_id AS agent, t // 2 AS idx, (sum(x) % 101)::DOUBLE AS value FROM community JOIN s1 USING (cell_id) WHERE t % 2 = 1 GROUP BY 1, 2), old AS (SELECT agent, idx, coalesce(od.value, 0) AS value FROM par LEFT JOIN od USING (agent, idx)), z AS (SELECT agent, idx, old.value - par.value AS value FROM par JOIN old USING (agent, idx))"
 
 
 def _params(f: Fixture):
     s = f.edge_signal().join(f.community(), "cell_id").groupBy(F.col("cluster_id").alias("agent"), "t").agg((F.sum("x") % 101).cast("double").alias("value"))
-    now = s.filter("t < 5").select("agent", F.col("t").alias("idx"), "value")
-    return G.metropolis_weights(f.partition().agent_graph, f.community()), now, s.filter("t between 5 and 9").select("agent", (F.col("t") - 5).alias("idx"), "value")
+    half = F.floor(F.col("t") / 2).alias("idx")
+    return G.metropolis_weights(f.partition().agent_graph, f.community()), s.filter("t % 2 = 0").select("agent", half, "value"), s.filter("t % 2 = 1").select("agent", half, "value")
 
 
 query("atc_mix", _PAR + " SELECT src AS agent, idx, round(sum(w * value), 6) AS value FROM mhw JOIN par ON agent = dst GROUP BY 1, 2")(lambda f: (lambda x: _round(C.mix_atc(x[0], x[1]), "value"))(_params(f)))
@@ -172,19 +174,19 @@ query("kgt_gradient", _PAR + " SELECT par.agent, par.idx, 0.5 * (par.value + z.v
 )
 
 # ---- metrics on persistence forecasts of each cluster, h = 1 (case 1) and 3 (case 3)
-_FC = """, fc AS (SELECT c.case_id, o.cluster_id, o.dim, o.cell_id, s.t AS i, s.x::DOUBLE AS yhat FROM owned0 o JOIN signal s USING (dim, cell_id), (VALUES (1::BIGINT), (3)) c(case_id) WHERE s.t + c.case_id <= (SELECT max(t) FROM months)),
-truth AS (SELECT s.dim, s.cell_id, s.t - c.case_id AS i, s.x AS y, c.case_id FROM signal s, (VALUES (1::BIGINT), (3)) c(case_id) WHERE s.t >= c.case_id),
-ag AS (SELECT case_id, dim, i, cell_id, avg(yhat) AS yhat FROM fc GROUP BY 1, 2, 3, 4),
-jt AS (SELECT ag.*, y FROM ag JOIN truth USING (case_id, dim, cell_id, i)),
-tv AS (SELECT case_id, dim, i, CASE WHEN sum(y * y) > 0 THEN sum((yhat - y) * (yhat - y)) / sum(y * y) END AS tv_nmse, avg(abs(yhat - y)) AS tv_mae, avg(CASE WHEN y <> 0 THEN abs((yhat - y) / y) END) * 100 AS tv_mape FROM jt GROUP BY 1, 2, 3)"""
+_FC = """, fc AS MATERIALIZED (SELECT c.case_id, o.cluster_id, o.dim, o.cell_id, s.t AS i, s.x::DOUBLE AS yhat FROM owned0 o JOIN signal s USING (dim, cell_id), (VALUES (1::BIGINT), (3)) c(case_id) WHERE s.t + c.case_id <= (SELECT max(t) FROM months)),
+truth AS MATERIALIZED (SELECT s.dim, s.cell_id, s.t - c.case_id AS i, s.x AS y, c.case_id FROM signal s, (VALUES (1::BIGINT), (3)) c(case_id) WHERE s.t >= c.case_id),
+ag AS MATERIALIZED (SELECT case_id, dim, i, cell_id, avg(yhat) AS yhat FROM fc GROUP BY 1, 2, 3, 4),
+jt AS MATERIALIZED (SELECT ag.*, y FROM ag JOIN truth USING (case_id, dim, cell_id, i)),
+tv AS MATERIALIZED (SELECT case_id, dim, i, CASE WHEN sum(y * y) > 0 THEN sum((yhat - y) * (yhat - y)) / sum(y * y) END AS tv_nmse, avg(abs(yhat - y)) AS tv_mae, avg(CASE WHEN y <> 0 THEN abs((yhat - y) / y) END) * 100 AS tv_mape FROM jt GROUP BY 1, 2, 3)"""
 
 
 def _forecasts(f: Fixture):
     p, s = f.partition(), f.signal()
     parts, truths = [], []
-    last = f.months().agg(F.max("t").alias("last"))
+    last = f.months().agg(F.max("t")).first()[0]
     for h in (1, 3):
-        made = M.persistence(s, h).join(F.broadcast(last)).filter("t_eval <= last")
+        made = M.persistence(s, h).filter(F.col("t_eval") <= F.lit(last))
         parts.append(p.owned0.join(made, ["dim", "cell_id"]).select(F.lit(h).cast("long").alias("case_id"), "cluster_id", "dim", "cell_id", F.col("t_made").alias("i"), "yhat"))
         truths.append(s.filter(F.col("t") >= h).select(F.lit(h).cast("long").alias("case_id"), "dim", "cell_id", (F.col("t") - h).alias("i"), F.col("x").alias("y")))
     return p, parts[0].unionByName(parts[1]), truths[0].unionByName(truths[1])
@@ -230,19 +232,19 @@ query("comparison_table", _FC + " SELECT metric, round(max(CASE WHEN case_id = 1
         ), "h1", "h3",
     )
 )
-query("horizon_select", ", w AS (SELECT case_id, horizon, horizon * 10 AS yhat FROM (VALUES (1::BIGINT, 1::BIGINT), (1, 2), (2, 1)) v(case_id, horizon)) SELECT w.* FROM w JOIN (SELECT case_id, least(2, max(horizon)) AS h FROM w GROUP BY 1) m ON m.case_id = w.case_id AND m.h = horizon")(
-    lambda f: M.at_horizon(f.spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "case_id long, horizon long").withColumn("yhat", F.col("horizon") * 10), 2)
+query("horizon_select", ", w AS (SELECT dim AS case_id, h AS horizon, dim, cell_id, t + h AS t_eval, t AS t_made, x::DOUBLE AS yhat FROM signal, (VALUES (1::BIGINT), (2), (3)) v(h) WHERE h <= dim + 1) SELECT w.* FROM w JOIN (SELECT case_id, least(2, max(horizon)) AS h FROM w GROUP BY 1) m ON m.case_id = w.case_id AND m.h = horizon")(
+    lambda f: M.at_horizon(reduce(DataFrame.unionByName, (M.persistence(f.signal().filter(F.col("dim") >= h - 1), h).withColumn("case_id", F.col("dim")).withColumn("horizon", F.lit(h).cast("long")) for h in (1, 2, 3))), 2)
 )
 
 # ---- disagreement: a parameter per month of the year, agents = clusters, t = year
-_DIS = """, dp AS (SELECT 1::BIGINT AS case_id, cluster_id AS agent, t // 12 AS t, t % 12 AS idx, sum(x)::DOUBLE AS value FROM community JOIN s1 USING (cell_id) WHERE t < 60 GROUP BY 1, 2, 3, 4), rf AS (SELECT t, idx, avg(value) + 3 AS ref FROM dp GROUP BY 1, 2),
+_DIS = """, dp AS (SELECT 1::BIGINT AS case_id, cluster_id AS agent, t // 12 AS t, t % 12 AS idx, sum(x)::DOUBLE AS value FROM community JOIN s1 USING (cell_id) GROUP BY 1, 2, 3, 4), rf AS (SELECT t, idx, avg(value) + 3 AS ref FROM dp GROUP BY 1, 2),
 ctr AS (SELECT dp.*, ref, avg(value) OVER (PARTITION BY dp.t, dp.idx) AS mean FROM dp JOIN rf ON rf.t = dp.t AND rf.idx = dp.idx),
 pa AS (SELECT case_id, t, agent, sum((value - mean) * (value - mean)) AS d2, sum((value - ref) * (value - ref)) AS g2, count(*) AS n, sum((mean - ref) * (mean - ref)) AS c2, sum(ref * ref) AS r2 FROM ctr GROUP BY 1, 2, 3),
 dm AS (SELECT case_id, t, sum(d2) / sum(n) AS self_disagreement, sqrt(avg(d2)) AS self_rms, avg(sqrt(g2)) AS global_disagreement, sqrt(max(c2)) AS centroid_to_global, sqrt(max(c2)) / greatest(sqrt(max(r2)), 1e-12) AS centroid_to_global_relative, sqrt(avg(g2)) AS global_rms, sqrt(avg(g2)) / greatest(sqrt(max(r2)), 1e-12) AS global_rms_relative FROM pa GROUP BY 1, 2)"""
 
 
 def _disagreement(f: Fixture) -> DataFrame:
-    s = f.edge_signal().filter("t < 60").join(f.community(), "cell_id")
+    s = f.edge_signal().join(f.community(), "cell_id")
     p = s.groupBy(F.lit(1).cast("long").alias("case_id"), F.col("cluster_id").alias("agent"), F.floor(F.col("t") / 12).alias("t"), (F.col("t") % 12).alias("idx")).agg(F.sum("x").cast("double").alias("value"))
     return M.disagreement(p, p.groupBy("t", "idx").agg((F.avg("value") + 3).alias("ref")))
 
@@ -255,6 +257,10 @@ for _name, _columns in {
     "global_rms": ["global_rms", "global_rms_relative"],
 }.items():
     query(_name, _DIS + " SELECT case_id, t, " + ", ".join(f"round({c}, 6) AS {c}" for c in _columns) + " FROM dm")(lambda f, c=_columns: _round(_disagreement(f).select("case_id", "t", *c), *c))
-query("rolling_disagreement", _DIS + " SELECT case_id, t, round(avg(self_disagreement) OVER (ORDER BY t), 6) AS rolling_self_disagreement FROM dm")(
-    lambda f: _round(M.rolling(_disagreement(f), "self_disagreement", "rolling_self_disagreement", ("case_id",), "t"), "rolling_self_disagreement")
-)
+for _name, _column in {
+    "rolling_disagreement": "self_disagreement", "rolling_self_rms": "self_rms", "rolling_global_disagreement": "global_disagreement", "rolling_centroid_to_global": "centroid_to_global",
+    "rolling_centroid_to_global_relative": "centroid_to_global_relative", "rolling_global_rms": "global_rms", "rolling_global_rms_relative": "global_rms_relative",
+}.items():
+    query(_name, _DIS + f" SELECT case_id, t, round(avg({_column}) OVER (ORDER BY t), 6) AS rolling_{_column} FROM dm")(
+        lambda f, c=_column: _round(M.rolling(_disagreement(f), c, f"rolling_{c}", ("case_id",), "t"), f"rolling_{c}")
+    )

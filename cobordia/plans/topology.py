@@ -71,7 +71,7 @@ query("smoothing_matrix", "SELECT i, j, sum(val) AS val FROM (SELECT edge_id AS
 )
 
 query("only_edges_owned", "SELECT edge_id AS cluster_id, 1::BIGINT AS dim, edge_id AS cell_id FROM edges")(lambda x: P.only_edges(x.boundaries())["owned"])
-query("only_edges_needs", "SELECT i AS src, j AS dst, dim, count(*) AS cells FROM h1z JOIN cells ON dim <> 1 OR cell_id <> i GROUP BY 1, 2, 3")(lambda x: P.only_edges(x.boundaries())["needs"].groupBy("src", "dst", "dim").agg(F.count("*").alias("cells")))
+query("only_edges_needs", "SELECT i AS src, j AS dst, dim, count(*) AS cells FROM h1z JOIN cells ON dim <> 1 OR cell_id <> i GROUP BY 1, 2, 3")(lambda x: P.only_edges(x.boundaries())["needs"].select("src", "dst", "dim", "cells"))
 query("owned0", "SELECT * FROM owned0")(lambda x: x.partition().owned0)
 query("interface", "SELECT * FROM iface")(lambda x: x.partition().interface)
 query("owned", "SELECT * FROM owned")(lambda x: x.partition().owned)
@@ -82,8 +82,8 @@ query("local_index", "SELECT * FROM lidx")(lambda x: x.partition().local_index)
 query("local_complex", "SELECT c.cluster_id, 1::BIGINT AS dim, b1.i, b1.j, b1.val FROM b1 JOIN lidx c ON c.dim = 1 AND c.cell_id = b1.j JOIN lidx r ON r.dim = 0 AND r.cell_id = b1.i AND r.cluster_id = c.cluster_id UNION ALL SELECT c.cluster_id, 2, b2.i, b2.j, b2.val FROM b2 JOIN lidx c ON c.dim = 2 AND c.cell_id = b2.j JOIN lidx r ON r.dim = 1 AND r.cell_id = b2.i AND r.cluster_id = c.cluster_id")(
     lambda x: P.local_complex(x.boundaries(), x.partition().local_index)
 )
-query("local_signal", "SELECT cluster_id, l.dim, l.cell_id, t, x FROM lidx l JOIN signal s ON s.dim = l.dim AND s.cell_id = l.cell_id WHERE t < 6")(lambda x: G.local_signal(x.signal().filter("t < 6"), x.partition().local_index))
-query("pure_local_signal", "SELECT cluster_id, l.dim, l.cell_id, t, x FROM owned l JOIN signal s ON s.dim = l.dim AND s.cell_id = l.cell_id WHERE t < 6")(lambda x: G.local_signal(x.signal().filter("t < 6"), x.partition().owned))
+query("local_signal", "SELECT cluster_id, l.dim, l.cell_id, t, x FROM lidx l JOIN signal s ON s.dim = l.dim AND s.cell_id = l.cell_id")(lambda x: G.local_signal(x.signal(), x.partition().local_index))
+query("pure_local_signal", "SELECT cluster_id, l.dim, l.cell_id, t, x FROM owned l JOIN signal s ON s.dim = l.dim AND s.cell_id = l.cell_id")(lambda x: G.local_signal(x.signal(), x.partition().owned))
 _PARTIAL = ", part AS (SELECT l.cluster_id, l.dim, l.pos, l.cell_id, (o.cell_id IS NOT NULL OR count(o.cell_id) OVER (PARTITION BY l.cluster_id, l.dim) = 0) AS is_out FROM lidx l LEFT JOIN owned o ON o.cluster_id = l.cluster_id AND o.dim = l.dim AND o.cell_id = l.cell_id) "
 query("partial_indices", _PARTIAL + "SELECT * FROM part")(lambda x: G.partial_indices((p := x.partition()).local_index, p.owned))
 query("output_map", _PARTIAL + "SELECT cluster_id, dim, row_number() OVER (PARTITION BY cluster_id, dim ORDER BY pos) - 1 AS out_pos, cell_id FROM part WHERE is_out")(lambda x: G.output_map(G.partial_indices((p := x.partition()).local_index, p.owned)))
@@ -97,9 +97,15 @@ query("only_local_neighbours", "SELECT n.* FROM needs n JOIN owned o ON o.cluste
     lambda x: (lambda p: G.only_local(p.needs, p.owned).unionByName(G.only_local(p.needs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dim", "cell_id"), p.owned).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dim", "cell_id")))(x.partition())
 )
 query("mh_weights", "SELECT * FROM mhw")(lambda x: G.metropolis_weights(x.partition().agent_graph, x.community()).withColumn("w", F.col("w")))
+query("in_equals_out_complex", ", own AS (SELECT * FROM owned), cut AS (SELECT l.cluster_id, l.dim, l.cell_id FROM lidx l JOIN own o ON o.cluster_id = l.cluster_id AND o.dim = l.dim AND o.cell_id = l.cell_id UNION SELECT l.cluster_id, l.dim, l.cell_id FROM lidx l WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.cluster_id = l.cluster_id AND o.dim = l.dim)) SELECT c.cluster_id, 1::BIGINT AS dim, b1.i, b1.j, b1.val FROM b1 JOIN cut c ON c.dim = 1 AND c.cell_id = b1.j JOIN cut r ON r.dim = 0 AND r.cell_id = b1.i AND r.cluster_id = c.cluster_id UNION ALL SELECT c.cluster_id, 2, b2.i, b2.j, b2.val FROM b2 JOIN cut c ON c.dim = 2 AND c.cell_id = b2.j JOIN cut r ON r.dim = 1 AND r.cell_id = b2.i AND r.cluster_id = c.cluster_id")(
+    lambda x: (lambda p: G.in_equals_out_view(p.local_index, p.owned, x.boundaries(), x.signal(), p.needs)["complex"])(x.partition())
+)
+query("in_equals_out_signal", "SELECT l.cluster_id, l.dim, l.cell_id, t, x FROM lidx l JOIN signal s ON s.dim = l.dim AND s.cell_id = l.cell_id WHERE EXISTS (SELECT 1 FROM owned o WHERE o.cluster_id = l.cluster_id AND o.dim = l.dim AND o.cell_id = l.cell_id) OR NOT EXISTS (SELECT 1 FROM owned o WHERE o.cluster_id = l.cluster_id AND o.dim = l.dim)")(
+    lambda x: (lambda p: G.in_equals_out_view(p.local_index, p.owned, x.boundaries(), x.signal(), p.needs)["signal"])(x.partition())
+)
 query("global_agent", "SELECT 0::BIGINT AS cluster_id, dim, cell_id FROM cells")(lambda x: G.global_agent(x.cells()))
-query("overlap_mean", "SELECT c.dim, c.cell_id, coalesce(avg(s.x * l.cluster_id), 0.0)::DOUBLE AS x FROM cells c LEFT JOIN owned0 l ON l.dim = c.dim AND l.cell_id = c.cell_id LEFT JOIN signal s ON s.dim = c.dim AND s.cell_id = c.cell_id AND s.t = 3 GROUP BY 1, 2")(
-    lambda x: G.overlap_mean(G.local_signal(x.signal().filter("t = 3"), x.partition().owned0).withColumn("x", F.col("x") * F.col("cluster_id")), x.cells())
+query("overlap_mean", "SELECT s.dim, s.cell_id, s.t, coalesce(avg(s.x * l.cluster_id), 0.0)::DOUBLE AS x FROM signal s LEFT JOIN owned0 l ON l.dim = s.dim AND l.cell_id = s.cell_id GROUP BY 1, 2, 3")(
+    lambda x: G.overlap_mean(G.local_signal(x.signal(), x.partition().owned0).withColumn("x", F.col("x") * F.col("cluster_id")), x.signal().select("dim", "cell_id", "t"))
 )
 query("centroids", "SELECT cluster_id, avg(region_id) AS lon, avg(node_id) AS lat FROM lidx JOIN nodes ON node_id = cell_id WHERE dim = 0 GROUP BY 1")(lambda x: P.centroids(x.partition().local_index, x.nodes().select(F.col("node_id").alias("cell_id"), F.col("region_id").alias("lon"), F.col("node_id").alias("lat"))))
 query("polygon_order", ", c AS (SELECT DISTINCT b2.j AS face_id, b1.i AS cell_id FROM b2 JOIN b1 ON b1.j = b2.i), p AS (SELECT face_id, cell_id, atan2(cell_id - avg(cell_id) OVER (PARTITION BY face_id), cell_id % 5 - avg(cell_id % 5) OVER (PARTITION BY face_id)) AS angle FROM c) SELECT face_id, cell_id, row_number() OVER (PARTITION BY face_id ORDER BY angle, cell_id) - 1 AS pos FROM p")(
@@ -129,5 +135,14 @@ _BFS = ", g0 AS (SELECT node, node AS head, NULL::BIGINT AS parent, 0::BIGINT AS
     f", o{k} AS (SELECT j AS node, min([head, i]) AS b FROM h1z JOIN g{k - 1} ON node = i AND depth = {k - 1} WHERE j NOT IN (SELECT node FROM g{k - 1}) GROUP BY j), g{k} AS (SELECT * FROM g{k - 1} UNION ALL SELECT node, b[1], b[2], {k} FROM o{k})" for k in (1, 2)
 )
 query("bfs_clusters_d2", _rounds(2) + _BFS + " SELECT node, head, coalesce(parent, -1) AS parent, depth FROM g2")(lambda x: P.bfs_clusters(N.edge_adjacency(x.boundaries()), _heads(x, 2), 2).na.fill({"parent": -1}))
-query("hop_partition_owned")(lambda x: P.hop_partition(x.boundaries(), 2).owned)
-query("hop_partition_needs")(lambda x: P.hop_partition(x.boundaries(), 2, q=2).needs)
+_HOP = _rounds(2) + _BFS + """, hc AS (SELECT head AS cluster_id, node AS cell_id FROM g2), ho AS (SELECT cluster_id, 1::BIGINT AS dim, cell_id FROM hc UNION SELECT cluster_id, dim_to, cell_to FROM hc JOIN adj ON dim_from = 1 AND cell_from = cell_id AND dim_to <> 1),
+hi AS (SELECT a.cluster_id AS c1, b.cluster_id AS c2, a.dim, a.cell_id FROM ho a JOIN ho b ON a.dim = b.dim AND a.cell_id = b.cell_id AND a.cluster_id < b.cluster_id AND a.dim <> 1),
+hg AS (SELECT c1 AS src, c2 AS dst FROM hi UNION SELECT c2, c1 FROM hi)"""
+query("hop_partition_owned", _HOP + " SELECT * FROM ho o WHERE NOT EXISTS (SELECT 1 FROM hi WHERE hi.dim = o.dim AND hi.cell_id = o.cell_id)")(lambda x: P.hop_partition(x.boundaries(), 2).owned)
+query(
+    "hop_partition_needs",
+    _HOP + f""", near2 AS (SELECT i, j FROM ({_SQUARE.format(m='h1z')}) WHERE i <> j),
+hn AS (SELECT DISTINCT a.cluster_id AS src, b.cluster_id AS dst, b.cell_id FROM hc a JOIN near2 ON near2.i = a.cell_id JOIN hc b ON b.cell_id = near2.j JOIN hg ON hg.src = a.cluster_id AND hg.dst = b.cluster_id)
+SELECT src, dst, 1::BIGINT AS dim, cell_id FROM hn UNION ALL SELECT * FROM (SELECT DISTINCT src, dst, dim_to AS dim, cell_to AS cell_id FROM hn JOIN adj ON dim_from = 1 AND cell_from = cell_id AND dim_to <> 1) n
+WHERE (dst, dim, cell_id) IN (SELECT (cluster_id, dim, cell_id) FROM ho) AND (src, dim, cell_id) NOT IN (SELECT (cluster_id, dim, cell_id) FROM ho)""",
+)(lambda x: P.hop_partition(x.boundaries(), 2, q=2).needs)

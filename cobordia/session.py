@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: the cluster's shared folder, or one of our own where none is named."""
+    """Make ``checkpoint()`` usable: the cluster's shared folder, or in local mode one of our own where none is named."""
     if spark.sparkContext.getCheckpointDir() is None:
         at = spark.conf.get("spark.checkpoint.dir", "")
         if not at:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
             at = tempfile.mkdtemp(prefix="cobordia-checkpoint-")
             atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
@@ -34,6 +37,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame, at_most: int = 1 << 22) -> DataFrame:
+    """``df`` marked for broadcast, after its rows were counted and found to be at most ``at_most``: timelines, mostly."""
+    if df.limit(at_most + 1).count() > at_most:
+        raise ValueError(f"more than {at_most} rows are too many to send to every task")
+    return F.broadcast(df)
+
+
 def _by_keys(df: DataFrame, keys: DataFrame, column: str, kind: str, at_most: int) -> DataFrame:
     small = keys.limit(at_most + 1).count() <= at_most
     return df.join(F.broadcast(keys) if small else keys.hint("merge"), column, kind)

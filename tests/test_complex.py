@@ -71,12 +71,11 @@ def test_topolms_trace(b, spark, edge_signal):
     for r in x.filter("t = 3").collect():
         got[r["i"], r["f"]] = r["s"]
     assert (got == want).all()
-    f = x.selectExpr("0L as case_id", "0L as agent", "i", "t + 1 as t", "f", "cast(s as double) as s")
-    rhs = f.join(edge_signal.selectExpr("cell_id as i", "t", "x as y"), ["i", "t"]).groupBy("case_id", "agent", "t", "f").agg({"s": "sum"}).select("case_id", "agent", "t", "f")
-    y = f.join(edge_signal.selectExpr("cell_id as i", "t", "x as y"), ["i", "t"]).selectExpr("case_id", "agent", "t", "f", "s * y as v").groupBy("case_id", "agent", "t", "f").agg({"v": "sum"}).withColumnRenamed("sum(v)", "val")
-    assert rhs.count() == y.count()
+    f = x.selectExpr("0L as case_id", "1L as dim", "0L as agent", "i", "t + 1 as t", "f", "cast(s as double) as s")
+    keys = ["case_id", "dim", "agent", "t"]
+    y = f.join(edge_signal.selectExpr("cell_id as i", "t", "x as y"), ["i", "t"]).selectExpr(*keys, "f", "s * y as v").groupBy(*keys, "f").agg({"v": "sum"}).withColumnRenamed("sum(v)", "val")
     weights = spark.createDataFrame([(0, 0, 0, 1.0)], "case_id long, src long, dst long, w double")
-    theta = L.sequential(A.gram(f, ["case_id", "agent", "t"]), y, weights, {0: L.Rule(gamma=0.0)}, 5).collect()
+    theta = L.sequential(A.gram(f, keys), y, weights, {0: L.Rule(gamma=0.0)}, 5).collect()
     last = [r["value"] for r in sorted(theta, key=lambda r: (r["t"], r["idx"]))][-5:]
     assert np.allclose(last, [0.001325, 0.022744, -0.014847, -0.028301, -0.064949], atol=2e-6)
     ahead = L.topolms_forecast(want.astype(float), np.array(last), ll, lu, 2, 1)
@@ -104,29 +103,248 @@ def test_fold_against_a_loop():
     assert np.allclose(alone, L.run_fold(grams, rhs, np.eye(3), L.Rule(gamma=0.9)))
 
 
-def test_rollout_feeds_predictions_back(b, spark, edge_signal):
+def test_folds_of_every_mixing(spark):
+    """K-GT, gating, isolated agents and the threshold by a loop over agents; and the same from tables, agent by agent."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(7, 4, 6, 3))
+    grams, rhs = np.einsum("taif,taig->tafg", x, x), draw.normal(size=(7, 4, 3))
+    w = np.array([[0.5, 0.5, 0, 0], [0.5, 0.2, 0.3, 0], [0, 0.3, 0.7, 0], [0, 0, 0, 1.0]])
+    rows = [(t, a, f, g, float(grams[t, a, f, g])) for t, a, f, g in np.ndindex(7, 4, 3, 3)]
+    g = spark.createDataFrame(rows, "t long, agent long, f long, g long, val double").selectExpr("9L as case_id", "2L as dim", "*")
+    r = spark.createDataFrame([(t, a, f, float(rhs[t, a, f])) for t, a, f in np.ndindex(7, 4, 3)], "t long, agent long, f long, val double").selectExpr("9L as case_id", "2L as dim", "*")
+    mix = spark.createDataFrame([(9, i, j, float(w[i, j])) for i, j in np.ndindex(4, 4) if w[i, j]], "case_id long, src long, dst long, w double")
+    for rule in (L.Rule(0.9, "kgt", 3, 1.5, 0.7, 0.9), L.Rule(0.8, "kgt", 2, consensus="always"), L.Rule(0.9, "atc", 2, consensus="always"), L.Rule(0.9, "atc", 3, threshold=0.01), L.Rule(0.9, "none")):
+        theta, phi, rr, z, c, old = (np.zeros(k) for k in ((4, 3), (4, 3, 3), (4, 3), (4, 3), (4, 3), (4, 3)))
+        want = []
+        for t in range(7):
+            ticks = t % rule.clock == 0
+            for a in range(4):
+                phi[a], rr[a] = rule.gamma * phi[a] + (1 - rule.gamma) * grams[t, a], rule.gamma * rr[a] + (1 - rule.gamma) * rhs[t, a]
+                gradient = phi[a] @ theta[a] - rr[a]
+                if rule.mixing == "kgt":
+                    gradient = rule.c * (gradient + c[a])
+                theta[a] = theta[a] - gradient / (1e-4 + np.linalg.eigvalsh(phi[a])[-1])
+                if rule.threshold:
+                    theta[a] = np.sign(theta[a]) * np.maximum(np.abs(theta[a]) - rule.threshold, 0)
+            if rule.mixing == "kgt" and ticks:
+                z = (old - theta) / (rule.k * rule.c)
+            sent, new = theta.copy(), theta.copy()
+            for a in range(4):
+                came = [b for b in range(4) if b != a and w[a, b] and ticks]
+                if rule.mixing == "none" or (rule.consensus == "gated" and not came):
+                    continue
+                if rule.mixing == "atc":
+                    new[a] = w[a, a] * sent[a] + sum(w[a, b] * sent[b] for b in came)
+                else:
+                    kcs = rule.k * rule.c * rule.s
+                    c[a] = c[a] - z[a] + w[a, a] * z[a] + sum(w[a, b] * z[b] for b in came)
+                    new[a] = w[a, a] * (old[a] - kcs * z[a]) + sum(w[a, b] * (sent[b] - kcs * z[b]) for b in came)
+            if rule.mixing == "kgt":
+                old = np.where((new != sent).any(axis=1)[:, None] | (rule.consensus == "always"), new, old)
+            theta = new
+            want.append(theta.copy())
+        assert np.allclose(L.run_fold(grams, rhs, w, rule), want), rule
+        for together in (L.TOGETHER, 0):
+            got = np.full((7, 4, 3), np.nan)
+            for row in L.sequential(g, r, mix, {9: rule}, {2: 3}, together).collect():
+                assert (row["case_id"], row["dim"]) == (9, 2)
+                got[row["t"], row["agent"], row["idx"]] = row["value"]
+            assert np.allclose(got, want), (rule, together)
+
+
+NODES = np.array([[((t + 2) * (j + 1)) % 5 - 2 for t in range(7)] for j in range(4)])
+EDGES = np.array([[((t + 1) * (j + 1)) % 7 - 3 for t in range(7)] for j in range(5)])
+FACES = np.array([[((t + 3) * (j + 2)) % 6 - 2 for t in range(7)] for j in range(2)])
+
+
+def ccvar_loop(plan, view, own, out, weights, horizon):
+    """θ after each step and forecasts, by agents that keep dense local matrices and lag buffers."""
+    model, rule, full = plan.model, plan.rule, {0: NODES, 1: EDGES, 2: FACES}
+    agents, theta, ahead = sorted(view), {}, {}
+    local = {}
+    for a in agents:
+        b = {1: B1[np.ix_(view[a][0], view[a][1])], 2: B2[np.ix_(view[a][1], view[a][2])]}
+        local[a] = {d: (b[d].T @ b[d] if d else None, b[d + 1] @ b[d + 1].T if d < 2 else None, b.get(d), b.get(d + 1)) for d in range(3)}
+
+    def features(a, buffer, d, scale):
+        low, up, down, above = local[a][d]
+        k_low, k_up = model.pair(model.powers, d)
+        parts = []
+        power = lambda m, k: np.linalg.matrix_power(m, k)
+        if low is not None and d - 1 in model.dims:
+            parts += [power(low, k) @ down.T @ buffer[d - 1][p] for k in range(1, k_low + 1) for p in range(model.lag)]
+        if low is not None:
+            parts += [power(low, k) @ buffer[d][p] for k in range(1, k_low + 1) for p in range(model.lag)]
+        if up is not None:
+            parts += [power(up, k) @ buffer[d][p] for k in range(1, k_up + 1) for p in range(model.lag)]
+        if up is not None and d + 1 in model.dims:
+            parts += [power(up, k) @ above @ buffer[d + 1][p] for k in range(1, k_up + 1) for p in range(model.lag)]
+        s = np.column_stack([*parts, np.ones(len(view[a][d]))])
+        if model.normalise:
+            square = (s**2).sum(axis=0)
+            s = s / np.sqrt(np.where(square == 0, 0.001, square)) * scale
+        return s
+
+    buffers = {a: {d: [np.zeros(len(view[a][d])) for _ in range(model.lag)] for d in range(3)} for a in agents}
+    state, scales = {}, {(a, d): 0.0 for a in agents for d in range(3)}
+    for t in range(7):
+        for a in agents:
+            for d in model.dims:
+                scales[a, d] = (1 - model.b) * scales[a, d] + model.b * np.sqrt((buffers[a][d][0] ** 2).sum())
+                s = features(a, buffers[a], d, scales[a, d])
+                rows = [view[a][d].index(c) for c in out[a][d]]
+                low, up = local[a][d][:2]
+                r = np.eye(len(rows))
+                for m, mu in zip((low, up), model.pair(model.mu, d), strict=True):
+                    r = r + (mu * m[np.ix_(rows, rows)] if m is not None else 0)
+                phi, rr, th, *_ = state.get((a, d), (0.0, 0.0, np.zeros(s.shape[1])))
+                phi = rule.gamma * phi + (1 - rule.gamma) * s[rows].T @ r @ s[rows]
+                rr = rule.gamma * rr + (1 - rule.gamma) * s[rows].T @ full[d][out[a][d], t]
+                state[a, d] = phi, rr, th - (phi @ th - rr) / (1e-4 + np.linalg.eigvalsh(phi)[-1])
+            for d in range(3):
+                sent = t - t % plan.data_clock
+                now = [full[d][c, t] if c in own[a][d] else (full[d][c, sent] if plan.imputer == "hold" else full[d][c, t] * (t == sent)) for c in view[a][d]]
+                buffers[a][d] = [np.array(now, float), *buffers[a][d][:-1]]
+        if rule.mixing == "atc" and t % rule.clock == 0:
+            before = {k: v[2] for k, v in state.items()}
+            for a, d in state:
+                state[a, d] = (*state[a, d][:2], sum(w * before[c, d] for c, w in weights[a].items()))
+        for a, d in state:
+            theta[t, a, d] = state[a, d][2]
+        for a in agents:
+            held = {d: list(v) for d, v in buffers[a].items()}
+            for h in range(1, horizon + 1):
+                made = {d: features(a, held, d, 1.0) @ state[a, d][2] for d in model.dims}
+                for d in model.dims:
+                    ahead[t, h, a, d] = made[d]
+                    held[d] = [made[d], *held[d][:-1]]
+    return theta, ahead
+
+
+@pytest.mark.parametrize("changes", [{}, {"data_clock": 1, "model": {"mu": (0.1, (0.3, 0.2), 0.4), "powers": (1, (2, 1), 2)}}, {"imputer": "zero", "model": {"normalise": True, "b": 0.5}}, {"rule": {"mixing": "none"}, "model": {"dims": (1, 2)}}])
+def test_three_dimensions_against_a_loop(spark, b, changes):
+    from cobordia.plans import presets, runs
+
+    plan = presets.merged(presets.PRESETS["default"], **{"data_clock": 3, "rule": {"clock": 2, "gamma": 0.9} | changes.get("rule", {}), **{k: v for k, v in changes.items() if k != "rule"}})
+    parts = [readers.from_matrix(spark, m, d).select("dim", "cell_id", "t", "x") for d, m in enumerate((NODES, EDGES, FACES))]
+    signal = runs.settle(runs.union(parts))
+    community = spark.createDataFrame([(0, 0), (0, 1), (0, 2), (1, 3), (1, 4)], "cluster_id long, cell_id long")
+    p = P.partition(b, community, 1, 1)
+    weights = runs.settle(G.metropolis_weights(p.agent_graph, p.owned))
+    out = runs.settle(G.partial_indices(p.local_index, p.owned).filter("is_out").select("cluster_id", "dim", "cell_id"))
+    case = runs._case(plan, b, signal, p.local_index, p.owned, out, weights)
+    sets = lambda d: {a: {k: sorted(r["cell_id"] for r in rows if (r["cluster_id"], r["dim"]) == (a, k)) for k in range(3)} for a in (0, 1)} if (rows := d.collect()) else None
+    mixing = {a: {r["dst"]: r["w"] for r in weights.collect() if r["src"] == a} for a in (0, 1)}
+    assert all(len(m) == 2 for m in mixing.values())
+    theta, ahead = ccvar_loop(plan, sets(p.local_index), sets(p.owned), sets(out), mixing, 2)
+    made = runs.learn({5: case}, signal)
+    got = {}
+    for r in made.collect():
+        got.setdefault((r["t"], r["agent"], r["dim"]), {})[r["idx"]] = r["value"]
+    assert set(got) == set(theta)
+    for k, v in theta.items():
+        assert np.allclose([got[k].get(n, np.nan) for n in range(len(v))], v, atol=1e-9), k
+    if plan.model.normalise:
+        return  # a rollout has no running scale
+    view = sets(p.local_index)
+    seen = {(r["t_made"], r["horizon"], r["i"] // runs.BLOCK, r["dim"], r["i"] % runs.BLOCK): r["yhat"] for r in runs.rolled(case, made, 2).collect()}
+    assert len(seen) == sum(len(v) for v in ahead.values())
+    for (t, h, a, d), v in ahead.items():
+        assert np.allclose([seen[t, h, a, d, c] for c in view[a][d]], v, atol=1e-9), (t, h, a, d)
+    one = {(r["i"], r["cluster_id"], r["dim"], r["cell_id"]): r["yhat"] for r in runs.forecasts({5: case}, made, everything=True).collect()}
+    assert all(abs(one[t + 1, a, d, c] - seen[t, 1, a, d, c]) < 1e-9 for t, h, a, d, c in seen if h == 1 and t < 6)
+
+
+def test_topolms_rollout(b, spark, edge_signal):
     lower, upper = A.lower_laplacian(b[1]), A.upper_laplacian(b[2])
-    draw = np.random.default_rng(1)
-    weights = draw.normal(size=9)
-    theta = spark.createDataFrame([(t, f, float(weights[f])) for t in range(4) for f in range(9)], "t long, f long, value double")
-    got = {(r["t_made"], r["horizon"], r["cell_id"]): r["yhat"] for r in L.rollout({"sl": A.powers(lower, 2), "su": A.powers(upper, 2)}, X.lags(edge_signal, 1, 0).selectExpr("cell_id", "t", "lag + 1 as lag", "x"), theta, 2, 3).collect()}
-    ll, lu = B1.T @ B1, B2 @ B2.T
+    x = X.topolms(lower, upper, edge_signal, 2).selectExpr("i", "t", "f", "cast(s as double) as s")
+    h = np.random.default_rng(2).normal(size=5)
+    theta = spark.createDataFrame([(t, f, float(h[f])) for t in range(4) for f in range(5)], "t long, f long, value double")
+    dense_x = np.zeros((4, 5, 5))
+    for r in x.collect():
+        dense_x[r["t"], r["i"], r["f"]] = r["s"]
+    got = {(r["t_made"], r["horizon"], r["i"]): r["yhat"] for r in L.topolms_rollout(lower, upper, x, theta, 2, 3).collect()}
     for t in range(4):
-        now, before = SIGNAL[:, t].astype(float), SIGNAL[:, t - 1].astype(float) if t else np.zeros(5)
-        for h in (1, 2, 3):
-            columns = [m @ v for m in (ll, ll @ ll, lu, lu @ lu) for v in (now, before)]
-            y = np.column_stack(columns) @ weights[:8] + weights[8]
-            assert np.allclose([got[t, h, c] for c in range(5)], y)
-            now, before = y, now
+        for k in (1, 2, 3):
+            want = L.topolms_forecast(dense_x[t], h, B1.T @ B1, B2 @ B2.T, 2, k)
+            assert np.allclose([got[t, k, i] for i in range(5)], want)
+
+
+def test_greedy_modularity_against_all_merges(spark):
+    draw = np.random.default_rng(8)
+    for n, best, resolution in ((14, 1, 1.0), (18, 4, 1.5), (12, 3, 0.7)):
+        pairs = {(int(i), int(j)) for i, j in draw.integers(0, n, (3 * n, 2)) if i < j}
+        nodes = sorted({v for p in pairs for v in p})
+        m = len(pairs)
+        groups = [{v} for v in nodes]
+        degree = lambda g: sum((i in g) + (j in g) for i, j in pairs)
+        while len(groups) > max(best, 1):
+            gains = []
+            for x in range(len(groups)):
+                for y in range(x + 1, len(groups)):
+                    between = sum((i in groups[x] and j in groups[y]) or (i in groups[y] and j in groups[x]) for i, j in pairs)
+                    if between:
+                        a, c = sorted((groups[x], groups[y]), key=min)
+                        gains.append((round(2 * (between / (2 * m) - resolution * degree(a) * degree(c) / (2 * m) ** 2), 12), -min(a), -min(c), a, c))
+            if not gains:
+                break
+            gain, _, _, a, c = max(gains, key=lambda g: g[:3])
+            if gain <= 0 and best <= 1:
+                break
+            groups = [g for g in groups if g not in (a, c)] + [a | c]
+        want = {frozenset(g) for g in groups}
+        graph = spark.createDataFrame([p for i, j in pairs for p in ((i, j), (j, i))], "i long, j long")
+        got = {}
+        for r in P.greedy_modularity(graph, best, resolution).collect():
+            got.setdefault(r["cluster_id"], set()).add(r["cell_id"])
+        assert {frozenset(g) for g in got.values()} == want
+    with pytest.raises(ValueError):
+        P.greedy_modularity(graph, most=3)
+
+
+def test_label_propagation(spark, b):
+    hodge = dense(A.hodge(b, 1), 5)
+    local = spark.createDataFrame([(0, 1, c, t, float(3 * c + t)) for c in range(5) for t in range(3)], "cluster_id long, dim long, cell_id long, t long, x double")
+    stale = spark.createDataFrame([(0, 1, 3), (0, 1, 4)], "cluster_id long, dim long, cell_id long")
+    m = hodge.copy()
+    np.fill_diagonal(m, 0.01 * np.diag(hodge) + 1)
+    for r in E.propagate_labels(local, A.hodge(b, 1), stale).collect():
+        fresh = np.array([0.0 if c in (3, 4) else 3 * c + r["t"] for c in range(5)])
+        want = (np.linalg.pinv(m) @ fresh)[r["cell_id"]] if r["cell_id"] in (3, 4) else 3 * r["cell_id"] + r["t"]
+        assert abs(r["x"] - want) < 1e-9
+
+
+def test_views_of_agents(spark, b):
+    g = P.only_edges(b)
+    listed = P.needed(g["needs"].filter("src = 0"), b)
+    assert {(r["dim"], r["cells"]) for r in g["needs"].filter("src = 0").collect()} == {(0, 4), (1, 4), (2, 2)} and listed.count() == 10 and listed.filter("dim = 1 and cell_id = 0").count() == 0
+    p = P.partition(b, spark.createDataFrame([(0, 0), (0, 1), (0, 2), (1, 3), (1, 4)], "cluster_id long, cell_id long"))
+    signal = readers.from_matrix(spark, EDGES, 1)
+    view = G.in_equals_out_view(p.local_index, p.owned, b, signal, p.needs)
+    own = {(r["cluster_id"], r["dim"], r["cell_id"]) for r in view["index"].collect()}
+    assert own >= {(r["cluster_id"], r["dim"], r["cell_id"]) for r in p.owned.collect()}
+    assert all((r["cluster_id"], r["dim"], r["j"]) in own and (r["cluster_id"], r["dim"] - 1, r["i"]) in own for r in view["complex"].collect())
+    assert view["signal"].count() == 5 * 7 and all((r["src"], r["dim"], r["cell_id"]) in own for r in view["neighbours"].collect())
+
+
+def test_long_averages_and_scales(spark):
+    x = spark.createDataFrame([(0, t, 1.0 + t % 3) for t in range(700)], "f long, t long, val double")
+    state = 0.0
+    got = {r["t"]: r["val"] for r in X.ewma(x, ["f"], 0.4).collect()}  # beyond 1e100 twice
+    for t in range(700):
+        state = 0.4 * state + 0.6 * (1.0 + t % 3)
+        assert abs(got[t] - state) < 1e-9
 
 
 def test_presets_merge():
     from cobordia.plans import presets
 
     p = presets.merged(presets.PRESETS["default"], rule={"clock": 3}, data_clock=2)
-    assert (p.rule.clock, p.rule.mixing, p.data_clock) == (3, "atc", 2) and p.model.self_powers() == (2, 2)
-    with pytest.raises(ValueError):
-        presets.merged(p, data_clock=0)
+    assert (p.rule.clock, p.rule.mixing, p.data_clock) == (3, "atc", 2) and p.model.pair(p.model.powers, 0) == (2, 2)
+    assert p.columns()["rule_clock"] == "3" and len(p.model.columns(1, True, True)) == 17
+    for bad in ({"data_clock": 0}, {"imputer": "x"}, {"model": {"horizon": 0}}, {"model": {"kind": "x"}}, {"rule": {"consensus": "x"}}):
+        with pytest.raises(ValueError):
+            presets.merged(p, **bad)
 
 
 def test_ewma_closed_form(spark):
@@ -177,5 +395,12 @@ def test_sources_and_sinks(spark, tmp_path):
     signal, b = readers.from_npz(spark, str(tmp_path / "x.npz"))
     assert signal.count() == 20 and abs(signal.groupBy().sum("x").first()[0]) < 1e-9 and b[2].count() == 6
     assert len(list(readers.replay(signal))) == 4
+    signal.write.parquet(str(tmp_path / "signal"))
+    readers.from_boundary(spark, B1, 1).unionByName(readers.from_boundary(spark, B2, 2)).write.parquet(str(tmp_path / "b"))
+    again, sides = readers.from_parquet(spark, str(tmp_path / "signal"), str(tmp_path / "b"), centred=False)
+    assert again.count() == 20 and (dense(A.lower_laplacian(sides[1]), 5) == B1.T @ B1).all()
+    m = spark.createDataFrame([(1, 0, t, 0.5 * t) for t in range(3)], "case_id long, dim long, i long, tv_mae double")
+    sinks.save_metrics(m, str(tmp_path / "m"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "m")).select("case_id", "dim", "i", "tv_mae").collect())) == [(1, 0, t, 0.5 * t) for t in range(3)]
     t = spark.createDataFrame([("tvMAE", 1.0, None)], "metric string, a double, b double")
     assert sinks.markdown(t).splitlines()[-1] == "| tvMAE | 1.000000e+00 | nan |" and "tvMAE & 1.000000e+00 & nan" in sinks.latex(t)

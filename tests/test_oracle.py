@@ -11,6 +11,6 @@ def test_matches_sql(spark, duck, name):
     same(catalogue.queries()[name](spark, SF).toPandas(), duck.sql(catalogue.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", ["modularity_clusters", "topolms_train", "label_propagation", "stream_agents", "stream_exchange", "hop_partition_owned"])
+@pytest.mark.parametrize("name", ["modularity_clusters", "topolms_train", "label_propagation", "stream_agents", "stream_exchange", "planned_case"])
 def test_gives_rows(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
