@@ -97,8 +97,8 @@ query(
 )(lambda f: X.gram(settle(X.numbered(_edge_features(f))), A.smoothing(f.edges().select("edge_id"), A.lower_laplacian(f.boundary_1()), None, 0.5, 0.0)))
 query(
     "ewma_state",
-    _EDGE + _GRAM + " SELECT a.t, a.f, a.g, round(0.5 * sum(b.val * power(0.5, a.t - b.t)), 4) AS val FROM gm a JOIN gm b ON b.f = a.f AND b.g = a.g AND b.t <= a.t GROUP BY 1, 2, 3",
-)(lambda f: X.ewma(X.gram(settle(X.numbered(_edge_features(f)))), ["f", "g"], GAMMA).withColumn("val", F.round("val", 4)))
+    _EDGE + _GRAM + " SELECT a.t, a.f, a.g, round(0.5 * sum(b.val * power(0.5, a.t - b.t)) / 1e6, 6) AS val FROM gm a JOIN gm b ON b.f = a.f AND b.g = a.g AND b.t <= a.t GROUP BY 1, 2, 3",
+)(lambda f: X.ewma(X.gram(settle(X.numbered(_edge_features(f)))), ["f", "g"], GAMMA).withColumn("val", F.round(F.col("val") / 1e6, 6)))  # in millions: sums of doubles
 query("soft_threshold", "SELECT cell_id, t, (sign(x) * greatest(abs(x) - 10.0, 0.0))::DOUBLE AS x FROM s1")(lambda f: f.edge_signal().select("cell_id", "t", X.soft_threshold(F.col("x").cast("double"), 10.0).alias("x")))
 
 # ---- exchange: the whole timeline, C_data = 2 unless said
