@@ -146,6 +146,26 @@ def _merged(runs: list[tuple[int, int]], least: float) -> Iterator[list[tuple[in
         yield held
 
 
+def _strays(runs: list[tuple[int, int]], shift: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """For each place to cut between runs: how far the shifts on both sides are from their medians, in all."""
+    each = [np.unique(shift[a:b], return_counts=True) for a, b in runs]
+    value, count = np.concatenate([v for v, _ in each]), np.concatenate([n for _, n in each])
+    run = np.repeat(np.arange(len(runs)), [len(v) for v, _ in each])
+    order = np.argsort(value, kind="stable")
+    value, count, run = value[order], count[order], run[order]
+    cuts = np.arange(1, len(runs))
+    out = []
+    for k in range(0, len(cuts), max(1, most // len(value))):  # counts of each shift on one side, a row per cut
+        left = np.where(run[None, :] < cuts[k : k + max(1, most // len(value))][:, None], count[None, :], 0)
+        total = np.zeros(len(left), np.int64)
+        for side in (left, count[None, :] - left):
+            upto = np.cumsum(side, axis=1)
+            median = value[np.argmax(2 * upto >= upto[:, -1:], axis=1)]
+            total += (side * np.abs(value[None, :] - median[:, None])).sum(axis=1)
+        out.append(total)
+    return np.concatenate(out)
+
+
 def _parts(runs: list[tuple[int, int]], shift: np.ndarray, least: float) -> list[list[tuple[int, int]]]:
     """What to try of a stretch that is not similar as a whole: both sides of where its shift in y changes most, or of
     its widest gap where that stays the same. A run by itself is split wherever its shift changes."""
@@ -155,26 +175,34 @@ def _parts(runs: list[tuple[int, int]], shift: np.ndarray, least: float) -> list
         runs = list(zip(at[:-1], at[1:], strict=True))
     if len(runs) == 1:
         return []
+    gaps = np.asarray([p[1] - q[0] for p, q in zip(runs[:-1], runs[1:], strict=True)])
+    k = int(np.lexsort((gaps, _strays(runs, shift)))[0]) + 1
+    return [part for half in (runs[:k], runs[k:]) for part in _merged(half, least)]
 
-    def strays(part: list[tuple[int, int]]) -> float:
-        x = np.concatenate([shift[a:b] for a, b in part])
-        return float(np.abs(x - np.median(x)).sum())
 
-    cuts = range(1, len(runs))
-    costs, gaps = [strays(runs[:k]) + strays(runs[k:]) for k in cuts], [runs[k - 1][1] - runs[k][0] for k in cuts]
-    k = min(cuts, key=lambda k: (costs[k - 1], gaps[k - 1]))
-    return [part for half in (runs[:k], runs[k:]) for part in _merged(half, least)]
+def _first_outside(y: np.ndarray, x: np.ndarray) -> int:
+    """How many of ``y`` come before one that is not in ``x``."""
+    step = 2 * max(len(x), 64)
+    for k in range(0, len(y), step):
+        outside = np.flatnonzero(~np.isin(y[k : k + step], x))
+        if len(outside):
+            return k + int(outside[0])
+    return len(y)
 
 
-def similar_passages(x: np.ndarray, y: np.ndarray, width: int, similar: float) -> list[tuple[int, int, int, float]]:
-    """Passages of ``x`` (shingles in order) that ``y`` has: first and last shingle, first one in ``y``, Jaccard."""
-    order = np.argsort(y, kind="stable")
-    at = np.searchsorted(y[order], x)
+def similar_passages(x: np.ndarray, y: np.ndarray, width: int, similar: float, order: np.ndarray | None = None) -> list[tuple[int, int, int, float]]:
+    """Passages of ``x`` (shingles in order) that ``y`` has: first and last shingle, first one in ``y``, Jaccard.
+    ``order``: the stable order of ``y``, if it is known."""
+    order = np.argsort(y, kind="stable") if order is None else order
+    ranked = y[order]
+    at = np.searchsorted(ranked, x)
     at[at == len(y)] = 0
-    shared = y[order][at] == x
+    shared = ranked[at] == x if len(y) else np.zeros(len(x), bool)
+    if int(shared.sum()) < width * least_shared(similar):
+        return []
     where = order[at]  # the first place in y
     edges = np.flatnonzero(np.diff(np.concatenate(([0], shared.astype(np.int8), [0]))))
-    least = 2 * similar / (1 + similar)  # shared shingles of two passages of equal length
+    least = least_shared(similar)
     whole = list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
     out = []
     todo = list(_merged(whole, least))[::-1]
@@ -189,8 +217,7 @@ def similar_passages(x: np.ndarray, y: np.ndarray, width: int, similar: float) -
         values, counts = np.unique(own - where[own], return_counts=True)
         places = {(a - shift, b - a) for shift in (int(np.median(own - where[own])), int(values[counts.argmax()]), int(own[0] - where[own[0]]), int(own[-1] - where[own[-1]]))}
         run = int(where[own].min())
-        outside = np.flatnonzero(~np.isin(y[run:], x[a:b]))
-        stop = int(outside[0]) if len(outside) else len(y) - run
+        stop = _first_outside(y[run:], x[a:b])
         places.add((run, stop if stop >= width else b - a))
         score, lo = max(_overlap(p, y, lo, n) for lo, n in places)
         if score >= similar:
@@ -200,14 +227,37 @@ def similar_passages(x: np.ndarray, y: np.ndarray, width: int, similar: float) -
     return out
 
 
+def least_shared(similar: float) -> float:
+    """Shared shingles of two passages of equal length, as a share of either."""
+    return 2 * similar / (1 + similar)
+
+
+class Texts:
+    """Shingles and their order of the texts last seen, by document: pairs of one document come together."""
+
+    def __init__(self, most: int = 4_000_000) -> None:
+        self.most, self.size, self.known = most, 0, {}
+
+    def of(self, doc: int, texts: pa.Array, k: int) -> list[np.ndarray | None]:
+        if doc not in self.known:
+            g = _shingles(texts, k)
+            if self.size + len(g) > self.most:
+                self.known, self.size = {}, 0
+            self.known[doc], self.size = [g, None], self.size + len(g)
+        return self.known[doc]
+
+
 def _verified(width: int, similar: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Texts()
         for batch in batches:
             x, y = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
             for k in range(len(x)):
-                g = [_shingles(batch.column(column), k) for column in (2, 3)]
-                out += [(x[k], a, b - a + WORDS, y[k], at, score) for a, b, at, score in similar_passages(g[0], g[1], width, similar)]
+                own, other = held.of(x[k], batch.column(2), k), held.of(y[k], batch.column(3), k)
+                if other[1] is None:
+                    other[1] = np.argsort(other[0], kind="stable")
+                out += [(x[k], a, b - a + WORDS, y[k], at, score) for a, b, at, score in similar_passages(own[0], other[0], width, similar, other[1])]
             columns = list(zip(*out, strict=True)) or [[] for _ in range(6)]
             kinds = [pa.int64()] * 5 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in SPANS.split(", ")])
