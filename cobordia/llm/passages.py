@@ -63,19 +63,23 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[: len(x) - (width - step)], x[width - step :]) if width > step else x
 
 
-def compact_windows(rank: np.ndarray, at: np.ndarray, width: int, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows (a, p, c) of at least ``width`` positions within the documents that start at ``at``: ``rank[p]`` is the
-    smallest (the leftmost, among equals) of a..c, and a..c cannot grow. A window of the same minimum as the one it
-    lies in, in surroundings that ``near`` has as equal, is left out."""
-    n = len(rank)
-    if n < width:
-        none = np.zeros(0, np.int64)
-        return none, none, none
+def minima(rank: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Positions whose ``rank`` is the smallest of some ``width`` positions within the documents that start at ``at``."""
+    if len(rank) < width:
+        return np.zeros(0, np.int64)
     low = _sliding(rank, width, np.minimum)
     end = np.repeat(at[1:], np.diff(at))[: len(low)]
     low[np.arange(len(low)) + width > end] = 0
     padded = np.concatenate((np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)))
-    p = np.flatnonzero((_sliding(padded, width, np.maximum) == rank) & (rank > 0))
+    return np.flatnonzero((_sliding(padded, width, np.maximum) == rank) & (rank > 0))
+
+
+def compact_windows(rank: np.ndarray, at: np.ndarray, width: int, near: np.ndarray | None = None, narrow: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (a, p, c) of at least ``width`` positions within the documents that start at ``at``: ``rank[p]`` is the
+    smallest (the leftmost, among equals) of a..c, and a..c cannot grow. A window of the same minimum as the one it
+    lies in, in surroundings that ``near`` has as equal, is left out. With ``narrow`` all other ``minima`` have one,
+    those too that an equal one close before cuts short."""
+    p = minima(rank, at, width)
     # smaller neighbours of a tree's top nodes are top nodes themselves, so a stack over these finds a and c
     doc = np.searchsorted(at, p, "right") - 1
     first, stop = at[doc], at[doc + 1]
@@ -95,11 +99,13 @@ def compact_windows(rank: np.ndarray, at: np.ndarray, width: int, near: np.ndarr
                 within[i] = True
         stack.append(i)
     a, c = np.asarray(left, np.int64), np.asarray(right, np.int64)
-    wide = (c - a + 1 >= width) & ~within
+    wide = (narrow | (c - a + 1 >= width)) & ~within
     return a[wide], p[wide], c[wide]
 
 
-def _window_rows(hashes: int, around: int, width: int):
+def _window_rows(hashes: int, around: int, width: int, only_signs: bool = False):
+    """Windows (WINDOWS), or with ``only_signs`` (sign, doc) of all minima that may have one, some of them twice."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -118,7 +124,12 @@ def _window_rows(hashes: int, around: int, width: int):
                     near = near * K._Q + there
                 for h in range(hashes):
                     seed = K.mix(np.asarray([h + 1], np.uint64))[0]
-                    a, p, c = compact_windows(K.mix(g ^ seed), at, width, near)
+                    if only_signs:
+                        p = minima(K.mix(g ^ seed), at, width)
+                        if len(p):
+                            yield pa.RecordBatch.from_arrays([pa.array(K.mix(near[p] ^ seed).astype(np.int64)), pa.array(keys[begin + doc[p]])], names=["sign", "doc"])
+                        continue
+                    a, p, c = compact_windows(K.mix(g ^ seed), at, width, near, narrow=True)
                     if len(p):
                         d, sign = doc[p], K.mix(near[p] ^ seed).astype(np.int64)
                         own = [sign, np.full(len(p), h, np.int32), keys[begin + d], *((x - at[d]).astype(np.int32) for x in (a, p, c))]
@@ -402,11 +413,11 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def _spans(docs: DataFrame, least_words: int, similar: float, hashes: int, enough: int) -> DataFrame:
     """(SPANS) of documents (doc, text)."""
     width = least_words - WORDS + 1
-    windows = map_batches(docs, _window_rows(hashes, AROUND, width), WINDOWS)
-    # settled, so that each join below has plain exchanges on both sides, whose hot signatures can be split
-    heads = settle(windows.groupBy("sign").agg(F.min("doc").alias("y"), F.max("doc").alias("last")).filter("y <> last").drop("last"))
-    # few windows share a signature; those that do are settled, the head's own among them
-    shared = settle(windows.join(heads, "sign"))
+    # settled, so that each join below has plain exchanges on both sides, whose hot signatures can be split; signatures go
+    # first and alone: windows take several times the room, and few of them share one
+    signs = map_batches(docs, _window_rows(hashes, AROUND, width, only_signs=True), "sign long, doc long")
+    heads = settle(signs.groupBy("sign").agg(F.min("doc").alias("y"), F.max("doc").alias("last")).filter("y <> last").drop("last"))
+    shared = settle(map_batches(docs, _window_rows(hashes, AROUND, width), WINDOWS).join(heads, "sign"))
     own = settle(shared.filter("doc = y").groupBy("sign").agg(F.max(F.expr("p - a")).alias("before"), F.max(F.expr("c - p")).alias("after")))
     pairs = shared.filter("doc <> y").join(own, "sign")
     lo, hi = F.greatest("a", F.expr("p - before")), F.least("c", F.expr("p + after"))
