@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,6 +205,8 @@ def _first_outside(y: np.ndarray, x: np.ndarray) -> int:
 def similar_passages(x: np.ndarray, y: np.ndarray, width: int, similar: float, order: np.ndarray | None = None) -> list[tuple[int, int, int, float]]:
     """Passages of ``x`` (shingles in order) that ``y`` has: first and last shingle, first one in ``y``, Jaccard.
     ``order``: the stable order of ``y``, if it is known."""
+    if len(x) == len(y) and np.array_equal(x, y):
+        return [(0, len(x) - 1, 0, 1.0)] if len(x) >= width else []
     order = np.argsort(y, kind="stable") if order is None else order
     ranked = y[order]
     at = np.searchsorted(ranked, x)
@@ -293,12 +296,31 @@ def _batch(parts: list[list[np.ndarray]], schema: str) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")])
 
 
-def _open(spans: list[dict], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Which of the stretches lo..hi lie in no span."""
-    out = np.ones(len(lo), bool)
-    for s in spans or []:
-        out &= (lo < s["lo"]) | (hi > s["hi"])
-    return out
+def _items(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
+    """Rows of the items of a list-of-structs column (null lists have none), ascending, and their fields."""
+    count = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    return np.repeat(np.arange(len(column)), count), *(flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names)
+
+
+def _placed(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Blocks of (doc, text, its places, its spans): docs, all shingles, each document's first one, and the documents (as
+    numbers) and positions (among all shingles) of places and spans."""
+    docs, places, spans = batch.column(0).to_numpy(zero_copy_only=False), _items(batch.column(2), "p", "y"), _items(batch.column(3), "lo", "hi")
+    for begin, end, data, offsets in K.blocks(batch.column(1)):
+        _, _, hashed, first = K.words(data, offsets)
+        g, at = K.grams(hashed, first, WORDS, short=False)
+        (d, p, y), (e, lo, hi) = ([x[slice(*np.searchsorted(items[0], [begin, end]))] for x in items] for items in (places, spans))
+        d, e = d - begin, e - begin
+        yield docs[begin:end], g, at, (d, p + at[d], y), (e, lo + at[e], hi + at[e])
+
+
+def _marked(lo: np.ndarray, hi: np.ndarray, total: int) -> np.ndarray:
+    """Which of ``total`` places are in one of the stretches lo..hi."""
+    change = np.zeros(total + 1, np.int64)
+    np.add.at(change, lo, 1)
+    np.add.at(change, hi + 1, -1)
+    return np.cumsum(change[:-1]) > 0
 
 
 def _side_rows(width: int):
@@ -306,21 +328,19 @@ def _side_rows(width: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, places, spans = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            out = []
-            for k, doc in enumerate(docs):
-                g = _shingles(batch.column(1), k)
-                beyond = [q for s in spans[k] or [] for q in (s["lo"] - 1, s["hi"] + 1) if 0 <= q < len(g)]
-                p = np.asarray([m["p"] for m in places[k] or []] + beyond, np.int64)
-                first = np.asarray([m["y"] for m in places[k] or []] + [doc] * len(beyond), np.int64)
-                open_, total = _open(spans[k], p, p), _sums(g)
+            for docs, g, at, (d, p, y), (e, lo, hi) in _placed(batch):
+                own, beyond = np.concatenate((e, e)), np.concatenate((lo - 1, hi + 1))
+                inside = (beyond >= at[own]) & (beyond < at[own + 1])
+                own, beyond = own[inside], beyond[inside]
+                d, p, y = np.concatenate((d, own)), np.concatenate((p, beyond)), np.concatenate((y, docs[own]))
+                open_, total, out = ~_marked(lo, hi, len(g))[p], _sums(g), []
                 for n in sorted({min(n, width // 2) for n in SIDES} | {width // 2}):
                     for side in range(2):
-                        at = p - n * side
-                        ok = (at >= 0) & (at + n < len(g))
-                        sign = K.mix(K.span_hashes(total, at[ok], at[ok] + n + 1) ^ _U(2 * n + side)).astype(np.int64)
-                        out.append([sign, np.full(len(sign), n, np.int32), np.full(len(sign), doc, np.int64), p[ok].astype(np.int32), first[ok], open_[ok]])
-            yield from _batch(out, SIDED)
+                        first = p - n * side
+                        ok = (first >= at[d]) & (first + n < at[d + 1])
+                        sign = K.mix(K.span_hashes(total, first[ok], first[ok] + n + 1) ^ _U(2 * n + side)).astype(np.int64)
+                        out.append([sign, np.full(len(sign), n, np.int32), docs[d[ok]], (p - at[d])[ok].astype(np.int32), y[ok], open_[ok]])
+                yield from _batch(out, SIDED)
 
     return rows
 
@@ -330,16 +350,17 @@ def _exact_rows(width: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, places, spans = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            out = []
-            for k, doc in enumerate(docs):
-                g = _shingles(batch.column(1), k)
-                p = np.asarray([m["p"] for m in places[k]], np.int64)
-                at = np.unique((p[:, None] - np.arange(width)[None, :]).ravel())
-                at = at[(at >= 0) & (at + width <= len(g))]
-                sign = K.span_hashes(_sums(g), at, at + width).astype(np.int64)
-                out.append([sign, np.full(len(at), doc, np.int64), _open(spans[k], at, at + width - 1)])
-            yield from _batch(out, EXACT)
+            for docs, g, at, (d, p, _), (_, lo, hi) in _placed(batch):
+                first, last = np.maximum(p - width + 1, at[d]), np.minimum(p, at[d + 1] - width)
+                some = first <= last
+                start = np.flatnonzero(_marked(first[some], last[some], len(g)))
+                if not len(start):
+                    continue
+                end = np.full(len(g), -1)  # how far the spans reach that begin here or before
+                np.maximum.at(end, lo, hi)
+                open_ = np.maximum.accumulate(end)[start] < start + width - 1
+                sign = K.span_hashes(_sums(g), start, start + width).astype(np.int64)
+                yield from _batch([[sign, docs[np.searchsorted(at, start, "right") - 1], open_]], EXACT)
 
     return rows
 
