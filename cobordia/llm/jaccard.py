@@ -10,8 +10,9 @@ the threshold shares one within the first n - ceil(0.8 n) + 1 of each. The steps
    a few bytes a task. Ranges and tasks are bounded groups; their number grows with the corpus, and a task writes a row
    for a range only where it has shingles, so rows never outnumber shingles. Counts return to the task's documents, and
    each document leaves with its shingles of frequency two or more (others cannot match) and its prefix.
-3. Stars: each prefix shingle proposes links to the smallest node that has it, up to three of them are verified for
-   each node, and connected components are taken. This alone connects most of a group of near copies, however
+3. Stars: each prefix shingle proposes links to the node that has it and the fewest shingles of its own alone (of equals
+   the smallest), which is most likely what the others were copied from; up to three of them are verified for each
+   node, and connected components are taken. This alone connects most of a group of near copies, however
    large, with a number of pairs in proportion to the group.
 4. The rest: for each prefix shingle, pairs of nodes that are in different components still and were not compared
    before. Those that pass the length, positional and suffix filters are verified once each, by their whole sets. Pairs
@@ -247,12 +248,12 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     sets = blocks.groupBy("bucket").applyInArrow(_count, COUNTED).groupBy("task").applyInArrow(_prefix, PREFIXED)
     sets = settle(sets.dropDuplicates(["doc"]))  # copies in several tasks have equal rows
     parts = [f"c{k}" for k in range(PARTS)]
-    posts = sets.select("doc", "n", *parts, "skip", F.posexplode("prefix").alias("i", "tok")).withColumn("pos", F.col("skip") + F.col("i")).drop("skip", "i")
+    posts = sets.select("doc", "n", *parts, "skip", F.posexplode("prefix").alias("i", "tok")).withColumn("pos", F.col("skip") + F.col("i")).drop("i")
 
-    heads = posts.groupBy("tok").agg(F.min(F.struct("doc", "n", "pos")).alias("head"), F.count("*").alias("docs")).filter("docs > 1")
-    heads = heads.select("tok", F.col("head.doc").alias("hdoc"), F.col("head.n").alias("hn"), F.col("head.pos").alias("hpos"))
+    heads = posts.groupBy("tok").agg(F.min(F.struct("skip", "doc", "n", "pos")).alias("head"), F.count("*").alias("docs")).filter("docs > 1")
+    heads = heads.select("tok", F.col("head.doc").alias("hdoc"), F.col("head.skip").alias("hskip"), F.col("head.n").alias("hn"), F.col("head.pos").alias("hpos"))
     near = posts.join(heads, "tok").filter((F.col("doc") != F.col("hdoc")) & _may_link("", "h"))
-    stars = near.groupBy(F.col("doc").alias("x")).agg(F.array_distinct(F.array(F.min("hdoc"), F.max("hdoc"), F.min_by("hdoc", F.struct("pos", "hdoc")))).alias("y"))
+    stars = near.groupBy(F.col("doc").alias("x")).agg(F.array_distinct(F.array(F.min_by("hdoc", F.struct("hskip", "hdoc")), F.max_by("hdoc", F.struct("hskip", "hdoc")), F.min_by("hdoc", F.struct("pos", "hdoc")))).alias("y"))
     stars = stars.select("x", F.explode("y").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     compared = settle(stars.distinct())
     links = verify(compared, sets)
