@@ -59,7 +59,7 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index = K.Places()
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
@@ -76,8 +76,8 @@ class WordIds:
             return self.encode(runs)
         return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
-    def learn(self, new: list[int], units: list[bytes]) -> None:
-        """Enter the units under their hashes."""
+    def learn(self, new: np.ndarray, units: list[bytes]) -> None:
+        """Enter the units under their hashes, which ascend."""
         ids: list[np.ndarray | None] = [None] * len(units)
         whole, parts, rest = [], [], []
         for i, unit in enumerate(units):
@@ -96,7 +96,7 @@ class WordIds:
         for (i, _), x in zip(rest, self.encode([t for _, t in rest]), strict=True):
             ids[i] = x
         at = len(self.index)
-        self.index.update(zip(new, range(at, at + len(new)), strict=True))
+        self.index.add(new)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         while len(self.start) < at + len(ids):
             self.start, self.size = np.concatenate((self.start, self.start)), np.concatenate((self.size, self.size))
@@ -123,15 +123,14 @@ class WordIds:
         begin[place], stop[place] = start, np.where(cut, core, end)
         begin[place[cut] + 1], stop[place[cut] + 1] = core[cut], end[cut]
         uniq, at, back = np.unique(K.span_hashes(K.prefixes(data, lower=True), begin, stop), return_index=True, return_inverse=True)
-        keys, known = uniq.tolist(), self.index.get
-        found = np.asarray([known(k, -1) for k in keys], np.int64)
+        found = self.index.find(uniq)
         new = np.flatnonzero(found < 0)
         if len(new):
             if len(self.index) + len(new) > self.most:
                 self.clear()
-                new = np.arange(len(keys))
+                new = np.arange(len(uniq))
             raw, held = data.tobytes().lower(), len(self.index)
-            self.learn(uniq[new].tolist(), [raw[a:b] for a, b in zip(begin[at[new]].tolist(), stop[at[new]].tolist(), strict=True)])
+            self.learn(uniq[new], [raw[a:b] for a, b in zip(begin[at[new]].tolist(), stop[at[new]].tolist(), strict=True)])
             found[new] = held + np.arange(len(new))
         where = found[back]
         size = self.size[where]

@@ -178,14 +178,13 @@ class Bags:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index = K.Places()
         self.total, self.size = np.zeros(0), np.zeros(0, np.int64)
 
     def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each word of ``data``: its bag's sum and size."""
         uniq, at, back = np.unique(K.span_hashes(K.prefixes(data), start, end), return_index=True, return_inverse=True)
-        keys = uniq.tolist()
-        found = np.asarray([self.index.get(k, -1) for k in keys], np.int64)
+        found = self.index.find(uniq)
         if (found < 0).any() and len(self.index) + int((found < 0).sum()) > self.most:
             self.clear()
             found[:] = -1
@@ -196,7 +195,7 @@ class Bags:
             grams, first = bags(words)
             sums = np.concatenate(([0.0], np.cumsum(self.odds[grams])))
             self.total, self.size = np.concatenate((self.total, np.diff(sums[first]))), np.concatenate((self.size, np.diff(first)))
-            self.index.update(zip((keys[k] for k in new.tolist()), range(held, held + len(new)), strict=True))
+            self.index.add(uniq[new])
             found[new] = held + np.arange(len(new))
         return self.total[found[back]], self.size[found[back]]
 

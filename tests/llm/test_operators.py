@@ -689,3 +689,21 @@ def test_null_ids(spark):
     assert packing.pack(d).count() == 3 and jaccard.jaccard_groups(d).count() == 3
     assert passages.repeated_passages(d).count() == 0 and passages.cut_passages(d, passages.repeated_passages(d)).count() == 3
     assert sorted(str(r["doc_id"]) for r in jaccard.keep_first_of_groups(d).collect()) == ["1", "None"]
+
+
+def test_places_number_keys_as_they_come():
+    draw, places, known = np.random.RandomState(3), textkernel.Places(), {}
+    for _ in range(20):
+        keys = np.unique(draw.randint(0, 3000, 400).astype(np.uint64) * np.uint64(6148914691236517))
+        found = places.find(keys)
+        assert found.tolist() == [known.get(k, -1) for k in keys.tolist()]
+        places.add(keys[found < 0])
+        known.update(zip(keys[found < 0].tolist(), range(len(known), len(known) + int((found < 0).sum())), strict=True))
+        assert len(places) == len(known)
+
+
+def test_word_ids_start_afresh_beyond_their_bound():
+    whole, small = packing.WordIds(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path(), most=500)
+    for _, _, data, offsets in textkernel.blocks(pa.array([t for _, t, *_ in corpus()]), 1 << 14):
+        for x, y in zip(whole.of(data, offsets), small.of(data, offsets), strict=True):
+            assert x.tolist() == y.tolist()
