@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cobordia.llm import chat, jaccard, licenses, mixing, neighbours, packing, passages, quality, tokencount, toxicity
+from cobordia.llm import alignment, chat, jaccard, licenses, mixing, neighbours, packing, passages, quality, resampling, tokencount, toxicity, urls
 
-MODULES = (passages, mixing, licenses, tokencount, chat, toxicity, packing, jaccard, neighbours, quality)
+MODULES = (passages, mixing, licenses, tokencount, chat, toxicity, packing, jaccard, neighbours, quality, alignment, resampling, urls)
 
 
 def queries() -> dict:
