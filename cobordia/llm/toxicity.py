@@ -9,11 +9,17 @@ does: one average over thousands of words would drown an insult (figures in the
 are pooled by a softmax that starts as their plain average and narrows to the strongest. Scores read the whole text, and
 nothing but the text.
 
-The classifier is fitted on a bounded sample: at most ``TOXIC`` toxic and ``CLEAN`` other labelled documents, the first
-in a seeded order, and of each at most ``SPANS`` spans (of longer ones those with the smallest hashes). The prior is the
-share of toxic documents among all labels to learn from. Everything else covers all rows.
+The classifier is fitted on a bounded sample of labelled rows, each read in whole: the first in a seeded order, at most
+``TOXIC`` toxic and ``CLEAN`` other documents, and of either at most ``SAMPLE_BYTES`` of text (one document at least). The
+prior is the share of toxic documents among all labels to learn from. Everything else covers all rows.
 
-Defined cases: null and empty texts have an empty bag and score as the prior alone; labels that are null or contradict
+The strongest of many spans is higher than the average that training began with, the more so the longer the text and the
+fewer the examples. So scores are shifted to where the threshold does best on documents the model did not see: parts of
+the sample are left out of training in turn, until ``JUDGED`` clean documents (or all) have such a score, and the cut is
+put where the share of toxic documents found, less ``WEIGHT`` times the share of clean ones marked, is largest, among cuts
+that mark at most ``MARKED`` of the clean.
+
+Defined cases: null texts and those without words have an empty bag and score as the prior alone; labels that are null or contradict
 each other for one document are not learned from; of several texts under one id the smallest is learned from, all are
 scored; without labels of both kinds every score is 0.1; repeated rows score alike; an empty table gives an empty
 result; other columns are ignored, whatever their names.
@@ -22,19 +28,20 @@ result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cobordia.llm import textkernel as K
-from cobordia.session import map_batches, table
+from cobordia.session import map_batches, settle, table
 
 BUCKETS, DIM, SHORTEST, LONGEST, SPAN = 1 << 18, 8, 3, 6, 6
-TOXIC, CLEAN, SPANS, THRESHOLD = 1500, 3000, 4000, 0.3
+TOXIC, CLEAN, SAMPLE_BYTES, THRESHOLD = 1500, 3000, 24 << 20, 0.3
+PARTS, JUDGED, WEIGHT, MARKED = 4, 500, 1.0, 0.04
 HEATS = (100.0, 30.0, 10.0, 5.0, 2.0, 1.0, 0.5, 0.5, 0.25, 0.25, 0.25, 0.25)
 MARKS = b".,;:!?%&$*#\"'()[]<>-"
 _U = np.uint64
@@ -73,18 +80,34 @@ def lowered(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(texts.cast(pa.large_string()))
 
 
-def training_words(text: bytes, span: int = SPAN, most: int = SPANS) -> bytes:
-    """A lower-case text's words without the marks around them, joined by spaces; of more than ``most`` spans those with
-    the smallest hashes."""
+def training_words(text: bytes, span: int = SPAN, most: int | None = None) -> bytes:
+    """A lower-case text's words without the marks around them, joined by spaces; of more than ``most`` spans, if that is
+    given, those with the smallest hashes."""
     words = [w.strip(MARKS) for w in text.split()]
     words = [w for w in words if w]
-    if len(words) > span * most:
+    if most is not None and len(words) > span * most:
         spans = [b" ".join(words[i : i + span]) for i in range(0, len(words), span)]
         spans = sorted(spans, key=lambda x: (hashlib.blake2b(x, digest_size=8).digest(), x))[:most]
         return b" ".join(spans)
     return b" ".join(words)
 
 
+class Sample:
+    """Documents as numbers of distinct words, and the n-grams of those."""
+
+    def __init__(self, docs: Iterable[list[bytes]]) -> None:
+        place: dict[bytes, int] = {}
+        self.each = [np.fromiter((place.setdefault(w, len(place)) for w in d), np.int32, len(d)) for d in docs]
+        self.grams, self.at = bags(list(place))
+
+    def strongest(self, odds: np.ndarray, which: np.ndarray, span: int) -> np.ndarray:
+        """What ``strongest`` gives for some of the documents."""
+        sums = np.concatenate(([0.0], np.cumsum(odds[self.grams])))
+        words = np.concatenate([self.each[d] for d in which])
+        first = np.concatenate(([0], np.cumsum([len(self.each[d]) for d in which])))
+        return strongest((sums[self.at[1:]] - sums[self.at[:-1]])[words], np.diff(self.at)[words], first, span)
+
+
 class Model:
     """Vectors of n-grams, and a linear softmax over the average of a span's."""
 
@@ -94,19 +117,21 @@ class Model:
         self.vectors = draw.normal(0, 0.01, (BUCKETS, DIM))
         self.softmax = draw.normal(0, 0.5, (2, DIM))
         self.bias = float(np.log(prior / (1 - prior)))  # an empty bag scores so
+        self.shift = 0.0  # of other scores, by calibration
 
     def odds(self) -> np.ndarray:
         """What each n-gram adds to a span's log-odds, before averaging."""
         return self.vectors @ (self.softmax[1] - self.softmax[0])
 
-    def fit(self, docs: list[list[bytes]], toxic: np.ndarray, heats: tuple[float, ...] = HEATS, rate: float = 0.2, batch: int = 64) -> Model:
+    def fit(self, docs: Iterable[list[bytes]], toxic: np.ndarray, heats: tuple[float, ...] = HEATS, rate: float = 0.2, batch: int = 64) -> Model:
+        sample = Sample(docs)
+        return self.train(sample, np.arange(len(sample.each)), toxic, heats, rate, batch)
+
+    def train(self, sample: Sample, which: np.ndarray, toxic: np.ndarray, heats: tuple[float, ...] = HEATS, rate: float = 0.2, batch: int = 64) -> Model:
         """Stochastic gradient (Adagrad) on the cross-entropy of each document's pooled spans, once for each of
         ``heats``: the pool is an average of the spans' log-odds weighted by their softmax at that heat."""
-        place: dict[bytes, int] = {}
-        each = [np.fromiter((place.setdefault(w, len(place)) for w in d), np.int64, len(d)) for d in docs]
-        grams, at = bags(list(place))
-        place.clear()
-        some = np.flatnonzero([len(x) > 0 for x in each])
+        each, grams, at = sample.each, sample.grams, sample.at
+        some = np.asarray([d for d in which if len(each[d])], np.int64)
         seen, seen_soft = np.full(BUCKETS, 1e-6), 1e-3
         draw = np.random.RandomState(5)
         for heat in heats:
@@ -141,7 +166,38 @@ class Model:
         return self
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: int = TOXIC, clean: int = CLEAN) -> Model | None:
+def cut(score: np.ndarray, toxic: np.ndarray, weight: float = WEIGHT, marked: float = MARKED) -> float:
+    """The log-odds from which documents are best called toxic (module docstring); of equal cuts the highest."""
+    toxic = np.asarray(toxic) == 1
+    bad, good = np.sort(score[toxic]), np.sort(score[~toxic])
+    at = np.concatenate(([score.max() + 1e-9], np.unique(score)[::-1]))
+    found, wrong = 1 - np.searchsorted(bad, at) / len(bad), 1 - np.searchsorted(good, at) / len(good)
+    k = int(np.argmax(np.where(wrong <= marked, found - weight * wrong, -np.inf)))
+    # half way down to the next document, which is not to be marked
+    return float(at[k] if k + 1 == len(at) else (at[k] + at[k + 1]) / 2)
+
+
+def calibrated(model: Model, sample: Sample, toxic: np.ndarray, parts: int = PARTS, judged: int = JUDGED, threshold: float = THRESHOLD) -> Model:
+    """``model``, shifted so that ``threshold`` is the best cut of documents left out of training."""
+    part = np.zeros(len(toxic), np.int64)
+    for c in (0, 1):  # the sample comes in the order of ids
+        own = np.random.RandomState(3).permutation(np.flatnonzero(toxic == c))
+        part[own] = np.arange(len(own)) % parts
+    score = np.full(len(toxic), np.nan)
+    for p in range(parts):
+        rest, out = np.flatnonzero(part != p), np.flatnonzero(part == p)
+        if len(np.unique(toxic[rest])) == 2 and len(out):
+            own = Model(1 / (1 + np.exp(-model.bias)), model.span).train(sample, rest, toxic)
+            score[out] = sample.strongest(own.odds(), out, model.span)
+        if (~np.isnan(score) & (toxic == 0)).sum() >= judged:
+            break
+    seen = ~np.isnan(score)
+    if len(np.unique(toxic[seen])) == 2:
+        model.shift = float(np.log(threshold / (1 - threshold))) - cut(score[seen], toxic[seen]) - model.bias
+    return model
+
+
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: int = TOXIC, clean: int = CLEAN, most_bytes: int = SAMPLE_BYTES) -> Model | None:
     """A model of the bounded training sample (module docstring), or None where a class has no document."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).filter(~held_out(F.col(key)))
     known = known.groupBy(F.col(key).alias("id")).agg(F.min("toxic").alias("y"), F.max("toxic").alias("y1")).filter("y = y1").drop("y1")
@@ -151,19 +207,25 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     first = F.xxhash64(F.lit("toxic-1"), "id")
     # the documents of both samples: at most toxic + clean ids, so broadcasting them is bounded by these parameters
     chosen = known.filter("y = 1").orderBy(first, "id").limit(toxic).unionByName(known.filter("y = 0").orderBy(first, "id").limit(clean))
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    size = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.max(F.octet_length("text")).alias("size"))
+    # a window over at most toxic or clean rows
+    upto = F.sum(F.coalesce("size", F.lit(0))).over(Window.partitionBy("y").orderBy(first, "id"))
+    chosen = settle(size.withColumn("upto", upto).filter((F.col("upto") <= most_bytes) | (F.col("upto") == F.col("size"))).select("id", "y"))
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [training_words(t or b"") for t in lowered(b.column(2)).cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.binary())], names=["id", "y", "words"])
 
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", "text")
     rows = map_batches(rows, reduced, "id long, y int, words binary").groupBy("id", "y").agg(F.min("words").alias("words"))
-    rows = sorted(rows.toArrow().to_pylist(), key=lambda r: r["id"])
-    y = np.asarray([r["y"] for r in rows])
+    rows = rows.toArrow().sort_by("id")  # at most twice ``most_bytes``, and a document of each kind
+    y = rows.column("y").to_numpy()
     if not (y == 1).any() or not (y == 0).any():
         return None
-    return Model(n[1] / (n[0] + n[1])).fit([r["words"].split() for r in rows], y)
+    sample = Sample(w.as_py().split() for w in rows.column("words"))
+    return calibrated(Model(n[1] / (n[0] + n[1])).train(sample, np.arange(len(y)), y), sample, y)
 
 
 def held_out(key: Column) -> Column:
@@ -216,7 +278,7 @@ def strongest(total: np.ndarray, size: np.ndarray, first: np.ndarray, span: int)
     return out
 
 
-def scores(odds: np.ndarray | None, bias: float, span: int, stamp: str):
+def scores(odds: np.ndarray | None, bias: float, shift: float, span: int, stamp: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = K.held(f"toxicity {stamp}", lambda: Bags(odds)) if odds is not None else None
         for batch in batches:
@@ -225,7 +287,7 @@ def scores(odds: np.ndarray | None, bias: float, span: int, stamp: str):
                 best = np.zeros(end - begin)
                 if known is not None:
                     start, stop, first = K.word_spans(data, offsets)
-                    best = strongest(*known.of(data, start, stop), first, span)
+                    best = strongest(*known.of(data, start, stop), first, span) + np.where(np.diff(first) > 0, shift, 0)
                 out.append(1 / (1 + np.exp(-np.clip(best + bias, -30, 30))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], names=["id", "score"])
 
@@ -235,9 +297,9 @@ def scores(odds: np.ndarray | None, bias: float, span: int, stamp: str):
 def _scorer(model: Model | None):
     """Without a model, every score is 0.1."""
     if model is None:
-        return scores(None, float(np.log(0.1 / 0.9)), 1, "none")
+        return scores(None, float(np.log(0.1 / 0.9)), 0.0, 1, "none")
     odds = model.odds().astype(np.float32).astype(np.float64)
-    return scores(odds, model.bias, model.span, hashlib.blake2b(odds.tobytes(), digest_size=8).hexdigest())
+    return scores(odds, model.bias, model.shift, model.span, hashlib.blake2b(odds.tobytes(), digest_size=8).hexdigest())
 
 
 def score_documents(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
