@@ -9,8 +9,9 @@ prefix's forward score and token count: a node is computed once for all words th
 texts or task of a worker they come from. A word's last node has its terminal count, and documents sum the counts of
 their words. New words of a block are entered in sorted order, so that the path of the word before is reused.
 
-Workers keep the trie between tasks up to ``NODES`` nodes and then start afresh; words of more than ``DEEP`` characters
-are scored along one path that is not kept.
+Workers keep the trie and the counts between blocks of texts up to ``NODES`` nodes and ``KEPT`` bytes of words and then
+start afresh; words of more than ``DEEP`` characters are scored along one path, and neither it nor they are kept beyond
+their block.
 
 Defined cases: null and empty texts count 0; repeated rows count alike; very long words are one long path; an empty
 table gives an empty result; other columns are ignored, whatever their names.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from cobordia.llm import textkernel as K
 from cobordia.session import map_batches, table
 
-MARK, BYTE_COST, NODES, DEEP = "▁", 12.0, 1_000_000, 64
+MARK, BYTE_COST, NODES, KEPT, DEEP = "▁", 12.0, 1_000_000, 16 << 20, 64
 SCHEMA = "doc_id long, n_words long, n_tokens long"
 
 
@@ -49,10 +50,10 @@ def unigrams(path: str) -> dict[str, float]:
 
 
 class Trie:
-    """Forward scores of prefixes and terminal counts of pre-tokens, up to ``most`` nodes."""
+    """Forward scores of prefixes and terminal counts of pre-tokens, up to ``most`` nodes and ``kept`` bytes of words."""
 
-    def __init__(self, scores: dict[str, float], most: int = NODES) -> None:
-        self.scores, self.most = scores, most
+    def __init__(self, scores: dict[str, float], most: int = NODES, kept: int = KEPT) -> None:
+        self.scores, self.most, self.kept = scores, most, kept
         # pieces by last character: most ends of a word end no long piece
         self.lengths: dict[str, list[int]] = {}
         for piece in scores:
@@ -65,6 +66,8 @@ class Trie:
         self.below: dict[int, int] = {}
         self.best, self.tokens = [0.0], [0]
         self.counts: dict[bytes, int] = {}
+        self.long: list[bytes] = []
+        self.bytes = 0
 
     def enter(self, words: list[str]) -> list[int]:
         """Terminal counts of the sorted ``words`` (with their marks)."""
@@ -106,11 +109,20 @@ class Trie:
 
     def learn(self, words: set[bytes]) -> None:
         new = words.difference(self.counts)
-        if len(self.best) > self.most:
+        if len(self.best) > self.most or self.bytes > self.kept:
             self.clear()
             new = words
         text = sorted((MARK + w.decode(), w) for w in new)
         self.counts.update(zip((w for _, w in text), self.enter([t for t, _ in text]), strict=True))
+        self.long += (w for t, w in text if len(t) > DEEP)
+        self.bytes += sum(map(len, new))
+
+    def forget_long(self) -> None:
+        """Drop the words beyond ``DEEP``, which have no terminal node; after each block."""
+        for w in self.long:
+            self.bytes -= len(w)
+            del self.counts[w]
+        self.long.clear()
 
 
 def _count_rows(path: str):
@@ -124,6 +136,7 @@ def _count_rows(path: str):
                 trie.learn(set().union(*docs))
                 n_words += map(len, docs)
                 n_tokens += [sum(map(trie.counts.__getitem__, d)) for d in docs]
+                trie.forget_long()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     return rows

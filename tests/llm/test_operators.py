@@ -350,6 +350,20 @@ def test_token_counts_by_viterbi(docs):
         assert got[i] == (len(w), sum(map(known.__getitem__, w)))
 
 
+def test_trie_keeps_no_more_than_its_bounds():
+    scores = tokencount.unigrams(tokencount.model_path())
+    trie, whole, most = tokencount.Trie(scores, kept=20_000), tokencount.Trie(scores), 0
+    for k in range(30):
+        words = {b"data:" + b"x" * 1995 + str(1000 * k + j).encode() for j in range(100)} | {f"w{k}-{j}".encode() for j in range(200)} | {b"same"}
+        trie.learn(words)
+        whole.learn(words)
+        assert all(trie.counts[w] == whole.counts[w] for w in words)
+        trie.forget_long()
+        assert trie.bytes == sum(map(len, trie.counts)) and max(map(len, trie.counts)) < 64
+        most = max(most, trie.bytes)
+    assert most < 24_000
+
+
 def test_trie_computes_a_prefix_once():
     trie = tokencount.Trie({"▁a": -1.0, "b": -2.0, "ab": -1.5, "c": -3.0, "▁": -1.0}, 40)
     trie.learn({b"abc", b"abd", b"a"})
