@@ -68,6 +68,11 @@ def global_agent(cells: DataFrame) -> DataFrame:
     return cells.select(F.lit(0).cast("long").alias("cluster_id"), *CELL)
 
 
+def project(whole: DataFrame, owned: DataFrame) -> DataFrame:
+    """Values of the whole complex (dim, cell_id, ...) as the clusters' values of the cells they own (cluster_id first)."""
+    return whole.join(owned.select("cluster_id", *CELL), CELL).select("cluster_id", *whole.columns)
+
+
 def overlap_mean(local: DataFrame, cells: DataFrame, value: str = "x") -> DataFrame:
     """Mean over clusters' copies of each cell; 0 where no cluster has one. If ``cells`` has steps ``t``, of each step."""
     by = [*CELL, "t"] if "t" in cells.columns else CELL

@@ -24,6 +24,16 @@ def gate(times: DataFrame, clock: int, rule: Column | None = None) -> DataFrame:
     return times.filter(fires(clock, rule=rule))
 
 
+def receipts(weights: DataFrame, times: DataFrame, sends: Column) -> DataFrame:
+    """(t, src, dst): at step t the parameters of ``dst`` arrive at ``src``, for each pair of ``weights``. ``sends``: a
+    condition on (t, agent), does the agent send at that step. A sender's own pair is there whether or not it has
+    neighbours. The steps of ``times`` meet each agent once, never each pair."""
+    agents = weights.select(F.col("dst").alias("agent")).distinct()
+    sent = agents.join(counted(times.select("t")), how="cross").filter(sends).select("t", F.col("agent").alias("dst"))  # a timeline
+    pairs = weights.filter("src <> dst").select("src", "dst").unionByName(agents.select(F.col("agent").alias("src"), F.col("agent").alias("dst")))
+    return sent.join(pairs, "dst").select("t", "src", "dst")
+
+
 def latest(outbox: DataFrame, keys: list[str], payload: str) -> DataFrame:
     """What a flush takes: the last payload written for each key."""
     return outbox.groupBy(*keys).agg(F.max_by(payload, "t").alias(payload), F.max("t").alias("t"))
@@ -38,15 +48,21 @@ def messages(needs: DataFrame, interface: DataFrame, signal: DataFrame, clock: i
     return both.join(sent, CELL).select("t", "src", "dst", "kind", *CELL, "value")
 
 
+def until_next(arrived: DataFrame, keys: list[str], last: DataFrame) -> DataFrame:
+    """Each of ``arrived`` (keys, t, ...) at every step from its own to the one before the key's next, as-of. ``last``: one
+    row (last), the last step there is. Rows are sorted by key once; no key meets a timeline."""
+    nxt = F.lead("t").over(Window.partitionBy(*keys).orderBy("t"))
+    x = arrived.withColumn("nxt", nxt).join(F.broadcast(last), how="cross")  # one row
+    x = x.withColumn("upto", F.coalesce(F.col("nxt") - 1, F.col("last"))).filter("upto >= t")
+    return x.withColumn("t", F.explode(F.sequence("t", "upto"))).drop("nxt", "upto", "last")
+
+
 def fresh(inbox: DataFrame, now: DataFrame, accept_stale: bool = False) -> DataFrame:
     """Messages as of each step of ``now`` (t): of the same step, or with ``accept_stale`` the last up to it."""
-    keys = ["src", "dst", "kind", *CELL]
     if not accept_stale:
         return inbox.join(now, "t")
-    seen = inbox.select(*keys).distinct().crossJoin(counted(now))  # a timeline: as many rows as steps
-    x = seen.join(inbox, [*keys, "t"], "left")
-    w = Window.partitionBy(*keys).orderBy("t")
-    return x.withColumn("value", F.last("value", ignorenulls=True).over(w)).filter("value is not null")
+    last = now.agg(F.max("t").alias("last"))
+    return until_next(inbox, ["src", "dst", "kind", *CELL], last).join(now, "t", "left_semi")
 
 
 def impute_zero(wanted: DataFrame, received: DataFrame) -> DataFrame:
@@ -56,11 +72,47 @@ def impute_zero(wanted: DataFrame, received: DataFrame) -> DataFrame:
 
 
 def impute_hold(wanted: DataFrame, received: DataFrame) -> DataFrame:
-    """Wanted cells with the last value that came up to that step, 0 before any did."""
-    own = received.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *CELL, "t", "value")
-    w = Window.partitionBy("src", "dst", *CELL).orderBy("t")
-    x = wanted.join(own, ["src", "dst", *CELL, "t"], "left")
-    return x.withColumn("value", F.coalesce(F.last("value", ignorenulls=True).over(w), F.lit(0))).select("src", "dst", *CELL, "t", "value")
+    """Wanted cells with the last value that came up to that step, 0 before any did: messages and wanted steps in one
+    sorted stream, the messages of a step first."""
+    keys = ["src", "dst", *CELL]
+    own = received.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *CELL, "t", "value", F.lit(0).alias("asks"))
+    asked = wanted.select(*keys, "t", F.lit(None).cast(dict(own.dtypes)["value"]).alias("value"), F.lit(1).alias("asks"))
+    w = Window.partitionBy(*keys).orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = own.unionByName(asked).withColumn("value", F.coalesce(F.last("value", ignorenulls=True).over(w), F.lit(0)))
+    return x.filter("asks = 1").select(*keys, "t", "value")
+
+
+def senders(needs: DataFrame, interface: DataFrame) -> DataFrame:
+    """(cluster_id, src, kind, dim, cell_id): whom a cluster hears of each cell from: imports from their owners, interface
+    cells from each neighbour that shares them. ``needs``: ``src`` asks ``dst``; ``interface``: (src, dst, ...) both ways."""
+    own = needs.select(F.col("src").alias("cluster_id"), F.col("dst").alias("src"), F.lit("owned").alias("kind"), *CELL)
+    return own.unionByName(interface.select(F.col("src").alias("cluster_id"), F.col("dst").alias("src"), F.lit("interface").alias("kind"), *CELL))
+
+
+def interface_copies(interface: DataFrame, seen: DataFrame) -> DataFrame:
+    """(src, dst, dim, cell_id, t, x): what each cluster itself sees of the cells it shares with each neighbour, step by
+    step. ``seen``: a signal (dim, cell_id, t, x) that all see alike, or with a ``cluster_id`` what each of them sees."""
+    if "cluster_id" not in seen.columns:
+        return interface.join(seen, CELL).select("src", "dst", *CELL, "t", "x")
+    return interface.join(seen.withColumnRenamed("cluster_id", "src"), ["src", *CELL]).select("src", "dst", *CELL, "t", "x")
+
+
+def exchanged(heard: DataFrame, signal: DataFrame, sends: Column, copies: DataFrame | None = None) -> DataFrame:
+    """(cluster_id, dim, cell_id, t, value): what clusters have of others' cells right after each exchange.
+
+    ``heard``: as from ``senders``; ``sends``: a condition on (t, agent). Imports are the sender's value. Interface cells are
+    too, or with ``copies`` the mean of one's own copy for that neighbour and the neighbour's for oneself. Of several
+    senders at one step the largest id counts.
+    """
+    sent = lambda d: d.withColumn("agent", F.col("src")).filter(sends).drop("agent")
+    parts = [sent(heard.filter("kind = 'owned'" if copies is not None else "true").join(signal, CELL)).select("cluster_id", "src", *CELL, "t", F.col("x").cast("double").alias("value"))]
+    if copies is not None:
+        own = copies.select(F.col("src").alias("cluster_id"), F.col("dst").alias("src"), *CELL, "t", F.col("x").alias("own"))
+        theirs = sent(copies.select("src", F.col("dst").alias("cluster_id"), *CELL, "t", "x"))
+        both = theirs.join(own, ["cluster_id", "src", *CELL, "t"])
+        parts.append(both.select("cluster_id", "src", *CELL, "t", (0.5 * (F.col("own") + F.col("x"))).alias("value")))
+    x = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return x.groupBy("cluster_id", *CELL, "t").agg(F.max_by("value", "src").alias("value"))
 
 
 def take_owned(local: DataFrame, received: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ Agents that exchange nothing are folded in a group each. Those that do are folde
 dimension in one group, as long as their matrices have at most ``TOGETHER`` numbers; that is counted first. Beyond it
 each stretch between two exchanges is folded in a group per agent, and the exchange is a join on the sparse weights
 (``stepwise``): a settled table for each exchange, and no group that grows with the agents.
+
+Who mixes with whom is the same clock for all, or a table of receipts (t, src, dst): the parameters of ``dst`` arrived at
+``src`` at that step; oneself as both says that one sent. A fold can start from a state, its own at an earlier step or
+initial parameters alone, so a timeline that grows is folded where it is new.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from cobordia.operators import consensus as C
 from cobordia.session import settle
 
 THETA = "case_id long, dim long, agent long, t long, idx long, value double"
+#: Parameters after each step have the part "step"; what a fold ends with has a part for each of ``Fold.NAMES``.
+FOLDED = "case_id long, dim long, agent long, t long, part string, idx long, value double"
 STATE = "agent long, theta array<double>, phi array<double>, r array<double>, history array<double>, correction array<double>, z array<double>, path array<struct<t:long,theta:array<double>>>"
 TOGETHER = 1 << 25
 Weights = np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -36,6 +42,8 @@ class Rule:
 
     ``consensus``: "gated" agents mix when parameters of a neighbour arrived at that step, "always" at every step with
     what arrived (nothing between two ticks: only their own share is left), "never" not at all.
+
+    ``sends``: in place of the clock, a condition in SQL on (t, agent): does the agent send its parameters at that step.
     """
 
     gamma: float = 0.98
@@ -47,6 +55,7 @@ class Rule:
     threshold: float = 0.0
     eta: float = 1.0
     consensus: str = "gated"
+    sends: str | None = None
 
     def __post_init__(self) -> None:
         if self.mixing not in ("none", "atc", "kgt"):
@@ -83,16 +92,18 @@ class Fold:
         if rule.threshold:
             self.theta = np.sign(self.theta) * np.maximum(np.abs(self.theta) - rule.threshold, 0)
 
-    def mix(self, own: np.ndarray, others, who: np.ndarray, sent: bool) -> None:
-        """One consensus of the agents ``who``: ``own`` weights (a column), ``others(x)`` the weighted sum of what came,
-        ``sent``: is it a step at which parameters are sent."""
+    def send(self, sent: np.ndarray) -> None:
+        """What the agents ``sent`` (a column) prepare before they send."""
+        if self.rule.mixing == "kgt":
+            self.z = np.where(sent, (self.history - self.theta) / (self.rule.k * self.rule.c), self.z)
+
+    def mix(self, own: np.ndarray, others, who: np.ndarray) -> None:
+        """One consensus of the agents ``who``: ``own`` weights (a column), ``others(x)`` the weighted sum of what came."""
         rule = self.rule
         if rule.mixing == "atc":
             self.theta = np.where(who, own * self.theta + others(self.theta), self.theta)
             return
         kcs = rule.k * rule.c * rule.s
-        if sent:
-            self.z = (self.history - self.theta) / (rule.k * rule.c)
         theta = own * (self.history - kcs * self.z) + others(self.theta - kcs * self.z)
         self.correction = np.where(who, self.correction - self.z + own * self.z + others(self.z), self.correction)
         self.theta = np.where(who, theta, self.theta)
@@ -103,9 +114,14 @@ def _nothing(x: np.ndarray) -> np.ndarray:
     return np.zeros_like(x)
 
 
-def run_fold(grams: np.ndarray, rhs: np.ndarray, weights: Weights, rule: Rule, times: list[int] | None = None) -> np.ndarray:
+Arrivals = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def run_fold(grams: np.ndarray, rhs: np.ndarray, weights: Weights, rule: Rule, times: list[int] | None = None, arrivals: Arrivals | None = None, fold: Fold | None = None) -> np.ndarray:
     """θ after each step, (T, agents, F), from (T, agents, F, F) and (T, agents, F) and mixing weights: a matrix (row:
-    receiver), or its entries (receiver, sender, weight). ``times``: the steps' numbers, 0, 1, ... by default."""
+    receiver), or its entries (receiver, sender, weight). ``times``: the steps' numbers, 0, 1, ... by default.
+    ``arrivals``: step -> (receivers, senders), in place of the rule's clock; ``fold``: a state to start from, and to be
+    left in the last one."""
     steps, agents, width = rhs.shape
     if isinstance(weights, np.ndarray):
         weights = (*np.nonzero(weights), weights[np.nonzero(weights)])
@@ -113,19 +129,32 @@ def run_fold(grams: np.ndarray, rhs: np.ndarray, weights: Weights, rule: Rule, t
     own = np.zeros((agents, 1))
     own[src[src == dst], 0] = w[src == dst]
     src, dst, w = src[src != dst], dst[src != dst], w[src != dst]
-    hears, every = np.isin(np.arange(agents), src)[:, None], np.ones((agents, 1), bool)
-
-    def others(x: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(x)
-        np.add.at(out, src, w[:, None] * x[dst])
-        return out
-
-    fold, out = Fold(agents, width, rule), np.empty((steps, agents, width))
+    every, nobody = np.ones((agents, 1), bool), np.zeros(0, np.int64)
+    place = {pair: k for k, pair in enumerate(zip(src.tolist(), dst.tolist(), strict=True))} if arrivals is not None else {}
+
+    def came(t: int) -> tuple[np.ndarray, np.ndarray]:
+        """The links over which parameters arrive at a step, and who sends."""
+        if arrivals is None:
+            ticks = t % rule.clock == 0
+            return (np.arange(len(src)) if ticks else nobody), np.full((agents, 1), ticks)
+        got = list(zip(*(x.tolist() for x in arrivals[t]), strict=True)) if t in arrivals else []
+        links = [place[pair] for pair in got if pair in place]
+        return np.asarray(links, np.int64), np.isin(np.arange(agents), [j for _, j in got])[:, None]
+
+    fold, out = fold or Fold(agents, width, rule), np.empty((steps, agents, width))
     for n, t in enumerate(times if times is not None else range(steps)):
         fold.local(grams[n], rhs[n])
-        ticks = t % rule.clock == 0
-        if rule.mixing != "none" and (rule.consensus == "always" or (rule.consensus == "gated" and ticks)):
-            fold.mix(own, others if ticks else _nothing, hears if rule.consensus == "gated" else every, ticks)
+        if rule.mixing != "none" and rule.consensus != "never":
+            links, sent = came(t)
+            fold.send(sent)
+
+            def others(x: np.ndarray, links: np.ndarray = links) -> np.ndarray:
+                out = np.zeros_like(x)
+                np.add.at(out, src[links], w[links, None] * x[dst[links]])
+                return out
+
+            if rule.consensus == "always" or len(links):
+                fold.mix(own, others, np.isin(np.arange(agents), src[links])[:, None] if rule.consensus == "gated" else every)
         out[n] = fold.theta
     return out
 
@@ -136,68 +165,136 @@ def _dense(cells, into: np.ndarray) -> None:
             into[e["k"]] = e["v"]
 
 
-def _history(case: int, dim: int, agents: list, times: list, theta: np.ndarray) -> pd.DataFrame:
-    t, n, f = np.indices(theta.shape).reshape(3, -1)
-    return pd.DataFrame({"case_id": case, "dim": dim, "agent": np.asarray(agents)[n], "t": np.asarray(times)[t], "idx": f, "value": theta.ravel()})
+def _long(case: int, dim: int, agents: list, times: list, part: str, x: np.ndarray) -> pd.DataFrame:
+    """(FOLDED) of x by step, agent and place."""
+    t, n, f = np.indices(x.shape).reshape(3, -1)
+    return pd.DataFrame({"case_id": case, "dim": dim, "agent": np.asarray(agents)[n], "t": np.asarray(times)[t], "part": part, "idx": f, "value": x.ravel()})
+
+
+def _states(case: int, dim: int, agents: list, t: int, fold: Fold) -> list[pd.DataFrame]:
+    return [_long(case, dim, agents, [t], name, getattr(fold, name).reshape(1, len(agents), -1)) for name in Fold.NAMES]
+
 
+def _started(fold: Fold, at: int, entries) -> None:
+    """Put an agent's state (part, idx, value) into the fold."""
+    for e in entries if entries is not None else ():
+        getattr(fold, e["part"])[at].reshape(-1)[e["idx"]] = e["value"]
 
-def sequential(grams: DataFrame, rhs: DataFrame, weights: DataFrame, rules: dict[int, Rule], width: int | dict[int, int], together: int = TOGETHER) -> DataFrame:
-    """(THETA) of every case. ``grams``: (case_id, dim, agent, t, f, g, val); ``rhs``: (case_id, dim, agent, t, f, val);
+
+def sequential(grams: DataFrame, rhs: DataFrame, weights: DataFrame, rules: dict[int, Rule], width: int | dict[int, int], together: int = TOGETHER, receipts: DataFrame | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """(THETA) of every case: ``folded`` without the state it ends in."""
+    return history(folded(grams, rhs, weights, rules, width, together, receipts, initial, ends=False))
+
+
+def history(x: DataFrame) -> DataFrame:
+    """(THETA) of what ``folded`` gives."""
+    return x.filter("part = 'step'").drop("part")
+
+
+def final_state(x: DataFrame) -> DataFrame:
+    """(FOLDED) of the last step of each agent, from which ``folded`` goes on."""
+    return x.filter("part <> 'step'")
+
+
+def folded(grams: DataFrame, rhs: DataFrame, weights: DataFrame, rules: dict[int, Rule], width: int | dict[int, int], together: int = TOGETHER, receipts: DataFrame | None = None, initial: DataFrame | None = None, ends: bool = True) -> DataFrame:
+    """(FOLDED) of every case. ``grams``: (case_id, dim, agent, t, f, g, val); ``rhs``: (case_id, dim, agent, t, f, val);
     ``weights``: (case_id, src, dst, w). Steps are those of ``rhs``; entries without a row are 0. ``width``: features, of
-    each dimension if they differ."""
+    each dimension if they differ. ``receipts``: (case_id, t, src, dst), for cases whose rule has no clock (``sends``);
+    ``initial``: (FOLDED) states to start from, or only parts of them, as ``theta``; all else is 0. ``ends``: are final
+    states wanted."""
     widths = {d: width for d in range(3)} if isinstance(width, int) else width
     keys = ["case_id", "dim", "agent", "t"]
     wide = F.element_at(F.create_map(*(F.lit(int(x)) for kv in widths.items() for x in kv)), F.col("dim").cast("int"))
     # a step's matrix as one row: at most width * width entries
     a = grams.groupBy(*keys).agg(F.collect_list(F.struct((F.col("f") * wide + F.col("g")).cast("int").alias("k"), F.col("val").cast("double").alias("v"))).alias("gram"))
     b = rhs.groupBy(*keys).agg(F.collect_list(F.struct(F.col("f").cast("int").alias("k"), F.col("val").cast("double").alias("v"))).alias("rhs"))
-    rows = settle(b.join(a, keys, "left"))
+    rows = b.join(a, keys, "left")
+    start = F.lit(None).cast("array<struct<part:string,idx:int,value:double>>")
+    if initial is not None:
+        # an agent's state, as large as two of its steps, comes with its first step
+        begun = initial.filter(F.col("part").isin(*Fold.NAMES) & (F.col("value") != 0)).groupBy("case_id", "dim", "agent").agg(F.collect_list(F.struct("part", F.col("idx").cast("int").alias("idx"), "value")).alias("state"))
+        first = rhs.groupBy("case_id", "dim", "agent").agg(F.min("t").alias("t")).join(begun, ["case_id", "dim", "agent"])
+        rows, start = rows.join(first, keys, "left"), F.col("state")
+    rows = settle(rows.withColumn("state", start))
     none = [c for c, r in rules.items() if r.mixing == "none" or r.consensus == "never"]
+    if receipts is None and any(r.sends for c, r in rules.items() if c not in none):
+        raise ValueError("a rule that says who sends needs receipts")
 
     def fold(steps: pd.DataFrame, mix: pd.DataFrame) -> pd.DataFrame:
         if steps.empty:
-            return pd.DataFrame({n.split()[0]: [] for n in THETA.split(", ")})
+            return pd.DataFrame({n.split()[0]: [] for n in FOLDED.split(", ")})
         case, dim = int(steps.case_id.iloc[0]), int(steps.dim.iloc[0])
-        n = widths[dim]
+        n, rule = widths[dim], rules[case]
         agents, times = sorted(steps.agent.unique()), sorted(steps.t.unique())
         place, when = {a: k for k, a in enumerate(agents)}, {t: k for k, t in enumerate(times)}
         g, r = np.zeros((len(times), len(agents), n * n)), np.zeros((len(times), len(agents), n))
+        kept = Fold(len(agents), n, rule)
         for row in steps.itertuples():
             at = when[row.t], place[row.agent]
             _dense(row.gram, g[at])
             _dense(row.rhs, r[at])
-        known = [(place[i], place[j], w) for i, j, w in zip(mix.src, mix.dst, mix.w, strict=True) if i in place and j in place]
-        w = tuple(np.asarray(c) for c in zip(*known, strict=True)) if known else np.eye(len(agents))
-        return _history(case, dim, agents, times, run_fold(g.reshape(len(times), len(agents), n, n), r, w, rules[case], times))
+            _started(kept, place[row.agent], row.state)
+        mix = mix[mix.src.isin(place) & mix.dst.isin(place)]
+        src, dst = (np.asarray([place[x] for x in mix[c]], np.int64) for c in ("src", "dst"))
+        known = ~mix.w.isna().to_numpy() if len(mix) else np.zeros(0, bool)
+        w = (src[known], dst[known], mix.w.to_numpy(float)[known]) if known.any() else np.eye(len(agents))
+        arrivals: Arrivals | None = None
+        if rule.sends:
+            came: dict[int, list[tuple[int, int]]] = {}
+            for i, j, steps_ in zip(src.tolist(), dst.tolist(), mix.came, strict=True):
+                for t in steps_ if steps_ is not None else ():
+                    came.setdefault(int(t), []).append((i, j))
+            arrivals = {t: tuple(np.asarray(pairs, np.int64).T) for t, pairs in came.items()}
+        theta = run_fold(g.reshape(len(times), len(agents), n, n), r, w, rule, times, arrivals, kept)
+        out = [_long(case, dim, agents, times, "step", theta)]
+        return pd.concat(out + (_states(case, dim, agents, times[-1], kept) if ends else []))
 
     out = []
     if none:
-        nobody = pd.DataFrame({"src": [], "dst": [], "w": []})
+        nobody = pd.DataFrame({"src": [], "dst": [], "w": [], "came": []})
         alone = rows.filter(F.col("case_id").isin(none)).groupBy("case_id", "dim", "agent")
-        out.append(alone.applyInPandas(lambda steps: fold(steps, nobody), THETA))
+        out.append(alone.applyInPandas(lambda steps: fold(steps, nobody), FOLDED))
     if len(none) < len(rules):
         meet = rows.filter(~F.col("case_id").isin(none))
         sizes = {(r["case_id"], r["dim"]): r["n"] for r in meet.groupBy("case_id", "dim").agg(F.count("*").alias("n")).collect()}  # cases by dimensions
         large = [k for k, n in sizes.items() if n * widths[k[1]] ** 2 > together]
         for case, dim in large:
             own = meet.filter((F.col("case_id") == case) & (F.col("dim") == dim))
-            out.append(stepwise(own, weights.filter(F.col("case_id") == case), rules[case], widths[dim], case, dim))
+            came = receipts.filter(F.col("case_id") == case) if rules[case].sends else None
+            out.append(stepwise(own, weights.filter(F.col("case_id") == case), rules[case], widths[dim], case, dim, came, ends))
         if len(large) < len(sizes):
             for case, dim in large:
                 meet = meet.filter((F.col("case_id") != case) | (F.col("dim") != dim))
             dims = rows.sparkSession.createDataFrame([k for k in sorted(sizes) if k not in large], "case_id long, dim long")
-            mixes = weights.join(F.broadcast(dims), "case_id")  # cases by dimensions
-            out.append(meet.groupBy("case_id", "dim").cogroup(mixes.groupBy("case_id", "dim")).applyInPandas(lambda a, b: fold(a, b), THETA))
-    return reduce(DataFrame.unionByName, out) if out else rows.limit(0).selectExpr("case_id", "dim", "agent", "t", "0L as idx", "0D as value")
-
-
-def stepwise(rows: DataFrame, weights: DataFrame, rule: Rule, width: int, case: int, dim: int) -> DataFrame:
-    """(THETA) of one case and dimension: a group per agent between two exchanges, and a join on the weights at each."""
+            never = F.lit(None).cast("array<long>")
+            mixes = weights.select("case_id", "src", "dst", "w")
+            if receipts is None:
+                mixes = mixes.withColumn("came", never)
+            else:  # a link's steps are at most a timeline; a sender's own pair may have no weight
+                links = receipts.groupBy("case_id", "src", "dst").agg(F.collect_list(F.col("t").cast("long")).alias("came"))
+                mixes = mixes.join(links, ["case_id", "src", "dst"], "full")
+            mixes = mixes.join(F.broadcast(dims), "case_id")  # cases by dimensions
+            out.append(meet.groupBy("case_id", "dim").cogroup(mixes.groupBy("case_id", "dim")).applyInPandas(lambda a, b: fold(a, b), FOLDED))
+    empty = rows.limit(0).selectExpr("case_id", "dim", "agent", "t", "'step' as part", "0L as idx", "0D as value")
+    return reduce(DataFrame.unionByName, out) if out else empty
+
+
+def _gathered(parts: list[DataFrame], most: int = 24) -> list[DataFrame]:
+    """``parts``, written as one table whenever there are ``most``, so that no plan grows with the timeline."""
+    return [settle(reduce(DataFrame.unionByName, parts))] if len(parts) >= most else parts
+
+
+def stepwise(rows: DataFrame, weights: DataFrame, rule: Rule, width: int, case: int, dim: int, receipts: DataFrame | None = None, ends: bool = False) -> DataFrame:
+    """(FOLDED) of one case and dimension: a group per agent between two exchanges, and a join on the weights at each."""
     weights = settle(weights.select("src", "dst", "w"))
-    heard = weights.filter("src <> dst").select(F.col("src").alias("agent")).distinct() if rule.consensus == "gated" else weights.select(F.col("src").alias("agent")).distinct()
     own = weights.filter("src = dst").select(F.col("src").alias("agent"), F.col("w").alias("own"))
-    rows = settle(rows.select("agent", "t", "rhs", "gram").join(own, "agent", "left"))
+    rows = settle(rows.select("agent", "t", "rhs", "gram", "state").join(own, "agent", "left"))
     times = sorted(r["t"] for r in rows.select("t").distinct().collect())  # a timeline
+    if receipts is not None:
+        receipts = settle(receipts.select("t", "src", "dst"))
+        meets = {r["t"] for r in receipts.select("t").distinct().collect()}  # at most a timeline
+    else:
+        meets = {t for t in times if t % rule.clock == 0}
     shapes = {n: (width, width) if n == "phi" else (width,) for n in Fold.NAMES}
 
     def stretch(steps: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
@@ -208,9 +305,10 @@ def stepwise(rows: DataFrame, weights: DataFrame, rule: Rule, width: int, case:
             g, r = np.zeros(width * width), np.zeros(width)
             _dense(row.gram, g)
             _dense(row.rhs, r)
+            _started(fold, 0, row.state)
             fold.local(g.reshape(1, width, width), r[None])
-            if rule.consensus == "always" and row.t % rule.clock:
-                fold.mix(np.asarray([[0.0 if pd.isna(row.own) else row.own]]), _nothing, np.ones((1, 1), bool), False)
+            if rule.consensus == "always" and row.t not in meets:
+                fold.mix(np.asarray([[0.0 if pd.isna(row.own) else row.own]]), _nothing, np.ones((1, 1), bool))
             path.append({"t": int(row.t), "theta": fold.theta[0].tolist()})
         agent = steps.agent.iloc[0] if len(steps) else state.agent.iloc[0]
         return pd.DataFrame([{"agent": agent, **{n: getattr(fold, n).ravel().tolist() for n in Fold.NAMES}, "path": path}])
@@ -218,36 +316,48 @@ def stepwise(rows: DataFrame, weights: DataFrame, rule: Rule, width: int, case:
     def vector(state: DataFrame, name: str) -> DataFrame:
         return state.select("agent", F.posexplode(name).alias("idx", "value"))
 
+    def packed(x: DataFrame) -> DataFrame:
+        return x.groupBy("agent").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("packed"))
+
     state = rows.sparkSession.createDataFrame([], STATE)
     out, first = [], 0
     for n, t in enumerate(times):
-        if t % rule.clock and n + 1 < len(times):
+        if t not in meets and n + 1 < len(times):
             continue
         lot = rows.filter(F.col("t").between(times[first], t))
         state = settle(lot.groupBy("agent").cogroup(state.groupBy("agent")).applyInPandas(lambda a, b: stretch(a, b), STATE))
         moved = state.select("agent", F.explode("path").alias("p")).select("agent", "p.t", F.posexplode("p.theta").alias("idx", "value"))
         first = n + 1
-        if t % rule.clock:
+        if t not in meets:
             out.append(moved)
             continue
         out.append(moved.filter(F.col("t") < t))
+        # the step's weights: what arrived, and one's own share
+        if receipts is None:
+            came, sent = weights, state.select("agent")
+        else:
+            now = receipts.filter(F.col("t") == t)
+            came = weights.filter("src = dst").unionByName(weights.filter("src <> dst").join(now, ["src", "dst"], "left_semi"))
+            sent = now.select(F.col("dst").alias("agent")).distinct()
+        heard = state.select("agent") if rule.consensus == "always" else came.filter("src <> dst").select(F.col("src").alias("agent")).distinct()
         theta = vector(state, "theta")
         if rule.mixing == "atc":
-            mixed = {"theta": C.mix_atc(weights, theta)}
+            mixed = {"theta": C.mix_atc(came, theta)}
         else:
-            z = settle(C.kgt_aux(theta, vector(state, "history"), rule.k, rule.c))
-            new = C.kgt_mix(weights, theta, vector(state, "history"), z, rule.k, rule.c, rule.s)
-            mixed = {"theta": new, "history": new, "correction": C.kgt_correction(vector(state, "correction"), z, weights)}
+            made = packed(C.kgt_aux(theta, vector(state, "history"), rule.k, rule.c).join(sent, "agent", "left_semi"))
+            state = settle(state.join(made, "agent", "left").withColumn("z", F.coalesce(F.col("packed.value"), F.col("z"))).drop("packed"))
+            z = vector(state, "z")
+            new = C.kgt_mix(came, theta, vector(state, "history"), z, rule.k, rule.c, rule.s)
+            mixed = {"theta": new, "history": new, "correction": C.kgt_correction(vector(state, "correction"), z, came)}
         for name, table in mixed.items():
-            packed = table.join(heard, "agent", "left_semi").groupBy("agent").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("packed"))
-            state = state.join(packed, "agent", "left").withColumn(name, F.coalesce(F.col("packed.value"), F.col(name))).drop("packed")
-        if rule.mixing == "kgt":
-            packed = z.groupBy("agent").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("packed"))
-            state = state.join(packed, "agent", "left").withColumn("z", F.col("packed.value")).drop("packed")
+            state = state.join(packed(table.join(heard, "agent", "left_semi")), "agent", "left").withColumn(name, F.coalesce(F.col("packed.value"), F.col(name))).drop("packed")
         state = settle(state.withColumn("path", F.lit(None).cast("array<struct<t:long,theta:array<double>>>")))
-        out.append(state.select("agent", F.lit(t).cast("long").alias("t"), F.posexplode("theta").alias("idx", "value")))
+        out = _gathered([*out, state.select("agent", F.lit(t).cast("long").alias("t"), F.posexplode("theta").alias("idx", "value"))])
+    out = [x.withColumn("part", F.lit("step")) for x in out]
+    if ends:
+        out += [vector(state, n).withColumn("t", F.lit(times[-1]).cast("long")).withColumn("part", F.lit(n)) for n in Fold.NAMES]
     x = reduce(DataFrame.unionByName, out)
-    return x.select(F.lit(case).cast("long").alias("case_id"), F.lit(dim).cast("long").alias("dim"), "agent", "t", F.col("idx").cast("long").alias("idx"), "value")
+    return x.select(F.lit(case).cast("long").alias("case_id"), F.lit(dim).cast("long").alias("dim"), "agent", F.col("t").cast("long").alias("t"), "part", F.col("idx").cast("long").alias("idx"), "value")
 
 
 def predict(features: DataFrame, theta: DataFrame) -> DataFrame:

@@ -60,7 +60,9 @@ class Model:
 @dataclass(frozen=True)
 class Plan:
     """``imputer``: what agents take for others' cells between exchanges: "hold", "zero" or "labels". ``inside``: agents
-    see no more than what they predict."""
+    see no more than what they predict. ``data_sends``: in place of the data clock, a condition in SQL on (t, agent): does
+    the agent send its data at that step. ``interface``: what agents take for the cells they share at an exchange, the
+    "same" value that all have, or the "averaged" one of their own copy and the neighbour's."""
 
     clustering: Clustering = field(default_factory=Clustering)
     model: Model = field(default_factory=Model)
@@ -68,8 +70,14 @@ class Plan:
     data_clock: int = 10
     imputer: str = "hold"
     inside: bool = False
+    data_sends: str | None = None
+    interface: str = "same"
 
     def __post_init__(self) -> None:
+        if self.interface not in ("same", "averaged"):
+            raise ValueError(f"no interface {self.interface}")
+        if self.imputer == "labels" and self.data_sends:
+            raise ValueError("labels are propagated between the ticks of one clock")
         if self.data_clock < 1:
             raise ValueError("clocks tick every step or less often")
         if self.imputer not in ("hold", "zero", "labels"):
@@ -78,7 +86,7 @@ class Plan:
     def columns(self) -> dict[str, str]:
         """Run metadata, flat, as columns for a result: C_data, C_param, K, ... in the order of the plan's parts."""
         flat = {f"{part}_{k}": v for part in ("clustering", "model", "rule") for k, v in asdict(getattr(self, part)).items()}
-        return {k: str(v) for k, v in (flat | {"data_clock": self.data_clock, "imputer": self.imputer, "inside": self.inside}).items()}
+        return {k: str(v) for k, v in (flat | {k: getattr(self, k) for k in ("data_clock", "imputer", "inside", "data_sends", "interface")}).items()}
 
 
 def merged(plan, **changes):

@@ -8,7 +8,7 @@ deviation. Months run over the whole timeline.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -62,6 +62,7 @@ class Case:
     targets: DataFrame
     weights: DataFrame
     widths: dict[int, int]
+    whole: bool = False
 
 
 def scaled(f: Fixture) -> DataFrame:
@@ -77,26 +78,43 @@ def agent_boundaries(boundaries: dict[int, DataFrame], view: DataFrame) -> dict[
     return {k: cut.filter(F.col("dim") == k).select(_block("cluster_id", "i").alias("i"), _block("cluster_id", "j").alias("j"), "val") for k in boundaries}
 
 
-def held(signal: DataFrame, view: DataFrame, owned: DataFrame, plan: Plan, boundaries: dict[int, DataFrame]) -> DataFrame:
+def held(signal: DataFrame, view: DataFrame, owned: DataFrame, plan: Plan, boundaries: dict[int, DataFrame], heard: DataFrame | None = None, copies: DataFrame | None = None) -> DataFrame:
     """Each cluster's signal (dim, cell_id, t, x) on block ids: its own values at once, others as they arrive and are
-    imputed between two exchanges."""
-    clock = plan.data_clock
-    own = owned.select("cluster_id", "dim", "cell_id", F.lit(True).alias("own"))
-    x = view.select("cluster_id", "dim", "cell_id").join(own, ["cluster_id", "dim", "cell_id"], "left").join(signal, ["dim", "cell_id"])
-    if clock > 1 and plan.imputer == "hold":
-        last = signal.select("dim", "cell_id", F.col("t").alias("at"), F.col("x").alias("sent"))
-        x = x.withColumn("at", F.col("t") - F.col("t") % clock).join(last, ["dim", "cell_id", "at"])
-        x = x.withColumn("x", F.when(F.col("own"), F.col("x")).otherwise(F.col("sent")))
-    elif clock > 1:
-        x = x.withColumn("x", F.when(F.col("own") | (F.col("t") % clock == 0), F.col("x")).otherwise(F.lit(0.0)))
-    if clock > 1 and plan.imputer == "labels":
-        x = settle(x.select("cluster_id", "dim", "cell_id", "t", "x", "own"))
-        stale = x.filter("own is null").select("cluster_id", "dim", "cell_id").distinct()
-        parts = [x.filter(F.col("t") % clock == 0).drop("own")]
+    imputed between two exchanges.
+
+    ``heard``: from whom a cluster hears of a cell (``exchange.senders``); without it, of all at the same steps. ``copies``:
+    what clusters see of shared cells themselves (``exchange.interface_copies``), to be averaged at each exchange.
+    """
+    keys, clock = ["cluster_id", "dim", "cell_id"], plan.data_clock
+    own = owned.select(*keys, F.lit(True).alias("own"))
+    x = view.select(*keys).join(own, keys, "left")
+    if clock == 1 and plan.data_sends is None and copies is None:
+        x = x.join(signal, ["dim", "cell_id"])
+        return settle(x.select("dim", _block("cluster_id", "cell_id").alias("cell_id"), "t", F.col("x").cast("double").alias("x")))
+    others = settle(x.filter("own is null").select(*keys))
+    mine = x.filter("own").join(signal, ["dim", "cell_id"]).select(*keys, "t", F.col("x").cast("double").alias("x"))
+    if heard is None:
+        heard = others.select("cluster_id", F.lit(-1).cast("long").alias("src"), F.lit("owned").alias("kind"), "dim", "cell_id")
+    sends = F.expr(plan.data_sends) if plan.data_sends else E.fires(clock)
+    came = E.exchanged(heard.join(others, keys, "left_semi"), signal, sends, None if copies is None else copies.withColumnRenamed("src", "cluster_id").join(others, keys, "left_semi").withColumnRenamed("cluster_id", "src"))
+    span = F.broadcast(signal.agg(F.min("t").alias("first"), F.max("t").alias("last")))  # one row
+    # before anything came there is 0, from the first step on
+    blank = others.join(span, how="cross").select(*keys, F.col("first").alias("t"), F.lit(0.0).alias("value"), F.lit(0).alias("real"))
+    came = came.withColumn("real", F.lit(1)).unionByName(blank).groupBy(*keys, "t").agg(F.max_by("value", "real").alias("x"), F.max("real").alias("real"))
+    if plan.imputer == "hold":
+        rest = E.until_next(came, keys, span.select("last")).drop("real")
+    elif plan.imputer == "zero":
+        every = E.until_next(blank, keys, span.select("last")).select(*keys, "t")
+        rest = every.join(came, [*keys, "t"], "left").select(*keys, "t", F.coalesce("x", F.lit(0.0)).alias("x"))
+    else:
+        came = settle(came.filter("real = 1").select(*keys, "t", "x"))
+        every = settle(mine.unionByName(E.until_next(blank, keys, span.select("last")).select(*keys, "t", F.lit(0.0).alias("x"))))
+        parts = [mine.filter(F.col("t") % clock == 0), came]
         for dim in plan.model.dims:
-            parts.append(E.propagate_labels(x.filter((F.col("dim") == dim) & (F.col("t") % clock != 0)).drop("own"), A.hodge(boundaries, dim), stale.filter(F.col("dim") == dim)))
-        x = union(parts)
-    return settle(x.select("dim", _block("cluster_id", "cell_id").alias("cell_id"), "t", "x"))
+            stale = others.filter(F.col("dim") == dim)
+            parts.append(E.propagate_labels(every.filter((F.col("dim") == dim) & (F.col("t") % clock != 0)), A.hodge(boundaries, dim), stale))
+        return settle(union(parts).select("dim", _block("cluster_id", "cell_id").alias("cell_id"), "t", "x"))
+    return settle(mine.unionByName(rest.select(*keys, "t", "x")).select("dim", _block("cluster_id", "cell_id").alias("cell_id"), "t", "x"))
 
 
 def _laplacians(b: dict[int, DataFrame], dim: int) -> tuple[DataFrame | None, DataFrame | None]:
@@ -131,9 +149,9 @@ def _alone(view: DataFrame) -> DataFrame:
     return view.select(F.col("cluster_id").alias("src")).distinct().select("src", F.col("src").alias("dst"), F.lit(1.0).alias("w"))
 
 
-def _case(plan: Plan, boundaries: dict[int, DataFrame], signal: DataFrame, view: DataFrame, owned: DataFrame, targets: DataFrame, weights: DataFrame) -> Case:
+def _case(plan: Plan, boundaries: dict[int, DataFrame], signal: DataFrame, view: DataFrame, owned: DataFrame, targets: DataFrame, weights: DataFrame, heard: DataFrame | None = None, copies: DataFrame | None = None) -> Case:
     b = agent_boundaries(boundaries, view)
-    own, model = held(signal, view, owned, plan, boundaries), plan.model
+    own, model = held(signal, view, owned, plan, boundaries, heard, copies), plan.model
     if model.kind == "topolms":
         features, widths = topolms_features(b, own, model.m), {1: 2 * model.m + 1}
     else:
@@ -145,7 +163,9 @@ def _case(plan: Plan, boundaries: dict[int, DataFrame], signal: DataFrame, view:
 class Setting:
     """What cases on one clustering share, settled once."""
 
-    def __init__(self, f: Fixture, clustering: presets.Clustering | None = None) -> None:
+    def __init__(self, f: Fixture, clustering: presets.Clustering | None = None, observed: DataFrame | None = None) -> None:
+        """``observed``: (cluster_id, dim, cell_id, t, x), what each cluster itself sees of the cells that it shares, where that
+        isn't the signal."""
         c = clustering or presets.Clustering()
         self.f, self.signal, self.boundaries = f, scaled(f), {k: settle(b) for k, b in f.boundaries().items()}
         if c.kind == "hops":
@@ -156,29 +176,42 @@ class Setting:
                 graph = settle(A.off_diagonal(A.lower_laplacian(self.boundaries[c.dim])).select("i", "j"))
                 community = settle(P.greedy_modularity(graph, c.best_n, c.resolution))
             p = P.partition(self.boundaries, community, c.dim, c.q_hop) if c.kind != "given" or c.q_hop > 1 else f.partition()
-        self.owned, self.index, self.interface = settle(p.owned), settle(p.local_index), p.interface
+        self.owned, self.index, self.interface, self.observed = settle(p.owned), settle(p.local_index), p.interface, observed
+        self.heard = settle(E.senders(p.needs, P.both_ways(p.interface)))
         self.weights = settle(G.metropolis_weights(p.agent_graph, self.owned))
         self.out = settle(G.partial_indices(self.index, self.owned).filter("is_out").select("cluster_id", "dim", "cell_id"))
         self.everything = settle(G.global_agent(f.cells()))
 
     def whole(self, plan: Plan = PRESETS["global"]) -> Case:
-        return _case(plan, self.boundaries, self.signal, self.everything, self.everything, self.everything, _alone(self.everything))
+        return replace(_case(plan, self.boundaries, self.signal, self.everything, self.everything, self.everything, _alone(self.everything)), whole=True)
 
     def agents(self, plan: Plan) -> Case:
         """The agents of the clustering; ``plan.inside``: each on what it predicts, nothing imported."""
         view = self.out if plan.inside else self.index
         mixing = _alone(self.owned) if plan.rule.mixing == "none" else self.weights
-        return _case(plan, self.boundaries, self.signal, view, self.out if plan.inside else self.owned, self.out, mixing)
+        copies = None
+        if plan.interface == "averaged":
+            copies = settle(E.interface_copies(P.both_ways(self.interface), self.observed if self.observed is not None else self.signal))
+        heard = self.heard if plan.data_sends or copies is not None else None
+        return _case(plan, self.boundaries, self.signal, view, self.out if plan.inside else self.owned, self.out, mixing, heard, copies)
 
 
 def learn(cases: dict[int, Case], truth: DataFrame) -> DataFrame:
-    """(THETA) histories of the cases, in one go; cases of one number of features per dimension each."""
-    grams, sides, mixes, widths = [], [], [], {}
+    """(THETA) histories of the cases, in one go."""
+    return L.history(folded(cases, truth, ends=False))
+
+
+def folded(cases: dict[int, Case], truth: DataFrame, initial: DataFrame | None = None, since: int | None = None, before: int | None = None, ends: bool = True) -> DataFrame:
+    """(learning.FOLDED) of the cases; cases of one number of features per dimension each. ``initial``: states to start from
+    (``learning.final_state`` of an earlier fold); ``since``, ``before``: only steps from one on, or before another."""
+    grams, sides, mixes, came, widths = [], [], [], [], {}
+    truth = truth.filter(F.lit(True) if since is None else F.col("t") >= since).filter(F.lit(True) if before is None else F.col("t") < before)
     for case, c in cases.items():
         if any(widths.get(d, w) != w for d, w in c.widths.items()):
             raise ValueError("cases that are learned together need features of one layout")
         widths |= c.widths
-        own = c.features.join(c.targets, ["dim", "i"], "left_semi").withColumn("agent", _agent("i")).withColumn("case_id", F.lit(case).cast("long"))
+        own = c.features.filter(F.lit(True) if since is None else F.col("t") >= since).filter(F.lit(True) if before is None else F.col("t") < before)
+        own = own.join(c.targets, ["dim", "i"], "left_semi").withColumn("agent", _agent("i")).withColumn("case_id", F.lit(case).cast("long"))
         keys = ["case_id", "dim", "agent", "t"]
         plain = [d for d in c.widths if not any(c.plan.model.pair(c.plan.model.mu, d)) or c.plan.model.kind != "ccvar"]
         if plain:
@@ -191,7 +224,11 @@ def learn(cases: dict[int, Case], truth: DataFrame) -> DataFrame:
         targets = own.withColumn("cell", F.col("i") % BLOCK).join(y, ["dim", "cell", "t"])
         sides.append(targets.groupBy(*keys, "f").agg(F.sum(F.col("s") * F.col("y")).alias("val")))
         mixes.append(c.weights.select(F.lit(case).cast("long").alias("case_id"), "src", "dst", "w"))
-    return settle(L.sequential(union(grams), union(sides), union(mixes), {k: c.plan.rule for k, c in cases.items()}, widths))
+        if c.plan.rule.sends and c.plan.rule.mixing != "none":
+            got = E.receipts(c.weights, truth.select("t").distinct(), F.expr(c.plan.rule.sends))
+            came.append(got.select(F.lit(case).cast("long").alias("case_id"), "t", "src", "dst"))
+    rules = {k: c.plan.rule for k, c in cases.items()}
+    return settle(L.folded(union(grams), union(sides), union(mixes), rules, widths, receipts=union(came) if came else None, initial=initial, ends=ends))
 
 
 def operator(c: Case) -> tuple[DataFrame, dict[int, int]]:
@@ -248,8 +285,15 @@ def truth(signal: DataFrame) -> DataFrame:
     return signal.select("dim", "cell_id", F.col("t").alias("i"), F.col("x").alias("y"))
 
 
-def scored(signal: DataFrame, cases: dict[int, Case], theta: DataFrame) -> DataFrame:
-    return M.tv_metrics(M.with_truth(M.aggregate(forecasts(cases, theta)), truth(signal)))
+def scored(signal: DataFrame, cases: dict[int, Case], theta: DataFrame, onto: DataFrame | None = None) -> DataFrame:
+    """Errors of the cases. ``onto``: ownership of clusters, onto whose cells the cases of a single agent are projected, so
+    that all cases are compared on the same cells."""
+    made = forecasts(cases, theta)
+    if onto is not None:
+        alone = [k for k, c in cases.items() if c.whole]
+        whole = made.filter(F.col("case_id").isin(alone)).drop("cluster_id")
+        made = made.filter(~F.col("case_id").isin(alone)).unionByName(G.project(whole, onto))
+    return M.tv_metrics(M.with_truth(M.aggregate(made), truth(signal)))
 
 
 def flat(theta: DataFrame, widths: dict[int, int]) -> DataFrame:
@@ -311,18 +355,53 @@ def topolms_train(f: Fixture) -> DataFrame:
     return learn({0: s.whole(merged(PRESETS["global"], model={"kind": "topolms"}, rule={"gamma": 0.0}))}, s.signal)
 
 
-def tails(s: Setting, cases: dict[int, Case]) -> DataFrame:
+def tails(s: Setting, cases: dict[int, Case], onto: DataFrame | None = None) -> DataFrame:
     """(metric, case_id, value): means over the last tenth, over the dimensions' means."""
-    tv = settle(scored(s.signal, cases, learn(cases, s.signal)))
+    tv = settle(scored(s.signal, cases, learn(cases, s.signal), onto))
     each = [M.tail_mean(tv, m).groupBy("case_id").agg(F.avg("tail_mean").alias("value")).select(F.lit(m).alias("metric"), F.col("case_id").cast("string").alias("case_id"), "value") for m in ("tv_nmse", "tv_mae", "tv_mape")]
     return union(each)
 
 
 @query("error_comparison")
 def error_comparison(f: Fixture) -> DataFrame:
-    """Last-tenth means of the three cases (0 global, 1 local, 2 distributed), as a table of cases by metric."""
+    """Last-tenth means of the three cases (0 global, 1 local, 2 distributed), as a table of cases by metric; the global
+    case is projected onto the clusters' own cells before it is compared."""
     s = Setting(f)
-    return M.comparison_table(tails(s, {0: s.whole(), 1: s.agents(PRESETS["local"]), 2: s.agents(PLAN)}), ["0", "1", "2"])
+    return M.comparison_table(tails(s, {0: s.whole(), 1: s.agents(PRESETS["local"]), 2: s.agents(PLAN)}, s.owned), ["0", "1", "2"])
+
+
+def observed(f: Fixture, interface: DataFrame, signal: DataFrame) -> DataFrame:
+    """What clusters see of shared cells themselves: off by a tenth of the value per cluster number modulo 3."""
+    own = P.both_ways(interface).select(F.col("src").alias("cluster_id"), "dim", "cell_id").distinct()
+    return own.join(signal, ["dim", "cell_id"]).select("cluster_id", "dim", "cell_id", "t", (F.col("x") * (1 + F.lit(0.1) * (F.col("cluster_id") % 3))).alias("x"))
+
+
+@query("averaged_case")
+def averaged_case(f: Fixture) -> DataFrame:
+    """The distributed case whose agents see shared cells differently and average them with each neighbour at every data
+    exchange, each at a clock of its own."""
+    s = Setting(f)
+    s.observed = observed(f, s.interface, s.signal)
+    cases = {6: s.agents(merged(PLAN, interface="averaged", data_sends="t % (3 + agent % 3) = 0"))}
+    return scored(s.signal, cases, learn(cases, s.signal))
+
+
+@query("heuristic_case")
+def heuristic_case(f: Fixture) -> DataFrame:
+    """The distributed case with a rule of its own for who sends parameters: weights of a step are those of what arrived."""
+    s = Setting(f)
+    cases = {7: s.agents(merged(PLAN, rule={"mixing": "kgt", "c": 0.5, "sends": "(t + agent) % 4 = 0 or t = 10"})), 8: s.agents(merged(PLAN, rule={"sends": "t % (2 + agent) = 0"}))}
+    return scored(s.signal, cases, learn(cases, s.signal))
+
+
+@query("resumed_case")
+def resumed_case(f: Fixture, at: int = 40) -> DataFrame:
+    """The distributed case folded in two parts: the second starts from the state that the first left."""
+    s = Setting(f)
+    cases = {2: s.agents(PLAN)}
+    first = folded(cases, s.signal, before=at)
+    second = folded(cases, s.signal, L.final_state(first), since=at, ends=False)
+    return scored(s.signal, cases, settle(L.history(first).unionByName(L.history(second))))
 
 
 @query("dynamic_regret")

@@ -13,6 +13,7 @@ from cobordia.operators import exchange as E
 from cobordia.operators import features as X
 from cobordia.operators import incidence as A
 from cobordia.operators import metrics as M
+from cobordia.operators import partition as P
 from cobordia.plans.fixture import SQL as BASE
 from cobordia.plans.fixture import Fixture
 from cobordia.session import counted, settle
@@ -129,6 +130,29 @@ query("impute_zero", _MSG + " SELECT w.*, coalesce(value, 0)::BIGINT AS value FR
 query("impute_hold", _MSG + " SELECT w.*, coalesce(s.x, 0)::BIGINT AS value FROM want w LEFT JOIN sg s ON s.dim = w.dim AND s.cell_id = w.cell_id AND s.t = w.t - w.t % 2")(
     lambda f: (lambda x: E.impute_hold(x[4], x[3].filter("kind = 'owned'")).withColumn("value", F.col("value").cast("long")))(_exchange(f))
 )
+query("receipts", "SELECT t, src, dst FROM (SELECT src, dst FROM mhw WHERE src <> dst UNION SELECT src, src FROM mhw) JOIN months ON (t + dst) % 4 = 0 OR t = 10")(
+    lambda f: (lambda p: E.receipts(G.metropolis_weights(p.agent_graph, p.owned), f.months(), F.expr("(t + agent) % 4 = 0 or t = 10")))(f.partition())
+)
+_SEEN = """, ob AS (SELECT i.src, i.dst, i.dim, i.cell_id, s.t, s.x * (1 + 0.1::DOUBLE * (i.src % 3)) AS x FROM iface2 i JOIN signal s USING (dim, cell_id)),
+ex AS (SELECT n.src AS cluster_id, n.dst AS sender, n.dim, n.cell_id, s.t, s.x::DOUBLE AS value FROM needs n JOIN signal s USING (dim, cell_id) WHERE s.t % (3 + n.dst % 3) = 0
+  UNION ALL SELECT a.src, a.dst, a.dim, a.cell_id, a.t, 0.5 * (a.x + b.x) FROM ob a JOIN ob b ON b.src = a.dst AND b.dst = a.src AND b.dim = a.dim AND b.cell_id = a.cell_id AND b.t = a.t WHERE a.t % (3 + a.dst % 3) = 0),
+ar AS MATERIALIZED (SELECT cluster_id, dim, cell_id, t, arg_max(value, sender) AS value FROM ex GROUP BY 1, 2, 3, 4)"""
+
+
+def _arrived(f: Fixture) -> DataFrame:
+    from cobordia.plans.runs import observed
+
+    p, s = f.partition(), f.signal()
+    both = P.both_ways(p.interface)
+    heard = E.senders(p.needs, both)
+    return E.exchanged(heard, s, F.expr("t % (3 + agent % 3) = 0"), E.interface_copies(both, observed(f, p.interface, s)))
+
+
+query("interface_exchanged", _SEEN + " SELECT cluster_id, dim, cell_id, t, round(value, 6) AS value FROM ar")(lambda f: _round(_arrived(f), "value"))
+query("interface_held", _SEEN + " SELECT k.cluster_id, k.dim, k.cell_id, m.t, round(arg_max(ar.value, ar.t), 6) AS value FROM (SELECT DISTINCT cluster_id, dim, cell_id FROM ar) k CROSS JOIN months m JOIN ar ON ar.cluster_id = k.cluster_id AND ar.dim = k.dim AND ar.cell_id = k.cell_id AND ar.t <= m.t GROUP BY 1, 2, 3, 4")(
+    lambda f: _round(E.until_next(_arrived(f), ["cluster_id", "dim", "cell_id"], f.months().agg(F.max("t").alias("last"))), "value")
+)
+query("projected_global", "SELECT o.cluster_id, dim, cell_id, t, x FROM owned o JOIN signal USING (dim, cell_id)")(lambda f: G.project(f.signal(), f.partition().owned))
 _COPY = ", cp AS (SELECT DISTINCT src AS cluster_id, dim, cell_id, t, (x + src) AS x FROM iface2 JOIN sg USING (dim, cell_id)), mc AS (SELECT dst AS cluster_id, dim, cell_id, t, arg_max(value, src) AS value FROM msg WHERE kind = 'interface' GROUP BY 1, 2, 3, 4)"
 
 

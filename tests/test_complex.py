@@ -157,8 +157,9 @@ EDGES = np.array([[((t + 1) * (j + 1)) % 7 - 3 for t in range(7)] for j in range
 FACES = np.array([[((t + 3) * (j + 2)) % 6 - 2 for t in range(7)] for j in range(2)])
 
 
-def ccvar_loop(plan, view, own, out, weights, horizon):
-    """θ after each step and forecasts, by agents that keep dense local matrices and lag buffers."""
+def ccvar_loop(plan, view, own, out, weights, horizon, arrived=None, sends=None):
+    """θ after each step and forecasts, by agents that keep dense local matrices and lag buffers. ``arrived(a, d, t)``: values
+    of others' cells in place of the clock's; ``sends(t, a)``: who sends parameters, in place of the clock."""
     model, rule, full = plan.model, plan.rule, {0: NODES, 1: EDGES, 2: FACES}
     agents, theta, ahead = sorted(view), {}, {}
     local = {}
@@ -204,11 +205,15 @@ def ccvar_loop(plan, view, own, out, weights, horizon):
             for d in range(3):
                 sent = t - t % plan.data_clock
                 now = [full[d][c, t] if c in own[a][d] else (full[d][c, sent] if plan.imputer == "hold" else full[d][c, t] * (t == sent)) for c in view[a][d]]
+                if arrived is not None:
+                    now = [full[d][c, t] if c in own[a][d] else arrived(a, d, t).get(c, 0.0) for c in view[a][d]]
                 buffers[a][d] = [np.array(now, float), *buffers[a][d][:-1]]
-        if rule.mixing == "atc" and t % rule.clock == 0:
+        if rule.mixing == "atc":
             before = {k: v[2] for k, v in state.items()}
             for a, d in state:
-                state[a, d] = (*state[a, d][:2], sum(w * before[c, d] for c, w in weights[a].items()))
+                came = [c for c in weights[a] if c != a and (sends(t, c) if sends else t % rule.clock == 0)]
+                if came:
+                    state[a, d] = (*state[a, d][:2], sum(weights[a][c] * before[c, d] for c in [a, *came]))
         for a, d in state:
             theta[t, a, d] = state[a, d][2]
         for a in agents:
@@ -255,6 +260,125 @@ def test_three_dimensions_against_a_loop(spark, b, changes):
     assert all(abs(one[t + 1, a, d, c] - seen[t, 1, a, d, c]) < 1e-9 for t, h, a, d, c in seen if h == 1 and t < 6)
 
 
+THREE = [(0, 0), (0, 1), (1, 2), (1, 3), (2, 4)]
+
+
+@pytest.mark.parametrize("imputer", ["hold", "zero"])
+@pytest.mark.parametrize("interface", ["same", "averaged"])
+def test_exchange_between_three_agents_against_a_loop(spark, b, imputer, interface):
+    """Own copies of shared cells, clocks of each agent's own for data and parameters, and a fold in two parts."""
+    from cobordia.plans import presets, runs
+
+    plan = presets.merged(presets.PRESETS["default"], interface=interface, imputer=imputer, data_sends="(t + agent) % 3 = 1", rule={"sends": "t % (2 + agent) = 0", "gamma": 0.9})
+    full = {0: NODES, 1: EDGES, 2: FACES}
+    signal = runs.settle(runs.union(readers.from_matrix(spark, m, d).select("dim", "cell_id", "t", "x") for d, m in full.items()))
+    p = P.partition(b, spark.createDataFrame(THREE, "cluster_id long, cell_id long"), 1, 1)
+    weights = runs.settle(G.metropolis_weights(p.agent_graph, p.owned))
+    out = runs.settle(G.partial_indices(p.local_index, p.owned).filter("is_out").select("cluster_id", "dim", "cell_id"))
+    both = P.both_ways(p.interface)
+    seen = both.select(runs.F.col("src").alias("cluster_id"), "dim", "cell_id").distinct().join(signal, ["dim", "cell_id"]).withColumn("x", runs.F.expr("x * (1 + cluster_id) + t"))
+    copies = E.interface_copies(both, seen) if interface == "averaged" else None
+    case = runs._case(plan, b, signal, p.local_index, p.owned, out, weights, E.senders(p.needs, both), copies)
+    sets = lambda d: (lambda rows: {a: {k: sorted(r["cell_id"] for r in rows if (r["cluster_id"], r["dim"]) == (a, k)) for k in range(3)} for a in range(3)})(d.collect())
+    mixing = {a: {r["dst"]: r["w"] for r in weights.collect() if r["src"] == a} for a in range(3)}
+    shared, asked = {(r["src"], r["dst"], r["dim"], r["cell_id"]) for r in both.collect()}, {(r["src"], r["dst"], r["dim"], r["cell_id"]) for r in p.needs.collect()}
+    assert any(len(m) == 3 for m in mixing.values()) and shared and asked
+    last = {}
+    for t in range(7):
+        for a in range(3):
+            for d in range(3):
+                last[a, d, t] = dict(last[a, d, t - 1]) if t and imputer == "hold" else {}
+                for src in range(3):
+                    for c in range(len(full[d])) if (t + src) % 3 == 1 else ():
+                        if (a, src, d, c) in shared:
+                            copy = lambda k: full[d][c, t] * (1 + k) + t  # noqa: B023, E731
+                            last[a, d, t][c] = 0.5 * (copy(a) + copy(src)) if interface == "averaged" else full[d][c, t]
+                        elif (a, src, d, c) in asked:
+                            last[a, d, t][c] = full[d][c, t]
+    theta, _ = ccvar_loop(plan, sets(p.local_index), sets(p.owned), sets(out), mixing, 1, lambda a, d, t: last[a, d, t], lambda t, a: t % (2 + a) == 0)
+    first = runs.folded({5: case}, signal, before=3)
+    second = runs.folded({5: case}, signal, L.final_state(first), since=3)
+    parts, whole = [{}, {}], runs.learn({5: case}, signal)
+    for got, rows in zip(parts, (whole.collect(), L.history(first).collect() + L.history(second).collect()), strict=True):
+        for r in rows:
+            got.setdefault((r["t"], r["agent"], r["dim"]), {})[r["idx"]] = r["value"]
+        assert set(got) == set(theta)
+        for k, v in theta.items():
+            assert np.allclose([got[k].get(n, np.nan) for n in range(len(v))], v, atol=1e-9), k
+
+
+def test_folds_of_what_arrived(spark):
+    """Receipts, lost messages among them, by a loop over agents; from arrays, from tables, agent by agent, and in two parts."""
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(8, 4, 6, 3))
+    grams, rhs = np.einsum("taif,taig->tafg", x, x), draw.normal(size=(8, 4, 3))
+    w = np.array([[0.4, 0.3, 0.3, 0], [0.3, 0.4, 0.3, 0], [0.3, 0.3, 0.4, 0], [0, 0, 0, 1.0]])
+    sends = {(t, a) for t in range(8) for a in range(4) if (t + a) % 3 == 0 or t == 4}
+    came = [(t, i, j) for t, j in sorted(sends) for i in range(4) if i == j or (w[i, j] and draw.random() < 0.7)]
+    rows = lambda a, names: spark.createDataFrame([(*map(int, k), float(a[k])) for k in np.ndindex(a.shape)], names).selectExpr("9L as case_id", "2L as dim", "*")
+    g, r = rows(grams, "t long, agent long, f long, g long, val double"), rows(rhs, "t long, agent long, f long, val double")
+    mix = spark.createDataFrame([(9, i, j, float(w[i, j])) for i, j in np.ndindex(4, 4) if w[i, j]], "case_id long, src long, dst long, w double")
+    got_at = spark.createDataFrame([(9, *k) for k in came], "case_id long, t long, src long, dst long")
+    begun = spark.createDataFrame([(9, 2, a, -1, "theta", f, 0.1 * (a + f)) for a in range(3) for f in range(3)], L.FOLDED)
+    for rule in (L.Rule(0.9, "kgt", 3, 1.5, 0.7, 0.9, sends="x"), L.Rule(0.8, "kgt", consensus="always", sends="x"), L.Rule(0.9, "atc", consensus="always", sends="x"), L.Rule(0.9, "atc", sends="x")):
+        theta, phi, rr, z, c, old = (np.zeros(k) for k in ((4, 3), (4, 3, 3), (4, 3), (4, 3), (4, 3), (4, 3)))
+        theta[:3] = [[0.1 * (a + f) for f in range(3)] for a in range(3)]
+        want = []
+        for t in range(8):
+            for a in range(4):
+                phi[a], rr[a] = rule.gamma * phi[a] + (1 - rule.gamma) * grams[t, a], rule.gamma * rr[a] + (1 - rule.gamma) * rhs[t, a]
+                gradient = phi[a] @ theta[a] - rr[a]
+                gradient = rule.c * (gradient + c[a]) if rule.mixing == "kgt" else gradient
+                theta[a] = theta[a] - gradient / (1e-4 + np.linalg.eigvalsh(phi[a])[-1])
+                if (t, a) in sends:
+                    z[a] = (old[a] - theta[a]) / (rule.k * rule.c)
+            sent = theta.copy()
+            for a in range(4):
+                from_ = [j for j in range(4) if j != a and (t, a, j) in came]
+                if rule.consensus == "gated" and not from_:
+                    continue
+                if rule.mixing == "atc":
+                    theta[a] = w[a, a] * sent[a] + sum(w[a, j] * sent[j] for j in from_)
+                    continue
+                kcs = rule.k * rule.c * rule.s
+                c[a] = c[a] - z[a] + w[a, a] * z[a] + sum(w[a, j] * z[j] for j in from_)
+                theta[a] = w[a, a] * (old[a] - kcs * z[a]) + sum(w[a, j] * (sent[j] - kcs * z[j]) for j in from_)
+                old[a] = theta[a]
+            want.append(theta.copy())
+
+        def table(x):
+            out = np.full((8, 4, 3), np.nan)
+            for row in x.collect():
+                out[row["t"], row["agent"], row["idx"]] = row["value"]
+            return out
+
+        assert np.allclose(table(L.sequential(g, r, mix, {9: rule}, {2: 3}, L.TOGETHER, got_at, begun)), want), rule
+        for together, other in ((L.TOGETHER, L.TOGETHER), (0, 0)) if (rule.mixing, rule.consensus) in (("kgt", "gated"), ("atc", "always")) else ():
+            first = L.folded(g.filter("t < 5"), r.filter("t < 5"), mix, {9: rule}, {2: 3}, together, got_at.filter("t < 5"), begun).cache()
+            second = L.folded(g.filter("t >= 5"), r.filter("t >= 5"), mix, {9: rule}, {2: 3}, other, got_at.filter("t >= 5"), L.final_state(first))
+            assert np.allclose(table(L.history(first).unionByName(L.history(second))), want), (rule, together, other)
+    with pytest.raises(ValueError):
+        L.sequential(g, r, mix, {9: rule}, {2: 3})
+    with pytest.raises(ValueError):
+        presets_with_labels()
+
+
+def presets_with_labels():
+    from cobordia.plans import presets
+
+    presets.Plan(imputer="labels", data_sends="true")
+
+
+def test_last_message_as_of_each_step(spark):
+    inbox = spark.createDataFrame([(1, 2, "owned", 0, 5, t, t * 10) for t in (2, 3, 7)] + [(2, 1, "owned", 0, 6, 9, 1)], "src long, dst long, kind string, dim long, cell_id long, t long, value long")
+    now = spark.createDataFrame([(t,) for t in (0, 2, 3, 4, 6, 8)], "t long")
+    got = {(r["cell_id"], r["t"]): r["value"] for r in E.fresh(inbox, now, accept_stale=True).collect()}
+    assert got == {(5, 2): 20, (5, 3): 30, (5, 4): 30, (5, 6): 30, (5, 8): 70}
+    wanted = spark.createDataFrame([(2, 1, 0, 5, t) for t in (1, 2, 5, 9)] + [(1, 2, 0, 6, 9), (4, 4, 0, 1, 1)], "src long, dst long, dim long, cell_id long, t long")
+    held = {(r["src"], r["cell_id"], r["t"]): r["value"] for r in E.impute_hold(wanted, inbox).collect()}
+    assert held == {(2, 5, 1): 0, (2, 5, 2): 20, (2, 5, 5): 30, (2, 5, 9): 70, (1, 6, 9): 1, (4, 1, 1): 0}
+
+
 def test_topolms_rollout(b, spark, edge_signal):
     lower, upper = A.lower_laplacian(b[1]), A.upper_laplacian(b[2])
     x = X.topolms(lower, upper, edge_signal, 2).selectExpr("i", "t", "f", "cast(s as double) as s")
