@@ -105,8 +105,8 @@ def interface_nmse(predictions: DataFrame, truth: DataFrame, interface: DataFram
     e = F.col("yhat") - F.col("y")
     each = x.groupBy(*STEP).agg(F.sum(e * e).alias("e"), F.sum(F.col("y") * F.col("y")).alias("g")).filter("g > 0")
     each = each.select("case_id", "dim", "i", "e", "g")
-    pooled = each.groupBy("case_id", F.lit(None).cast("long").alias("dim"), "i").agg(F.sum("e").alias("e"), F.sum("g").alias("g"))
-    return each.unionByName(pooled).select(*STEP, (F.col("e") / F.col("g")).alias("interface_nmse"))
+    both = each.groupingSets([STEP, ["case_id", "i"]], *STEP).agg(F.sum("e").alias("e"), F.sum("g").alias("g"))
+    return both.select(*STEP, (F.col("e") / F.col("g")).alias("interface_nmse"))
 
 
 def tail_mean(metric: DataFrame, value: str, keys: tuple[str, ...] = ("case_id", "dim"), at: str = "i", fraction: float = 0.1, finite_first: bool = False) -> DataFrame:

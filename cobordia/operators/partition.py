@@ -69,12 +69,13 @@ def modularity_score(graph: DataFrame, community: DataFrame, resolution: float =
     return each.crossJoin(F.broadcast(total)).agg(F.sum(part).alias("modularity"))  # a one-row total
 
 
-def greedy_modularity(graph: DataFrame, best_n: int = 1, resolution: float = 1.0, most: int = 20_000_000) -> DataFrame:
+def greedy_modularity(graph: DataFrame, best_n: int | None = None, resolution: float = 1.0, most: int = 20_000_000) -> DataFrame:
     """Communities (cluster_id, cell_id) by greedy merging (Clauset, Newman and Moore) in one task per graph.
 
-    The largest gain goes first, of equals the pair with the smallest members. Merging goes on while it gains, and
-    beyond that until ``best_n`` communities are left; it stops there even if merging would gain. Communities are
-    numbered by size (largest first), then smallest member.
+    The largest gain goes first, of equals the pair with the smallest members. Merging goes on while it loses nothing, and
+    beyond that until ``best_n`` communities are left, if that is given; where only unlinked ones remain, the two largest
+    are joined until no more than ``best_n`` are left. Communities are numbered by size (largest first), then smallest
+    member.
 
     Every merge depends on the one before, so the graph (links only, no signal) is one task's; more than ``most`` rows of
     it are refused. Gains wait in a heap; those of the merged pair's neighbours are entered anew, older ones are skipped.
@@ -99,11 +100,11 @@ def greedy_modularity(graph: DataFrame, best_n: int = 1, resolution: float = 1.0
 
         heap = [entry(a, b) for a in links for b in links[a] if a < b]
         heapq.heapify(heap)
-        while heap and len(member) > max(best_n, 1):
+        while heap and len(member) > 1:
             loss, a, b, age_a, age_b = heapq.heappop(heap)
             if a not in member or b not in member or (age[a], age[b]) != (age_a, age_b):
                 continue
-            if loss >= 0 and best_n <= 1:
+            if loss > 1e-12 and (best_n is None or len(member) <= best_n):
                 break
             for c, w in links.pop(b).items():
                 del links[c][b]
@@ -115,6 +116,8 @@ def greedy_modularity(graph: DataFrame, best_n: int = 1, resolution: float = 1.0
             for c in links[a]:
                 heapq.heappush(heap, entry(a, c))
         ranked = sorted(member.values(), key=lambda m: (-len(m), min(m)))
+        while best_n is not None and len(ranked) > max(best_n, 1):
+            ranked[:2] = [ranked[0] + ranked[1]]
         return pd.DataFrame([(k, v) for k, m in enumerate(ranked) for v in sorted(m)], columns=["cluster_id", "cell_id"])
 
     return graph.select(F.lit(0).alias("all"), "i", "j").groupBy("all").applyInPandas(lambda pdf: merge(pdf), "cluster_id long, cell_id long")
