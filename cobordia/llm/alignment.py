@@ -23,11 +23,8 @@ from __future__ import annotations
 
 import os
 import re
-from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +34,7 @@ from pyspark.sql import functions as F
 from cobordia.llm import textkernel as K
 from cobordia.session import map_batches, settle, table
 
-UNITS, UNIT_BYTES, SMALL, HELD = 150_000, 24 << 20, 1 << 20, 1 << 20
+UNITS, UNIT_BYTES, SMALL, HELD = 250_000, 24 << 20, 1 << 20, 1 << 20
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links")
 ENCODED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
 #: A pair of ids is one number: A's id times this, plus B's.
@@ -45,22 +42,19 @@ WIDE = 1 << 16
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-def overlaps(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """For each A token, its first and last overlapping B token: stabbing queries on the index of B's starts."""
-    index, out, start = [0, *b_ends[:-1]], [], 0
-    for end in a_ends:
-        out.append((bisect_right(index, start) - 1, bisect_left(index, end) - 1))
-        start = end
-    return out
+def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each A token's first and last overlapping B token: stabbing queries, by bisection, on the index of B's starts."""
+    index = np.concatenate(([0], b_ends[:-1]))
+    return np.searchsorted(index, np.concatenate(([0], a_ends[:-1])), "right") - 1, np.searchsorted(index, a_ends, "left") - 1
 
 
-def groups(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int]]:
-    """(first A, end A, first B, end B) of each group of tokens over the same bytes."""
-    if not a_ends:
-        return []
-    hit = overlaps(a_ends, b_ends)
-    cuts = [0, *(k for k in range(1, len(hit)) if hit[k][0] > hit[k - 1][1]), len(hit)]
-    return [(i, j, hit[i][0], hit[j - 1][1] + 1) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+def groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First A and first B token of each group of tokens over the same bytes, and after the last the numbers of tokens."""
+    if not len(a_ends):
+        return np.zeros(1, np.int64), np.zeros(1, np.int64)
+    first, last = overlaps(a_ends, b_ends)
+    cut = np.concatenate(([0], np.flatnonzero(first[1:] > last[:-1]) + 1))
+    return np.append(cut, len(a_ends)), np.append(first[cut], len(b_ends))
 
 
 def byte_letters() -> dict[str, int]:
@@ -80,8 +74,9 @@ class ByteLevel:
 
         self.tokenizer, letters = Tokenizer.from_file(path), byte_letters()
         self.tokenizer.encode_special_tokens = True
-        self.bytes: dict[int, bytes] = {}
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes = [b""] * (max(names.values()) + 1)
+        for token, i in names.items():
             self.bytes[i] = bytes(letters[c] for c in token)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -96,7 +91,7 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.bytes = {i: bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)}
+        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         #: no piece has a space after another character, so none spans two units
         self.cuts = not any(re.search("[^▁]▁", p) for p in names)
 
@@ -104,18 +99,31 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
+def _edged(unit: str) -> bool:
+    return not unit or unit[0].isspace() or unit[-1].isspace()
+
+
 class Units:
-    """Aligned units: counts, the digest's text, and distinct id pairs with their links."""
+    """Aligned units in arrays: counts, the digest's tokens, and distinct id pairs with their links.
+
+    New units are encoded many at a time as one text, in which they stand as in any other: tokens, groups and links of the
+    whole are cut at their ends. Those with white space at an end (only ends of a text are such) are encoded alone.
+    """
 
     def __init__(self, a_path: str, b_path: str, most: int = UNITS, most_bytes: int = UNIT_BYTES) -> None:
         self.a, self.b, self.most, self.most_bytes = ByteLevel(a_path), Pieces(b_path), most, most_bytes
+        self.sizes = [np.fromiter(map(len, x.bytes), np.int64, len(x.bytes)) for x in (self.a, self.b)]
+        #: a token of the digest: its id, and what comes after it
+        ids = max(len(self.a.bytes), len(self.b.bytes))
+        self.written = [b"%d%s" % (i, after) for i in range(ids) for after in (b",", b"|", b";")]
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.edged: set[str] = set()  # parts that begin or end with white space: no units
-        self.said: list[bytes | None] = []  # None: not given back byte by byte
+        self.edged: set[str] = set()  # parts that begin or end with white space: no units but at a text's ends
+        self.good = np.zeros(0, bool)  # given back byte by byte
         self.numbers = np.zeros((0, len(COLUMNS)), np.int64)
+        self.said_at, self.said = np.zeros(1, np.int64), np.zeros(0, np.int32)
         self.first, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         self.bytes = 0
 
@@ -123,46 +131,80 @@ class Units:
         if len(self.place) + len(self.edged) > self.most or self.bytes > self.most_bytes:
             self.clear()
 
-    def learn(self, units: list[str]) -> None:
-        numbers, ends, pairs, times = [], [], [], []
-        a_bytes, b_bytes, at = self.a.bytes, self.b.bytes, len(self.pairs)
-        for unit, a, b in zip(units, self.a.encode(units), self.b.encode(units), strict=True):
-            raw, x, y = b" " + unit.encode(), [a_bytes.get(i, b"") for i in a], [b_bytes[i] for i in b]
-            self.place[unit] = len(self.said)
-            self.bytes += len(raw) * 4
-            if b"".join(x) != raw or b"".join(y) != raw:
-                self.said.append(None)
-                numbers.append((0, 0, 0, 0))
-                ends.append(at + len(pairs))
-                continue
-            found = groups(list(accumulate(map(len, x))), list(accumulate(map(len, y))))
-            linked: Counter[int] = Counter()
-            for i, j, k, m in found:
-                if j - i == 1 == m - k:
-                    linked[a[i] * WIDE + b[k]] += 1
-                    continue
-                right = Counter(b[k:m])
-                for p, n in Counter(a[i:j]).items():
-                    for q, o in right.items():
-                        linked[p * WIDE + q] += n * o
-            said = b";".join(b"%s|%s" % (",".join(map(str, a[i:j])).encode(), ",".join(map(str, b[k:m])).encode()) for i, j, k, m in found)
-            self.said.append(said)
-            self.bytes += len(said) + 12 * len(linked)
-            numbers.append((len(a), len(b), len(found), sum((j - i) * (m - k) for i, j, k, m in found)))
-            pairs += linked.keys()
-            times += linked.values()
-            ends.append(at + len(pairs))
-        self.numbers = np.concatenate((self.numbers, np.asarray(numbers, np.int64).reshape(-1, len(COLUMNS))))
-        self.first = np.concatenate((self.first, np.asarray(ends, np.int64)))
-        self.pairs = np.concatenate((self.pairs, np.asarray(pairs, np.uint32)))
-        self.times = np.concatenate((self.times, np.asarray(times, np.uint32)))
+    def ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """A's and B's ids of the units as one text, or None if its bytes do not come back."""
+        text = " ".join(units)
+        a, b = self.a.encode([text])[0], self.b.encode([text])[0]
+        raw = b" " + text.encode()
+        if b"".join([self.a.bytes[i] for i in a]) != raw or b"".join([self.b.bytes[i] for i in b]) != raw:
+            return None
+        return np.asarray(a, np.int64), np.asarray(b, np.int64)
+
+    def learn(self, units: list[str], lot: int = 400, most: int = 20_000) -> None:
+        for k in range(0, len(units), most):
+            some = units[k : k + most]
+            alone = [u for u in some if _edged(u)]
+            rest = [u for u in some if not _edged(u)] if alone else some
+            lots = [rest[i : i + lot] for i in range(0, len(rest), lot)] if self.b.cuts else [[u] for u in rest]
+            found = [(x, self.ids(x)) for x in [*lots, *([u] for u in alone)]]
+            found = [(y, z) for x, ids in found for y, z in ([(x, ids)] if ids is not None or len(x) == 1 else [([u], self.ids([u])) for u in x])]
+            self.enter([u for x, ids in found if ids is not None for u in x], [ids for _, ids in found if ids is not None])
+            self.enter([x[0] for x, ids in found if ids is None], None)
+
+    def enter(self, units: list[str], ids: list[tuple[np.ndarray, np.ndarray]] | None) -> None:
+        if not units:
+            return
+        size = np.fromiter((len(u.encode()) + 1 for u in units), np.int64, len(units))
+        self.place.update(zip(units, range(len(self.good), len(self.good) + len(units)), strict=True))
+        self.bytes += 2 * int(size.sum())
+        self.good = np.concatenate((self.good, np.full(len(units), ids is not None)))
+        none = np.zeros(0, np.int64)
+        a, b = (np.concatenate([none, *(x[k] for x in ids or ())]) for k in (0, 1))
+        ends = [np.cumsum(s[x]) for s, x in zip(self.sizes, (a, b), strict=True)]
+        a_first, b_first = groups(*ends)
+        upto = np.cumsum(size) if ids is not None else np.zeros(len(units), np.int64)
+        last = ends[0][a_first[1:] - 1] if len(a) else none  # where each group ends
+        group_at, a_at, b_at = (np.concatenate(([0], np.searchsorted(x, upto, "right"))) for x in (last, *ends))
+        a_size, b_size = np.diff(a_first), np.diff(b_first)
+        links = np.concatenate(([0], np.cumsum(a_size * b_size)))
+        self.numbers = np.concatenate((self.numbers, np.column_stack((np.diff(a_at), np.diff(b_at), np.diff(group_at), np.diff(links[group_at])))))
+        # the digest's tokens: of each group A's, then B's
+        group = np.arange(len(a_size))
+        said = np.empty(len(a) + len(b), np.int32)
+        a_ends = np.isin(np.arange(len(a)), a_first[1:] - 1)
+        b_ends = np.isin(np.arange(len(b)), b_first[1:] - 1)
+        said[np.arange(len(a)) + np.repeat(b_first[:-1], a_size)] = 3 * a + a_ends
+        said[np.arange(len(b)) + np.repeat(a_first[1:], b_size)] = 3 * b + 2 * b_ends
+        self.said_at = np.concatenate((self.said_at, len(self.said) + (a_at + b_at)[1:]))
+        self.said = np.concatenate((self.said, said))
+        # links of each group, all pairs of its distinct ids
+        unit = np.repeat(np.arange(len(units)), np.diff(group_at))
+        a_group, a_id, a_n = self.distinct(group, a_size, a)
+        b_group, b_id, b_n = self.distinct(group, b_size, b)
+        b_first, b_size = np.searchsorted(b_group, group), np.bincount(b_group, minlength=len(group))
+        times = b_size[a_group]
+        back = np.repeat(np.arange(len(a_group)), times)
+        other = np.arange(len(back)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(b_first[a_group], times)
+        keys = unit[a_group[back]].astype(np.uint64) << np.uint64(32) | (a_id[back] * WIDE + b_id[other]).astype(np.uint64)
+        keys, n = _grouped(keys, a_n[back] * b_n[other])
+        own = np.searchsorted(keys >> np.uint64(32), np.arange(1, len(units) + 1, dtype=np.uint64))
+        self.first = np.concatenate((self.first, len(self.pairs) + own))
+        self.pairs = np.concatenate((self.pairs, (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)))
+        self.times = np.concatenate((self.times, n.astype(np.uint32)))
+        self.bytes += 4 * len(said) + 8 * len(keys)
+
+    @staticmethod
+    def distinct(group: np.ndarray, size: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Group, id and occurrences of each group's distinct ids, ascending."""
+        keys, n = _grouped(np.repeat(group, size) << 17 | ids, np.ones(len(ids), np.int64))
+        return keys >> 17, keys & 0x1FFFF, n
 
     def of(self, texts: list[str]) -> list[list[str]]:
         """The texts' units, all of them learned."""
         parts = [t.split(" ") for t in texts] if self.b.cuts else [[t] for t in texts]
         if self.b.cuts:
             new = set().union(*parts).difference(self.place, self.edged)
-            self.edged.update(p for p in new if not p or p[0].isspace() or p[-1].isspace())
+            self.edged.update(filter(_edged, new))
             for d, own in enumerate(parts):
                 if not self.edged.isdisjoint(own):
                     parts[d] = _CUT.split(texts[d])
@@ -178,6 +220,13 @@ def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(values, first) if len(first) else values
 
 
+def _spread(first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all that units ``which`` have in an array cut by ``first``, and how many each has."""
+    width = first[which + 1] - first[which]
+    upto = np.cumsum(width)
+    return np.repeat(first[which] - upto + width, width) + np.arange(upto[-1] if len(upto) else 0), width
+
+
 def aligned(units: Units, texts: list[str]) -> list[tuple]:
     """For each text: the numbers of COLUMNS, digest, distinct pairs and their links, ascending by pair."""
     parts = units.of(texts)
@@ -189,20 +238,18 @@ def aligned(units: Units, texts: list[str]) -> list[tuple]:
     # each document's distinct units, then their pairs
     keys, n = _grouped(np.repeat(np.arange(len(texts)), sizes) << 32 | at, np.ones(len(at), np.int64))
     doc, unit = keys >> 32, keys & 0xFFFFFFFF
-    width = units.first[unit + 1] - units.first[unit]
-    upto = np.concatenate(([0], np.cumsum(width)))
-    where = np.repeat(units.first[unit] - upto[:-1], width) + np.arange(upto[-1])
+    where, width = _spread(units.first, unit)
     keys, n = _grouped(np.repeat(doc, width).astype(np.uint64) << np.uint64(32) | units.pairs[where], units.times[where].astype(np.int64) * np.repeat(n, width))
     cut = np.searchsorted(keys >> np.uint64(32), np.arange(len(texts) + 1, dtype=np.uint64)).tolist()
     pairs, times = (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), n.astype("<u4").tobytes()
-    out, places = [], at.tolist()
+    out, written = [], units.written
     for d, text in enumerate(texts):
-        said = [units.said[k] for k in places[first[d] : first[d + 1]]]
-        if not text or None in said:
+        own = at[first[d] : first[d + 1]]
+        if not text or not units.good[own].all():
             out.append((0, 0, 0, 0, "", b"", b""))
         else:
-            span = slice(4 * cut[d], 4 * cut[d + 1])
-            out.append((*numbers[d].tolist(), sha256(b";".join(said)).hexdigest(), pairs[span], times[span]))
+            span, said = slice(4 * cut[d], 4 * cut[d + 1]), units.said[_spread(units.said_at, own)[0]].tolist()
+            out.append((*numbers[d].tolist(), sha256(b"".join([written[k] for k in said])[:-1]).hexdigest(), pairs[span], times[span]))
     units.trim()
     return out
 

@@ -82,9 +82,11 @@ def test_stabbing_queries():
         a, b = (sorted({n, *draw.integers(1, n + 1, int(draw.integers(0, n + 1))).tolist()}) for _ in range(2))
         spans = lambda ends: list(zip([0, *ends[:-1]], ends, strict=True))
         over = [[k for k, (s, e) in enumerate(spans(b)) if s < y and x < e] for x, y in spans(a)]
-        assert alignment.overlaps(a, b) == [(o[0], o[-1]) for o in over]
-        assert [a[j - 1] for _, j, _, _ in alignment.groups(a, b)] == sorted(set(a) & set(b)) == [b[m - 1] for _, _, _, m in alignment.groups(a, b)]
-    assert alignment.groups([], []) == []
+        first, last = alignment.overlaps(np.asarray(a), np.asarray(b))
+        assert list(zip(first, last, strict=True)) == [(o[0], o[-1]) for o in over]
+        cuts = alignment.groups(np.asarray(a), np.asarray(b))
+        assert [a[k - 1] for k in cuts[0][1:]] == sorted(set(a) & set(b)) == [b[k - 1] for k in cuts[1][1:]]
+    assert all(x.tolist() == [0] for x in alignment.groups(np.zeros(0, int), np.zeros(0, int)))
 
 
 def test_units_start_afresh():
