@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cobordia.session import use_checkpoints
 from cobordia.streaming import agents as S
+from cobordia.streaming import inbox as I
 
 
 def _place(spark: SparkSession) -> str:
@@ -50,5 +51,29 @@ def stream_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink.state(spark, max(last, default=-1))
 
 
-QUERIES = {"stream_agents": stream_agents, "stream_exchange": stream_exchange}
-SQL: dict[str, str] = {}
+def traffic(events: DataFrame) -> DataFrame:
+    """Events as messages of their kind to their user, who reads all that came with each purchase."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return events.select(F.col("user_id").alias("agent"), at.alias("t"), F.col("event_id").alias("id"), (F.col("event_type") == "purchase").alias("reads"), F.col("event_type").alias("source"), "value")
+
+
+def stream_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users read of their inboxes: each message once, the latest of its kind."""
+    at, before = _place(spark), spark.conf.get(I.STORE[0])
+    spark.conf.set(*I.STORE)
+    try:
+        _drain(I.read_once(traffic(S.read_events(spark, sf_dir))), at, lambda d, k: d.write.mode("overwrite").parquet(f"{at}/out/batch={k}"), "append")
+    finally:
+        spark.conf.set(I.STORE[0], before)
+    return spark.read.schema(I.READ).parquet(f"{at}/out").select(*I.READ.names)
+
+
+QUERIES = {"stream_agents": stream_agents, "stream_exchange": stream_exchange, "stream_inbox": stream_inbox}
+SQL: dict[str, str] = {
+    "stream_inbox": """
+WITH e AS (SELECT user_id AS agent, epoch_us(ts) AS t, event_id AS id, event_type AS source, value, event_type = 'purchase' AS reads FROM events),
+m AS (SELECT *, min(CASE WHEN reads THEN (t, id) END) OVER (PARTITION BY agent ORDER BY t, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next FROM e),
+l AS (SELECT agent, next, source, max((t, id)) AS last FROM m WHERE NOT reads AND next IS NOT NULL GROUP BY 1, 2, 3)
+SELECT l.agent, l.next[1] AS read_at, l.next[2] AS read_id, l.source, m.t AS sent_at, m.value FROM l JOIN m ON m.agent = l.agent AND (m.t, m.id) = l.last AND m.source = l.source
+"""
+}
