@@ -71,6 +71,34 @@ def step_size(phi: np.ndarray) -> np.ndarray:
     return 1.0 / (1e-4 + np.linalg.eigvalsh(phi)[..., -1])
 
 
+def spectral_norm(grams: DataFrame, by: list[str], tolerance: float = 1e-9, most: int = 40) -> DataFrame:
+    """(by, norm2): the largest eigenvalue of each symmetric positive matrix (by, f, g, val), which is the squared spectral
+    norm of X where val is XᵀX.
+
+    Power iteration with the matrix itself for a start: each round squares all of them, scaled to trace 1, so round k stands
+    for 2^k plain ones, and takes the mean of the eigenvalues by their powers. It stops when no mean moved by more than
+    ``tolerance`` of itself. Zero matrices have norm 0. A round is a join and a sum over entries, whatever the number of
+    matrices; nothing but the largest movement comes to the driver.
+    """
+    a = settle(grams.groupBy(*by, "f", "g").agg(F.sum(F.col("val").cast("double")).alias("val")))
+
+    def scaled(m: DataFrame) -> DataFrame:
+        trace = m.groupBy(*by).agg(F.sum(F.when(F.col("f") == F.col("g"), F.col("val")).otherwise(0.0)).alias("trace"))
+        return m.join(trace.filter("trace > 0"), by).select(*by, "f", "g", (F.col("val") / F.col("trace")).alias("val"))
+
+    m, mean = settle(scaled(a)), None
+    for _ in range(most):
+        now = settle(a.join(m.withColumnRenamed("val", "share"), [*by, "f", "g"]).groupBy(*by).agg(F.sum(F.col("val") * F.col("share")).alias("norm2")))
+        if mean is not None:
+            moved = now.join(mean.withColumnRenamed("norm2", "before"), by).agg(F.max(F.abs(F.col("norm2") - F.col("before")) / F.col("norm2"))).first()[0]
+            if moved is None or moved <= tolerance:
+                break
+        mean = now
+        left, right = m.select(*by, "f", F.col("g").alias("k"), F.col("val").alias("x")), m.select(*by, F.col("f").alias("k"), "g", F.col("val").alias("y"))
+        m = settle(scaled(left.join(right, [*by, "k"]).groupBy(*by, "f", "g").agg(F.sum(F.col("x") * F.col("y")).alias("val"))))
+    return a.select(*by).distinct().join(now, by, "left").select(*by, F.coalesce("norm2", F.lit(0.0)).alias("norm2"))
+
+
 class Fold:
     """Parameters and states of some agents, and their steps; rows are agents."""
 

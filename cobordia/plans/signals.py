@@ -12,6 +12,7 @@ from cobordia.operators import consensus as C
 from cobordia.operators import exchange as E
 from cobordia.operators import features as X
 from cobordia.operators import incidence as A
+from cobordia.operators import learning as L
 from cobordia.operators import metrics as M
 from cobordia.operators import partition as P
 from cobordia.plans.fixture import SQL as BASE
@@ -92,6 +93,15 @@ _GRAM = ", gm AS (SELECT a.t, a.f, b.f AS g, sum(a.s * b.s) AS val FROM nf a JOI
 query("gram_rhs", _EDGE + _GRAM + " SELECT t, f, g, val FROM gm UNION ALL SELECT t, f, -1, sum(s * x)::DOUBLE FROM nf JOIN s1 USING (t) WHERE s1.cell_id = nf.i GROUP BY 1, 2")(
     lambda f: (lambda n: X.gram(n).select("t", "f", "g", "val").unionByName(X.right_hand_side(n, f.edge_signal()).select("t", "f", F.lit(-1).cast("long").alias("g"), "val")))(settle(X.numbered(_edge_features(f))))
 )
+query(
+    "spectral_norm",
+    _EDGE + _GRAM + """, p(k, t, f, g, val) AS (
+  SELECT 0, t, f, g, val / (SELECT sum(b.val) FROM gm b WHERE b.t = gm.t AND b.f = b.g) FROM gm WHERE t IN (SELECT t FROM gm WHERE f = g GROUP BY t HAVING sum(val) > 0)
+  UNION ALL
+  SELECT k, t, f, g, val / sum(CASE WHEN f = g THEN val END) OVER (PARTITION BY t) FROM (SELECT a.k + 1 AS k, a.t, a.f, b.g, sum(a.val * b.val) AS val FROM p a JOIN p b ON a.t = b.t AND a.g = b.f WHERE a.k < 26 GROUP BY 1, 2, 3, 4))
+SELECT t, round(ln(sum(gm.val * p.val)), 6) AS log_norm2 FROM gm JOIN p USING (t, f, g) WHERE k = 26 GROUP BY t""",
+)(lambda f: L.spectral_norm(X.gram(settle(X.numbered(_edge_features(f)))), ["t"]).filter("norm2 > 0").select("t", F.round(F.log("norm2"), 6).alias("log_norm2")))
+SQL["spectral_norm"] = SQL["spectral_norm"].replace("WITH nodes", "WITH RECURSIVE nodes", 1)
 query(
     "smoothed_gram",
     _EDGE + ", r AS (SELECT i, j, sum(val) AS val FROM (SELECT edge_id AS i, edge_id AS j, 1.0::DOUBLE AS val FROM edges UNION ALL SELECT i, j, val * 0.5::DOUBLE FROM l1l) GROUP BY 1, 2) SELECT a.t, a.f, b.f AS g, sum(a.s * r.val * b.s) AS val FROM nf a JOIN r ON r.i = a.i JOIN nf b ON b.i = r.j AND b.t = a.t GROUP BY 1, 2, 3",

@@ -371,6 +371,16 @@ def presets_with_labels():
     presets.Plan(imputer="labels", data_sends="true")
 
 
+def test_spectral_norms(spark):
+    draw = np.random.default_rng(4)
+    x = [draw.normal(size=(9, 6)) * 10.0**k for k in range(-2, 3)]
+    q = np.linalg.qr(draw.normal(size=(5, 5)))[0]
+    matrices = [*(m.T @ m for m in x), (q * [3, 3, 1, 0, 0]) @ q.T, (q * [1, 0.9999, 0.5, 0, 0]) @ q.T, np.zeros((2, 2)), np.full((1, 1), 7.0)]
+    rows = [(k, f, g, float(m[f, g])) for k, m in enumerate(matrices) for f, g in np.ndindex(m.shape)]
+    got = {r["t"]: r["norm2"] for r in L.spectral_norm(spark.createDataFrame(rows, "t long, f long, g long, val double"), ["t"]).collect()}
+    assert np.allclose([got[k] for k in range(len(matrices))], [np.linalg.eigvalsh(m)[-1] for m in matrices], rtol=1e-7)
+
+
 def test_last_message_as_of_each_step(spark):
     inbox = spark.createDataFrame([(1, 2, "owned", 0, 5, t, t * 10) for t in (2, 3, 7)] + [(2, 1, "owned", 0, 6, 9, 1)], "src long, dst long, kind string, dim long, cell_id long, t long, value long")
     now = spark.createDataFrame([(t,) for t in (0, 2, 3, 4, 6, 8)], "t long")
