@@ -1,14 +1,22 @@
-"""Extensions by name: metrics, mixing rules, imputers and models are functions from DataFrames to a DataFrame."""
+"""Extensions by name, which plans name and runners look up.
+
+* "metric": (prediction, truth) columns to an aggregate over a step's predicted cells: an expression of built-in functions or
+  a grouped-aggregate Pandas UDF. A plan's ``metrics`` are columns beside the built-in errors of its case.
+* "imputer": (came, blank, last, keys) to (keys, t, x): what others' cells are taken to be at every step. ``came``: (keys, t,
+  x), with a 0 at the first step where nothing had come; ``blank``: (keys, t), each cell's first step; ``last``: one row
+  with the last step. A plan's ``imputer`` is one of them, or "labels", which needs the complex.
+* "mixing" on tables of parameters, and "table" for metrics that are functions from DataFrames to a DataFrame.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from cobordia.operators import consensus, exchange, metrics
 
-Extension = Callable[..., DataFrame]
+Extension = Callable[..., DataFrame | Column]
 _known: dict[tuple[str, str], Extension] = {}
 
 
@@ -37,12 +45,13 @@ def names(kind: str) -> list[str]:
 for _kind, _name, _f in (
     ("mixing", "atc", consensus.mix_atc),
     ("mixing", "kgt", consensus.kgt_mix),
-    ("imputer", "zero", exchange.impute_zero),
-    ("imputer", "hold", exchange.impute_hold),
-    ("imputer", "labels", exchange.propagate_labels),
-    ("metric", "tv", metrics.tv_metrics),
-    ("metric", "rolling_nmse", metrics.rolling_nmse),
-    ("metric", "disagreement", metrics.disagreement),
-    ("metric", "interface_nmse", metrics.interface_nmse),
+    ("imputer", "zero", exchange.zero_between),
+    ("imputer", "hold", exchange.held_between),
+    ("metric", "tv_nmse", metrics.nmse),
+    ("metric", "tv_mae", metrics.mae),
+    ("metric", "tv_mape", metrics.mape),
+    ("table", "rolling_nmse", metrics.rolling_nmse),
+    ("table", "disagreement", metrics.disagreement),
+    ("table", "interface_nmse", metrics.interface_nmse),
 ):
     register(_kind, _name)(_f)

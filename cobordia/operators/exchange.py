@@ -57,6 +57,17 @@ def until_next(arrived: DataFrame, keys: list[str], last: DataFrame) -> DataFram
     return x.withColumn("t", F.explode(F.sequence("t", "upto"))).drop("nxt", "upto", "last")
 
 
+def held_between(came: DataFrame, blank: DataFrame, last: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, t, x) at every step: the last value that came."""
+    return until_next(came.select(*keys, "t", "x"), keys, last)
+
+
+def zero_between(came: DataFrame, blank: DataFrame, last: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, t, x) at every step: what came at that very step, else 0."""
+    every = until_next(blank.select(*keys, "t"), keys, last)
+    return every.join(came, [*keys, "t"], "left").select(*keys, "t", F.coalesce("x", F.lit(0.0)).alias("x"))
+
+
 def fresh(inbox: DataFrame, now: DataFrame, accept_stale: bool = False) -> DataFrame:
     """Messages as of each step of ``now`` (t): of the same step, or with ``accept_stale`` the last up to it."""
     if not accept_stale:

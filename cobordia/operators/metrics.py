@@ -7,6 +7,8 @@ of which one is undefined would be.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +31,27 @@ def _nmse(error: Column, energy: Column) -> Column:
     return F.when(energy > 0, error / energy)
 
 
-def tv_metrics(x: DataFrame) -> DataFrame:
-    """Per step: tv_nmse, tv_mae and tv_mape (percent, over cells with a value)."""
-    e = F.col("yhat") - F.col("y")
-    return x.groupBy(*STEP).agg(
-        _nmse(F.sum(e * e), F.sum(F.col("y") * F.col("y"))).alias("tv_nmse"),
-        F.avg(F.abs(e)).alias("tv_mae"),
-        (F.avg(F.when(F.col("y") != 0, F.abs(e / F.col("y")))) * 100).alias("tv_mape"),
-    )
+def nmse(yhat: Column, y: Column) -> Column:
+    return _nmse(F.sum((yhat - y) * (yhat - y)), F.sum(y * y))
+
+
+def mae(yhat: Column, y: Column) -> Column:
+    return F.avg(F.abs(yhat - y))
+
+
+def mape(yhat: Column, y: Column) -> Column:
+    """In percent, over cells with a value."""
+    return F.avg(F.when(y != 0, F.abs((yhat - y) / y))) * 100
+
+
+def tv_metrics(x: DataFrame, more: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+    """Per step: tv_nmse, tv_mae and tv_mape, and ``more`` by their names, each an aggregate of its own as Pandas UDFs do not
+    go with built-in ones."""
+    own = (F.col("yhat"), F.col("y"))
+    out = x.groupBy(*STEP).agg(nmse(*own).alias("tv_nmse"), mae(*own).alias("tv_mae"), mape(*own).alias("tv_mape"))
+    for name, f in (more or {}).items():
+        out = out.join(x.groupBy(*STEP).agg(f(*own).alias(name)), STEP)
+    return out
 
 
 def rolling_nmse(x: DataFrame, cells: DataFrame, steps: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field, replace
 
+from cobordia.functions import registry
 from cobordia.operators.features import layout
 from cobordia.operators.learning import Rule
 
@@ -59,7 +60,8 @@ class Model:
 
 @dataclass(frozen=True)
 class Plan:
-    """``imputer``: what agents take for others' cells between exchanges: "hold", "zero" or "labels". ``inside``: agents
+    """``imputer``: what agents take for others' cells between exchanges: "hold", "zero", "labels" or one that was registered.
+    ``metrics``: registered errors to be computed beside the built-in ones. ``inside``: agents
     see no more than what they predict. ``data_sends``: in place of the data clock, a condition in SQL on (t, agent): does
     the agent send its data at that step. ``interface``: what agents take for the cells they share at an exchange, the
     "same" value that all have, or the "averaged" one of their own copy and the neighbour's."""
@@ -72,6 +74,7 @@ class Plan:
     inside: bool = False
     data_sends: str | None = None
     interface: str = "same"
+    metrics: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if self.interface not in ("same", "averaged"):
@@ -80,8 +83,10 @@ class Plan:
             raise ValueError("labels are propagated between the ticks of one clock")
         if self.data_clock < 1:
             raise ValueError("clocks tick every step or less often")
-        if self.imputer not in ("hold", "zero", "labels"):
+        if self.imputer not in ("labels", *registry.names("imputer")):
             raise ValueError(f"no imputer {self.imputer}")
+        for m in self.metrics:
+            registry.get("metric", m)
 
     def columns(self) -> dict[str, str]:
         """Run metadata, flat, as columns for a result: C_data, C_param, K, ... in the order of the plan's parts."""

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cobordia.functions import registry
 from cobordia.operators import agents as G
 from cobordia.operators import exchange as E
 from cobordia.operators import features as X
@@ -101,11 +102,8 @@ def held(signal: DataFrame, view: DataFrame, owned: DataFrame, plan: Plan, bound
     # before anything came there is 0, from the first step on
     blank = others.join(span, how="cross").select(*keys, F.col("first").alias("t"), F.lit(0.0).alias("value"), F.lit(0).alias("real"))
     came = came.withColumn("real", F.lit(1)).unionByName(blank).groupBy(*keys, "t").agg(F.max_by("value", "real").alias("x"), F.max("real").alias("real"))
-    if plan.imputer == "hold":
-        rest = E.until_next(came, keys, span.select("last")).drop("real")
-    elif plan.imputer == "zero":
-        every = E.until_next(blank, keys, span.select("last")).select(*keys, "t")
-        rest = every.join(came, [*keys, "t"], "left").select(*keys, "t", F.coalesce("x", F.lit(0.0)).alias("x"))
+    if plan.imputer != "labels":
+        rest = registry.get("imputer", plan.imputer)(came.drop("real"), blank.select(*keys, "t"), span.select("last"), keys)
     else:
         came = settle(came.filter("real = 1").select(*keys, "t", "x"))
         every = settle(mine.unionByName(E.until_next(blank, keys, span.select("last")).select(*keys, "t", F.lit(0.0).alias("x"))))
@@ -293,7 +291,9 @@ def scored(signal: DataFrame, cases: dict[int, Case], theta: DataFrame, onto: Da
         alone = [k for k, c in cases.items() if c.whole]
         whole = made.filter(F.col("case_id").isin(alone)).drop("cluster_id")
         made = made.filter(~F.col("case_id").isin(alone)).unionByName(G.project(whole, onto))
-    return M.tv_metrics(M.with_truth(M.aggregate(made), truth(signal)))
+    more = sorted({m for c in cases.values() for m in c.plan.metrics})
+    x = M.with_truth(M.aggregate(made), truth(signal))
+    return M.tv_metrics(settle(x) if more else x, {m: registry.get("metric", m) for m in more})
 
 
 def flat(theta: DataFrame, widths: dict[int, int]) -> DataFrame:

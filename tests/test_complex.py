@@ -1,6 +1,7 @@
 """A complex small enough to check by hand: four nodes, five edges, two triangles."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cobordia.operators import agents as G
@@ -371,6 +372,38 @@ def presets_with_labels():
     presets.Plan(imputer="labels", data_sends="true")
 
 
+def test_registered_metrics_and_imputers_reach_a_case(spark, b):
+    from pyspark.sql import functions as F
+
+    from cobordia.plans import presets, runs
+
+    if "worst" not in registry.names("metric"):
+
+        @F.pandas_udf("double")
+        def worst(yhat: pd.Series, y: pd.Series) -> float:
+            return float((yhat - y).abs().max())
+
+        registry.register("metric", "worst")(worst)
+        registry.register("metric", "bias")(lambda yhat, y: F.avg(yhat - y))
+        registry.register("imputer", "ones")(lambda came, blank, last, keys: E.zero_between(came, blank, last, keys).withColumn("x", F.lit(1.0)))
+    plan = presets.merged(presets.PRESETS["default"], metrics=("worst", "bias"), imputer="ones", data_clock=3, rule={"mixing": "none"}, model={"dims": (1,)})
+    signal = runs.settle(runs.union(readers.from_matrix(spark, m, d).select("dim", "cell_id", "t", "x") for d, m in enumerate((NODES, EDGES, FACES))))
+    p = P.partition(b, spark.createDataFrame([(0, 0), (0, 1), (0, 2), (1, 3), (1, 4)], "cluster_id long, cell_id long"), 1, 1)
+    out = runs.settle(G.partial_indices(p.local_index, p.owned).filter("is_out").select("cluster_id", "dim", "cell_id"))
+    case = runs._case(plan, b, signal, p.local_index, p.owned, out, runs._alone(p.owned))
+    own = {(r["cluster_id"] * runs.BLOCK + r["cell_id"], r["dim"]) for r in p.owned.collect()}
+    x = case.signal.collect()
+    assert {r["x"] for r in x if (r["cell_id"], r["dim"]) not in own} == {1.0} and any((r["cell_id"], r["dim"]) not in own for r in x)
+    theta = runs.learn({1: case}, signal)
+    made = runs.M.with_truth(runs.M.aggregate(runs.forecasts({1: case}, theta)), runs.truth(signal)).toPandas()
+    got = {(r["dim"], r["i"]): r for r in runs.scored(signal, {1: case}, theta).collect()}
+    for key, g in made.groupby(["dim", "i"]):
+        assert abs(got[key]["worst"] - (g.yhat - g.y).abs().max()) < 1e-9 and abs(got[key]["bias"] - (g.yhat - g.y).mean()) < 1e-9
+    assert got and {"tv_nmse", "tv_mae", "tv_mape"} <= set(got[key].asDict())
+    with pytest.raises(KeyError):
+        presets.Plan(metrics=("none such",))
+
+
 def test_spectral_norms(spark):
     draw = np.random.default_rng(4)
     x = [draw.normal(size=(9, 6)) * 10.0**k for k in range(-2, 3)]
