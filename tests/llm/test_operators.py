@@ -139,6 +139,34 @@ def test_passages_behind_earlier_parts(spark):
             assert found[100 * k + i] >= set(range(60, 60 + n)), (k, i)
 
 
+def test_passages_that_were_edited(spark):
+    """Two late documents share a passage up to edits (Jaccard 0.80 to 0.90); three earlier ones have a third of it, a version
+    with an edit in every nine words, and the other with two edits more."""
+    draw, rows, planted = np.random.default_rng(17), [], []
+    text = lambda n: [f"w{x}" for x in draw.integers(0, 10**9, n)]
+
+    def edited(words_, places):
+        out = list(words_)
+        for p in places:
+            out[p] = f"e{draw.integers(0, 10**9)}"
+        return out
+
+    for k in range(60):
+        n, edits = ((60, 1), (100, 2), (200, 4), (150, 3), (80, 1))[k % 5]
+        base, at = text(n), lambda n=n, edits=edits: sorted(draw.choice(np.arange(5, n - 5, 12), edits, replace=False).tolist())
+        other = edited(base, at())
+        heads = [base[: n // 3], edited(base, range(3, n, 9)), edited(other, [*at(), 7, n - 9])]
+        rows += [(100 * k + i, " ".join(text(60) + p + text(60))) for i, p in enumerate([*heads, base, other])]
+        sets = [{tuple(p[i : i + 5]) for i in range(n - 4)} for p in (base, other)]
+        assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.9
+        planted.append((100 * k + 4, n))
+    found = defaultdict(set)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        found[r["doc_id"]].update(range(r["start"], r["start"] + r["n_words"]))
+    assert sum(len(found[i] & set(range(60, 60 + n))) >= 0.8 * n for i, n in planted) >= 0.9 * len(planted)
+    assert not any(x < 55 or x >= 65 + n for i, n in planted for d in range(5) for x in found[i - d])
+
+
 def test_passages_around_what_was_cut_out():
     draw = np.random.default_rng(6)
 
