@@ -102,13 +102,13 @@ class Fixture:
         return X.fill(x, cells, self.months(), ["cell_id"]).select("cell_id", "t", "x")
 
     def edge_signal(self) -> DataFrame:
-        return self._filled(self.flows(), 1, "edge_id")
+        return self._once("edge signal", lambda: self._filled(self.flows(), 1, "edge_id"))
 
     def node_signal(self) -> DataFrame:
-        return self._filled(self.shipments().groupBy(F.col("s").alias("node_id"), "t").agg(F.sum("q").alias("x")), 0, "node_id")
+        return self._once("node signal", lambda: self._filled(self.shipments().groupBy(F.col("s").alias("node_id"), "t").agg(F.sum("q").alias("x")), 0, "node_id"))
 
     def face_signal(self) -> DataFrame:
-        return self._filled_face(A.apply(A.transpose(self.boundary_2()), self.edge_signal()))
+        return self._once("face signal", lambda: self._filled_face(A.apply(A.transpose(self.boundary_2()), self.edge_signal())))
 
     def _filled_face(self, x: DataFrame) -> DataFrame:
         cells = self.cells().filter("dim = 2").select("cell_id")
@@ -119,9 +119,7 @@ class Fixture:
         return self._once("signal", self._signal)
 
     def _signal(self) -> DataFrame:
-        edge = settle(self.edge_signal())
-        face = self._filled_face(A.apply(A.transpose(self.boundary_2()), edge))
-        parts = [d.select(F.lit(k).cast("long").alias("dim"), "cell_id", "t", "x") for k, d in enumerate((self.node_signal(), edge, face))]
+        parts = [d.select(F.lit(k).cast("long").alias("dim"), "cell_id", "t", "x") for k, d in enumerate((self.node_signal(), self.edge_signal(), self.face_signal()))]
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
     def community(self) -> DataFrame:
