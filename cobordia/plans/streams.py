@@ -37,10 +37,7 @@ def stream_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As above with all event types exchanging parameters after every micro-batch, in equal weights."""
     at = _place(spark)
-    kinds = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("src")).distinct()
-    n = F.lit(1.0) / F.greatest(F.lit(1), F.lit(kinds.count()))
-    weights = kinds.join(kinds.withColumnRenamed("src", "dst")).select("src", "dst", n.alias("w"))  # pairs of agents
-    sink = S.ExchangeSink(f"{at}/state", weights)
+    sink = S.ExchangeSink(f"{at}/state")
     last = []
 
     def batch(d: DataFrame, k: int) -> None:

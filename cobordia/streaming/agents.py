@@ -55,9 +55,10 @@ def learn_stream(steps: DataFrame) -> DataFrame:
 
 
 class ExchangeSink:
-    """``foreachBatch`` sink: local steps on every agent, then adapt-then-combine mixing, state under ``path``."""
+    """``foreachBatch`` sink: local steps on every agent, then adapt-then-combine mixing, state under ``path``. Without
+    ``weights`` (src, dst, w) all agents take the mean of all, which needs no pairs of them."""
 
-    def __init__(self, path: str, weights: DataFrame) -> None:
+    def __init__(self, path: str, weights: DataFrame | None = None) -> None:
         self.path, self.weights = path, weights
         self.schema = "agent string, theta double, phi double, r double, last double, steps long"
 
@@ -79,6 +80,10 @@ class ExchangeSink:
             return pd.DataFrame({"agent": [agent], "theta": [theta], "phi": [phi], "r": [r], "last": [last], "steps": [int(steps)]})
 
         moved = rows.groupBy("agent").cogroup(before.groupBy("agent")).applyInPandas(lambda a, b: local(a, b), self.schema)
-        mixed = self.weights.join(moved.select(F.col("agent").alias("dst"), F.col("theta").alias("sent")), "dst").groupBy(F.col("src").alias("agent")).agg(F.sum(F.col("w") * F.col("sent")).alias("mixed"))
+        if self.weights is None:
+            mixed = moved.select("agent").join(F.broadcast(moved.agg(F.avg("theta").alias("mixed"))), how="cross")  # one row
+        else:
+            sent = moved.select(F.col("agent").alias("dst"), F.col("theta").alias("sent"))
+            mixed = self.weights.join(sent, "dst").groupBy(F.col("src").alias("agent")).agg(F.sum(F.col("w") * F.col("sent")).alias("mixed"))
         out = moved.join(mixed, "agent", "left").withColumn("theta", F.coalesce("mixed", "theta")).select("agent", "theta", "phi", "r", "last", "steps")
         out.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")

@@ -32,6 +32,29 @@ def test_exchange_agrees_on_parameters(spark):
     assert len({round(r["theta"], 9) for r in rows}) == 1 and all(r["steps"] > 0 for r in rows)
 
 
+def test_exchange_by_weights_and_by_mean(spark, tmp_path):
+    """Batches through the sink, with weights of a ring and as a mean over all, against a loop."""
+    kinds, lots = "abc", [[("a", 1, 2.0), ("b", 1, -1.0), ("c", 2, 3.0)], [("a", 2, 1.0), ("a", 3, 4.0), ("c", 3, 1.0)], [("b", 4, 2.0)]]
+    ring = [(x, y, 0.5 if x == y else 0.25) for x in kinds for y in kinds]
+    # an agent without new rows keeps its parameters but mixes
+    for weights, table in ((None, [(x, y, 1 / 3) for x in kinds for y in kinds]), (ring, ring)):
+        at = str(tmp_path / ("mean" if weights is None else "ring"))
+        sink = agents.ExchangeSink(at, None if weights is None else spark.createDataFrame(weights, "src string, dst string, w double"))
+        state = {k: (0.0, 0.0, 0.0, 0.0) for k in kinds}
+        for n, lot in enumerate(lots):
+            sink(spark.createDataFrame(lot, "agent string, t long, x double"), n)
+            for k in kinds:
+                theta, phi, r, last = state[k]
+                for _, _, x in sorted(row for row in lot if row[0] == k):
+                    theta, phi, r = agents.step(theta, phi, r, last, x)
+                    last = x
+                state[k] = theta, phi, r, last
+            mixed = {x: sum(w * state[y][0] for a, y, w in table if a == x) for x in kinds}
+            state = {k: (mixed[k], *state[k][1:]) for k in kinds}
+            got = {r["agent"]: r["theta"] for r in sink.state(spark, n).collect()}
+            assert all(abs(got[k] - state[k][0]) < 1e-12 for k in kinds)
+
+
 def test_messages_are_read_once(spark, tmp_path):
     """Across micro-batches and a restart: later messages replace unread ones, and what was read is gone."""
     from cobordia.streaming import inbox
