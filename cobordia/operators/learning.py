@@ -224,12 +224,13 @@ def final_state(x: DataFrame) -> DataFrame:
     return x.filter("part <> 'step'")
 
 
-def folded(grams: DataFrame, rhs: DataFrame, weights: DataFrame, rules: dict[int, Rule], width: int | dict[int, int], together: int = TOGETHER, receipts: DataFrame | None = None, initial: DataFrame | None = None, ends: bool = True) -> DataFrame:
+def folded(grams: DataFrame, rhs: DataFrame, weights: DataFrame, rules: dict[int, Rule], width: int | dict[int, int], together: int = TOGETHER, receipts: DataFrame | None = None, initial: DataFrame | None = None, ends: bool = True, same: dict[int, int] | None = None) -> DataFrame:
     """(FOLDED) of every case. ``grams``: (case_id, dim, agent, t, f, g, val); ``rhs``: (case_id, dim, agent, t, f, val);
     ``weights``: (case_id, src, dst, w). Steps are those of ``rhs``; entries without a row are 0. ``width``: features, of
     each dimension if they differ. ``receipts``: (case_id, t, src, dst), for cases whose rule has no clock (``sends``);
     ``initial``: (FOLDED) states to start from, or only parts of them, as ``theta``; all else is 0. ``ends``: are final
-    states wanted."""
+    states wanted. ``same``: case -> the case whose matrices it has too, so that cases which differ in rules and weights
+    alone are folded over one copy of them; such cases start from 0."""
     widths = {d: width for d in range(3)} if isinstance(width, int) else width
     keys = ["case_id", "dim", "agent", "t"]
     wide = F.element_at(F.create_map(*(F.lit(int(x)) for kv in widths.items() for x in kv)), F.col("dim").cast("int"))
@@ -247,11 +248,18 @@ def folded(grams: DataFrame, rhs: DataFrame, weights: DataFrame, rules: dict[int
     none = [c for c, r in rules.items() if r.mixing == "none" or r.consensus == "never"]
     if receipts is None and any(r.sends for c, r in rules.items() if c not in none):
         raise ValueError("a rule that says who sends needs receipts")
+    base = {c: (same or {}).get(c, c) for c in rules}
+    if initial is not None and any(c != b for c, b in base.items()):
+        raise ValueError("cases that share their matrices start from 0")
+    alone_of, meet_of = ({b: [c for c in rules if base[c] == b and (c in none) == kind] for b in {base[c] for c in rules if (c in none) == kind}} for kind in (True, False))
 
-    def fold(steps: pd.DataFrame, mix: pd.DataFrame) -> pd.DataFrame:
+    def fold(steps: pd.DataFrame, mix: pd.DataFrame, of: dict[int, list[int]]) -> pd.DataFrame:
         if steps.empty:
             return pd.DataFrame({n.split()[0]: [] for n in FOLDED.split(", ")})
-        case, dim = int(steps.case_id.iloc[0]), int(steps.dim.iloc[0])
+        return pd.concat([one(case, steps, mix[mix.of == case]) for case in of[int(steps.case_id.iloc[0])]])
+
+    def one(case: int, steps: pd.DataFrame, mix: pd.DataFrame) -> pd.DataFrame:
+        dim = int(steps.dim.iloc[0])
         n, rule = widths[dim], rules[case]
         agents, times = sorted(steps.agent.unique()), sorted(steps.t.unique())
         place, when = {a: k for k, a in enumerate(agents)}, {t: k for k, t in enumerate(times)}
@@ -279,17 +287,18 @@ def folded(grams: DataFrame, rhs: DataFrame, weights: DataFrame, rules: dict[int
 
     out = []
     if none:
-        nobody = pd.DataFrame({"src": [], "dst": [], "w": [], "came": []})
-        alone = rows.filter(F.col("case_id").isin(none)).groupBy("case_id", "dim", "agent")
-        out.append(alone.applyInPandas(lambda steps: fold(steps, nobody), FOLDED))
+        nobody = pd.DataFrame({"of": [], "src": [], "dst": [], "w": [], "came": []})
+        alone = rows.filter(F.col("case_id").isin(list(alone_of))).groupBy("case_id", "dim", "agent")
+        out.append(alone.applyInPandas(lambda steps: fold(steps, nobody, alone_of), FOLDED))
     if len(none) < len(rules):
-        meet = rows.filter(~F.col("case_id").isin(none))
+        meet = rows.filter(F.col("case_id").isin(list(meet_of)))
         sizes = {(r["case_id"], r["dim"]): r["n"] for r in meet.groupBy("case_id", "dim").agg(F.count("*").alias("n")).collect()}  # cases by dimensions
         large = [k for k, n in sizes.items() if n * widths[k[1]] ** 2 > together]
         for case, dim in large:
             own = meet.filter((F.col("case_id") == case) & (F.col("dim") == dim))
-            came = receipts.filter(F.col("case_id") == case) if rules[case].sends else None
-            out.append(stepwise(own, weights.filter(F.col("case_id") == case), rules[case], widths[dim], case, dim, came, ends))
+            for c in meet_of[case]:
+                came = receipts.filter(F.col("case_id") == c) if rules[c].sends else None
+                out.append(stepwise(own, weights.filter(F.col("case_id") == c), rules[c], widths[dim], c, dim, came, ends))
         if len(large) < len(sizes):
             for case, dim in large:
                 meet = meet.filter((F.col("case_id") != case) | (F.col("dim") != dim))
@@ -301,8 +310,10 @@ def folded(grams: DataFrame, rhs: DataFrame, weights: DataFrame, rules: dict[int
             else:  # a link's steps are at most a timeline; a sender's own pair may have no weight
                 links = receipts.groupBy("case_id", "src", "dst").agg(F.collect_list(F.col("t").cast("long")).alias("came"))
                 mixes = mixes.join(links, ["case_id", "src", "dst"], "full")
+            shares = F.create_map(*(F.lit(int(x)).cast("long") for kv in base.items() for x in kv))
+            mixes = mixes.withColumnRenamed("case_id", "of").withColumn("case_id", F.element_at(shares, F.col("of")))
             mixes = mixes.join(F.broadcast(dims), "case_id")  # cases by dimensions
-            out.append(meet.groupBy("case_id", "dim").cogroup(mixes.groupBy("case_id", "dim")).applyInPandas(lambda a, b: fold(a, b), FOLDED))
+            out.append(meet.groupBy("case_id", "dim").cogroup(mixes.groupBy("case_id", "dim")).applyInPandas(lambda a, b: fold(a, b, meet_of), FOLDED))
     empty = rows.limit(0).selectExpr("case_id", "dim", "agent", "t", "'step' as part", "0L as idx", "0D as value")
     return reduce(DataFrame.unionByName, out) if out else empty
 

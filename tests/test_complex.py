@@ -414,6 +414,29 @@ def test_spectral_norms(spark):
     assert np.allclose([got[k] for k in range(len(matrices))], [np.linalg.eigvalsh(m)[-1] for m in matrices], rtol=1e-7)
 
 
+def test_cases_that_share_their_matrices(spark):
+    """Rules and weights of their own over one copy of the matrices give what separate cases give, in either path."""
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(4, 3, 6, 2))
+    grams, rhs = np.einsum("taif,taig->tafg", x, x), draw.normal(size=(4, 3, 2))
+    rows = lambda a, case, names: [(case, 2, *map(int, k), float(a[k])) for k in np.ndindex(a.shape)]
+    rules = {1: L.Rule(0.9, "atc", 1), 2: L.Rule(0.8, "kgt", 2), 3: L.Rule(0.9), 4: L.Rule(0.9, "atc", 2, consensus="always")}
+    weight = {c: np.full((3, 3), 1 / 3) if c < 4 else np.array([[0.5, 0.5, 0], [0.5, 0.3, 0.2], [0, 0.2, 0.8]]) for c in rules}
+    g = lambda cases: spark.createDataFrame([r for c in cases for r in rows(grams, c, "")], "case_id long, dim long, t long, agent long, f long, g long, val double")
+    r = lambda cases: spark.createDataFrame([r for c in cases for r in rows(rhs, c, "")], "case_id long, dim long, t long, agent long, f long, val double")
+    mix = spark.createDataFrame([(c, i, j, float(w[i, j])) for c, w in weight.items() for i, j in np.ndindex(3, 3) if w[i, j]], "case_id long, src long, dst long, w double")
+    for together in (L.TOGETHER, 0):
+        got = np.full((5, 4, 3, 2), np.nan)
+        x = L.history(L.folded(g([1]), r([1]), mix, rules if together else {k: v for k, v in rules.items() if k in (1, 3)}, {2: 2}, together, ends=False, same=dict.fromkeys(rules, 1)))
+        for row in x.collect():
+            got[row["case_id"], row["t"], row["agent"], row["idx"]] = row["value"]
+        for c, rule in rules.items():
+            if together or c in (1, 3):
+                assert np.allclose(got[c], L.run_fold(grams, rhs, weight[c], rule)), (c, together)
+    with pytest.raises(ValueError):
+        L.folded(g([1]), r([1]), mix, rules, {2: 2}, same=dict.fromkeys(rules, 1), initial=spark.createDataFrame([], L.FOLDED))
+
+
 def test_last_message_as_of_each_step(spark):
     inbox = spark.createDataFrame([(1, 2, "owned", 0, 5, t, t * 10) for t in (2, 3, 7)] + [(2, 1, "owned", 0, 6, 9, 1)], "src long, dst long, kind string, dim long, cell_id long, t long, value long")
     now = spark.createDataFrame([(t,) for t in (0, 2, 3, 4, 6, 8)], "t long")
