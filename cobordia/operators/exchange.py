@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cobordia.session import counted
+from cobordia.session import counted, settle
 
 CELL = ["dim", "cell_id"]
 
@@ -150,34 +150,89 @@ def split_local(local: DataFrame, needs: DataFrame, interface: DataFrame) -> tup
     return view, copies
 
 
-def propagate_labels(local: DataFrame, laplacian: DataFrame, stale: DataFrame, strength: float = 0.01) -> DataFrame:
+def _by_inverse(known: DataFrame, matrix: DataFrame) -> DataFrame:
+    """(cluster_id, dim, cell_id, t, smooth): a dense pseudo-inverse per (cluster_id, dim) times the values ``known``."""
+
+    def solve(values: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        if values.empty:
+            return pd.DataFrame({"cluster_id": [], "dim": [], "cell_id": [], "t": [], "smooth": []})
+        cells, place = np.unique(values.cell_id, return_inverse=True)
+        times, at = np.unique(values.t, return_inverse=True)
+        m, x = np.zeros((len(cells), len(cells))), np.zeros((len(cells), len(times)))
+        m[np.searchsorted(cells, entries.i), np.searchsorted(cells, entries.j)] = entries.val
+        x[place, at] = values.x
+        return values.assign(smooth=(np.linalg.pinv(m) @ x)[place, at])[["cluster_id", "dim", "cell_id", "t", "smooth"]]
+
+    entries = matrix.select(F.col("cluster_id").alias("of_cluster"), F.col("dim").alias("of_dim"), "i", "j", "val")
+    groups = known.groupBy("cluster_id", "dim").cogroup(entries.groupBy("of_cluster", "of_dim"))
+    return groups.applyInPandas(lambda a, b: solve(a, b), "cluster_id long, dim long, cell_id long, t long, smooth double")
+
+
+def _by_gradients(known: DataFrame, matrix: DataFrame, tolerance: float, most: int) -> DataFrame:
+    """As ``_by_inverse``, by conjugate gradients on the normal equations of all systems (cluster_id, dim, t) at once.
+
+    They start from 0 and so end at the solution of least squares that has the smallest norm, which is the pseudo-inverse's,
+    also where the matrix is singular or indefinite. A system rests when its residual, times the matrix, is ``tolerance``
+    of what it was. A round is two products with the sparse matrix, each a join and a sum, and its scalars are sums per
+    system that are joined back; whether any system still moves is all that comes to the driver.
+    """
+    system = ["cluster_id", "dim", "t"]
+    cell = [*system, "cell_id"]
+
+    def times(of: DataFrame, column: str) -> DataFrame:
+        given = of.filter(F.col(column) != 0).select(*system, F.col("cell_id").alias("j"), F.col(column).alias("y"))
+        summed = matrix.join(given, ["cluster_id", "dim", "j"]).groupBy(*system, F.col("i").alias("cell_id")).agg(F.sum(F.col("val") * F.col("y")).alias("product"))
+        return of.join(summed, cell, "left").na.fill(0.0, ["product"])
+
+    def squares(of: DataFrame, column: str, name: str) -> DataFrame:
+        return of.groupBy(*system).agg(F.sum(F.col(column) * F.col(column)).alias(name))
+
+    start = settle(times(known.select(*cell, F.col("x").alias("r")), "r"))
+    state = start.join(squares(start, "product", "gamma"), system)
+    state = state.select(*cell, F.lit(0.0).alias("x"), "r", F.col("product").alias("p"), "gamma", (F.lit(tolerance**2) * F.col("gamma")).alias("aim"))
+    for _ in range(most):
+        went = settle(times(state, "p"))
+        moved = went.join(squares(went, "product", "length"), system).withColumn("step", F.when(F.col("length") > 0, F.col("gamma") / F.col("length")).otherwise(0.0))
+        moved = moved.select(*cell, (F.col("x") + F.col("step") * F.col("p")).alias("x"), (F.col("r") - F.col("step") * F.col("product")).alias("r"), "p", "gamma", "aim")
+        turned = settle(times(moved, "r"))
+        rests = F.col("after") <= F.col("aim")  # what rests keeps x and takes no part in products
+        after = squares(turned, "product", "after")
+        state = turned.join(after, system).select(
+            *cell, "x", F.when(rests, 0.0).otherwise(F.col("r")).alias("r"), F.when(rests, 0.0).otherwise(F.col("product") + F.col("after") / F.col("gamma") * F.col("p")).alias("p"), F.when(rests, 0.0).otherwise(F.col("after")).alias("gamma"), "aim"
+        )
+        if not state.filter("gamma > 0").limit(1).count():
+            return state.select("cluster_id", *CELL, "t", F.col("x").alias("smooth"))
+    raise ValueError(f"smoothing did not come to rest within {most} rounds")
+
+
+def propagate_labels(local: DataFrame, laplacian: DataFrame, stale: DataFrame, strength: float = 0.01, dense: int = 1 << 20, tolerance: float = 1e-12, most: int = 1000) -> DataFrame:
     """Tikhonov smoothing of stale cells: per (cluster_id, t) the values f with (I + strength · diag… L) f = fresh
     values, by the pseudo-inverse of the Laplacian whose diagonal is strength · diag + 1; fresh cells stay.
 
-    ``local``: (cluster_id, dim, cell_id, t, x); ``laplacian``: (i, j, val) of that dimension; ``stale``: (cluster_id,
-    dim, cell_id). One group is a cluster's view of one dimension, bounded by the partition.
+    ``local``: (cluster_id, dim, cell_id, t, x), dimensions of one complex that ``laplacian`` (i, j, val) is of; ``stale``:
+    (cluster_id, dim, cell_id). Views of which neither the cells squared nor the values exceed ``dense`` are solved by an
+    inverse in a task each, all others together by conjugate gradients in joins, so that no view has to fit a task.
+    Where nothing is stale nothing is solved.
     """
-    inside = local.select("cluster_id", "dim", "cell_id").distinct()
-    entries = inside.withColumnRenamed("cell_id", "i").join(laplacian, "i").join(inside.withColumnRenamed("cell_id", "j"), ["cluster_id", "dim", "j"])
-    entries = entries.select(F.col("cluster_id").alias("of_cluster"), F.col("dim").alias("of_dim"), "i", "j", "val")
-    marked = local.join(stale.withColumn("stale", F.lit(True)), ["cluster_id", *CELL], "left").na.fill({"stale": False})
-
-    def smooth(values: pd.DataFrame, matrix: pd.DataFrame) -> pd.DataFrame:
-        if values.empty:
-            return pd.DataFrame({"cluster_id": [], "dim": [], "cell_id": [], "t": [], "x": []})
-        cells = sorted(values.cell_id.unique())
-        place = {c: k for k, c in enumerate(cells)}
-        m = np.zeros((len(cells), len(cells)))
-        for i, j, v in zip(matrix.i, matrix.j, matrix.val, strict=True):
-            m[place[i], place[j]] = v
-        np.fill_diagonal(m, strength * np.diag(m) + 1)
-        inverse = np.linalg.pinv(m)
-        wide = values.assign(x=np.where(values.stale, 0.0, values.x.astype(float))).pivot(index="cell_id", columns="t", values="x").reindex(cells)
-        smoothed = pd.DataFrame(inverse @ wide.to_numpy(), index=cells, columns=wide.columns).stack().rename("smooth").reset_index()
-        smoothed.columns = ["cell_id", "t", "smooth"]
-        out = values.merge(smoothed, on=["cell_id", "t"])
-        out["x"] = np.where(out.stale, out.smooth, out.x.astype(float))
-        return out[["cluster_id", "dim", "cell_id", "t", "x"]]
-
-    groups = marked.groupBy("cluster_id", "dim").cogroup(entries.groupBy("of_cluster", "of_dim"))
-    return groups.applyInPandas(lambda a, b: smooth(a, b), "cluster_id long, dim long, cell_id long, t long, x double")
+    marked = settle(local.join(stale.select("cluster_id", *CELL).distinct().withColumn("stale", F.lit(True)), ["cluster_id", *CELL], "left").na.fill({"stale": False}))
+    views = marked.groupBy("cluster_id", *CELL).agg(F.count("*").alias("rows"), F.max("stale").alias("stale"))
+    views = views.groupBy("cluster_id", "dim").agg(F.count("*").alias("cells"), F.sum("rows").alias("rows"), F.max("stale").alias("stale")).filter("stale")
+    views = settle(views.select("cluster_id", "dim", ((F.col("cells") * F.col("cells") <= dense) & (F.col("rows") <= dense)).alias("small")))
+    known = marked.join(views, ["cluster_id", "dim"]).select("cluster_id", *CELL, "t", "small", F.when(F.col("stale"), 0.0).otherwise(F.col("x").cast("double")).alias("x"))
+
+    inside = marked.join(views, ["cluster_id", "dim"]).select("cluster_id", *CELL, "small").distinct()
+    diagonal = laplacian.filter("i = j").groupBy(F.col("i").alias("cell_id")).agg(F.sum("val").alias("val"))
+    own = inside.join(diagonal, "cell_id", "left").select("cluster_id", "dim", "small", F.col("cell_id").alias("i"), F.col("cell_id").alias("j"), (strength * F.coalesce(F.col("val").cast("double"), F.lit(0.0)) + 1).alias("val"))
+    across = inside.withColumnRenamed("cell_id", "i").join(laplacian.filter("i <> j"), "i").join(inside.select("cluster_id", "dim", F.col("cell_id").alias("j")), ["cluster_id", "dim", "j"])
+    matrix = settle(own.unionByName(across.select("cluster_id", "dim", "small", "i", "j", F.col("val").cast("double").alias("val"))))
+
+    parts = []
+    if views.filter("small").limit(1).count():
+        parts.append(_by_inverse(known.filter("small"), matrix.filter("small")))
+    if views.filter("not small").limit(1).count():
+        parts.append(_by_gradients(known.filter("not small"), matrix.filter("not small"), tolerance, most))
+    if not parts:
+        return marked.select("cluster_id", *CELL, "t", F.col("x").cast("double").alias("x"))
+    smooth = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = marked.join(smooth, ["cluster_id", *CELL, "t"], "left")
+    return out.select("cluster_id", *CELL, "t", F.when(F.col("stale"), F.col("smooth")).otherwise(F.col("x").cast("double")).alias("x"))

@@ -181,9 +181,16 @@ query("append_owned", _MSG + " SELECT l.cluster_id, l.dim, l.cell_id, s.t, coale
 query("masked_view", _MSG + ", h AS (SELECT src AS cluster_id, dim, cell_id FROM needs UNION SELECT src, dim, cell_id FROM iface2) SELECT l.cluster_id, l.dim, l.cell_id, s.t, CASE WHEN h.cell_id IS NOT NULL THEN 0 ELSE s.x END::BIGINT AS x FROM lidx l JOIN sg s USING (dim, cell_id) LEFT JOIN h ON h.cluster_id = l.cluster_id AND h.dim = l.dim AND h.cell_id = l.cell_id")(
     lambda f: (lambda x: E.split_local(G.local_signal(x[1], x[0].local_index), x[0].needs, x[2])[0].withColumn("x", F.col("x").cast("long")))(_exchange(f))
 )
-query("label_propagation")(
-    lambda f: (lambda x: E.propagate_labels(G.local_signal(x[1], x[0].local_index).filter("dim = 1"), A.hodge(f.boundaries(), 1), x[0].needs.filter("dim = 1").select(F.col("src").alias("cluster_id"), "dim", "cell_id").distinct()))(_exchange(f))
-)
+
+
+@query("label_propagation")
+def label_propagation(f: Fixture) -> DataFrame:
+    """What others own, smoothed from each cluster's own cells, in all three dimensions."""
+    x = _exchange(f)
+    local, stale = settle(G.local_signal(x[1], x[0].local_index)), settle(x[0].needs.select(F.col("src").alias("cluster_id"), "dim", "cell_id").distinct())
+    parts = [E.propagate_labels(local.filter(F.col("dim") == dim), A.hodge(f.boundaries(), dim), stale.filter(F.col("dim") == dim)) for dim in (0, 1, 2)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
 
 # ---- mixing: parameters derived from the signal, a vector per cluster: even months now, odd months before (one shorter)
 _PAR = ", par AS (SELECT cluster_id AS agent, t // 2 AS idx, (sum(x) % 101)::DOUBLE AS value FROM community JOIN s1 USING (cell_id) WHERE t % 2 = 0 GROUP BY 1, 2), od AS (SELECT cluster_id AS agent, t // 2 AS idx, (sum(x) % 101)::DOUBLE AS value FROM community JOIN s1 USING (cell_id) WHERE t % 2 = 1 GROUP BY 1, 2), old AS (SELECT agent, idx, coalesce(od.value, 0) AS value FROM par LEFT JOIN od USING (agent, idx)), z AS (SELECT agent, idx, old.value - par.value AS value FROM par JOIN old USING (agent, idx))"

@@ -91,3 +91,15 @@ def map_batches(df: DataFrame, rows: Callable[[Iterator], Iterator], schema) ->
             release()
 
     return df.mapInArrow(task, schema)
+
+
+def releasing(rows: Callable) -> Callable:
+    """``rows`` of one group (``applyInArrow``), which ends each group by releasing memory."""
+
+    def group(x):
+        try:
+            return rows(x)
+        finally:
+            release()
+
+    return group

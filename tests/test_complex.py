@@ -512,6 +512,35 @@ def test_label_propagation(spark, b):
         assert abs(r["x"] - want) < 1e-9
 
 
+def test_labels_by_conjugate_gradients(spark, b):
+    """All dimensions, views with nothing, something and everything stale, singular and indefinite matrices: as the inverse."""
+    cells = {0: 4, 1: 5, 2: 2}
+    heard = {0: {0: {3}, 1: {3, 4}, 2: {1}}, 1: {0: set(range(4)), 1: {0}, 2: set()}}
+    for dim, n in cells.items():
+        hodge = dense(A.hodge(b, dim), n)
+        local = [(k, dim, c, t, float((7 * c + 3 * t + k) % 5)) for k in heard for c in range(n) for t in range(3)]
+        stale = spark.createDataFrame([(k, dim, c) for k, x in heard.items() for c in x[dim]], "cluster_id long, dim long, cell_id long")
+        m = hodge.copy()
+        np.fill_diagonal(m, 0.01 * np.diag(hodge) + 1)
+        got = E.propagate_labels(spark.createDataFrame(local, "cluster_id long, dim long, cell_id long, t long, x double"), A.hodge(b, dim), stale, dense=0).collect()
+        assert len(got) == len(local)
+        x = {row[:4]: row[4] for row in local}
+        for r in got:
+            k, c, t = r["cluster_id"], r["cell_id"], r["t"]
+            fresh = np.array([0.0 if i in heard[k][dim] else x[k, dim, i, t] for i in range(n)])
+            want = (np.linalg.pinv(m) @ fresh)[c] if c in heard[k][dim] else x[k, dim, c, t]
+            assert abs(r["x"] - want) < 1e-8
+    # [[1, -1], [-1, 1]] is singular: the least norm's solution
+    pair = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0), (0, 1, -1.0), (1, 0, -1.0)], "i long, j long, val double")
+    two = spark.createDataFrame([(0, 0, 0, 0, 4.0), (0, 0, 1, 0, 9.0)], "cluster_id long, dim long, cell_id long, t long, x double")
+    one = spark.createDataFrame([(0, 0, 1)], "cluster_id long, dim long, cell_id long")
+    for most_dense in (0, 4):
+        got = {r["cell_id"]: r["x"] for r in E.propagate_labels(two, pair, one, strength=0.0, dense=most_dense).collect()}
+        assert got[0] == 4.0 and abs(got[1] + 1.0) < 1e-9
+    with pytest.raises(ValueError):
+        E.propagate_labels(spark.createDataFrame(local, two.schema), A.hodge(b, 2), stale, dense=0, most=0)
+
+
 def test_views_of_agents(spark, b):
     g = P.only_edges(b)
     listed = P.needed(g["needs"].filter("src = 0"), b)
