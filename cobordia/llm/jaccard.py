@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from cobordia.llm import textkernel as K
 from cobordia.llm.graph import components
-from cobordia.session import drop_keys, keep_keys, map_batches, settle, table
+from cobordia.session import drop_keys, keep_keys, map_batches, releasing, settle, table
 
 WORDS, PERCENT = 5, 80
 TOKENS_A_BLOCK, SHARED, PARTS = 1 << 20, 4, 8
@@ -245,7 +245,7 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     marks = settle(map_batches(docs, _marks, SETS))
     buckets = max(1, -(-(marks.agg(F.sum("n_shingles")).first()[0] or 0) // TOKENS_A_BLOCK))
     blocks = map_batches(docs.select("text"), _blocks_of_tokens(buckets), TASKED)
-    sets = blocks.groupBy("bucket").applyInArrow(_count, COUNTED).groupBy("task").applyInArrow(_prefix, PREFIXED)
+    sets = blocks.groupBy("bucket").applyInArrow(releasing(_count), COUNTED).groupBy("task").applyInArrow(releasing(_prefix), PREFIXED)
     sets = settle(sets.dropDuplicates(["doc"]))  # copies in several tasks have equal rows
     parts = [f"c{k}" for k in range(PARTS)]
     posts = sets.select("doc", "n", *parts, "skip", F.posexplode("prefix").alias("i", "tok")).withColumn("pos", F.col("skip") + F.col("i")).drop("i")
