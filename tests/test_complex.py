@@ -541,6 +541,30 @@ def test_labels_by_conjugate_gradients(spark, b):
         E.propagate_labels(spark.createDataFrame(local, two.schema), A.hodge(b, 2), stale, dense=0, most=0)
 
 
+def test_labels_between_exchanges(spark, b):
+    """What agents take for others' edges: their values at an exchange, the smoothed labels of their own view between two."""
+    from cobordia.plans import presets, runs
+
+    hodge, clock = dense(A.hodge(b, 1), 5), 3
+    p = P.partition(b, spark.createDataFrame([(0, 0), (0, 1), (0, 2), (1, 3), (1, 4)], "cluster_id long, cell_id long"))
+    signal = readers.from_matrix(spark, EDGES, 1)
+    x = {(r["cell_id"], r["t"]): r["x"] for r in signal.collect()}
+    view, own = ({(r["cluster_id"], r["cell_id"]) for r in d.filter("dim = 1").collect()} for d in (p.local_index, p.owned))
+    assert view - own
+    plan = presets.merged(presets.Plan(), imputer="labels", data_clock=clock)
+    rows = runs.held(signal, p.local_index.select("cluster_id", "dim", "cell_id"), p.owned, plan, b).filter("dim = 1").collect()
+    got = {(*divmod(r["cell_id"], runs.BLOCK), r["t"]): r["x"] for r in rows}
+    assert len(rows) == len(got) and set(got) == {(k, c, t) for k, c in view for t in {t for _, t in x}}
+    for k in {k for k, _ in view}:
+        cells = sorted(c for j, c in view if j == k)
+        m = hodge[np.ix_(cells, cells)]
+        np.fill_diagonal(m, 0.01 * np.diag(m) + 1)
+        for t in {t for _, t in x}:
+            smooth = np.linalg.pinv(m) @ np.array([x[c, t] if (k, c) in own else 0.0 for c in cells])
+            for c, f in zip(cells, smooth, strict=True):
+                assert abs(got[k, c, t] - (x[c, t] if (k, c) in own or t % clock == 0 else f)) < 1e-9
+
+
 def test_views_of_agents(spark, b):
     g = P.only_edges(b)
     listed = P.needed(g["needs"].filter("src = 0"), b)
