@@ -399,6 +399,14 @@ def heuristic_case(f: Fixture) -> DataFrame:
     return scored(s.signal, cases, learn(cases, s.signal))
 
 
+@query("labels_case")
+def labels_case(f: Fixture) -> DataFrame:
+    """The distributed case whose agents smooth labels between two data exchanges in place of holding the last values."""
+    s = Setting(f)
+    cases = {9: s.agents(merged(PLAN, imputer="labels"))}
+    return scored(s.signal, cases, learn(cases, s.signal))
+
+
 @query("resumed_case")
 def resumed_case(f: Fixture, at: int = 40) -> DataFrame:
     """The distributed case folded in two parts: the second starts from the state that the first left."""
