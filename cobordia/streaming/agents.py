@@ -22,9 +22,10 @@ OUT = "agent string, steps long, theta double, last double"
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as a stream; the path is what the Parquet reader takes, so it may be in any store."""
+    """The event table, a file or a folder of files, as a stream; the path is what the Parquet reader takes, so it may be in
+    any store."""
     schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events*.parquet")
 
 
 def buckets(events: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -79,3 +79,68 @@ def test_messages_are_read_once(spark, tmp_path):
     finally:
         spark.conf.set(inbox.STORE[0], before)
     assert got == [(1, 5, 6, "a", 2, 2.0), (1, 5, 6, "b", 4, 4.0), (1, 9, 12, "a", 8, 9.0), (2, 8, 10, "c", 5, None)]
+
+
+class Store:
+    """Stands for an agent's list of messages, and counts what is asked of it."""
+
+    def __init__(self):
+        self.held, self.calls = [], 0
+
+    def getListState(self, *_):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(self.held)
+
+    def put(self, rows):
+        self.calls += 1
+        self.held = list(rows)
+
+    def clear(self):
+        self.calls += 1
+        self.held = []
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.now
+
+
+def took(box, rows, now=0):
+    lot = pd.DataFrame(rows, columns=["t", "id", "reads", "source", "value"])
+    return [tuple(r) for d in box.handleInputRows((1,), iter([lot[:2], lot[2:]] if len(lot) > 2 else [lot]), Clock(now)) for r in d.itertuples(index=False)]
+
+
+def test_inbox_asks_its_store_twice_however_many_messages_come():
+    from cobordia.streaming.inbox import Inbox
+
+    box, store = Inbox(), Store()
+    box.init(store)
+    assert not took(box, [(k, k, False, "abc"[k % 3], float(k)) for k in range(3000)][::-1])
+    assert store.calls == 2 and sorted(m[:3] for m in store.held) == [("a", 2997, 2997.0), ("b", 2998, 2998.0), ("c", 2999, 2999.0)]
+    assert sorted(took(box, [(4000, 1, True, None, None)])) == [(1, 4000, 1, k, 2997 + n, 2997.0 + n) for n, k in enumerate("abc")]
+    assert store.calls == 4 and not store.held
+
+
+def test_inbox_gives_up_each_message_at_its_own_age():
+    from cobordia.streaming.inbox import Inbox
+
+    box, store = Inbox(keep_ms=100), Store()
+    box.init(store)
+    took(box, [(1, 1, False, "a", 1.0)], now=0)
+    took(box, [(2, 2, False, "b", 2.0)], now=60)  # "a" keeps its age though the list is written anew
+    assert took(box, [(3, 3, True, None, None)], now=120) == [(1, 3, 3, "b", 2, 2.0)]
+
+
+def test_events_may_be_a_folder_of_files(spark, tmp_path):
+    e = pd.read_parquet(f"{SF}/events.parquet")
+    (tmp_path / "events.parquet").mkdir()
+    for k in range(3):
+        e.iloc[k::3].to_parquet(tmp_path / f"events.parquet/part-{k}.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
+    got = sorted(tuple(r) for r in streams.stream_inbox(spark, str(tmp_path)).collect())
+    assert got == sorted(tuple(r) for r in streams.stream_inbox(spark, SF).collect()) and got
