@@ -46,6 +46,7 @@ from cobordia.session import drop_keys, keep_keys, map_batches, releasing, settl
 
 WORDS, PERCENT = 5, 80
 TOKENS_A_BLOCK, SHARED, PARTS = 1 << 20, 4, 8
+_AT_ONCE = 1 << 16
 _U = np.uint64
 SETS = "doc_id long, n_shingles long, node long"
 TASKED = "bucket long, task long, tok binary, ord binary, hot binary, hot_n binary, head binary"
@@ -83,9 +84,9 @@ def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
-def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    """Ranges of the 48-bit token space, so sorted tokens lie bucket by bucket."""
-    return (tokens >> _U(16)) * _U(buckets) >> _U(32)
+def _cuts(buckets: int) -> np.ndarray:
+    """Where the ``buckets`` equal ranges of the 48-bit token space begin, and where the last one ends."""
+    return np.asarray([-(-(k << 32) // buckets) << 16 for k in range(buckets + 1)], np.uint64)
 
 
 def _pack(tokens: np.ndarray) -> bytes:
@@ -115,23 +116,28 @@ def _blocks_of_tokens(buckets: int):
         context = TaskContext.get()
         task = (context.partitionId() if context else 0) << 24
         ids, sizes, owns, seen, total = [], [], [], set(), 0
+        cuts = _cuts(buckets)
 
         def flush() -> pa.RecordBatch:
             nonlocal ids, sizes, owns, seen, total, task
-            tokens = np.concatenate(owns)
-            place = np.repeat(np.arange(len(owns)), [len(x) for x in owns]).astype(np.uint16)
-            order = np.argsort(tokens)
-            tokens, place = tokens[order], place[order]
+            lengths = np.asarray([len(x) for x in owns], np.int64)
+            keys = np.concatenate(owns)  # a token and its document's place in 64 bits, sorted where they lie
+            owns.clear()
+            keys.sort()
+            place = keys.astype(np.uint16)
+            keys >>= _U(16)
+            tokens, keys = keys, None
             starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
             many = np.diff(np.append(starts, len(tokens)))
             shared = np.repeat(many >= SHARED, many)
             hot, hot_n = tokens[starts[many >= SHARED]], many[many >= SHARED].astype(np.uint32)
-            heads = [np.asarray(ids, np.int64), np.asarray(sizes, np.int64), np.asarray([len(x) for x in owns], np.int64), hot_n.astype(np.int64), hot.astype(np.int64), place[shared].astype(np.int64)]
+            heads = [np.asarray(ids, np.int64), np.asarray(sizes, np.int64), lengths, hot_n.astype(np.int64), hot.astype(np.int64), place[shared].astype(np.int64)]
             head = np.asarray([len(h) for h in heads], np.int64).tobytes() + b"".join(h.tobytes() for h in heads)
             tokens, place = tokens[~shared], place[~shared]
-            of_cold, of_hot, heads_to = _bucket(tokens, buckets), _bucket(hot, buckets), (task * 0x9E3779B1 >> 7) % buckets
-            some = np.unique(np.concatenate((of_cold, of_hot, np.asarray([heads_to], np.uint64))))  # no row for a range without shingles
-            at = [np.searchsorted(x, some, side).tolist() for x in (of_cold, of_hot) for side in ("left", "right")]
+            heads_to = (task * 0x9E3779B1 >> 7) % buckets
+            cold_at, hot_at = np.searchsorted(tokens, cuts), np.searchsorted(hot, cuts)
+            some = np.flatnonzero((np.diff(cold_at) > 0) | (np.diff(hot_at) > 0) | (np.arange(buckets) == heads_to))  # no row for a range without shingles
+            at = [x.tolist() for x in (cold_at[some], cold_at[some + 1], hot_at[some], hot_at[some + 1])]
             out = []
             for k, a, b, c, d in zip(some.tolist(), *at, strict=True):
                 out.append((k, task, _pack(tokens[a:b]), place[a:b].tobytes(), hot[c:d].tobytes(), hot_n[c:d].tobytes(), head if k == heads_to else b""))
@@ -147,7 +153,8 @@ def _blocks_of_tokens(buckets: int):
                 seen.add(node)
                 ids.append(node)
                 sizes.append(len(own))
-                owns.append(np.unique(own & _U((1 << 48) - 1)))
+                tokens = np.unique(own & _U((1 << 48) - 1))
+                owns.append(tokens << _U(16) | _U(len(owns)))
                 total += len(own)
                 if total >= TOKENS_A_BLOCK or len(ids) >= 60_000:
                     yield flush()
@@ -163,9 +170,17 @@ def _count(group: pa.Table) -> pa.Table:
     cold = [_unpack(r["tok"]) for r in rows]
     hot = [np.frombuffer(r["hot"], np.uint64) for r in rows]
     tokens = np.concatenate(cold + hot)
-    weight = np.concatenate([np.ones(len(x), np.int64) for x in cold] + [np.frombuffer(r["hot_n"], np.uint32).astype(np.int64) for r in rows])
-    _, back = np.unique(tokens, return_inverse=True)
-    df = np.bincount(back, weight).astype(np.uint32)[back] if len(tokens) else np.zeros(0, np.uint32)
+    uniq = np.sort(tokens)
+    uniq = uniq[np.concatenate((np.ones(min(1, len(uniq)), bool), uniq[1:] != uniq[:-1]))]
+    df, n_cold = np.zeros(len(uniq), np.uint32), sum(map(len, cold))
+    back = np.empty(len(tokens), np.uint32)
+    for k in range(0, len(tokens), _AT_ONCE):
+        back[k : k + _AT_ONCE] = np.searchsorted(uniq, tokens[k : k + _AT_ONCE])
+    del tokens, uniq
+    for k in range(0, n_cold, _AT_ONCE):
+        np.add.at(df, back[k : min(k + _AT_ONCE, n_cold)], np.uint32(1))
+    np.add.at(df, back[n_cold:], np.concatenate([np.frombuffer(r["hot_n"], np.uint32) for r in rows]))
+    df = df[back]
     at = np.cumsum([0, *map(len, cold), *map(len, hot)])
     out = []
     for k, r in enumerate(rows):

@@ -66,7 +66,7 @@ def bag(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndar
     return found[order], np.searchsorted(of[order], np.arange(len(words) + 1))
 
 
-def bags(words: list[bytes], most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def bags(words: list[bytes], most: int = 5_000) -> tuple[np.ndarray, np.ndarray]:
     """``bag``, a part of the words at a time."""
     found, at = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
     for k in range(0, len(words), most):
@@ -283,7 +283,7 @@ def scores(odds: np.ndarray | None, bias: float, shift: float, span: int, stamp:
         known = K.held(f"toxicity {stamp}", lambda: Bags(odds)) if odds is not None else None
         for batch in batches:
             out = [np.zeros(0)]
-            for begin, end, data, offsets in K.blocks(lowered(batch.column(1)), 1 << 20):
+            for begin, end, data, offsets in K.blocks(lowered(batch.column(1)), 1 << 18):
                 best = np.zeros(end - begin)
                 if known is not None:
                     start, stop, first = K.word_spans(data, offsets)

@@ -64,7 +64,7 @@ def drop_keys(df: DataFrame, keys: DataFrame, column: str, at_most: int = 1 << 2
 
 
 #: Arrow batches between the JVM and Python: rows and bytes at most. Larger settings of the session are lowered.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20}
 
 
 def release() -> None:

@@ -749,3 +749,35 @@ def test_word_ids_start_afresh_beyond_their_bound():
     for _, _, data, offsets in textkernel.blocks(pa.array([t for _, t, *_ in corpus()]), 1 << 14):
         for x, y in zip(whole.of(data, offsets), small.of(data, offsets), strict=True):
             assert x.tolist() == y.tolist()
+
+
+def test_workers_of_the_jaccard_join_and_of_toxicity_stay_small():
+    """Peak of what numpy and Python hold, for a block of a million shingles and for 8 MB of text."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from cobordia import session
+    from cobordia.llm import jaccard as J
+    from cobordia.llm import toxicity as X
+
+    def peak(f) -> float:
+        tracemalloc.start()
+        f()
+        most = tracemalloc.get_traced_memory()[1] / 2**20
+        tracemalloc.stop()
+        return most
+
+    draw = np.random.RandomState(1)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(draw.choice(words, 6000)) for _ in range(180)]
+    docs = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 30])], names=["text"]) for k in range(0, 180, 30)]
+    made = []
+    assert peak(lambda: made.extend(J._blocks_of_tokens(1)(iter(docs)))) < 70
+    one = pa.Table.from_batches(made)
+    assert one.num_rows == 2 and peak(lambda: J._count(one)) < 60
+    scored = X.scores(np.zeros(X.BUCKETS), 0.0, 0.0, 6, "peak")
+    lot = [pa.RecordBatch.from_arrays([pa.array(range(180)), pa.array(texts)], names=["id", "text"])]
+    assert peak(lambda: list(scored(iter(lot)))) < 30
+    assert session.BATCHES["spark.sql.execution.arrow.maxBytesPerBatch"] <= 2 << 20
