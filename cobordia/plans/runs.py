@@ -120,21 +120,52 @@ def _laplacians(b: dict[int, DataFrame], dim: int) -> tuple[DataFrame | None, Da
     return settle(lower) if lower is not None else None, settle(upper) if upper is not None else None
 
 
-def ccvar_features(b: dict[int, DataFrame], signal: DataFrame, model: presets.Model) -> DataFrame:
-    """(dim, i, t, f, s) of all enabled dimensions."""
-    own = {d: signal.filter(F.col("dim") == d).drop("dim") for d in model.dims}
-    out = []
+def stacks(b: dict[int, DataFrame], model: presets.Model) -> DataFrame:
+    """(dim, block, of, k, i, j, val): how the cells j of dimension ``of`` enter each block of features of the cells i, power
+    by power, of all enabled dimensions. A power is settled before the next, so each product is made once."""
+    base, most, across = [], 0, []
     for d in model.dims:
-        lower, upper = _laplacians(b, d)
-        low, up = model.pair(model.powers, d)
-        below = (b[d], own[d - 1], low) if d in b and d - 1 in own else None
-        above = (b[d + 1], own[d + 1], up) if d + 1 in b and d + 1 in own else None
-        x = X.ccvar(own[d].select("cell_id").distinct(), own[d], lower, upper, (low, up), model.lag, below, above, model.bias)
-        if model.normalise:
-            x = X.normalise(settle(x), own[d], _agent, model.b)
-        x = X.numbered(x, model.columns(d, d in b, d + 1 in b))
-        out.append(x.select(F.lit(d).cast("long").alias("dim"), "i", "t", "f", "s"))
-    return settle(union(out))
+        for side, m, k in zip(("sl", "su"), A.laplacians(b, d), model.pair(model.powers, d), strict=True):
+            if m is not None:
+                base.append(m.select(F.lit(d).cast("long").alias("dim"), F.lit(side).alias("block"), F.lit(k).alias("most"), "i", "j", "val"))
+                most = max(most, k)
+        for side, of, m in (("sl", d - 1, A.transpose(b[d]) if d in b else None), ("su", d + 1, b.get(d + 1))):
+            if m is not None and of in model.dims:
+                across.append(m.select(F.lit(d).cast("long").alias("dim"), F.lit(side).alias("block"), F.lit(of).cast("long").alias("of"), F.col("i").alias("m"), "j", F.col("val").alias("y")))
+    base = settle(union(base))
+    powers = [base]
+    right = base.select("dim", "block", F.col("i").alias("m"), "j", F.col("val").alias("y"))
+    for k in range(2, most + 1):
+        left = powers[-1].filter(F.col("most") >= k).select("dim", "block", "most", "i", F.col("j").alias("m"), F.col("val").alias("x"))
+        x = left.join(right, ["dim", "block", "m"]).groupBy("dim", "block", "most", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("val"))
+        powers.append(settle(x.filter("val <> 0")))
+    same = settle(union(x.select("dim", "block", F.col("dim").alias("of"), F.lit(k).cast("long").alias("k"), "i", "j", "val") for k, x in enumerate(powers, 1)))
+    if not across:
+        return same
+    left = same.select("dim", "block", "k", "i", F.col("j").alias("m"), F.col("val").alias("x"))
+    other = left.join(union(across), ["dim", "block", "m"]).groupBy("dim", "block", "of", "k", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("val")).filter("val <> 0")
+    other = other.withColumn("block", F.when(F.col("block") == "sl", "l").otherwise("u"))
+    return settle(same.unionByName(other.select(*same.columns)))
+
+
+def ccvar_features(b: dict[int, DataFrame], signal: DataFrame, model: presets.Model, stack: DataFrame | None = None) -> DataFrame:
+    """(dim, i, t, f, s) of all enabled dimensions, by one join of their ``stacks`` with the lagged signal."""
+    stack = stacks(b, model) if stack is None else stack
+    signal = signal.filter(F.col("dim").isin(list(model.dims))).select("dim", "cell_id", "t", "x")
+    lagged = X.lags(signal, model.lag, by=("dim", "cell_id")).select(F.col("dim").alias("of"), F.col("cell_id").alias("j"), "t", "lag", "x")
+    x = stack.join(lagged, ["of", "j"]).groupBy("dim", "i", "t", "block", "k", "lag").agg(F.sum(F.col("val") * F.col("x")).cast("double").alias("s"))
+    if model.bias:
+        zero = F.lit(0).cast("long")
+        x = x.unionByName(signal.select("dim", F.col("cell_id").alias("i"), "t", F.lit("b").alias("block"), zero.alias("k"), zero.alias("lag"), F.lit(1.0).alias("s")))
+    if model.normalise:
+        x, parts = settle(x), []
+        for d in model.dims:
+            own = X.normalise(x.filter(F.col("dim") == d).drop("dim"), signal.filter(F.col("dim") == d).drop("dim"), _agent, model.b)
+            parts.append(own.select(F.lit(d).cast("long").alias("dim"), "i", "t", "block", "k", "lag", "s"))
+        x = union(parts)
+    numbers = [(d, *c, n) for d in model.dims for n, c in enumerate(model.columns(d, d in b, d + 1 in b))]
+    keys = signal.sparkSession.createDataFrame(numbers, "dim long, block string, k long, lag long, f long")
+    return settle(x.join(F.broadcast(keys), ["dim", "block", "k", "lag"]).select("dim", "i", "t", "f", "s"))  # a row per feature column
 
 
 def topolms_features(b: dict[int, DataFrame], signal: DataFrame, m: int) -> DataFrame:
@@ -147,14 +178,23 @@ def _alone(view: DataFrame) -> DataFrame:
     return view.select(F.col("cluster_id").alias("src")).distinct().select("src", F.col("src").alias("dst"), F.lit(1.0).alias("w"))
 
 
-def _case(plan: Plan, boundaries: dict[int, DataFrame], signal: DataFrame, view: DataFrame, owned: DataFrame, targets: DataFrame, weights: DataFrame, heard: DataFrame | None = None, copies: DataFrame | None = None) -> Case:
-    b = agent_boundaries(boundaries, view)
+def _case(plan: Plan, boundaries: dict[int, DataFrame], signal: DataFrame, view: DataFrame, owned: DataFrame, targets: DataFrame, weights: DataFrame, heard: DataFrame | None = None, copies: DataFrame | None = None, made: dict | None = None) -> Case:
+    """``made``: what cases on one view share, their boundaries and stacks, is kept here."""
+    made = {} if made is None else made
+    if "boundaries" not in made:
+        made["boundaries"] = agent_boundaries(boundaries, view)
+    b = made["boundaries"]
     own, model = held(signal, view, owned, plan, boundaries, heard, copies), plan.model
     if model.kind == "topolms":
         features, widths = topolms_features(b, own, model.m), {1: 2 * model.m + 1}
     else:
-        features, widths = ccvar_features(b, own, model), {d: len(model.columns(d, d in b, d + 1 in b)) for d in model.dims}
-    targets = settle(targets.filter(F.col("dim").isin(list(widths))).select("dim", _block("cluster_id", "cell_id").alias("i")))
+        layout = (model.dims, model.powers)
+        if layout not in made:
+            made[layout] = stacks(b, model)
+        features, widths = ccvar_features(b, own, model, made[layout]), {d: len(model.columns(d, d in b, d + 1 in b)) for d in model.dims}
+    if ("targets", *widths) not in made:
+        made["targets", *widths] = settle(targets.filter(F.col("dim").isin(list(widths))).select("dim", _block("cluster_id", "cell_id").alias("i")))
+    targets = made["targets", *widths]
     return Case(plan, b, own, features, targets, weights, widths)
 
 
@@ -179,9 +219,10 @@ class Setting:
         self.weights = settle(G.metropolis_weights(p.agent_graph, self.owned))
         self.out = settle(G.partial_indices(self.index, self.owned).filter("is_out").select("cluster_id", "dim", "cell_id"))
         self.everything = settle(G.global_agent(f.cells()))
+        self.made = {"whole": {}, "inside": {}, "index": {}}
 
     def whole(self, plan: Plan = PRESETS["global"]) -> Case:
-        return replace(_case(plan, self.boundaries, self.signal, self.everything, self.everything, self.everything, _alone(self.everything)), whole=True)
+        return replace(_case(plan, self.boundaries, self.signal, self.everything, self.everything, self.everything, _alone(self.everything), made=self.made["whole"]), whole=True)
 
     def agents(self, plan: Plan) -> Case:
         """The agents of the clustering; ``plan.inside``: each on what it predicts, nothing imported."""
@@ -191,7 +232,7 @@ class Setting:
         if plan.interface == "averaged":
             copies = settle(E.interface_copies(P.both_ways(self.interface), self.observed if self.observed is not None else self.signal))
         heard = self.heard if plan.data_sends or copies is not None else None
-        return _case(plan, self.boundaries, self.signal, view, self.out if plan.inside else self.owned, self.out, mixing, heard, copies)
+        return _case(plan, self.boundaries, self.signal, view, self.out if plan.inside else self.owned, self.out, mixing, heard, copies, self.made["inside" if plan.inside else "index"])
 
 
 def learn(cases: dict[int, Case], truth: DataFrame) -> DataFrame:
@@ -203,8 +244,9 @@ def folded(cases: dict[int, Case], truth: DataFrame, initial: DataFrame | None =
     """(learning.FOLDED) of the cases; cases of one number of features per dimension each. Matrices of cases that have the same
     features and targets are made once. ``initial``: states to start from
     (``learning.final_state`` of an earlier fold); ``since``, ``before``: only steps from one on, or before another."""
-    grams, sides, mixes, came, widths, first, same = [], [], [], [], {}, {}, {}
+    grams, plains, owns, mixes, came, widths, first, same = [], [], [], [], [], {}, {}, {}
     truth = truth.filter(F.lit(True) if since is None else F.col("t") >= since).filter(F.lit(True) if before is None else F.col("t") < before)
+    keys = ["case_id", "dim", "agent", "t"]
     for case, c in cases.items():
         if any(widths.get(d, w) != w for d, w in c.widths.items()):
             raise ValueError("cases that are learned together need features of one layout")
@@ -219,19 +261,21 @@ def folded(cases: dict[int, Case], truth: DataFrame, initial: DataFrame | None =
             continue
         own = c.features.filter(F.lit(True) if since is None else F.col("t") >= since).filter(F.lit(True) if before is None else F.col("t") < before)
         own = own.join(c.targets, ["dim", "i"], "left_semi").withColumn("agent", _agent("i")).withColumn("case_id", F.lit(case).cast("long"))
-        keys = ["case_id", "dim", "agent", "t"]
         plain = [d for d in c.widths if not any(c.plan.model.pair(c.plan.model.mu, d)) or c.plan.model.kind != "ccvar"]
         if plain:
-            grams.append(A.gram(own.filter(F.col("dim").isin(plain)), keys))
+            plains.append(own.filter(F.col("dim").isin(plain)))
         for d in set(c.widths) - set(plain):
             cells = c.targets.filter(F.col("dim") == d).select("i")
             weight = A.smoothing(cells, *(A.submatrix(m, cells, cells) if m is not None else None for m in A.laplacians(c.boundaries, d)), *map(float, c.plan.model.pair(c.plan.model.mu, d)))
             grams.append(A.gram(own.filter(F.col("dim") == d), keys, weight=settle(weight)))
-        y = truth.select("dim", F.col("cell_id").alias("cell"), "t", F.col("x").alias("y"))
-        targets = own.withColumn("cell", F.col("i") % BLOCK).join(y, ["dim", "cell", "t"])
-        sides.append(targets.groupBy(*keys, "f").agg(F.sum(F.col("s") * F.col("y")).alias("val")))
+        owns.append(own)
+    if plains:  # matrices and sides of all cases by one join each
+        grams.append(A.gram(union(plains), keys))
+    y = truth.select("dim", F.col("cell_id").alias("cell"), "t", F.col("x").alias("y"))
+    targets = union(owns).withColumn("cell", F.col("i") % BLOCK).join(y, ["dim", "cell", "t"])
+    sides = targets.groupBy(*keys, "f").agg(F.sum(F.col("s") * F.col("y")).alias("val"))
     rules = {k: c.plan.rule for k, c in cases.items()}
-    return settle(L.folded(union(grams), union(sides), union(mixes), rules, widths, receipts=union(came) if came else None, initial=initial, ends=ends, same=same))
+    return settle(L.folded(union(grams), sides, union(mixes), rules, widths, receipts=union(came) if came else None, initial=initial, ends=ends, same=same))
 
 
 def operator(c: Case) -> tuple[DataFrame, dict[int, int]]:

@@ -655,3 +655,25 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "m")).select("case_id", "dim", "i", "tv_mae").collect())) == [(1, 0, t, 0.5 * t) for t in range(3)]
     t = spark.createDataFrame([("tvMAE", 1.0, None)], "metric string, a double, b double")
     assert sinks.markdown(t).splitlines()[-1] == "| tvMAE | 1.000000e+00 | nan |" and "tvMAE & 1.000000e+00 & nan" in sinks.latex(t)
+
+
+def test_cases_on_one_view_share_their_operators(spark):
+    """Data clocks differ in signals alone; the features of all dimensions in one join are those of each by itself."""
+    from pyspark.sql import functions as F
+
+    from cobordia.plans import presets, runs
+    from cobordia.plans.fixture import Fixture
+    from tests.conftest import SF
+
+    s = runs.Setting(Fixture(spark, SF))
+    one, ten = (s.agents(presets.merged(runs.PLAN, data_clock=c, model={"powers": (1, (3, 2), 2)})) for c in (1, 10))
+    assert one.boundaries is ten.boundaries and one.targets is ten.targets
+    model, b, early = one.plan.model, one.boundaries, one.signal.filter("t < 5")
+    own = {d: early.filter(F.col("dim") == d).drop("dim") for d in (0, 1, 2)}
+    got = {(r["dim"], r["i"], r["t"], r["f"]): r["s"] for r in one.features.filter("t < 5").collect()}
+    want = {}
+    for d in (0, 1, 2):
+        low, up = model.pair(model.powers, d)
+        x = X.ccvar(own[d].select("cell_id").distinct(), own[d], *A.laplacians(b, d), (low, up), model.lag, (b[d], own[d - 1], low) if d else None, (b[d + 1], own[d + 1], up) if d < 2 else None)
+        want |= {(d, r["i"], r["t"], r["f"]): r["s"] for r in X.numbered(x, model.columns(d, d in b, d + 1 in b)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 * max(1, abs(v)) for k, v in want.items())
