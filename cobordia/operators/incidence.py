@@ -121,10 +121,16 @@ def smoothing(cells: DataFrame, lower: DataFrame | None, upper: DataFrame | None
 
 
 def gram(x: DataFrame, by: list[str], row: str = "i", column: str = "f", value: str = "s", weight: DataFrame | None = None) -> DataFrame:
-    """XᵀRX per group: (by, f, g, val); R is the identity or (i, j, val)."""
-    left, right = x.select(*by, F.col(row).alias("i"), F.col(column).alias("f"), F.col(value).alias("a")), x.select(*by, F.col(row).alias("j"), F.col(column).alias("g"), F.col(value).alias("b"))
+    """XᵀRX per group: (by, f, g, val); R is the identity or (i, j, val).
+
+    XᵀX is dealt by group, so that its sums, which are as many as pairs of columns for each row, need no shuffle of their own;
+    a row's pairs are streamed, and as XᵀX is symmetric one triangle is summed up."""
     if weight is None:
-        pairs, w = left.join(right.withColumnRenamed("j", "i"), [*by, "i"]), F.lit(1)
-    else:
-        pairs, w = left.join(weight, "i").join(right, [*by, "j"]), F.col("val")
-    return pairs.groupBy(*by, "f", "g").agg(F.sum(F.col("a") * w * F.col("b")).alias("val"))
+        rows = x.repartition(*by).groupBy(*by, row).agg(F.collect_list(F.struct(F.col(column).alias("f"), F.col(value).alias("a"))).alias("all"))
+        pairs = rows.select(*by, "all", F.explode("all").alias("l")).select(*by, "l", F.explode("all").alias("r")).filter("l.f <= r.f")
+        half = pairs.groupBy(*by, F.col("l.f").alias("f"), F.col("r.f").alias("g")).agg(F.sum(F.col("l.a") * F.col("r.a")).alias("val"))
+        one, other = F.struct("f", "g"), F.struct(F.col("g").alias("f"), F.col("f").alias("g"))
+        return half.select(*by, F.explode(F.when(F.col("f") == F.col("g"), F.array(one)).otherwise(F.array(one, other))).alias("at"), "val").select(*by, "at.f", "at.g", "val")
+    left, right = x.select(*by, F.col(row).alias("i"), F.col(column).alias("f"), F.col(value).alias("a")), x.select(*by, F.col(row).alias("j"), F.col(column).alias("g"), F.col(value).alias("b"))
+    pairs = left.join(weight, "i").join(right, [*by, "j"])
+    return pairs.groupBy(*by, "f", "g").agg(F.sum(F.col("a") * F.col("val") * F.col("b")).alias("val"))

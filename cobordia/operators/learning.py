@@ -399,10 +399,13 @@ def stepwise(rows: DataFrame, weights: DataFrame, rule: Rule, width: int, case:
     return x.select(F.lit(case).cast("long").alias("case_id"), F.lit(dim).cast("long").alias("dim"), "agent", F.col("t").cast("long").alias("t"), "part", F.col("idx").cast("long").alias("idx"), "value")
 
 
-def predict(features: DataFrame, theta: DataFrame) -> DataFrame:
-    """One-step forecasts: features (case_id, dim, agent, cell_id, t, f, s) of step t with the parameters of step t - 1."""
-    x = theta.select("case_id", "dim", "agent", (F.col("t") + 1).alias("t"), F.col("idx").alias("f"), "value")
-    return features.join(x, ["case_id", "dim", "agent", "t", "f"]).groupBy("case_id", "dim", "agent", "cell_id", "t").agg(F.sum(F.col("s") * F.col("value")).alias("yhat"))
+def predict(features: DataFrame, theta: DataFrame, same: dict[int, int] | None = None) -> DataFrame:
+    """One-step forecasts: features (case_id, dim, agent, cell_id, t, f, s) of step t with the parameters of step t - 1.
+    ``same``: case -> the case whose features it has too, of all cases wanted, so that those are there once."""
+    of = F.col("case_id") if same is None else F.element_at(F.create_map(*(F.lit(int(x)).cast("long") for kv in same.items() for x in kv)), F.col("case_id"))
+    x = theta.select(of.alias("of"), "case_id", "dim", "agent", (F.col("t") + 1).alias("t"), F.col("idx").alias("f"), "value")
+    joined = features.withColumnRenamed("case_id", "of").join(x, ["of", "dim", "agent", "t", "f"])
+    return joined.groupBy("case_id", "dim", "agent", "cell_id", "t").agg(F.sum(F.col("s") * F.col("value")).alias("yhat"))
 
 
 def rollout(operator: DataFrame, buffer: DataFrame, theta: DataFrame, biases: dict[int, int], lag: int, horizon: int) -> DataFrame:

@@ -123,20 +123,26 @@ def greedy_modularity(graph: DataFrame, best_n: int | None = None, resolution: f
     return graph.select(F.lit(0).alias("all"), "i", "j").groupBy("all").applyInPandas(lambda pdf: merge(pdf), "cluster_id long, cell_id long")
 
 
-def partition(boundaries: N.Boundaries, community: DataFrame, dim: int = 1, q: int = 1, zero_diagonal: bool = False, near: DataFrame | None = None) -> Partition:
-    """Ownership, interfaces and imports of the communities (cluster_id, cell_id) of ``dim``-cells."""
+def partition(boundaries: N.Boundaries, community: DataFrame, dim: int = 1, q: int = 1, zero_diagonal: bool = False, near: DataFrame | None = None, like: Partition | None = None) -> Partition:
+    """Ownership, interfaces and imports of the communities (cluster_id, cell_id) of ``dim``-cells. ``like``: the partition of
+    these communities with imports from another distance, all else of which is taken over."""
     check_dim(boundaries, dim)
-    boundaries = {k: settle(b) for k, b in boundaries.items()}
-    trees = settle(N.adjacency(boundaries))
-    near = near if near is not None else N.self_adjacency(A.hodge(boundaries, dim), q, zero_diagonal)
+    boundaries = {k: settle(b) for k, b in boundaries.items()} if like is None else boundaries
+    trees = settle(N.adjacency(boundaries)) if like is None else like.adjacency
+    if near is None:
+        hodge = A.hodge(boundaries, dim)
+        near = N.self_adjacency(settle(hodge) if q > 1 else hodge, q, zero_diagonal)
     mine = community.select("cluster_id", F.lit(dim).cast("long").alias("dim"), "cell_id")
     other = trees.filter((F.col("dim_from") == dim) & (F.col("dim_to") != dim)).select(F.col("cell_from").alias("of"), F.col("dim_to").alias("dim"), F.col("cell_to").alias("cell_id"))
-    owned0 = mine.unionByName(community.select("cluster_id", F.col("cell_id").alias("of")).join(other, "of").select("cluster_id", *CELL).distinct())
-    # every table below is used several times over; settled, none is computed twice
-    owned0 = settle(owned0)
-    interface = settle(shared(owned0.filter(F.col("dim") != dim)))
-    owned = without_interface(owned0, interface, dim)
-    graph = agent_graph(interface)
+    if like is None:
+        owned0 = mine.unionByName(community.select("cluster_id", F.col("cell_id").alias("of")).join(other, "of").select("cluster_id", *CELL).distinct())
+        # every table below is used several times over; settled, none is computed twice
+        owned0 = settle(owned0)
+        interface = settle(shared(owned0.filter(F.col("dim") != dim)))
+        owned = without_interface(owned0, interface, dim)
+        graph = agent_graph(interface)
+    else:
+        owned0, interface, owned, graph = like.owned0, like.interface, like.owned, like.agent_graph
     asked = mine.select(F.col("cluster_id").alias("src"), F.col("cell_id").alias("i")).join(near, "i")
     asked = asked.join(mine.select(F.col("cluster_id").alias("dst"), F.col("cell_id").alias("j")), "j").filter("src <> dst")
     asked = asked.join(graph, ["src", "dst"], "left_semi").select("src", "dst", F.col("j").alias("cell_id")).distinct()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cobordia.functions import registry
@@ -54,12 +54,12 @@ def union(parts) -> DataFrame:
 @dataclass(frozen=True)
 class Case:
     """A case ready to learn: block-diagonal boundaries and signal (dim, cell_id, t, x) of its agents, features (dim, i,
-    t, f, s), cells that are predicted (dim, i), mixing weights, and widths of the dimensions."""
+    t, f, s; None until ``ready``), cells that are predicted (dim, i), mixing weights, and widths of the dimensions."""
 
     plan: Plan
     boundaries: dict[int, DataFrame]
     signal: DataFrame
-    features: DataFrame
+    features: DataFrame | None
     targets: DataFrame
     weights: DataFrame
     widths: dict[int, int]
@@ -120,52 +120,57 @@ def _laplacians(b: dict[int, DataFrame], dim: int) -> tuple[DataFrame | None, Da
     return settle(lower) if lower is not None else None, settle(upper) if upper is not None else None
 
 
-def stacks(b: dict[int, DataFrame], model: presets.Model) -> DataFrame:
-    """(dim, block, of, k, i, j, val): how the cells j of dimension ``of`` enter each block of features of the cells i, power
-    by power, of all enabled dimensions. A power is settled before the next, so each product is made once."""
-    base, most, across = [], 0, []
-    for d in model.dims:
-        for side, m, k in zip(("sl", "su"), A.laplacians(b, d), model.pair(model.powers, d), strict=True):
-            if m is not None:
-                base.append(m.select(F.lit(d).cast("long").alias("dim"), F.lit(side).alias("block"), F.lit(k).alias("most"), "i", "j", "val"))
-                most = max(most, k)
-        for side, of, m in (("sl", d - 1, A.transpose(b[d]) if d in b else None), ("su", d + 1, b.get(d + 1))):
-            if m is not None and of in model.dims:
-                across.append(m.select(F.lit(d).cast("long").alias("dim"), F.lit(side).alias("block"), F.lit(of).cast("long").alias("of"), F.col("i").alias("m"), "j", F.col("val").alias("y")))
-    base = settle(union(base))
-    powers = [base]
-    right = base.select("dim", "block", F.col("i").alias("m"), "j", F.col("val").alias("y"))
-    for k in range(2, most + 1):
-        left = powers[-1].filter(F.col("most") >= k).select("dim", "block", "most", "i", F.col("j").alias("m"), F.col("val").alias("x"))
-        x = left.join(right, ["dim", "block", "m"]).groupBy("dim", "block", "most", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("val"))
-        powers.append(settle(x.filter("val <> 0")))
-    same = settle(union(x.select("dim", "block", F.col("dim").alias("of"), F.lit(k).cast("long").alias("k"), "i", "j", "val") for k, x in enumerate(powers, 1)))
-    if not across:
-        return same
-    left = same.select("dim", "block", "k", "i", F.col("j").alias("m"), F.col("val").alias("x"))
-    other = left.join(union(across), ["dim", "block", "m"]).groupBy("dim", "block", "of", "k", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("val")).filter("val <> 0")
-    other = other.withColumn("block", F.when(F.col("block") == "sl", "l").otherwise("u"))
-    return settle(same.unionByName(other.select(*same.columns)))
-
-
-def ccvar_features(b: dict[int, DataFrame], signal: DataFrame, model: presets.Model, stack: DataFrame | None = None) -> DataFrame:
-    """(dim, i, t, f, s) of all enabled dimensions, by one join of their ``stacks`` with the lagged signal."""
-    stack = stacks(b, model) if stack is None else stack
-    signal = signal.filter(F.col("dim").isin(list(model.dims))).select("dim", "cell_id", "t", "x")
-    lagged = X.lags(signal, model.lag, by=("dim", "cell_id")).select(F.col("dim").alias("of"), F.col("cell_id").alias("j"), "t", "lag", "x")
-    x = stack.join(lagged, ["of", "j"]).groupBy("dim", "i", "t", "block", "k", "lag").agg(F.sum(F.col("val") * F.col("x")).cast("double").alias("s"))
+def ccvar_features(views: list[tuple[dict[int, DataFrame], dict[int, DataFrame]]], model: presets.Model) -> dict[int, DataFrame]:
+    """(dim, i, t, f, s) of all enabled dimensions for each key of ``views``, which are boundaries with the signals on them by
+    keys. All are made together: round k multiplies what round k - 1 left of all blocks, keys and lags by their sparse
+    Laplacians in one join, so no power of a Laplacian, which is dense soon, meets a signal."""
+    base, across, signals = [], [], []
+    for b, own in views:
+        keys = F.explode(F.array(*(F.lit(int(k)).cast("long") for k in own)))
+        for k, x in own.items():
+            signals.append(x.filter(F.col("dim").isin(list(model.dims))).select(F.lit(int(k)).cast("long").alias("key"), "dim", "cell_id", "t", F.col("x").cast("double").alias("x")))
+        for d in model.dims:
+            bounds = (d - 1, A.transpose(b[d]) if d in b else None), (d + 1, b.get(d + 1))
+            for own_block, block, (of, m), laplacian, most in zip(("sl", "su"), ("l", "u"), bounds, A.laplacians(b, d), model.pair(model.powers, d), strict=True):
+                if laplacian is None:
+                    continue
+                at = F.lit(d).cast("long").alias("dim")
+                blocks = [own_block, block] if of in model.dims else [own_block]
+                each = laplacian.select(at, F.explode(F.array(*map(F.lit, blocks))).alias("block"), F.lit(most).alias("most"), "i", "j", "val")
+                base.append(each.withColumn("key", keys))
+                if of in model.dims:
+                    across.append(m.select(at, F.lit(block).alias("block"), F.lit(of).cast("long").alias("of"), "i", "j", "val").withColumn("key", keys))
+    base, signal = settle(union(base)), union(signals)
+    w = Window.partitionBy("key", "dim", "cell_id").orderBy("t")
+    lags = {p: f"x{p}" for p in range(1, model.lag + 1)}
+    lagged = settle(signal.select("key", "dim", "cell_id", "t", *(F.coalesce(F.lag("x", p).over(w), F.lit(0.0)).alias(n) for p, n in lags.items())))
+    total = [F.sum(F.col("val") * F.col(n)).alias(n) for n in lags.values()]
+    state = lagged.select("key", "dim", F.explode(F.array(F.lit("sl"), F.lit("su"))).alias("block"), F.col("cell_id").alias("i"), "t", *lags.values())
+    if across:
+        other = lagged.select("key", F.col("dim").alias("of"), F.col("cell_id").alias("j"), "t", *lags.values())
+        state = state.unionByName(union(across).join(other, ["key", "of", "j"]).groupBy("key", "dim", "block", "i", "t").agg(*total))
+    powers = []
+    for k in range(1, max(k for d in model.dims for k in model.pair(model.powers, d)) + 1):
+        right = state.withColumnRenamed("i", "j")
+        left = base.filter(F.col("most") >= k).drop("most")
+        state = settle(left.join(right, ["key", "dim", "block", "j"]).groupBy("key", "dim", "block", "i", "t").agg(*total))
+        powers.append(state.withColumn("k", F.lit(k).cast("long")))
+    each = F.explode(F.array(*(F.struct(F.lit(p).cast("long").alias("lag"), F.col(n).alias("s")) for p, n in lags.items()))).alias("l")
+    x = union(powers).select("key", "dim", "i", "t", "block", "k", each).select("key", "dim", "i", "t", "block", "k", "l.lag", "l.s")
     if model.bias:
         zero = F.lit(0).cast("long")
-        x = x.unionByName(signal.select("dim", F.col("cell_id").alias("i"), "t", F.lit("b").alias("block"), zero.alias("k"), zero.alias("lag"), F.lit(1.0).alias("s")))
+        x = x.unionByName(lagged.select("key", "dim", F.col("cell_id").alias("i"), "t", F.lit("b").alias("block"), zero.alias("k"), zero.alias("lag"), F.lit(1.0).alias("s")))
     if model.normalise:
         x, parts = settle(x), []
-        for d in model.dims:
-            own = X.normalise(x.filter(F.col("dim") == d).drop("dim"), signal.filter(F.col("dim") == d).drop("dim"), _agent, model.b)
-            parts.append(own.select(F.lit(d).cast("long").alias("dim"), "i", "t", "block", "k", "lag", "s"))
+        for key, d in ((k, d) for _, own in views for k in own for d in model.dims):
+            mine = (F.col("key") == key) & (F.col("dim") == d)
+            own = X.normalise(x.filter(mine).drop("key", "dim"), signal.filter(mine).drop("key", "dim"), _agent, model.b)
+            parts.append(own.select(F.lit(key).cast("long").alias("key"), F.lit(d).cast("long").alias("dim"), "i", "t", "block", "k", "lag", "s"))
         x = union(parts)
-    numbers = [(d, *c, n) for d in model.dims for n, c in enumerate(model.columns(d, d in b, d + 1 in b))]
-    keys = signal.sparkSession.createDataFrame(numbers, "dim long, block string, k long, lag long, f long")
-    return settle(x.join(F.broadcast(keys), ["dim", "block", "k", "lag"]).select("dim", "i", "t", "f", "s"))  # a row per feature column
+    numbers = [(int(key), d, *c, n) for b, own in views for key in own for d in model.dims for n, c in enumerate(model.columns(d, d in b, d + 1 in b))]
+    columns = signal.sparkSession.createDataFrame(numbers, "key long, dim long, block string, k long, lag long, f long")
+    x = settle(x.join(F.broadcast(columns), ["key", "dim", "block", "k", "lag"]).select("key", "dim", "i", "t", "f", "s"))  # a row per feature column
+    return {key: x.filter(F.col("key") == key).drop("key") for _, own in views for key in own}
 
 
 def topolms_features(b: dict[int, DataFrame], signal: DataFrame, m: int) -> DataFrame:
@@ -178,33 +183,52 @@ def _alone(view: DataFrame) -> DataFrame:
     return view.select(F.col("cluster_id").alias("src")).distinct().select("src", F.col("src").alias("dst"), F.lit(1.0).alias("w"))
 
 
-def _case(plan: Plan, boundaries: dict[int, DataFrame], signal: DataFrame, view: DataFrame, owned: DataFrame, targets: DataFrame, weights: DataFrame, heard: DataFrame | None = None, copies: DataFrame | None = None, made: dict | None = None) -> Case:
-    """``made``: what cases on one view share, their boundaries and stacks, is kept here."""
+def _case(plan: Plan, boundaries: dict[int, DataFrame], signal: DataFrame, view: DataFrame, owned: DataFrame, targets: DataFrame, weights: DataFrame, heard: DataFrame | None = None, copies: DataFrame | None = None, made: dict | None = None, bare: bool = False) -> Case:
+    """``made``: what cases on one view share, their boundaries and targets, is kept here. ``bare``: without features."""
     made = {} if made is None else made
     if "boundaries" not in made:
         made["boundaries"] = agent_boundaries(boundaries, view)
     b = made["boundaries"]
     own, model = held(signal, view, owned, plan, boundaries, heard, copies), plan.model
     if model.kind == "topolms":
-        features, widths = topolms_features(b, own, model.m), {1: 2 * model.m + 1}
+        widths = {1: 2 * model.m + 1}
     else:
-        layout = (model.dims, model.powers)
-        if layout not in made:
-            made[layout] = stacks(b, model)
-        features, widths = ccvar_features(b, own, model, made[layout]), {d: len(model.columns(d, d in b, d + 1 in b)) for d in model.dims}
+        widths = {d: len(model.columns(d, d in b, d + 1 in b)) for d in model.dims}
     if ("targets", *widths) not in made:
         made["targets", *widths] = settle(targets.filter(F.col("dim").isin(list(widths))).select("dim", _block("cluster_id", "cell_id").alias("i")))
-    targets = made["targets", *widths]
-    return Case(plan, b, own, features, targets, weights, widths)
+    case = Case(plan, b, own, None, made["targets", *widths], weights, widths)
+    return case if bare else ready({0: case})[0]
+
+
+def ready(cases: dict[int, Case]) -> dict[int, Case]:
+    """The cases with their features; those of one CC-VAR model are made together, whatever their views."""
+    out, alike = dict(cases), {}
+    for key, c in cases.items():
+        if c.features is None and c.plan.model.kind == "topolms":
+            out[key] = replace(c, features=topolms_features(c.boundaries, c.signal, c.plan.model.m))
+        elif c.features is None:
+            alike.setdefault(c.plan.model, {}).setdefault(id(c.boundaries), {})[key] = c
+    for model, views in alike.items():
+        features = ccvar_features([(next(iter(own.values())).boundaries, {k: c.signal for k, c in own.items()}) for own in views.values()], model)
+        out |= {k: replace(cases[k], features=x) for k, x in features.items()}
+    return out
 
 
 class Setting:
     """What cases on one clustering share, settled once."""
 
-    def __init__(self, f: Fixture, clustering: presets.Clustering | None = None, observed: DataFrame | None = None) -> None:
+    def __init__(self, f: Fixture, clustering: presets.Clustering | None = None, observed: DataFrame | None = None, like: Setting | None = None) -> None:
         """``observed``: (cluster_id, dim, cell_id, t, x), what each cluster itself sees of the cells that it shares, where that
-        isn't the signal."""
+        isn't the signal. ``like``: a setting of the same clusters, "given" ones, that differs in ``q_hop`` alone; what doesn't
+        depend on it is taken over."""
         c = clustering or presets.Clustering()
+        if like is not None:
+            if replace(c, q_hop=1) != replace(like.clustering, q_hop=1) or c.kind != "given":
+                raise ValueError("only settings of the same given clusters share their tables")
+            self.__dict__ |= like.__dict__ | {"clustering": c, "observed": observed}
+            p = P.partition(self.boundaries, f.community(), c.dim, c.q_hop, like=like.partition)
+            self._seen(p)
+            return
         self.f, self.signal, self.boundaries = f, scaled(f), {k: settle(b) for k, b in f.boundaries().items()}
         if c.kind == "hops":
             p = P.hop_partition(self.boundaries, c.d, c.dim, c.q_hop)
@@ -214,25 +238,32 @@ class Setting:
                 graph = settle(A.off_diagonal(A.lower_laplacian(self.boundaries[c.dim])).select("i", "j"))
                 community = settle(P.greedy_modularity(graph, c.best_n, c.resolution))
             p = P.partition(self.boundaries, community, c.dim, c.q_hop) if c.kind != "given" or c.q_hop > 1 else f.partition()
-        self.owned, self.index, self.interface, self.observed = settle(p.owned), settle(p.local_index), p.interface, observed
-        self.heard = settle(E.senders(p.needs, P.both_ways(p.interface)))
+        self.clustering, self.partition = c, p
+        self.owned, self.interface, self.observed = settle(p.owned), p.interface, observed
         self.weights = settle(G.metropolis_weights(p.agent_graph, self.owned))
-        self.out = settle(G.partial_indices(self.index, self.owned).filter("is_out").select("cluster_id", "dim", "cell_id"))
         self.everything = settle(G.global_agent(f.cells()))
+        self._seen(p)
+
+    def _seen(self, p: P.Partition) -> None:
+        """What depends on what the clusters import."""
+        self.index = settle(p.local_index)
+        self.heard = settle(E.senders(p.needs, P.both_ways(p.interface)))
+        self.out = settle(G.partial_indices(self.index, self.owned).filter("is_out").select("cluster_id", "dim", "cell_id"))
         self.made = {"whole": {}, "inside": {}, "index": {}}
 
-    def whole(self, plan: Plan = PRESETS["global"]) -> Case:
-        return replace(_case(plan, self.boundaries, self.signal, self.everything, self.everything, self.everything, _alone(self.everything), made=self.made["whole"]), whole=True)
+    def whole(self, plan: Plan = PRESETS["global"], bare: bool = False) -> Case:
+        return replace(_case(plan, self.boundaries, self.signal, self.everything, self.everything, self.everything, _alone(self.everything), made=self.made["whole"], bare=bare), whole=True)
 
-    def agents(self, plan: Plan) -> Case:
-        """The agents of the clustering; ``plan.inside``: each on what it predicts, nothing imported."""
+    def agents(self, plan: Plan, bare: bool = False) -> Case:
+        """The agents of the clustering; ``plan.inside``: each on what it predicts, nothing imported. ``bare``: without features,
+        to be made ``ready`` with other cases."""
         view = self.out if plan.inside else self.index
         mixing = _alone(self.owned) if plan.rule.mixing == "none" else self.weights
         copies = None
         if plan.interface == "averaged":
             copies = settle(E.interface_copies(P.both_ways(self.interface), self.observed if self.observed is not None else self.signal))
         heard = self.heard if plan.data_sends or copies is not None else None
-        return _case(plan, self.boundaries, self.signal, view, self.out if plan.inside else self.owned, self.out, mixing, heard, copies, self.made["inside" if plan.inside else "index"])
+        return _case(plan, self.boundaries, self.signal, view, self.out if plan.inside else self.owned, self.out, mixing, heard, copies, self.made["inside" if plan.inside else "index"], bare)
 
 
 def learn(cases: dict[int, Case], truth: DataFrame) -> DataFrame:
@@ -315,17 +346,21 @@ def rolled(c: Case, theta: DataFrame, horizon: int) -> DataFrame:
 def forecasts(cases: dict[int, Case], theta: DataFrame, everything: bool = False) -> DataFrame:
     """Forecasts at each case's horizon as (case_id, cluster_id, dim, cell_id, i, yhat), i the step that is forecast, of
     predicted cells or of all that agents see."""
-    parts = []
+    parts, features, same, first = [], [], {}, {}
     for case, c in cases.items():
-        own, h = theta.filter(F.col("case_id") == case), c.plan.model.horizon
-        if h == 1:
-            x = c.features.withColumn("case_id", F.lit(case).cast("long")).withColumn("agent", _agent("i")).withColumnRenamed("i", "cell_id")
-            x = L.predict(x, own).select("dim", F.col("cell_id").alias("i"), "t", "yhat")
+        h, number = c.plan.model.horizon, F.lit(case).cast("long").alias("case_id")
+        if h == 1:  # cases that have the same features are predicted by one join, as are all others
+            same[case] = first.setdefault((id(c.features), id(c.targets)), case)
+            if same[case] == case:
+                x = c.features if everything else c.features.join(c.targets, ["dim", "i"], "left_semi")
+                features.append(x.select(number, "dim", _agent("i").alias("agent"), F.col("i").alias("cell_id"), "t", "f", "s"))
         else:
-            x = rolled(c, own, h).filter(F.col("horizon") == h).select("dim", "i", (F.col("t_made") + h).alias("t"), "yhat")
-        x = x if everything else x.join(c.targets, ["dim", "i"], "left_semi")
-        parts.append(x.select(F.lit(case).cast("long").alias("case_id"), _agent("i").alias("cluster_id"), "dim", (F.col("i") % BLOCK).alias("cell_id"), F.col("t").alias("i"), "yhat"))
-    return union(parts)
+            x = rolled(c, theta.filter(F.col("case_id") == case), h).filter(F.col("horizon") == h).select(number, "dim", "i", (F.col("t_made") + h).alias("t"), "yhat")
+            parts.append(x if everything else x.join(c.targets, ["dim", "i"], "left_semi"))
+    if features:
+        x = L.predict(union(features), theta.filter(F.col("case_id").isin(list(same))), same)
+        parts.append(x.select("case_id", "dim", F.col("cell_id").alias("i"), "t", "yhat"))
+    return union(parts).select("case_id", _agent("i").alias("cluster_id"), "dim", (F.col("i") % BLOCK).alias("cell_id"), F.col("t").alias("i"), "yhat")
 
 
 def truth(signal: DataFrame) -> DataFrame:
@@ -489,7 +524,7 @@ def boundary_error(f: Fixture) -> DataFrame:
     """Error on the cells that clusters import from each other, at four data clocks and of the global model (case 0);
     every agent predicts all it sees."""
     s = Setting(f)
-    cases = {0: s.whole()} | {c: s.agents(merged(PLAN, data_clock=c)) for c in (1, 10, 100, 300)}
+    cases = ready({0: s.whole(bare=True)} | {c: s.agents(merged(PLAN, data_clock=c), bare=True) for c in (1, 10, 100, 300)})
     made = forecasts(cases, learn(cases, s.signal), everything=True)
     shared = P.shared(s.index.select("cluster_id", "dim", "cell_id"))
     return M.interface_nmse(M.aggregate(made), truth(s.signal), shared).na.fill({"dim": -1})
@@ -510,7 +545,7 @@ def comparative(f: Fixture) -> DataFrame:
     out = []
     for n, p in enumerate((lms, kgt)):
         # features on the whole snapshot; each row goes to its edge's agent
-        x = topolms_features(boundaries, signal, p.model.m) if p.model.kind == "topolms" else ccvar_features(boundaries, signal, p.model)
+        x = topolms_features(boundaries, signal, p.model.m) if p.model.kind == "topolms" else ccvar_features([(boundaries, {0: signal})], p.model)[0]
         widths = {1: 2 * p.model.m + 1} if p.model.kind == "topolms" else {1: len(p.model.columns(1, True, True))}
         cases = {n: Case(p, boundaries, signal, settle(x.withColumn("i", own)), targets, weights, widths)}
         out.append(scored(signal, cases, learn(cases, signal)))
@@ -551,21 +586,34 @@ CLOCKS = (1, 2, 5, 10)
 WIDE = {"powers": (5, (5, 5), 5)}
 
 
-def swept(s: Setting, grid: list[tuple[int, int]], model: dict = WIDE) -> DataFrame:
-    """(data_clock, param_clock, value): last-tenth NMSE of the distributed case, over the dimensions' means."""
-    cases, made = {}, {}
-    for d, p in grid:
-        plan = merged(PLAN, data_clock=d, rule={"clock": p}, model=model)
-        made[d] = made.get(d) or s.agents(plan)  # features depend on the data clock alone
-        cases[100 * d + p] = replace(made[d], plan=plan)
-    x = tails(s, cases).filter("metric = 'tv_nmse'").withColumn("case_id", F.col("case_id").cast("long"))
-    return x.select(F.floor(F.col("case_id") / 100).alias("data_clock"), (F.col("case_id") % 100).alias("param_clock"), "value")
+def swept_cases(s: Setting, grid: list[tuple[int, int]], model: dict = WIDE) -> dict[int, Case]:
+    """The distributed case at each pair (data clock d, parameter clock p), by 100 d + p."""
+    plans = {(d, p): merged(PLAN, data_clock=d, rule={"clock": p}, model=model) for d, p in grid}
+    made = ready({d: s.agents(plan, bare=True) for d, plan in {d: plan for (d, _), plan in plans.items()}.items()})  # features depend on the data clock alone
+    return {100 * d + p: replace(made[d], plan=plan) for (d, p), plan in plans.items()}
+
+
+def swept(s: Setting, cases: dict[int, Case], theta: DataFrame) -> DataFrame:
+    """(data_clock, param_clock, value): last-tenth NMSE of ``swept_cases``, over the dimensions' means."""
+    x = last_tenth(s, cases, theta)
+    return x.select(F.floor(F.col("case_id") / 100).alias("data_clock"), (F.col("case_id") % 100).alias("param_clock"), F.col("tv_nmse").alias("value"))
+
+
+def last_tenth(s: Setting, cases: dict[int, Case], theta: DataFrame) -> DataFrame:
+    """(case_id, tv_nmse): means over the last tenth, over the dimensions' means."""
+    return settle(M.tail_mean(scored(s.signal, cases, theta), "tv_nmse").groupBy("case_id").agg(F.avg("tail_mean").alias("tv_nmse")))
+
+
+def pairs() -> list[tuple[int, int]]:
+    return [(d, p) for d in CLOCKS for p in CLOCKS]
 
 
 @query("sweep")
 def sweep(f: Fixture) -> DataFrame:
     """Stage 1: data and parameter clocks 1, 2, 5 and 10 on the distributed case: last-tenth NMSE, a column per data clock."""
-    x = swept(Setting(f), [(d, p) for d in CLOCKS for p in CLOCKS])
+    s = Setting(f)
+    cases = swept_cases(s, pairs())
+    x = swept(s, cases, learn(cases, s.signal))
     return x.groupBy("param_clock").pivot("data_clock", list(CLOCKS)).agg(F.first("value"))
 
 
@@ -573,15 +621,19 @@ def sweep(f: Fixture) -> DataFrame:
 def sweep_hops(f: Fixture) -> DataFrame:
     """Stage 2: the best pair of stage 1 by the rule (the smallest NMSE, of equals the rarest exchange), at Q = 1 to 4 hops, and
     how far its agents disagree at the end."""
-    first = swept(Setting(f), [(d, p) for d in CLOCKS for p in CLOCKS])
+    s = Setting(f)
+    cases = swept_cases(s, pairs())
+    theta = learn(cases, s.signal)
+    first = swept(s, cases, theta)
     best = first.orderBy(F.round("value", 9), F.col("data_clock").desc(), F.col("param_clock").desc()).first()
-    plan = merged(PLAN, data_clock=int(best["data_clock"]), rule={"clock": int(best["param_clock"])}, model=WIDE)
-    out = []
-    for q in (1, 2, 3, 4):
-        s = Setting(f, presets.Clustering(q_hop=q))
-        cases = {q: s.agents(plan)}
-        theta = learn(cases, s.signal)
-        tv = M.tail_mean(settle(scored(s.signal, cases, theta)), "tv_nmse").agg(F.avg("tail_mean").alias("tv_nmse"))
-        apart = M.tail_mean(settle(M.disagreement(flat(theta, cases[q].widths))), "self_disagreement", ("case_id",), "t").agg(F.avg("tail_mean").alias("self_disagreement"))
-        out.append(tv.crossJoin(apart).select(F.lit(q).cast("long").alias("q_hop"), F.lit(plan.data_clock).cast("long").alias("data_clock"), F.lit(plan.rule.clock).cast("long").alias("param_clock"), "tv_nmse", "self_disagreement"))
-    return union(out)
+    at = 100 * int(best["data_clock"]) + int(best["param_clock"])
+    plan = cases[at].plan
+    # stage 1 is the one at one hop; the others are made, learned and compared together
+    more = ready({q: Setting(f, presets.Clustering(q_hop=q), like=s).agents(plan, bare=True) for q in (2, 3, 4)})
+    ahead = learn(more, s.signal)
+    one = first.filter((F.col("data_clock") == plan.data_clock) & (F.col("param_clock") == plan.rule.clock)).select(F.lit(1).cast("long").alias("case_id"), F.col("value").alias("tv_nmse"))
+    tv = one.unionByName(last_tenth(s, more, ahead))
+    both = theta.filter(F.col("case_id") == at).withColumn("case_id", F.lit(1).cast("long")).unionByName(ahead)
+    apart = M.tail_mean(settle(M.disagreement(flat(both, cases[at].widths))), "self_disagreement", ("case_id",), "t").withColumnRenamed("tail_mean", "self_disagreement")
+    x = tv.join(apart, "case_id")
+    return x.select(F.col("case_id").alias("q_hop"), F.lit(plan.data_clock).cast("long").alias("data_clock"), F.lit(plan.rule.clock).cast("long").alias("param_clock"), "tv_nmse", "self_disagreement")

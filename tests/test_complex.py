@@ -677,3 +677,43 @@ def test_cases_on_one_view_share_their_operators(spark):
         x = X.ccvar(own[d].select("cell_id").distinct(), own[d], *A.laplacians(b, d), (low, up), model.lag, (b[d], own[d - 1], low) if d else None, (b[d + 1], own[d + 1], up) if d < 2 else None)
         want |= {(d, r["i"], r["t"], r["f"]): r["s"] for r in X.numbered(x, model.columns(d, d in b, d + 1 in b)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 * max(1, abs(v)) for k, v in want.items())
+
+
+def test_gram_matrices_take_one_shuffle(spark):
+    """A row has as many pairs as columns squared; those are summed up where the group is."""
+    draw = np.random.default_rng(7).normal(size=(2, 5, 4))
+    x = spark.createDataFrame([(t, i, f, float(draw[t, i, f])) for t, i, f in np.ndindex(draw.shape)], "t long, i long, f long, s double")
+    gram = A.gram(x, ["t"])
+    got = {(r["t"], r["f"], r["g"]): r["val"] for r in gram.collect()}
+    assert len(got) == 2 * 4 * 4 and all(abs(v - draw[t, :, f] @ draw[t, :, g]) < 1e-12 for (t, f, g), v in got.items())
+    assert gram._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
+    assert gram._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_hop_settings_share_and_are_learned_together(spark):
+    """Settings that differ in hops are as those made alone, and so are features, parameters and forecasts made in one go."""
+    from cobordia.plans import presets, runs
+    from cobordia.plans.fixture import Fixture
+    from tests.conftest import SF
+
+    f = Fixture(spark, SF)
+    one = runs.Setting(f)
+    two, alone = runs.Setting(f, presets.Clustering(q_hop=2), like=one), runs.Setting(f, presets.Clustering(q_hop=2))
+    assert two.weights is one.weights and two.signal is one.signal and two.made is not one.made
+    for name in ("owned", "index", "heard", "weights", "out"):
+        mine, theirs = getattr(two, name), getattr(alone, name)
+        assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, theirs.select(*mine.columns).collect()))
+    with pytest.raises(ValueError):
+        runs.Setting(f, presets.Clustering("modularity"), like=one)
+    plan = presets.merged(runs.PLAN, data_clock=3, rule={"clock": 2}, model={"dims": (0, 1)})
+    cases = runs.ready({1: one.agents(plan, bare=True), 2: two.agents(plan, bare=True)})
+    cases[3] = runs.replace(cases[2], plan=presets.merged(plan, rule={"clock": 5}))
+    theta = runs.learn(cases, one.signal)
+    together = {(r["case_id"], r["cluster_id"], r["dim"], r["cell_id"], r["i"]): r["yhat"] for r in runs.forecasts(cases, theta).collect()}
+    single = {2: alone.agents(plan)}
+    by_itself = runs.forecasts(single, runs.learn(single, alone.signal)).collect()
+    assert by_itself and len(by_itself) == sum(k[0] == 2 for k in together) == sum(k[0] == 3 for k in together)
+    for r in by_itself:
+        key = (r["case_id"], r["cluster_id"], r["dim"], r["cell_id"], r["i"])
+        assert abs(together[key] - r["yhat"]) < 1e-9 * max(1, abs(r["yhat"]))
+    assert any(abs(together[k] - together[3, *k[1:]]) > 1e-6 for k in together if k[0] == 2)
